@@ -12,7 +12,8 @@ first:
 * A suffix bucket is a sampled block. Buckets are dealt out by hash, sorted within a task and read as a stream.
   Copies within a map task are settled there, so a very frequent bucket sends one row from each task for each
   segment; blocks with many different segments in a task are dealt out by segment instead.
-* In buckets that hold several segments the remaining suffixes are named one by one (128 bits) and sorted too.
+* In buckets that hold several segments, the segments' bytes are sent once, and their suffixes are named one by one
+  (128 bits), sorted and settled bucket by bucket. Those of hot blocks are dealt out by name.
 
 Text is worked on in pieces of 1 MiB that overlap by 99 bytes, so memory doesn't grow with a document's length.
 
@@ -27,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ DEPTH, BLOCK = 100, 32
 HOT_BLOCK = 64
 #: Rows that a map task holds before it settles and sends them.
 FLUSH = 400_000
-SPAN, SAMPLE, SALTED, OPEN = 1, 0, 2, 3
+SAMPLE, SPAN, SALTED, MARK, OPEN, OPEN_HOT = range(6)
 _BITS = np.uint64(22)
 _LOW = np.uint64((1 << 22) - 1)
 _ODD = np.uint64(0xA24BAED4963EE407)
@@ -152,7 +154,7 @@ def cover_samples(depth: int, block: int):
         hot = np.repeat(size > HOT_BLOCK, size)
         place = np.arange(len(a)) - np.repeat(start, size)
         plain = ~hot | (place < 2)
-        yield rows(SAMPLE, a[plain], b[plain], doc[plain], low[plain], n[plain])
+        yield rows(np.where(hot[plain], MARK, SAMPLE).astype(np.int8), a[plain], b[plain], doc[plain], low[plain], n[plain])
         if hot.any():
             yield rows(SALTED, b[hot], b[hot], doc[hot], low[hot], n[hot])
 
@@ -185,8 +187,8 @@ def sort_buckets(depth: int):
             start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
             size = np.diff(np.append(start, len(a)))
             still = (np.repeat(size, size) > 1) | (kind == SALTED)
-            zero = np.zeros(int(still.sum()), dtype=np.uint64)
-            yield rows(OPEN, zero, zero, doc[still], low[still], n[still])
+            hot = np.repeat(np.maximum.reduceat((kind == SALTED) | (kind == MARK), start), size)[still]
+            yield rows(np.where(hot, OPEN_HOT, OPEN).astype(np.int8), a[still], a[still], doc[still], low[still], n[still])
 
     def run(batches):
         carry = None
@@ -208,15 +210,38 @@ def sort_buckets(depth: int):
     return run
 
 
-def name_windows(depth: int):
-    """Rows (id, text, open list of (low, n)) to one 128-bit name for each open window; copies in the task are settled."""
+def names_of(part: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names of the windows of part that begin at start."""
+    sums = PrefixHash(part)
+    whole, half = sums.of(start, start + depth), sums.of(start, start + depth // 2)
+    return mix(whole), mix(half * _ODD + whole)
+
+
+def places(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All starts low, low + 1, ..., low + n - 1 of each row, one row after the other."""
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+OPEN_SCHEMA = SCHEMA + ", bytes binary"
+
+
+def with_bytes(batch: pa.RecordBatch, values=None) -> pa.RecordBatch:
+    values = pa.nulls(batch.num_rows, pa.binary()) if values is None else values
+    return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "bytes"])
+
+
+def open_suffixes(depth: int):
+    """Rows (id, text, open list of (kind, a, low, n)) to the bytes of each open segment; hot ones window by window.
+
+    Copies among hot windows within the task are settled.
+    """
 
     def settle(held):
         a, b, doc, low = (np.concatenate(x) for x in zip(*held))
         order, new, later = later_copies([a, b], doc, low)
         a, b, doc, low = a[order], b[order], doc[order], low[order]
-        yield spans_out(doc[later], low[later], np.full(int(later.sum()), depth))
-        yield rows(SAMPLE, a[new], b[new], doc[new], low[new], np.full(int(new.sum()), depth))
+        yield with_bytes(spans_out(doc[later], low[later], np.full(int(later.sum()), depth)))
+        yield with_bytes(rows(SAMPLE, a[new], b[new], doc[new], low[new], np.full(int(new.sum()), depth)))
 
     def run(batches):
         held, total = [], 0
@@ -224,21 +249,25 @@ def name_windows(depth: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, at = text_bytes(batch.column(1))
             lists = batch.column(2)
-            for i in range(len(ids)):
-                inner = lists[i].values
-                low = inner.field("low").to_numpy(zero_copy_only=False).astype(np.int64)
-                n = inner.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
-                order = np.argsort(low, kind="stable")
-                low, n = low[order], n[order]
+            doc = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+            kind, a, low, n = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("kind", "a", "low", "n"))
+            low, n = low.astype(np.int64), n.astype(np.int64)
+            plain = np.flatnonzero(kind == OPEN)
+            for cut in range(0, len(plain), 20_000):
+                some = plain[cut : cut + 20_000]
+                first = at[doc[some]] + low[some]
+                raw = data.tobytes() if len(some) > len(data) else None
+                parts = [(raw[x : x + y] if raw else data[x : x + y].tobytes()) for x, y in zip(first.tolist(), (n[some] + depth - 1).tolist())]
+                yield with_bytes(rows(OPEN, a[some], np.zeros(len(some), dtype=np.int64), ids[doc[some]], low[some], n[some]), pa.array(parts, pa.binary()))
+            for i in np.unique(doc[kind == OPEN_HOT]):
+                mine = np.flatnonzero((kind == OPEN_HOT) & (doc == i))
+                mine = mine[np.argsort(low[mine], kind="stable")]
                 text, cut = data[at[i] : at[i + 1]], 0
-                while cut < len(low):
-                    stop = max(int(np.searchsorted(low, low[cut] + PIECE)), cut + 1)
-                    base = int(low[cut])
-                    part = text[base : int((low[cut:stop] + n[cut:stop]).max()) + depth - 1]
-                    start = np.unique(np.repeat(low[cut:stop] - base - (np.cumsum(n[cut:stop]) - n[cut:stop]), n[cut:stop]) + np.arange(int(n[cut:stop].sum())))
-                    sums = PrefixHash(part)
-                    whole, half = sums.of(start, start + depth), sums.of(start, start + depth // 2)
-                    held.append((mix(whole), mix(half * _ODD + whole), np.full(len(start), ids[i]), start + base))
+                while cut < len(mine):
+                    stop = max(int(np.searchsorted(low[mine], low[mine[cut]] + PIECE)), cut + 1)
+                    some, base = mine[cut:stop], int(low[mine[cut]])
+                    start = np.unique(places(low[some] - base, n[some]))
+                    held.append((*names_of(text[base : base + int(start[-1]) + depth], start, depth), np.full(len(start), ids[i]), start + base))
                     total += len(start)
                     cut = stop
                 if total >= FLUSH:
@@ -250,6 +279,49 @@ def name_windows(depth: int):
     return run
 
 
+def sort_open(depth: int):
+    """Over rows sorted by (a, b, doc, low): the windows of a bucket's segments are named, sorted and settled together."""
+    singles = sort_windows(depth)
+
+    def bucket(a, doc, low, n, column):
+        data, at = text_bytes(column)
+        start = places(at[:-1], n)
+        row = np.repeat(np.arange(len(n)), n)
+        name, other = names_of(data, start, depth)
+        who, where = doc[row], low[row] + start - at[:-1][row]
+        order, _, later = later_copies([name, other], who, where)
+        who, where = who[order][later], where[order][later]
+        return spans_out(who, where, np.full(len(who), depth))
+
+    def run(batches):
+        carry = None
+
+        def named():
+            """The batch's other rows go on as they are."""
+            nonlocal carry
+            for batch in batches:
+                plain = batch.filter(pa.compute.equal(batch.column(0), OPEN))
+                if plain.num_rows:
+                    if carry is not None:
+                        plain = pa.Table.from_batches([carry, plain]).combine_chunks().to_batches()[0]
+                    a = plain.column(1).to_numpy(zero_copy_only=False)
+                    last = int(np.searchsorted(a, a[-1]))
+                    yield from whole(plain.slice(0, last))
+                    carry = plain.slice(last)
+                yield batch.filter(pa.compute.not_equal(batch.column(0), OPEN)).select(range(6))
+
+        def whole(part):
+            if part.num_rows:
+                a, doc, low, n = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 3, 4, 5))
+                yield bucket(a, doc, low.astype(np.int64), n.astype(np.int64), part.column(6))
+
+        yield from singles(named())
+        if carry is not None:
+            yield from whole(carry)
+
+    return run
+
+
 def sort_windows(depth: int):
     """Over rows sorted by (a, b, doc, low): windows that start later than their name's first give spans."""
 
@@ -277,18 +349,22 @@ def sort_windows(depth: int):
     return run
 
 
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows that can repeat something; built alike wherever it is joined, so that Spark shuffles it once."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """id and spans (array of (low, n) bytes, may overlap) of every document that has a repeated string."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """doc (the id) and spans (array of (low, n) bytes, may overlap) of every document that has a repeated string."""
+    texts = texts_of(docs, id_col, text_col)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = texts.mapInArrow(cover_samples(depth, block), SCHEMA).repartition(parts, "a").sortWithinPartitions("a", "b", "doc", "low")
-    settled = written(named.mapInArrow(sort_buckets(depth), SCHEMA).select("kind", "doc", "low", "n"), "suffix-buckets")
-    still = settled.where(f"kind = {OPEN}").groupBy("doc").agg(F.collect_list(F.struct("low", "n")).alias("open"))
-    rest = texts.join(still, "doc").select("doc", "text", "open").mapInArrow(name_windows(depth), SCHEMA)
-    rest = rest.repartition(parts, "a").sortWithinPartitions("a", "b", "doc", "low").mapInArrow(sort_windows(depth), SCHEMA)
+    settled = written(named.mapInArrow(sort_buckets(depth), SCHEMA).select("kind", F.when(F.col("kind") == OPEN, F.col("a")).alias("a"), "doc", "low", "n"), "suffix-buckets")
+    still = settled.where(f"kind <> {SPAN}").groupBy("doc").agg(F.collect_list(F.struct("kind", F.coalesce("a", F.lit(0)).alias("a"), "low", "n")).alias("open"))
+    rest = texts.join(still, "doc").select("doc", "text", "open").mapInArrow(open_suffixes(depth), OPEN_SCHEMA)
+    rest = rest.repartition(parts, "a").sortWithinPartitions("a", "b", "doc", "low").mapInArrow(sort_open(depth), SCHEMA)
     spans = settled.where(f"kind = {SPAN}").select("doc", "low", "n").unionByName(rest.select("doc", "low", "n"))
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("low", "n")).alias("spans")).select(F.col("doc").alias(id_col), "spans")
+    return spans.groupBy("doc").agg(F.collect_list(F.struct("low", "n")).alias("spans"))
 
 
 def cut(data: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int]:
@@ -319,7 +395,8 @@ def _cut_rows(batch: pa.RecordBatch, text_at: int, spans_at: int):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with repeated strings cut out of the text; a character that is cut through goes entirely."""
     spans = repeated_spans(docs, id_col, text_col, **options)
-    joined = docs.join(spans.withColumnRenamed("spans", "spans__"), id_col, "left").select(*docs.columns, "spans__")
+    spans = spans.select(F.col("doc").alias("doc__"), F.col("spans").alias("spans__"))
+    joined = docs.join(spans, docs[id_col] == F.col("doc__"), "left").select(*(docs[c] for c in docs.columns), "spans__")
     text_at, spans_at = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
@@ -334,7 +411,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op4_suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    joined = docs.join(repeated_spans(docs), "doc_id", "left").select("doc_id", "text", "spans")
+    whole = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("bigint").alias("doc"), "text", F.lit(None).cast("array<struct<low:int,n:int>>").alias("spans"))
+    joined = texts_of(docs, "doc_id", "text").join(repeated_spans(docs), "doc", "left").select("doc", "text", "spans").unionByName(whole)
 
     def run(batches):
         for batch in batches:
