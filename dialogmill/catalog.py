@@ -1,9 +1,231 @@
-"""All registered queries of the archive jobs and their SQL."""
+"""All registered queries of the archive jobs over the given tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dialogmill.operators import evaluate, maintain, profile, reading, search, textindex
+from dialogmill.plans import bridge
+
+
+class Tables:
+    """The bridge views of one folder."""
+
+    def __init__(self, spark, sf_dir):
+        see = lambda sql: bridge.view(spark, sf_dir, sql)
+        self.docs, self.events, self.sessions = see(bridge.DOCS), see(bridge.EVENTS), see(bridge.SESSIONS)
+        self.raw, self.calls, self.queries = see(bridge.RAW), see(bridge.CALLS_SPARK), see(bridge.QUERIES)
+        self.labels = see("SELECT * FROM labels")
+        self.requests = self.sessions.select(F.concat(F.lit("r"), "id").alias("req_id"), F.col("id").alias("session_id"), F.date_format(F.timestamp_millis(F.col("ts_created") + 120000), "yyyy-MM-dd HH:mm").alias("at"))
+        #: The archive before and after a pass: later messages are new, some texts are changed.
+        self.old = self.docs.where("pmod(ts div 60000, 7) <> 3").withColumn("text", F.when(F.expr("pmod(ts div 60000, 7) = 4"), F.concat("text", F.lit(" (old)"))).otherwise(F.col("text")))
+
+
+def r6(df, *cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+# --- search
+
+RANKED_K, CTX = 10, 2
+
+
+def _hits(t):
+    return search.ranked(t.queries, t.docs, RANKED_K)
+
+
+def bm25_search(t):
+    return r6(search.with_sessions(_hits(t), t.sessions), "score").select("qid", "rank", "id", "score", "session_id", "session_title")
+
+
+def filtered_search(t):
+    return r6(search.ranked(t.queries, t.docs, RANKED_K, search_filter()), "score").select("qid", "rank", "id", "score")
+
+
+def search_filter():
+    from dialogmill.functions.columns import filters
+
+    return filters(source="opencode", role="assistant", model="m", after=1767225600000, session="S0000")
+
+
+def chrono_search(t):
+    return search.by_time(t.queries, t.docs, RANKED_K).select("qid", "rank", "id", "ts")
+
+
+def chrono_browse(t):
+    return search.browse(t.docs, 50).select("id", "session_id", "ts", "role")
+
+
+def neighbor_messages(t):
+    return search.neighbors(_hits(t), t.docs, CTX)
+
+
+def hit_groups(t):
+    return search.session_groups(_hits(t)).withColumn("hit_refs", F.array_join("hit_refs", ","))
+
+
+def hit_excerpts(t):
+    return search.excerpts(_hits(t), 200).select("qid", "id", "excerpt", "excerpt_len", "full_len", "full")
+
+
+def hit_snippets(t):
+    return search.snippets(_hits(t), t.queries).select("qid", "id", "snippet")
+
+
+def hit_totals(t):
+    return search.totals(_hits(t), RANKED_K).join(search.missing_models(_hits(t)), "qid")
+
+
+def index_postings(t):
+    return textindex.postings(t.docs).groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("occurrences"))
+
+
+def raw_scan(t):
+    needles = t.queries.select(F.col("qid").alias("nid"), F.element_at(F.split("q", " "), 2).alias("needle"))
+    return search.raw_scan(needles, t.raw)
+
+
+def raw_lookup(t):
+    wanted = t.labels.where("toxic = 1").select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("part_id")).distinct()
+    return search.raw_lookup(wanted, t.raw).select("part_id", F.length("content").alias("n_chars"), F.md5("content").alias("md5"))
+
+
+def eval_topk(t):
+    """Questions are the first messages of sessions; the session must be among their hits."""
+    asked = reading.message_index(t.events).where("idx = 0").select(F.col("session_id").alias("qid"), F.substring("text", 1, 80).alias("q"), F.array("session_id").alias("expect"), F.lit(False).alias("known_miss"))
+    return search.eval_topk(asked, t.docs).agg(F.count("*").alias("questions"), *(F.count_if(f"top{k}").alias(f"top{k}") for k in (1, 3, 5)))
+
+
+# --- reading
+
+
+def message_index(t):
+    return reading.message_index(t.docs).select("session_id", "idx", "id")
+
+
+def read_as_of(t):
+    return reading.read_as_of(reading.resolve_anchors(t.requests, t.docs), t.docs)
+
+
+def read_counters(t):
+    return reading.read_counters(reading.read_as_of(reading.resolve_anchors(t.requests, t.docs), t.docs))
+
+
+def read_sessions(t):
+    first = reading.message_index(t.events).where("idx = 1").select("session_id", F.col("id").alias("around"))
+    asked = t.requests.withColumn("at", F.lit(None).cast("string")).join(first, "session_id", "left").select("req_id", "session_id", "around", F.lit(1).alias("ctx"), F.lit(3).alias("tail"), "at")
+    return reading.read_sessions(asked, t.docs)[0]
+
+
+def session_tail(t):
+    return reading.tail(t.docs, 3).select("session_id", "id", "back")
+
+
+def keyset_page(t):
+    return reading.keyset_page(t.docs, 1767225600000 + 3 * 86400000, "m000003-0002", 20).select("id", "ts", "has_more")
+
+
+def shown_windows(t):
+    spans = _hits(t).where("role <> 'title'").join(reading.message_index(t.docs).select("id", "idx"), "id").select(F.col("qid").alias("req_id"), "session_id", F.greatest(F.col("idx") - 1, F.lit(0)).alias("low"), (F.col("idx") + 1).alias("high"))
+    return reading.merge_windows(spans).select("req_id", "session_id", "low", "high")
+
+
+def gap_markers(t):
+    shown = reading.message_index(t.docs).where("pmod(ts div 60000, 3) <> 1").select(F.lit("r").alias("req_id"), "session_id", "idx", "id")
+    totals = reading.message_index(t.docs).groupBy("session_id").agg(F.count("*").alias("total")).withColumn("req_id", F.lit("r"))
+    return reading.gap_markers(shown, totals).select("id", "idx", "gap_before", "gap_after")
+
+
+def text_chunks(t):
+    return reading.chunks(t.events, "text", 400, "id")
+
+
+def messages_export(t):
+    return reading.messages_export(t.docs)
+
+
+# --- upkeep
+
+
+def upsert_events(t):
+    return maintain.upsert(t.old, t.docs.where("pmod(ts div 60000, 2) = 1")).select("id", "ts", F.md5("text").alias("md5"))
+
+
+def upsert_status(t):
+    return maintain.ingest_summary(maintain.upsert_status(t.old, t.docs.where("pmod(ts div 60000, 2) = 1")))
+
+
+def table_lag(t):
+    return maintain.table_lag(t.docs, t.old)
+
+
+def advance_state(t):
+    return maintain.advance_state(t.old.groupBy("source").agg(F.max("ts").alias("watermark")), t.docs)
+
+
+def archive_fingerprint(t):
+    return maintain.fingerprint(t.docs)
+
+
+# --- statistics and evaluation
+
+
+def source_status(t):
+    return profile.source_status(t.docs, t.sessions)
+
+
+def model_cost_summary(t):
+    events = t.calls.select(F.col("tool").alias("model"), "cost", F.length("cmd").alias("tokens_in"), F.length("id").alias("tokens_out"))
+    return r6(profile.model_cost_summary(events), "cost")
+
+
+def source_profile(t):
+    return profile.source_profile(t.calls)
+
+
+def turns(t):
+    return evaluate.turns(t.docs).select("session_id", "turn", "id", F.size("answers").alias("answers"), F.length(F.array_join("answers", "\n\n")).alias("answer_chars"))
+
+
+def turn_candidates(t):
+    return evaluate.turn_candidates(t.docs, t.sessions, asking=ASKS).select("session_id", "id", "q_len", "a_len", "score")
+
+
+ASKS = r"\?|(?i)(what|how|why|que|the|der|le)"
+
+
+def turn_sample(t):
+    return evaluate.turn_sample(evaluate.turn_candidates(t.docs, t.sessions, asking=ASKS), 7, least=2, cap=5).select("qid", "id", "repo")
+
+
+def question_rollup(t):
+    return evaluate.question_rollup(evaluate.turn_candidates(t.docs, t.sessions, asking=ASKS), "repo", "score")
+
+
+def pattern_audit(t):
+    found = evaluate.pattern_audit(t.raw, "content", AUDIT, keep=("part_id",)).withColumnRenamed("part_id", "id")
+    return evaluate.audit_summary(found, AUDIT).select("pattern", "n", "questions", "invalidating")
+
+
+AUDIT = [("mit", r"MIT License", False), ("apache", r"Apache License", False), ("gpl", r"GNU General Public", True)]
+
+_ALL = [
+    bm25_search, filtered_search, chrono_search, chrono_browse, neighbor_messages, hit_groups, hit_excerpts, hit_snippets, hit_totals, index_postings, raw_scan, raw_lookup, eval_topk,
+    message_index, read_as_of, read_counters, read_sessions, session_tail, keyset_page, shown_windows, gap_markers, text_chunks, messages_export,
+    upsert_events, upsert_status, table_lag, advance_state, archive_fingerprint,
+    source_status, model_cost_summary, source_profile, turns, turn_candidates, turn_sample, question_rollup, pattern_audit,
+]
+
+
+def _query(f):
+    return lambda spark, sf_dir: f(Tables(spark, sf_dir))
 
 
 def queries():
-    return {}
+    return {f.__name__: _query(f) for f in _ALL}
 
 
 def oracle_sql():
-    return {}
+    from dialogmill.oracle import SQL
+
+    return dict(SQL)
