@@ -201,7 +201,8 @@ def offsets(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def encode(docs: DataFrame, path: str, text_col: str = "text", with_offsets: bool = True) -> DataFrame:
     """docs with ids and, if wanted, byte_start, byte_end, char_start, char_end arrays."""
     names = ["ids", *(["byte_start", "byte_end", "char_start", "char_end"] if with_offsets else [])]
-    text_at = docs.columns.index(text_col)
+    kept = docs.drop(*names)
+    columns, text_at = kept.columns, kept.columns.index(text_col)
 
     def run(batches):
         enc, lengths = encoder(path), token_lengths(path)
@@ -213,21 +214,21 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", with_offsets: boo
                     found = [offsets(data[at[i] : at[i + 1]], lengths[ids[first[i] : first[i + 1]]]) if at[i + 1] > at[i] else (np.zeros(0, np.int64),) * 4 for i in range(high - low)]
                     out += [pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in range(4)]
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*docs.columns, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*columns, *names])
 
-    kept = docs.drop(*names)
     return kept.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"{n} array<int>" for n in names]))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the text of its ids; bytes that are no whole character give U+FFFD."""
-    at = encoded.columns.index(ids_col)
+    encoded = encoded.drop(out)
+    columns, at = encoded.columns, encoded.columns.index(ids_col)
 
     def run(batches):
         parts = token_bytes(path)
         for batch in batches:
             texts = [None if x is None else b"".join([parts[i] for i in x]).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*encoded.columns, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*columns, out])
 
     return encoded.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema] + [f"{out} string"]))
 

@@ -397,14 +397,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(docs, id_col, text_col, **options)
     spans = spans.select(F.col("doc").alias("doc__"), F.col("spans").alias("spans__"))
     joined = docs.join(spans, docs[id_col] == F.col("doc__"), "left").select(*(docs[c] for c in docs.columns), "spans__")
-    text_at, spans_at = docs.columns.index(text_col), len(docs.columns)
+    columns, text_at, spans_at = docs.columns, docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
         for batch in batches:
             texts = [bytes(kept).decode("utf-8", "ignore") for _, kept, _ in _cut_rows(batch, text_at, spans_at)]
             valid = batch.column(text_at).is_valid().to_pylist()
             out = pa.array([x if v else None for x, v in zip(texts, valid)], pa.string())
-            yield pa.RecordBatch.from_arrays([out if i == text_at else batch.column(i) for i in range(spans_at)], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([out if i == text_at else batch.column(i) for i in range(spans_at)], names=columns)
 
     return joined.mapInArrow(run, docs.schema)
 
