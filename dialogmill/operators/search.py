@@ -109,10 +109,12 @@ def raw_scan(needles: DataFrame, raw: DataFrame, refs: DataFrame | None = None,
     """
     sources = raw if refs is None else raw.join(refs.select(F.col("raw_ref").alias("part_id")), "part_id", "left_semi")
     lowered = needles.select("nid", F.lower("needle").alias("needle__")).where("needle__ <> ''")
-    hits = sources.withColumn("low__", F.lower("content")).join(lowered, F.expr("instr(low__, needle__) > 0"))
+    # the first parts of each needle are chosen by id alone; only these are read again for their lines
+    hits = sources.withColumn("low__", F.lower("content")).join(lowered, F.expr("instr(low__, needle__) > 0")).select("nid", "needle__", "part_id")
+    first = hits.withColumn("n__", F.row_number().over(W.partitionBy("nid").orderBy("part_id"))).where(F.col("n__") <= limit)
+    found = first.join(sources.select("part_id", "content"), "part_id").withColumn("low__", F.lower("content"))
     line_no = F.size(F.split(F.expr("substring(low__, 1, instr(low__, needle__))"), "\n"))
-    found = hits.select("nid", "part_id", line_no.alias("line_no"), F.substring(F.trim(F.element_at(F.split("content", "\n"), line_no)), 1, line_chars).alias("line"))
-    return found.withColumn("n", F.row_number().over(W.partitionBy("nid").orderBy("part_id"))).where(F.col("n") <= limit).drop("n")
+    return found.select("nid", "part_id", line_no.alias("line_no"), F.substring(F.trim(F.element_at(F.split("content", "\n"), line_no)), 1, line_chars).alias("line"))
 
 
 def raw_lookup(ids: DataFrame, raw: DataFrame) -> DataFrame:
