@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dialogmill.operators.textindex import bm25, phrase_frequencies, phrases, tokenize, top_k
 
 EXCERPT = 20_000
+NEEDLE_BLOCKS = 4
 
 
 def ranked(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = None, **index) -> DataFrame:
@@ -105,12 +106,15 @@ def raw_scan(needles: DataFrame, raw: DataFrame, refs: DataFrame | None = None,
     """(nid, part_id, line_no, line): the first match of each literal needle in each output, without regard to case.
 
     The needle table is small by its nature and each needle is looked for in every output: a stated query set
-    against all rows.
+    against all rows. Needles meet the outputs in blocks, so that an output is lowered once for a block.
     """
     sources = raw if refs is None else raw.join(refs.select(F.col("raw_ref").alias("part_id")), "part_id", "left_semi")
     lowered = needles.select("nid", F.lower("needle").alias("needle__")).where("needle__ <> ''")
     # the first parts of each needle are chosen by id alone; only these are read again for their lines
-    hits = sources.withColumn("low__", F.lower("content")).join(lowered, F.expr("instr(low__, needle__) > 0")).select("nid", "needle__", "part_id")
+    blocks = lowered.groupBy(F.pmod(F.xxhash64("nid"), F.lit(NEEDLE_BLOCKS)).alias("block")).agg(F.collect_list(F.struct("nid", "needle__")).alias("asked"))
+    within = F.filter("asked", lambda x: F.contains(F.col("low__"), x["needle__"]))
+    met = sources.select("part_id", F.lower("content").alias("low__")).crossJoin(blocks.select("asked"))
+    hits = met.select("part_id", F.explode(within).alias("hit")).select("hit.nid", "hit.needle__", "part_id")
     first = hits.withColumn("n__", F.row_number().over(W.partitionBy("nid").orderBy("part_id"))).where(F.col("n__") <= limit)
     found = first.join(sources.select("part_id", "content"), "part_id").withColumn("low__", F.lower("content"))
     line_no = F.size(F.split(F.expr("substring(low__, 1, instr(low__, needle__))"), "\n"))
