@@ -88,6 +88,9 @@ SQL = {
     "source_profile": _sql("SELECT tool, count(*) AS n, count(DISTINCT session_id) AS sessions, count(CASE WHEN cmd <> '' THEN 1 END) AS with_cmd FROM calls GROUP BY tool ORDER BY n DESC, tool LIMIT 12"),
     "turns": _sql("SELECT session_id, turn, id, answers, length(answer) AS answer_chars FROM turns", _TURNS),
     "turn_candidates": _sql("SELECT session_id, id, q_len, a_len, score FROM cands", _TURNS, _CANDS),
+    "pattern_audit": _sql("SELECT pattern, count(*) AS n, count(DISTINCT part_id) AS questions, max(invalidating) AS invalidating FROM segments JOIN patterns ON contains(part, word) GROUP BY pattern",
+        "patterns AS (SELECT * FROM (VALUES ('mit', 'MIT License', false), ('apache', 'Apache License', false), ('gpl', 'GNU General Public', true)) v(pattern, word, invalidating))",
+        r"""segments AS (SELECT part_id, regexp_replace(part, '"[^"]* [^"]*"|''[^'']* [^'']*''', '""', 'g') AS part FROM (SELECT part_id, unnest(string_split_regex(content, '\|\||&&|[|;\n]|\$\(')) AS part FROM raw))"""),
     "question_rollup": _sql("""SELECT 'repo' AS dimension, repo AS value, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT session_id) AS sessions FROM cands GROUP BY repo
  UNION ALL SELECT 'score', cast(score AS STRING), count(*), min(ts), max(ts), count(DISTINCT session_id) FROM cands GROUP BY score""", _TURNS, _CANDS),
 }
