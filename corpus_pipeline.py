@@ -10,14 +10,13 @@ from dialogmill.llm.common import table, written
 from dialogmill.llm.near_dedup import keep_one
 from dialogmill.llm.packing import pack
 from dialogmill.llm.quality import keep_good
-from dialogmill.llm.quality_rules import quality_rules
+from dialogmill.llm.quality_rules import keep_passing
 from dialogmill.llm.suffix_dedup import remove_repeats
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    rejected = quality_rules(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the quality rules keep; rows with a null id are judged too, rows that share an id each by its text."""
+    return keep_passing(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,14 +96,31 @@ def common_line_words(docs: DataFrame, id_col: str, text_col: str, host_col: str
     return lines.join(above, ["host__", "hash__"]).groupBy("id__", "digest__").agg(F.sum("n__").alias("common__"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """id, base metrics, base_failed, n_common_words, kept for each row."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_texts: int, share: float, depleted: float) -> DataFrame:
+    """id__ and digest__, which name a row by its id and text, base metrics, base_failed, n_common_words, kept."""
     base = base_metrics(docs.withColumns({"id__": F.col(id_col), "digest__": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}), ["id__", "digest__"], text_col)
-    # a repeated id with an equal text in several hosts takes the host with the fewest common words
+    # a repeated id with an equal text takes the common words of all its rows
     common = common_line_words(docs, id_col, text_col, host_col, min_texts, share)
     joined = base.join(common, base["id__"].eqNullSafe(common["id__"]) & (base["digest__"] == common["digest__"]), "left").select(base["*"], F.coalesce("common__", F.lit(0)).alias("n_common_words"))
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= F.lit(depleted) * F.col("n_words"))
-    return joined.select(F.col("id__").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("n_common_words").cast("bigint").alias("n_common_words"))
+    return joined.withColumns({"kept": kept, "n_common_words": F.col("n_common_words").cast("bigint")})
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+    """id, base metrics, base_failed, n_common_words, kept for each row."""
+    judged = _judged(docs, id_col, text_col, host_col, min_texts, share, depleted)
+    return judged.select(F.col("id__").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words")
+
+
+def keep_passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+    """docs without the rows that the rules reject, with the same columns.
+
+    A row is named by its id and its text: rows with a null id are judged as well, and of rows that share an id
+    each goes or stays by its own text.
+    """
+    rejected = _judged(docs, id_col, text_col, host_col, min_texts, share, depleted).where("NOT kept").select("id__", "digest__").distinct()
+    own = docs.withColumn("own__", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return own.join(rejected, own[id_col].eqNullSafe(rejected["id__"]) & (own["own__"] == rejected["digest__"]), "left_anti").select(*docs.columns)
 
 
 def op5_quality_rules(spark, sf_dir):

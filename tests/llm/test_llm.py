@@ -157,6 +157,20 @@ def test_odd_rows(spark, odd):
     assert bpe.encode(odd, path, with_offsets=False).count() == 9
 
 
+def test_pipeline_stages_of_odd_rows(spark, odd):
+    import corpus_pipeline as p
+
+    good = " ".join(f"plain{i} words{i}" for i in range(40))
+    more = spark.createDataFrame([(9, good, "en", "a", 1, 1, "x", 2), (9, "bad", "en", "a", 1, 1, "x", 2), (None, good, "en", "a", 1, 1, "x", 2)], odd.schema)
+    ruled = p.rules(spark, odd.unionByName(more), SF)
+    assert sorted((r.doc_id or 0, r.text[:5]) for r in ruled.collect()) == [(0, "plain"), (4, "word0"), (5, "word0"), (9, "plain")]
+    for stage in (p.rules, p.quality, p.near_dedup, p.suffix_dedup):
+        assert stage(spark, odd, SF).columns == odd.columns and stage(spark, odd.limit(0), SF).count() == 0
+    lengths = {r.doc_id: (r.text, r.n_chars) for r in p.suffix_dedup(spark, odd, SF).collect()}
+    assert lengths[1] == (None, None) and lengths[2] == ("", 0) and lengths[5] == ("", 0)
+    assert p.packing(spark, odd.limit(0), SF).count() == 0
+
+
 def test_warc_records(spark, tmp_path):
     body = "<p>" + "é" * 80
     pages = spark.createDataFrame([(3, "http://x/3", body, 1), (1, "http://x/1", body, 1), (2, None, None, 1), (4, "u\r\nv", "short", 1), (5, "u", "short", 1)], "page_id bigint, url string, html string, header int")
