@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dialogmill.operators import evaluate, maintain, profile, reading, search, textindex
-from dialogmill.plans import bridge
+from dialogmill.functions.columns import model_name, truncated
+from dialogmill.operators import evaluate, maintain, normalise, profile, reading, search, textindex
+from dialogmill.plans import bridge, records
+from dialogmill.sources import jsonl
 
 
 class Tables:
     """The bridge views of one folder."""
 
     def __init__(self, spark, sf_dir):
-        see = lambda sql: bridge.view(spark, sf_dir, sql)
+        self.see = see = lambda sql: bridge.view(spark, sf_dir, sql)
         self.docs, self.events, self.sessions = see(bridge.DOCS), see(bridge.EVENTS), see(bridge.SESSIONS)
         self.raw, self.calls, self.queries = see(bridge.RAW), see(bridge.CALLS_SPARK), see(bridge.QUERIES)
         self.labels = see("SELECT * FROM labels")
@@ -144,6 +146,51 @@ def messages_export(t):
     return reading.messages_export(t.docs)
 
 
+def _bundles(t):
+    """The calls of a session's hour as one message."""
+    hour = F.concat("session_id", F.lit("-"), F.expr("cast(ts div 3600000 AS string)"))
+    calls = F.transform(F.array_sort(F.collect_list(F.struct("id", "tool", "cmd"))), lambda c: F.struct(c["tool"].alias("tool"), c["cmd"].alias("cmd"), c["id"].alias("rawRef")))
+    return t.calls.groupBy(hour.alias("id")).agg(calls.alias("toolCalls"))
+
+
+def call_chunks(t):
+    return reading.call_chunks(_bundles(t), 3)
+
+
+def calls_summary(t):
+    return reading.calls_summary(_bundles(t))
+
+
+def shown_texts(t):
+    cut = truncated(F.col("text"))
+    return t.docs.select("id", F.md5(cut["shown"]).alias("md5"), cut["shown_len"].alias("shown_len"), cut["total"].alias("total"), cut["cut"].alias("cut"))
+
+
+# --- normalisation of source records
+
+
+def _event_rows(events):
+    call = F.try_element_at("toolCalls", F.lit(1))
+    return events.select(
+        "id", F.col("sessionId").alias("session_id"), "ts", "role", F.md5(F.coalesce("text", F.lit(""))).alias("md5"), model_name(F.col("model")).alias("model"), "agent", "repo",
+        F.col("tokens")["in"].alias("tokens_in"), F.col("tokens")["out"].alias("tokens_out"), "cost", call["cmd"].alias("cmd"), call["exitCode"].alias("exit_code"), call["rawRef"].alias("raw_ref"),
+    )
+
+
+def relational_events(t):
+    session, message, part = records.relational(t.see)
+    return _event_rows(normalise.canonical_events(message, part, session))
+
+
+def line_events(t):
+    return _event_rows(jsonl.events(records.lines(t.see)))
+
+
+def line_sessions(t):
+    n = lambda c: F.coalesce(F.col("tokens")[c], F.lit(0)).alias(f"tokens_{c}")
+    return jsonl.sessions(records.lines(t.see)).select("id", "title", "repo", F.col("tsCreated").alias("ts_created"), F.col("tsUpdated").alias("ts_updated"), "cost", n("in"), n("out"))
+
+
 # --- upkeep
 
 
@@ -212,6 +259,7 @@ AUDIT = [("mit", r"MIT License", False), ("apache", r"Apache License", False), (
 _ALL = [
     bm25_search, filtered_search, chrono_search, chrono_browse, neighbor_messages, hit_groups, hit_excerpts, hit_snippets, hit_totals, index_postings, raw_scan, raw_lookup, eval_topk,
     message_index, read_as_of, read_counters, read_sessions, session_tail, keyset_page, shown_windows, gap_markers, text_chunks, messages_export,
+    call_chunks, calls_summary, shown_texts, relational_events, line_events, line_sessions,
     upsert_events, upsert_status, table_lag, advance_state, archive_fingerprint,
     source_status, model_cost_summary, source_profile, turns, turn_candidates, turn_sample, question_rollup, pattern_audit,
 ]

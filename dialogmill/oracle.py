@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dialogmill.operators.textindex import STOPWORDS
-from dialogmill.plans import bridge
+from dialogmill.plans import bridge, records
 
 _BASE = f"""docs AS ({bridge.DOCS}), events_ AS ({bridge.EVENTS}), sessions AS ({bridge.SESSIONS}), raw AS ({bridge.RAW}), calls AS ({bridge.CALLS_DUCKDB}), queries AS ({bridge.QUERIES}),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) - 1 AS idx FROM docs WHERE role <> 'title')"""
@@ -48,7 +48,26 @@ cands AS (SELECT session_id, id, ts, repo, length(q) AS q_len, length(a) AS a_le
 _NEAR = """sp AS (SELECT t.qid, t.rank, t.id AS for_ref, t.session_id, n.idx - 2 AS low, n.idx + 2 AS high, n.idx AS own FROM top t JOIN numbered n ON t.id = n.id AND t.session_id = n.session_id WHERE t.role <> 'title'
  UNION ALL SELECT t.qid, t.rank, t.id, t.session_id, b.k - 2, b.k + 1, -1 FROM top t, LATERAL (SELECT count(*) AS k FROM numbered n WHERE n.session_id = t.session_id AND (n.ts < t.ts OR (n.ts = t.ts AND n.id < t.id))) b WHERE t.role = 'title')"""
 
+_BUNDLES = "bundles AS (SELECT concat(c.session_id, '-', c.ts // 3600000) AS id, c.tool, c.cmd, c.id AS ref, row_number() OVER (PARTITION BY c.session_id, c.ts // 3600000 ORDER BY c.id) - 1 AS call_index FROM calls c)"
+_RECORDS = f"tr AS (SELECT *, role = 'assistant' AS a FROM ({records.TURNS}))"
+_RECORD = """CASE WHEN a THEN concat('p/m', conv_id % 5) END AS model, {agent} AS agent, concat('repo', conv_id % 20) AS repo, CASE WHEN a THEN coalesce(length(text), 0) ELSE 0 END AS tokens_in, CASE WHEN a THEN turn ELSE 0 END AS tokens_out,
+ CASE WHEN a THEN 0.25::DOUBLE ELSE 0::DOUBLE END AS cost, CASE WHEN a THEN concat('run ', turn) END AS cmd, CASE WHEN a THEN (turn % 2)::INT END AS exit_code, CASE WHEN a THEN {ref} END AS raw_ref FROM tr WHERE role IN ('user', 'assistant')"""
+_SNIPPETS = """sw AS (SELECT qid, id, string_split_regex(trim(coalesce(text, ''), ' '), '\\s+') AS words FROM top),
+su AS (SELECT qid, id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM sw),
+sh AS (SELECT DISTINCT su.qid, su.id, su.pos, q2.term FROM su JOIN q2 ON q2.qid = su.qid AND list_contains({words}, q2.term)),
+ss AS (SELECT qid, id, words, unnest(range(1, greatest(len(words) - 13, 1) + 1)) AS i FROM sw),
+sc AS (SELECT ss.qid, ss.id, ss.i, count(DISTINCT term) AS n FROM ss LEFT JOIN sh ON sh.qid = ss.qid AND sh.id = ss.id AND sh.pos BETWEEN ss.i AND ss.i + 13 GROUP BY ss.qid, ss.id, ss.i),
+sb AS (SELECT qid, id, i, row_number() OVER (PARTITION BY qid, id ORDER BY n DESC, i) AS k FROM sc)""".format(words=_WORDS.format("su.word"))
+
 SQL = {
+    "hit_snippets": _sql("SELECT qid, id, concat(CASE WHEN i > 1 THEN '...' ELSE '' END, array_to_string(words[i:i + 13], ' '), CASE WHEN i + 14 <= len(words) THEN '...' ELSE '' END) AS snippet FROM sb JOIN sw USING (qid, id) WHERE k = 1", _S, _SNIPPETS),
+    "call_chunks": _sql("SELECT id, call_index, tool, o AS \"offset\", o + length(substring(cmd, o + 1, 3)) AS \"end\", substring(cmd, o + 1, 3) AS part, length(cmd) <= 3 AS complete FROM (SELECT *, unnest(range(0, greatest(length(cmd), 1), 3)) AS o FROM bundles)", _BUNDLES),
+    "calls_summary": _sql("SELECT id, count(*) AS n_calls, sum(length(cmd))::BIGINT AS cmd_chars, max(strlen(tool)) AS max_tool_bytes, max(strlen(ref)) AS max_ref_bytes FROM bundles GROUP BY id", _BUNDLES),
+    "shown_texts": _sql("SELECT id, md5(shown) AS md5, length(shown) AS shown_len, length(text) AS total, length(shown) < length(text) AS cut FROM (SELECT id, coalesce(text, '') AS text, array_to_string(string_split(substring(coalesce(text, ''), 1, 400), chr(10))[1:4], chr(10)) AS shown FROM docs)"),
+    "relational_events": _sql("SELECT id, session_id, ts, role, md5(concat_ws(chr(10) || chr(10), nullif(substring(text, 1, length(text) // 2), ''), nullif(substring(text, length(text) // 2 + 1), ''))) AS md5, " + _RECORD.format(agent="'build'", ref="concat(id, '-2')") + " AND conv_id % 2 = 0", _RECORDS),
+    "line_events": _sql("SELECT concat('pi:u', conv_id, ':t', turn) AS id, concat('pi:u', conv_id) AS session_id, ts, role, md5(coalesce(text, '')) AS md5, " + _RECORD.format(agent="CAST(NULL AS VARCHAR)", ref="concat('pi:u', conv_id, ':r', turn)") + " AND conv_id % 2 = 1", _RECORDS),
+    "line_sessions": _sql("""SELECT concat('pi:u', conv_id) AS id, nullif(substring(split_part(trim(arg_min(text, turn) FILTER (role = 'user' AND trim(text, ' ') <> ''), ' '), chr(10), 1), 1, 60), '') AS title, concat('repo', conv_id % 20) AS repo, min(ts) AS ts_created, max(ts) AS ts_updated,
+ sum(CASE WHEN a THEN 0.25::DOUBLE ELSE 0::DOUBLE END) AS cost, sum(CASE WHEN a THEN length(text) ELSE 0 END)::BIGINT AS tokens_in, sum(CASE WHEN a THEN turn ELSE 0 END)::BIGINT AS tokens_out FROM tr WHERE conv_id % 2 = 1 GROUP BY conv_id""", _RECORDS),
     "bm25_search": _sql("SELECT qid, rank, top.id, round(score, 6) AS score, session_id, s.title AS session_title FROM top LEFT JOIN sessions s ON s.id = session_id", _S),
     "filtered_search": _sql("""SELECT qid, rank, id, score FROM (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), id) AS rank FROM hits JOIN docs USING (id)
  WHERE source = 'opencode' AND role = 'assistant' AND model ILIKE '%m%' AND ts >= 1767225600000 AND starts_with(lower(session_id), 's0000')) WHERE rank <= 10""", _S),
