@@ -15,8 +15,8 @@ from dialogmill.llm.suffix_dedup import remove_repeats
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; rows with a null id are judged too, rows that share an id each by its text."""
-    return keep_passing(docs)
+    """Documents that the quality rules keep, without common lines; rows with a null id are judged too, rows that share an id each by its text."""
+    return keep_passing(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

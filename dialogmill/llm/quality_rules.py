@@ -3,7 +3,7 @@
 Lines are normalised (A-Z lower-cased, white space runs as one space, outer spaces off) and hashed. A line counts
 once for each distinct text of a host that holds it, so exact copies of a document don't make its lines common. It
 is above the limit where more than max(min_texts, share * texts of the host) texts hold it. Lines above the limit
-are removed; a document that keeps less than depleted of its words is rejected. Base rules reject texts of fewer
+are removed, keep_passing gives the texts without them; a document that keeps less than depleted of its words is rejected. Base rules reject texts of fewer
 than 50 words and texts with more than half of their words in repeated 3-word windows.
 
 Rows: a null or empty text has no words and fails. A null host is a host of its own. Repeated rows count once as
@@ -82,28 +82,43 @@ def base_metrics(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
     ).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
 
 
-def common_line_words(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_texts: int, share: float) -> DataFrame:
-    """For each id with a line above its host's limit, the words in such lines."""
-    base = docs.select(F.col(id_col).alias("id__"), F.coalesce(F.col(host_col), F.lit("")).alias("host__"), F.coalesce(F.col(text_col), F.lit("")).alias("text__"))
-    base = base.withColumn("digest__", F.xxhash64("text__"))
+def _named(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """docs with id__, host__ and digest__, which name a row; text__ is never null."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.withColumns({"id__": F.col(id_col), "host__": F.coalesce(F.col(host_col), F.lit("")), "digest__": F.xxhash64(text), "text__": text})
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["id__"].eqNullSafe(b["id__"]) & (a["host__"] == b["host__"]) & (a["digest__"] == b["digest__"])
+
+
+def common_lines(named: DataFrame, min_texts: int, share: float) -> DataFrame:
+    """For each row of _named with a line above its host's limit: lines__, the places (at) and words (n) of such lines."""
+    base = named.select("id__", "host__", "digest__", "text__")
     limits = base.groupBy("host__").agg(F.countDistinct("digest__").alias("texts__")).select("host__", F.greatest(F.lit(float(min_texts)), F.lit(share) * F.col("texts__")).alias("limit__"))
-    lines = base.select("id__", "host__", "digest__", F.explode(F.split("text__", "\n")).alias("line__"))
+    lines = base.select("id__", "host__", "digest__", F.posexplode(F.split("text__", "\n")).alias("at__", "line__"))
     normal = F.trim(F.regexp_replace(F.translate("line__", UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
-    lines = lines.select("id__", "host__", "digest__", normal.alias("line__")).where("line__ <> ''").select("id__", "host__", "digest__", F.xxhash64("line__").alias("hash__"), (F.length("line__") - F.length(F.translate("line__", " ", "")) + 1).alias("n__"))
+    lines = lines.select("id__", "host__", "digest__", "at__", normal.alias("line__")).where("line__ <> ''").select("id__", "host__", "digest__", "at__", F.xxhash64("line__").alias("hash__"), (F.length("line__") - F.length(F.translate("line__", " ", "")) + 1).alias("n__"))
     # distinct texts of a line: pairs are aggregated before each of the two shuffles
     counted = lines.groupBy("host__", "hash__").agg(F.countDistinct("digest__").alias("held__")).where(F.col("held__") > min_texts)
     above = counted.join(limits, "host__").where("held__ > limit__").select("host__", "hash__")
-    return lines.join(above, ["host__", "hash__"]).groupBy("id__", "digest__").agg(F.sum("n__").alias("common__"))
+    found = F.collect_set(F.struct(F.col("at__").alias("at"), F.col("n__").alias("n")))
+    return lines.join(above, ["host__", "hash__"]).groupBy("id__", "host__", "digest__").agg(F.array_sort(found).alias("lines__"))
+
+
+def without_lines(text: Column, at: Column) -> Column:
+    """text without its lines at these places; array_except looks them up by hash, so long texts cost no more for each line."""
+    return let(F.split(text, "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), at), lambda i: F.get(x, i)), "\n"))
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_texts: int, share: float, depleted: float) -> DataFrame:
-    """id__ and digest__, which name a row by its id and text, base metrics, base_failed, n_common_words, kept."""
-    base = base_metrics(docs.withColumns({"id__": F.col(id_col), "digest__": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}), ["id__", "digest__"], text_col)
-    # a repeated id with an equal text takes the common words of all its rows
-    common = common_line_words(docs, id_col, text_col, host_col, min_texts, share)
-    joined = base.join(common, base["id__"].eqNullSafe(common["id__"]) & (base["digest__"] == common["digest__"]), "left").select(base["*"], F.coalesce("common__", F.lit(0)).alias("n_common_words"))
+    """id__, host__ and digest__, which name a row, base metrics, base_failed, lines__ (of common_lines), n_common_words, kept."""
+    named = _named(docs, id_col, text_col, host_col)
+    base, common = base_metrics(named, ["id__", "host__", "digest__"], text_col), common_lines(named, min_texts, share)
+    words_in = F.coalesce(F.aggregate("lines__", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]), F.lit(0).cast("bigint"))
+    joined = base.join(common, _same_row(base, common), "left").select(base["*"], "lines__", words_in.alias("n_common_words"))
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= F.lit(depleted) * F.col("n_words"))
-    return joined.withColumns({"kept": kept, "n_common_words": F.col("n_common_words").cast("bigint")})
+    return joined.withColumn("kept", kept)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
@@ -113,14 +128,17 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """docs without the rows that the rules reject, with the same columns.
+    """docs without the rows that the rules reject and without the lines above the limit in the others, with the same columns.
 
-    A row is named by its id and its text: rows with a null id are judged as well, and of rows that share an id
-    each goes or stays by its own text.
+    A row is named by its id, its host and its text: rows with a null id are judged as well, and of rows that share
+    an id each goes or stays by its own text.
     """
-    rejected = _judged(docs, id_col, text_col, host_col, min_texts, share, depleted).where("NOT kept").select("id__", "digest__").distinct()
-    own = docs.withColumn("own__", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return own.join(rejected, own[id_col].eqNullSafe(rejected["id__"]) & (own["own__"] == rejected["digest__"]), "left_anti").select(*docs.columns)
+    judged = _judged(docs, id_col, text_col, host_col, min_texts, share, depleted)
+    touched = judged.where("NOT kept OR lines__ IS NOT NULL").select("id__", "host__", "digest__", F.col("kept").alias("kept__"), "lines__").distinct()
+    own = _named(docs, id_col, text_col, host_col)
+    left = own.join(touched, _same_row(own, touched), "left").where("coalesce(kept__, true)")
+    text = F.when(F.col("lines__").isNull(), F.col(text_col)).otherwise(without_lines(F.col("text__"), F.col("lines__.at")))
+    return left.select(*(text.alias(c) if c == text_col else own[c] for c in docs.columns))
 
 
 def op5_quality_rules(spark, sf_dir):

@@ -199,3 +199,20 @@ def test_pipeline(spark):
     for r in cut.collect():
         assert r.n_chars == len(r.text) and len(r.text.encode()) <= sizes[r.doc_id][0] - sizes[r.doc_id][1]
     assert p.run(spark, SF).count() > 0
+
+
+def test_common_lines_leave_the_texts(spark):
+    import corpus_pipeline as p
+
+    body = lambda i: "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(20)) for j in range(4))
+    rows = [(i, f"Shared  FOOTER here\n{body(i)}\n\nshared footer\there ", None, "h", 0) for i in range(8)]
+    # equal texts of one id in a host where the line is rare, and rows without an id
+    rows += [(1, rows[1][1], None, "other", 0), (None, rows[2][1], None, "h", 0), (None, rows[2][1], None, "h", 0), (9, body(9), None, "h", 0)]
+    docs = spark.createDataFrame(rows, FIELDS)
+    cleaned = p.rules(spark, docs, SF)
+    want = sorted((i if i is not None else -1, h, (t if h == "other" or i == 9 else body(2 if i is None else i) + "\n")) for i, t, _, h, _ in rows)
+    found = cleaned.collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.source, r.text) for r in found) == want
+    assert all(r.n_chars == len(r.text) for r in found)
+    lost = {r.n_common_words for r in quality_rules.quality_rules(docs).where("doc_id between 2 and 7 or doc_id is null").collect()}
+    assert lost == {6}
