@@ -32,6 +32,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW_KEY = "row_key__"
+
+
+def row_keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs, and the column that names each of its rows: the id where it is set and unique throughout.
+
+    Otherwise docs are written once with numbers that ascend by id (nulls last), then by text digest; equal rows are
+    numbered apart, in any order.
+    """
+    if docs.groupBy(id_col).agg(F.count("*").alias("n__")).where(F.col(id_col).isNull() | (F.col("n__") > 1)).isEmpty():
+        return docs, id_col
+    placed = docs.withColumns({"digest__": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "place__": F.monotonically_increasing_id()})
+    order = [F.col(id_col).asc_nulls_last(), F.col("digest__"), F.col("place__")]
+    placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(ROW_KEY, F.monotonically_increasing_id())
+    return written(placed.select(*docs.columns, ROW_KEY), "row-keys"), ROW_KEY
+
+
 def bucket_of(id_col: str, buckets: int):
     """crc32 of the id's decimal text modulo buckets; a null id falls in bucket 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % buckets, F.lit(0))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialogmill.llm.bytescan import mix, pieces, word_hashes
-from dialogmill.llm.common import written
+from dialogmill.llm.common import row_keyed, written
 
 SAMPLES, BANDS, BAND_ROWS, SKETCH_BITS = 512, 32, 4, 1024
 _RNG = np.random.default_rng(7)
@@ -224,10 +224,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without all but the smallest id of each group of near-duplicates, with the same columns."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    drop = found.where(F.col("component_id") < F.col("id")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    """docs without all but the first row of each group of near-duplicates, by id with nulls last, with the same columns.
+
+    Each row goes or stays by its own text, also where the id is null or shared. Rows of one id and text stay together.
+    """
+    keyed, key = row_keyed(docs, id_col, text_col)
+    found = near_duplicates(keyed, key, text_col, **options)
+    drop = found.where(F.col("component_id") < F.col("id")).select(F.col("id").alias(key)).distinct()
+    if key != id_col:
+        drop = written(drop, "near-drop")
+        names = keyed.select(key, F.col(id_col).alias("id__"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest__"))
+        first = names.where("id__ IS NOT NULL").join(drop, key, "left_anti").select("id__", "digest__")
+        drop = names.join(drop, key, "left_semi").join(first, ["id__", "digest__"], "left_anti").select(key)
+    return keyed.join(drop, key, "left_anti").select(*docs.columns)
 
 
 def op8_near_dedup(spark, sf_dir):

@@ -18,8 +18,9 @@ first:
 Text is worked on in pieces of 1 MiB that overlap by 99 bytes, so memory doesn't grow with a document's length.
 
 Rows: a null or empty text has no bytes and no spans. Strings never cross documents. Of equal strings the one in
-the smallest id, then at the smallest start, stays. Rows that repeat an id must repeat its text, and all get the
-same spans. A row with null id is left whole and removes nothing elsewhere. Further columns are kept by remove_repeats.
+the smallest id (nulls last), then at the smallest start, stays. remove_repeats and op4 treat each row as a text of
+its own, also where ids are null or shared; equal ids are ordered by a digest of the text. repeated_spans itself
+wants unique ids. Further columns are kept by remove_repeats.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialogmill.llm.bytescan import PIECE, PrefixHash, mix, pieces, text_bytes
-from dialogmill.llm.common import table, written
+from dialogmill.llm.common import row_keyed, table, written
 
 DEPTH, BLOCK = 100, 32
 #: Different segments of one block in a map task from which on the block counts as hot.
@@ -394,9 +395,10 @@ def _cut_rows(batch: pa.RecordBatch, text_at: int, spans_at: int):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with repeated strings cut out of the text; a character that is cut through goes entirely."""
-    spans = repeated_spans(docs, id_col, text_col, **options)
+    keyed, key = row_keyed(docs, id_col, text_col)
+    spans = repeated_spans(keyed, key, text_col, **options)
     spans = spans.select(F.col("doc").alias("doc__"), F.col("spans").alias("spans__"))
-    joined = docs.join(spans, docs[id_col] == F.col("doc__"), "left").select(*(docs[c] for c in docs.columns), "spans__")
+    joined = keyed.join(spans, keyed[key] == F.col("doc__"), "left").select(*(keyed[c] for c in docs.columns), "spans__")
     columns, text_at, spans_at = docs.columns, docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
@@ -410,9 +412,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op4_suffix_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    whole = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("bigint").alias("doc"), "text", F.lit(None).cast("array<struct<low:int,n:int>>").alias("spans"))
-    joined = texts_of(docs, "doc_id", "text").join(repeated_spans(docs), "doc", "left").select("doc", "text", "spans").unionByName(whole)
+    docs, key = row_keyed(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    spans = repeated_spans(docs, key)
+    if key == "doc_id":
+        joined = texts_of(docs, key, "text").join(spans, "doc", "left").select("doc", "text", "spans")
+    else:
+        joined = docs.join(spans, docs[key] == spans["doc"], "left").select(F.col("doc_id").cast("bigint"), "text", "spans")
 
     def run(batches):
         for batch in batches:

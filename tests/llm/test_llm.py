@@ -216,3 +216,19 @@ def test_common_lines_leave_the_texts(spark):
     assert all(r.n_chars == len(r.text) for r in found)
     lost = {r.n_common_words for r in quality_rules.quality_rules(docs).where("doc_id between 2 and 7 or doc_id is null").collect()}
     assert lost == {6}
+
+
+def test_null_and_shared_ids_in_dedup(spark, tmp_path):
+    text = lambda n, size=60: " ".join(f"t{n}w{k}" for k in range(size))
+    rows = [(None, text(1)), (None, text(1)), (None, text(1).replace("t1w59", "other")), (1, text(2)), (3, text(2)), (3, text(3, 90)), (3, text(4, 40)), (4, text(5)), (None, text(5))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], FIELDS)
+    kept = near_dedup.keep_one(docs, size=5).collect()
+    assert sorted(((r.doc_id or 0), r.text[:3]) for r in kept) == [(0, "t1w"), (1, "t2w"), (3, "t3w"), (3, "t4w"), (4, "t5w")]
+    shared = text(6)
+    rows = [(2, text(7) + "@" + shared), (2, "short"), (2, text(8, 30)), (3, shared), (None, text(9) + "#" + shared), (None, text(9) + "#" + shared)]
+    want = sorted([(2, text(7) + "@" + shared), (2, "short"), (2, text(8, 30)), (3, ""), (0, text(9) + "#"), (0, "")])
+    spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], FIELDS).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted((r.doc_id or 0, r.text) for r in suffix_dedup.remove_repeats(docs).collect()) == want
+    found = entries.queries()["op4_suffix_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.kept_sha256) for r in found) == sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in want)
