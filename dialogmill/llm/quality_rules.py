@@ -2,7 +2,8 @@
 
 Lines are normalised (A-Z lower-cased, white space runs as one space, outer spaces off) and hashed. A line counts
 once for each distinct text of a host that holds it, so exact copies of a document don't make its lines common. It
-is above the limit where more than max(min_texts, share * texts of the host) texts hold it. Lines above the limit
+is above the limit where more than max(min_texts, share * texts of the host) texts hold it; with a ceiling (most),
+the limit doesn't grow beyond it with the host. keep_passing has the ceiling; op5 and its SQL are without it. Lines above the limit
 are removed, keep_passing gives the texts without them; a document that keeps less than depleted of its words is rejected. Base rules reject texts of fewer
 than 50 words and texts with more than half of their words in repeated 3-word windows.
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from dialogmill.llm.common import table
 
 MIN_TEXTS, SHARE, DEPLETED = 5, 0.1, 0.3
+#: The greatest limit of keep_passing, however large the host is.
+MOST = 30
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Repeated windows of a text up to which they are looked up one by one.
 FEW = 16
@@ -92,15 +95,17 @@ def _same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["id__"].eqNullSafe(b["id__"]) & (a["host__"] == b["host__"]) & (a["digest__"] == b["digest__"])
 
 
-def common_lines(named: DataFrame, min_texts: int, share: float) -> DataFrame:
+def common_lines(named: DataFrame, min_texts: int, share: float, most: int | None) -> DataFrame:
     """For each row of _named with a line above its host's limit: lines__, the places (at) and words (n) of such lines."""
     base = named.select("id__", "host__", "digest__", "text__")
-    limits = base.groupBy("host__").agg(F.countDistinct("digest__").alias("texts__")).select("host__", F.greatest(F.lit(float(min_texts)), F.lit(share) * F.col("texts__")).alias("limit__"))
+    limit = F.greatest(F.lit(float(min_texts)), F.lit(share) * F.col("texts__"))
+    limit = limit if most is None else F.least(limit, F.lit(float(most)))
+    limits = base.groupBy("host__").agg(F.countDistinct("digest__").alias("texts__")).select("host__", limit.alias("limit__"))
     lines = base.select("id__", "host__", "digest__", F.posexplode(F.split("text__", "\n")).alias("at__", "line__"))
     normal = F.trim(F.regexp_replace(F.translate("line__", UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
     lines = lines.select("id__", "host__", "digest__", "at__", normal.alias("line__")).where("line__ <> ''").select("id__", "host__", "digest__", "at__", F.xxhash64("line__").alias("hash__"), (F.length("line__") - F.length(F.translate("line__", " ", "")) + 1).alias("n__"))
     # distinct texts of a line: pairs are aggregated before each of the two shuffles
-    counted = lines.groupBy("host__", "hash__").agg(F.countDistinct("digest__").alias("held__")).where(F.col("held__") > min_texts)
+    counted = lines.groupBy("host__", "hash__").agg(F.countDistinct("digest__").alias("held__")).where(F.col("held__") > (min_texts if most is None else min(min_texts, most)))
     above = counted.join(limits, "host__").where("held__ > limit__").select("host__", "hash__")
     found = F.collect_set(F.struct(F.col("at__").alias("at"), F.col("n__").alias("n")))
     return lines.join(above, ["host__", "hash__"]).groupBy("id__", "host__", "digest__").agg(F.array_sort(found).alias("lines__"))
@@ -111,29 +116,29 @@ def without_lines(text: Column, at: Column) -> Column:
     return let(F.split(text, "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), at), lambda i: F.get(x, i)), "\n"))
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_texts: int, share: float, depleted: float) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_texts: int, share: float, depleted: float, most: int | None) -> DataFrame:
     """id__, host__ and digest__, which name a row, base metrics, base_failed, lines__ (of common_lines), n_common_words, kept."""
     named = _named(docs, id_col, text_col, host_col)
-    base, common = base_metrics(named, ["id__", "host__", "digest__"], text_col), common_lines(named, min_texts, share)
+    base, common = base_metrics(named, ["id__", "host__", "digest__"], text_col), common_lines(named, min_texts, share, most)
     words_in = F.coalesce(F.aggregate("lines__", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]), F.lit(0).cast("bigint"))
     joined = base.join(common, _same_row(base, common), "left").select(base["*"], "lines__", words_in.alias("n_common_words"))
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= F.lit(depleted) * F.col("n_words"))
     return joined.withColumn("kept", kept)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED, most: int | None = None) -> DataFrame:
     """id, base metrics, base_failed, n_common_words, kept for each row."""
-    judged = _judged(docs, id_col, text_col, host_col, min_texts, share, depleted)
+    judged = _judged(docs, id_col, text_col, host_col, min_texts, share, depleted, most)
     return judged.select(F.col("id__").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words")
 
 
-def keep_passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+def keep_passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED, most: int | None = MOST) -> DataFrame:
     """docs without the rows that the rules reject and without the lines above the limit in the others, with the same columns.
 
     A row is named by its id, its host and its text: rows with a null id are judged as well, and of rows that share
     an id each goes or stays by its own text.
     """
-    judged = _judged(docs, id_col, text_col, host_col, min_texts, share, depleted)
+    judged = _judged(docs, id_col, text_col, host_col, min_texts, share, depleted, most)
     touched = judged.where("NOT kept OR lines__ IS NOT NULL").select("id__", "host__", "digest__", F.col("kept").alias("kept__"), "lines__").distinct()
     own = _named(docs, id_col, text_col, host_col)
     left = own.join(touched, _same_row(own, touched), "left").where("coalesce(kept__, true)")

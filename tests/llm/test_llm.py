@@ -232,3 +232,12 @@ def test_null_and_shared_ids_in_dedup(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.text) for r in suffix_dedup.remove_repeats(docs).collect()) == want
     found = entries.queries()["op4_suffix_dedup"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.kept_sha256) for r in found) == sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in want)
+
+
+def test_common_lines_of_a_hot_host(spark):
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    hot = [(i, body(i) + "\nfooter of many" * (i < 35) + "\nline of few" * (i < 30), None, "hot", 0) for i in range(400)]
+    small = [(1000 + i, body(1000 + i) + "\nfooter of many" * (i < 6), None, "small", 0) for i in range(50)]
+    kept = quality_rules.keep_passing(spark.createDataFrame(hot + small, FIELDS)).collect()
+    assert len(kept) == 450 and not any("footer of many" in r.text for r in kept)
+    assert sum("line of few" in r.text for r in kept) == 30
