@@ -1,15 +1,21 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Lines are normalised (A-Z lower-cased, white space runs as one space, outer spaces off) and hashed. A line counts
-once for each distinct text of a host that holds it, so exact copies of a document don't make its lines common. It
-is above the limit where more than max(min_texts, share * texts of the host) texts hold it; with a ceiling (most),
-the limit doesn't grow beyond it with the host. keep_passing has the ceiling; op5 and its SQL are without it. Lines above the limit
-are removed, keep_passing gives the texts without them; a document that keeps less than depleted of its words is rejected. Base rules reject texts of fewer
-than 50 words and texts with more than half of their words in repeated 3-word windows.
-
-Rows: a null or empty text has no words and fails. A null host is a host of its own. Repeated rows count once as
-texts, and each is judged. A line without a word is never counted. Very long texts only make longer arrays within
-their row. An empty table gives an empty result. Further columns are not read.
+Lines are normalised (A-Z lower-cased, white space runs as one space, outer spaces off) and hashed. A line is above
+the limit where more than max(min_count, share * documents of the host) distinct documents of the host hold it; with
+a ceiling (most), the limit doesn't grow beyond it with the host. Lines above the limit are removed, keep_passing
+gives the texts without them; a document that keeps less than depleted of its words is rejected. Base rules reject
+texts of fewer than 50 words and texts with more than half of their words in repeated 3-word windows.
+
+A document is an id (count="documents", which op5 and its SQL take); rows without an id are told apart by their text.
+With count="texts", which keep_passing takes, exact copies of a text are one document: the pipeline removes copies
+later, and counting them here would reject all of a large group of copies, the one to keep included.
+
+Rows: a null or empty text has no words and fails. A null host is a host of its own. Repeated rows count once, and
+each is judged by its own text. A line without a word is never counted. Very long texts only make longer arrays
+within their row. An empty table gives an empty result. Further columns are not read, or kept by keep_passing.
+
+Scale: counts are aggregated before each shuffle, so a line, text or host of a third of all rows costs a row for each
+task. Rows of a line above the limit meet it in a join that is broadcast, or else dealt out by LINE_SALT further keys.
 """
 
 from __future__ import annotations
@@ -19,12 +25,14 @@ from pyspark.sql import functions as F
 
 from dialogmill.llm.common import table
 
-MIN_TEXTS, SHARE, DEPLETED = 5, 0.1, 0.3
+MIN_COUNT, SHARE, DEPLETED = 5, 0.1, 0.3
 #: The greatest limit of keep_passing, however large the host is.
 MOST = 30
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Repeated windows of a text up to which they are looked up one by one.
 FEW = 16
+#: Keys over which the rows of one common line are dealt out.
+LINE_SALT = 8
 
 
 def words(text: Column) -> Column:
@@ -64,10 +72,6 @@ def repeat_words(found: Column) -> Column:
     return F.when(n < 3, 0).otherwise(let(grams, count)).cast("bigint")
 
 
-def line_words(line: Column) -> Column:
-    return F.size(words(line))
-
-
 def base_metrics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -95,20 +99,28 @@ def _same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["id__"].eqNullSafe(b["id__"]) & (a["host__"] == b["host__"]) & (a["digest__"] == b["digest__"])
 
 
-def common_lines(named: DataFrame, min_texts: int, share: float, most: int | None) -> DataFrame:
+def _document(count: str) -> Column:
+    """What counts as one document of a host."""
+    if count == "texts":
+        return F.col("digest__")
+    return F.struct(F.col("id__"), F.when(F.col("id__").isNull(), F.col("digest__")).alias("own"))
+
+
+def common_lines(named: DataFrame, min_count: int, share: float, most: int | None, count: str) -> DataFrame:
     """For each row of _named with a line above its host's limit: lines__, the places (at) and words (n) of such lines."""
     base = named.select("id__", "host__", "digest__", "text__")
-    limit = F.greatest(F.lit(float(min_texts)), F.lit(share) * F.col("texts__"))
+    limit = F.greatest(F.lit(float(min_count)), F.lit(share) * F.col("documents__"))
     limit = limit if most is None else F.least(limit, F.lit(float(most)))
-    limits = base.groupBy("host__").agg(F.countDistinct("digest__").alias("texts__")).select("host__", limit.alias("limit__"))
+    limits = base.groupBy("host__").agg(F.countDistinct(_document(count)).alias("documents__")).select("host__", limit.alias("limit__"))
     lines = base.select("id__", "host__", "digest__", F.posexplode(F.split("text__", "\n")).alias("at__", "line__"))
     normal = F.trim(F.regexp_replace(F.translate("line__", UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
     lines = lines.select("id__", "host__", "digest__", "at__", normal.alias("line__")).where("line__ <> ''").select("id__", "host__", "digest__", "at__", F.xxhash64("line__").alias("hash__"), (F.length("line__") - F.length(F.translate("line__", " ", "")) + 1).alias("n__"))
-    # distinct texts of a line: pairs are aggregated before each of the two shuffles
-    counted = lines.groupBy("host__", "hash__").agg(F.countDistinct("digest__").alias("held__")).where(F.col("held__") > (min_texts if most is None else min(min_texts, most)))
-    above = counted.join(limits, "host__").where("held__ > limit__").select("host__", "hash__")
+    # distinct documents of a line: pairs are aggregated before each of the two shuffles
+    counted = lines.groupBy("host__", "hash__").agg(F.countDistinct(_document(count)).alias("held__")).where(F.col("held__") > (min_count if most is None else min(min_count, most)))
+    above = counted.join(limits, "host__").where("held__ > limit__").select("host__", "hash__", F.explode(F.sequence(F.lit(0), F.lit(LINE_SALT - 1))).alias("salt__"))
     found = F.collect_set(F.struct(F.col("at__").alias("at"), F.col("n__").alias("n")))
-    return lines.join(above, ["host__", "hash__"]).groupBy("id__", "host__", "digest__").agg(F.array_sort(found).alias("lines__"))
+    salted = lines.withColumn("salt__", F.pmod(F.xxhash64("id__", "digest__"), F.lit(LINE_SALT)).cast("int"))
+    return salted.join(above, ["host__", "hash__", "salt__"]).groupBy("id__", "host__", "digest__").agg(F.array_sort(found).alias("lines__"))
 
 
 def without_lines(text: Column, at: Column) -> Column:
@@ -116,29 +128,29 @@ def without_lines(text: Column, at: Column) -> Column:
     return let(F.split(text, "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), at), lambda i: F.get(x, i)), "\n"))
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_texts: int, share: float, depleted: float, most: int | None) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_count: int, share: float, depleted: float, most: int | None, count: str) -> DataFrame:
     """id__, host__ and digest__, which name a row, base metrics, base_failed, lines__ (of common_lines), n_common_words, kept."""
     named = _named(docs, id_col, text_col, host_col)
-    base, common = base_metrics(named, ["id__", "host__", "digest__"], text_col), common_lines(named, min_texts, share, most)
+    base, common = base_metrics(named, ["id__", "host__", "digest__"], text_col), common_lines(named, min_count, share, most, count)
     words_in = F.coalesce(F.aggregate("lines__", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]), F.lit(0).cast("bigint"))
     joined = base.join(common, _same_row(base, common), "left").select(base["*"], "lines__", words_in.alias("n_common_words"))
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= F.lit(depleted) * F.col("n_words"))
     return joined.withColumn("kept", kept)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED, most: int | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_count: int = MIN_COUNT, share: float = SHARE, depleted: float = DEPLETED, most: int | None = None, count: str = "documents") -> DataFrame:
     """id, base metrics, base_failed, n_common_words, kept for each row."""
-    judged = _judged(docs, id_col, text_col, host_col, min_texts, share, depleted, most)
+    judged = _judged(docs, id_col, text_col, host_col, min_count, share, depleted, most, count)
     return judged.select(F.col("id__").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words")
 
 
-def keep_passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED, most: int | None = MOST) -> DataFrame:
+def keep_passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_count: int = MIN_COUNT, share: float = SHARE, depleted: float = DEPLETED, most: int | None = MOST, count: str = "texts") -> DataFrame:
     """docs without the rows that the rules reject and without the lines above the limit in the others, with the same columns.
 
     A row is named by its id, its host and its text: rows with a null id are judged as well, and of rows that share
     an id each goes or stays by its own text.
     """
-    judged = _judged(docs, id_col, text_col, host_col, min_texts, share, depleted, most)
+    judged = _judged(docs, id_col, text_col, host_col, min_count, share, depleted, most, count)
     touched = judged.where("NOT kept OR lines__ IS NOT NULL").select("id__", "host__", "digest__", F.col("kept").alias("kept__"), "lines__").distinct()
     own = _named(docs, id_col, text_col, host_col)
     left = own.join(touched, _same_row(own, touched), "left").where("coalesce(kept__, true)")
@@ -150,24 +162,26 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+#: A row has a key of its own (k), so repeated rows are judged each; documents are counted by id, without one by text.
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
-g2 AS (SELECT doc_id, i, concat_ws(' ', words[i], words[i + 1], words[i + 2]) AS gram FROM g),
-g3 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g2),
-r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g3 WHERE n > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, host, text, trim(regexp_replace(translate(unnest(string_split(text, chr(10))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM d),
-t AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
-c AS (SELECT host, line, count(DISTINCT text) AS held FROM l WHERE line <> '' GROUP BY host, line),
-a AS (SELECT c.host, c.line FROM c JOIN t ON c.host = t.host WHERE c.held > greatest(5, 0.1 * t.texts)),
-x AS (SELECT l.doc_id, sum(length(l.line) - length(replace(l.line, ' ', '')) + 1) AS common FROM l JOIN a ON l.host = a.host AND l.line = a.line GROUP BY l.doc_id),
+g AS (SELECT k, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
+g2 AS (SELECT k, i, concat_ws(' ', words[i], words[i + 1], words[i + 2]) AS gram FROM g),
+g3 AS (SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS n FROM g2),
+r AS (SELECT k, count(DISTINCT j) AS n_repeat_words FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM g3 WHERE n > 1) GROUP BY k),
+o AS (SELECT k, host, text, CASE WHEN doc_id IS NULL THEN 'text ' || text ELSE 'id ' || doc_id END AS document FROM d),
+l AS (SELECT k, host, document, trim(regexp_replace(translate(unnest(string_split(text, chr(10))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM o),
+t AS (SELECT host, count(DISTINCT document) AS documents FROM o GROUP BY host),
+c AS (SELECT host, line, count(DISTINCT document) AS held FROM l WHERE line <> '' GROUP BY host, line),
+a AS (SELECT c.host, c.line FROM c JOIN t ON c.host = t.host WHERE c.held > greatest(5, 0.1 * t.documents)),
+x AS (SELECT l.k, sum(length(l.line) - length(replace(l.line, ' ', '')) + 1) AS common FROM l JOIN a ON l.host = a.host AND l.line = a.line GROUP BY l.k),
 m AS (SELECT w.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda v: length(v))), 0) AS word_chars,
              length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
              len(lines) - len(list_distinct(lines)) AS n_dup_lines,
              coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(common, 0) AS n_common_words
-      FROM w LEFT JOIN r ON w.doc_id = r.doc_id LEFT JOIN x ON w.doc_id = x.doc_id),
+      FROM w LEFT JOIN r ON w.k = r.k LEFT JOIN x ON w.k = x.k),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND n_words - n_common_words >= 0.3 * n_words AS kept, n_common_words::BIGINT AS n_common_words
