@@ -2,33 +2,40 @@
 
 A text's paragraphs are its lines, cut further after sentence ends, without outer spaces; each distinct one counts
 once, as a digest of 48 bits and a 16-bit check. A sketch has three tables of eight cells. A digest goes to one
-cell of each table, and a cell is the XOR of its digests; the check tells a cell with a single digest, so no count
-is kept. Cells subtract between two texts; peeling cells that hold a single digest then recovers the digests in
-which the texts differ, and the digests' owner tells the side. Where peeling stops early,
-the digests are dealt out by further bits to 8 sketches, then to 64, then to 4,096 (98,304 cells). What is left
-even then (of more than about 50,000 differing digests) is compared directly.
+cell of each table, and a cell is the XOR of its digests; the check and the digest's place tell a cell with a single
+digest, so no count is kept. Cells subtract between two texts; peeling cells that hold a single digest then recovers
+the digests in which the texts differ, and the digests' owner tells the side. Where peeling stops early, a larger
+sketch is taken: the digests of what failed are dealt out by further bits to 8 sketches, then to 64, then to 4,096
+(98,304 cells). What is left even then is compared directly.
+
+The fingerprint of a text is its sketch, as text, in the first size of each group at which its own digests peel out.
+Digests keep their cells in all sizes, so smaller sketches are XORs of it, and larger ones follow from the digests
+that peel out of it: the likeness of two texts is a function of their two fingerprints alone.
 
 Likeness is the share of common digests: |A and B| / |A or B|, and 1 for two texts without any.
 
-Rows: a null text counts as empty and has the empty sketch. Equal texts have equal fingerprints. Very long texts
-only make longer arrays within their row. An empty table gives an empty result. Further columns are kept.
+Rows: a null text counts as empty and has the empty sketch. Equal texts have equal fingerprints. Ids may be null,
+negative, wide or repeated: the order is by id, descending, nulls last, then by the text's hash. Very long texts only
+make longer arrays within their row. An empty table gives an empty result. Further columns are kept.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dialogmill.llm.common import table, written
+from dialogmill.llm.common import table
 
 TABLES, CELLS, TURNS = 3, 8, 6
 #: Sketches that a retry deals the digests of one to.
 WIDER = (8, 8, 64)
-#: Ids of one bin at most, on average; bins are the units in which texts are put next to one another.
-BIN_ROWS = 1024
-#: Bins up to which their table is broadcast: 16 bytes each.
-BROADCAST_BINS = 1_000_000
+#: Rows of a range on average, in which texts are put next to one another, and the most ranges there are.
+RANGE_ROWS, MAX_RANGES = 1024, 8192
+#: Rows whose keys are looked at to choose the ranges, for each range. They only set the ranges' sizes.
+LOOKED_AT = 16
 
 
 # The sketches are SQL expressions as text: built once, they nest to any depth without a call for each node. `d` is
@@ -53,8 +60,12 @@ def place(digest: str, table_no: int) -> str:
 
 def group(digest: str, d: int) -> str:
     """The group of a retry: further bits from the top for each."""
-    used = sum(w.bit_length() - 1 for w in WIDER[: d + 1])
-    return f"(shiftrightunsigned({digest}, {64 - used}) & {WIDER[d] - 1}L)"
+    return f"(shiftrightunsigned({digest}, {64 - used(d + 1)}) & {WIDER[d] - 1}L)"
+
+
+def used(d: int) -> int:
+    """Bits that the first d retries deal by."""
+    return sum(w.bit_length() - 1 for w in WIDER[:d])
 
 
 def sketch(digests: str) -> str:
@@ -69,11 +80,33 @@ def subtract(a: str, b: str) -> str:
 
 
 def peel(cells: str) -> str:
-    """struct(cells left, found): in each turn the digests that stand alone in a cell are taken out of all tables."""
-    pure = "array_distinct(filter(s.cells, x -> x <> 0L AND (x & 65535L) = (xxhash64(shiftrightunsigned(x, 16)) & 65535L)))"
+    """struct(cells left, found): in each turn the digests that stand alone in a cell are taken out of all tables.
+
+    A cell holds one digest if its check is right and this is the digest's place; one that was taken out twice is none.
+    """
+    here = f"(shiftrightunsigned(x, 16 + 3 * cast(i div {CELLS} AS int)) & {CELLS - 1}L) = i % {CELLS}"
+    pure = f"array_distinct(filter(s.cells, (x, i) -> x <> 0L AND (x & 65535L) = (xxhash64(shiftrightunsigned(x, 16)) & 65535L) AND {here}))"
     turn = let("p", pure, f"IF(size(p) = 0, s, named_struct('cells', {subtract('s.cells', sketch('p'))}, 'found', concat(s.found, p)))")
     start = f"named_struct('cells', {cells}, 'found', cast(array() AS array<bigint>))"
-    return f"aggregate(sequence(1, {TURNS}), {start}, (s, t) -> {turn})"
+    once = let("f", "array_distinct(z.found)", "IF(size(f) = size(z.found), f, filter(f, y -> size(filter(z.found, x -> x = y)) % 2 = 1))")
+    return let("z", f"aggregate(sequence(1, {TURNS}), {start}, (s, t) -> {turn})", f"named_struct('cells', z.cells, 'found', {once})")
+
+
+def published(digests: str, d: int = 0) -> str:
+    """The sketch of digests as text, in sizes at which they peel out of it.
+
+    A sketch lists its cells that aren't empty, by table and place. One that doesn't peel, or has more digests than
+    cells, is a list of the sketches of its groups in brackets; beyond the last size the digests themselves are listed.
+    """
+    if d > len(WIDER):
+        return f"concat('all ', array_join(transform(array_sort({digests}), x -> hex(x)), ','))"
+    shown = f"array_join(filter(transform(k{d}, (x, i) -> IF(x = 0L, NULL, concat(i, '=', hex(x)))), x -> x IS NOT NULL), ',')"
+    whole = f"forall({let('q', peel(f'k{d}'), 'q.cells')}, x -> x = 0L)"
+    if d == len(WIDER):
+        return let(f"k{d}", sketch(digests), f"IF({whole}, {shown}, {published(digests, d + 1)})")
+    groups = f"concat('[', array_join(transform(sequence(0L, {WIDER[d] - 1}L), g -> {let(f'n{d}', f'filter({digests}, x -> {group("x", d)} = g)', published(f'n{d}', d + 1))}), ';'), ']')"
+    flat = f"IF(size({digests}) > {TABLES * CELLS}, NULL, {let(f'k{d}', sketch(digests), f'IF({whole}, {shown}, NULL)')})"
+    return f"coalesce({flat}, {groups})"
 
 
 def differing(a: str, b: str, d: int = 0, sketches: tuple[str, str] | None = None) -> str:
@@ -99,36 +132,50 @@ def likeness(a: str, b: str, difference: str) -> str:
     return f"IF(size({a}) + size({b}) = 0, 1D, (size({a}) - size({difference}.a)) / cast(size({b}) + size({difference}.a) AS double))"
 
 
-def printed(cells: str, digests: str) -> str:
-    """A sketch as text: the number of digests, then each cell in hexadecimal."""
-    return f"concat_ws(':', size({digests}), array_join(transform({cells}, c -> hex(c)), ':'))"
+def _ranges(docs: DataFrame, key: Column) -> list[dict]:
+    """Keys of rows of docs at which ranges begin, in descending order; the first is the largest of all."""
+    highest, n = docs.agg(F.max(key), F.count("*")).first()
+    if not n:
+        return []
+    ranges = min(MAX_RANGES, max(1, n // RANGE_ROWS))
+    looked = docs.sample(min(1.0, LOOKED_AT * ranges / n), seed=1).select(key.alias("k")).distinct().collect() if ranges > 1 else []
+    order = lambda k: (k["i"] is not None, k["i"] or 0, k["h"])
+    found = sorted((r["k"] for r in looked), key=order, reverse=True)
+    starts = [found[i * len(found) // ranges] for i in range(1, ranges)] if found else []
+    out = [highest]
+    for k in starts:
+        if order(k) < order(out[-1]):
+            out.append(k)
+    return [{"i": k["i"], "h": k["h"]} for k in out]
 
 
 def with_next(docs: DataFrame, id_col: str, col: str, out: str) -> DataFrame:
-    """docs with col of the row that follows in descending order of the id (ties: of col), after the last the first.
+    """docs with col of the row that follows in descending order of the id (ties: of the hash of col), after the last the first.
 
-    Ids are dealt into bins of equal width; a bin's last row finds its follower as a copy of the next bin's first
-    row, so texts are shuffled once and no task sees more than some bins.
+    Rows are dealt into ranges of their keys (id and hash) that begin at rows of a small sample, so ranges are even
+    whatever the ids are; ids that many rows share are split by their texts. A range's first row is sent to the range
+    before as well, where it follows the last. Texts are shuffled once. A range is sorted with spilling, so it needn't
+    fit in memory. Only rows equal in id and text are never split.
     """
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(BIN_ROWS, -(-(high - low + 1) * BIN_ROWS // max(n, 1)))
-    placed = docs.withColumn("bin__", F.floor((F.coalesce(F.col(id_col), F.lit(low)) - F.lit(low)) / F.lit(width)).cast("bigint") if width < 2**52 else F.lit(0).cast("bigint"))
-    tops = placed.groupBy("bin__").agg(F.max(id_col).alias("top__"))
-    # the next higher bin, within blocks of bins first, so that only one row for each million ids meets in a task
-    block = F.floor(F.col("bin__") / 1024)
-    inside = tops.withColumn("block__", block).withColumn("goes__", F.lead("bin__").over(W.partitionBy("block__").orderBy("bin__")))
-    blocks = tops.groupBy(block.alias("block__")).agg(F.min("bin__").alias("first__"))
-    blocks = blocks.withColumn("over__", F.lead("first__").over(W.orderBy("block__")))
-    # the first row of the highest bin follows the last row of the lowest, which is bin 0
-    goes = inside.join(blocks, "block__").select(F.col("top__"), F.col("bin__").alias("from__"), F.coalesce("goes__", "over__", F.lit(0).cast("bigint")).alias("goes__"))
-    goes = written(goes, "fingerprint-bins")
-    if (high - low) // width < BROADCAST_BINS:
-        goes = F.broadcast(goes)
-    marked = placed.join(goes, (placed[id_col].eqNullSafe(goes["top__"])) & (placed["bin__"] == goes["from__"]), "left")
-    spread = marked.withColumn("at__", F.explode(F.when(F.col("goes__").isNull(), F.array(F.struct(F.col("bin__").alias("bin"), F.lit(True).alias("own")))).otherwise(F.array(F.struct(F.col("bin__").alias("bin"), F.lit(True).alias("own")), F.struct(F.col("goes__").alias("bin"), F.lit(False).alias("own"))))))
-    spread = spread.select(*docs.columns, F.col("at__.bin").alias("bin__"), F.col("at__.own").alias("own__"))
-    order = W.partitionBy("bin__").orderBy(F.col("own__").desc(), F.col(id_col).desc_nulls_last(), F.col(col))
+    key = F.struct(F.col(id_col).alias("i"), F.xxhash64(col).alias("h"))
+    starts = _ranges(docs, key)
+    if not starts:
+        return docs.withColumn(out, F.col(col))
+    kind = docs.select(key.alias("k")).schema["k"].dataType.simpleString()
+    bounds = f"from_json('{json.dumps(starts)}', 'array<{kind}>')"
+    keyed = docs.withColumn("key__", key)
+    # the last start that isn't below the key, by halving: bounds[at] >= key holds throughout
+    steps = max(1, len(starts).bit_length())
+    sizes = "array(" + ", ".join(str(2**i) for i in reversed(range(steps))) + ")"
+    at = f"aggregate({sizes}, 0, (at, s) -> IF(at + s < {len(starts)} AND get({bounds}, at + s) >= key__, at + s, at))"
+    placed = keyed.withColumn("range__", F.expr(at))
+    first = F.expr(f"get({bounds}, range__) = key__")
+    before = (F.col("range__") + len(starts) - 1) % len(starts)
+    own = F.struct(F.col("range__").alias("range"), F.lit(True).alias("own"))
+    copied = F.struct(before.cast("int").alias("range"), F.lit(False).alias("own"))
+    spread = placed.withColumn("to__", F.explode(F.when(first, F.array(own, copied)).otherwise(F.array(own))))
+    spread = spread.select(*docs.columns, "key__", F.col("to__.range").alias("range__"), F.col("to__.own").alias("own__"))
+    order = W.partitionBy("range__").orderBy(F.col("own__").desc(), F.col("key__").desc(), F.col(col))
     return spread.withColumn(out, F.lead(col).over(order)).where("own__").select(*docs.columns, out)
 
 
@@ -149,6 +196,6 @@ def op1_fingerprints(spark, sf_dir):
     cells = digests.withColumns({f"c{x}": F.expr(sketch(x)) for x in "pqr"})
     found = cells.withColumns({f"d{x}": F.expr(differing("p", x, 0, ("cp", f"c{x}"))) for x in "qr"})
     return found.selectExpr(
-        "doc_id", "n_chars", "edited_sha256", f"{printed('cp', 'p')} AS fingerprint", f"{printed('cq', 'q')} AS edited_fingerprint",
+        "doc_id", "n_chars", "edited_sha256", f"{published('p')} AS fingerprint", f"{published('q')} AS edited_fingerprint",
         f"{likeness('p', 'q', 'dq')} AS near_edited", f"{likeness('p', 'r', 'dr')} AS near_next", "dq.retries AS retries_edited", "dr.retries AS retries_next",
     )
