@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from dialogmill.llm import entries, fingerprints, quality_rules
+from dialogmill.llm import entries, fingerprints, license_scan, near_dedup, quality_rules
 from tests.llm import brute
 
 FIELDS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -155,3 +155,66 @@ def test_likeness_is_that_of_the_printed_fingerprints(spark):
     for r in rows[:50]:
         follows = after.get(r.doc_id - 1, after[max(after)])
         assert r.near_next == pytest.approx(brute.jaccard(peeled(r.fingerprint), peeled(follows.fingerprint)))
+
+
+def test_licenses_of_odd_rows(spark, odd_dir, empty_dir):
+    assert same_as_sql(spark, "op6_license_scan", odd_dir, "documents") == len(odd_documents())
+    assert same_as_sql(spark, "op6_license_scan", empty_dir, "documents") == 0
+    rows = [(1, "x\nThis file is in the public domain.", None, None, None), *2 * [(2, "This file is in the PUBLIC domain\ny", None, None, None)], (2, "other", None, None, None), (None, "this file is in the public domain", None, None, None)]
+    known = spark.createDataFrame([("own", "This file is in the public domain."), ("none", " -- ")], "license_id string, text string")
+    found = license_scan.licensed(spark.createDataFrame(rows, FIELDS), license_scan.known_digests(spark, known, [])).collect()
+    assert sorted((str(r.doc_id), r.license_id, r.n_license_lines, r.line_licenses) for r in found if r.n_license_lines) == [("1", None, 1, "own"), ("2", None, 1, "own"), ("2", None, 1, "own"), ("None", "own", 1, "own")]
+    assert len(found) == 5
+    whole = [("BSD-3-Clause", "Copyright (c) 2001 Us\nAll rights reserved.\n\n" + license_scan._BSD_3.upper()), ("MIT", license_scan._MIT.replace(", free of", " --  free\tof"))]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, (_, t) in enumerate(whole)], FIELDS)
+    assert sorted((r.doc_id, r.license_id) for r in license_scan.licensed(df, license_scan.known_digests(spark)).collect()) == [(i, x) for i, (x, _) in enumerate(whole)]
+
+
+def components_by_row(rows, size=4):
+    """For each row of (id, text), in order of its id and hash, nulls last: (id, n_shingles, component's id)."""
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, key_of(0, r[1] or "")[2]))
+    found = brute.components([(k, t) for k, (_, t) in enumerate(order)], size)
+    return sorted(str((order[k][0], n, order[c][0])) for k, (n, c) in found.items())
+
+
+def test_near_duplicates_of_odd_rows(spark, odd_dir, empty_dir):
+    found = entries.queries()["op8_near_dedup"](spark, odd_dir).collect()
+    want = components_by_row([(i, t) for i, t, *_ in odd_documents()])
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in found) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found if r.doc_id is not None)
+    assert entries.queries()["op8_near_dedup"](spark, empty_dir).count() == 0
+
+
+def template_texts(n, own=90, seed=5):
+    """Texts of 300 words that share a template: similarity of about 0.6 without own copies, and no links but the pairs."""
+    common = [f"c{k}" for k in range(300)]
+    out = []
+    for i in range(n):
+        # an own block of words, and of each tenth text a copy with two words changed
+        text = common[:105] + [f"o{i}x{k}" for k in range(own)] + common[105:210]
+        out.append((2 * i, " ".join(text)))
+        if i % 10 == 0:
+            out.append((2 * i + 1, " ".join(text[:150] + ["new"] + text[151:])))
+    return out
+
+
+def test_templates_make_no_pairs(spark, monkeypatch):
+    rows = template_texts(300)
+    joined = []
+    plain = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: joined.append((name, plain(df, name))) or joined[-1][1])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.grouped(docs).collect()}
+    assert found == brute.components(rows)
+    assert sum(n == "near-rare" for n, _ in joined) == 1
+    assert sum(df.count() for n, df in joined if n == "near-rest") <= 40
+    exact = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.grouped(docs, exact=True).collect()}
+    assert exact == found
+
+
+def test_near_duplicates_of_more_documents(spark):
+    path = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute.components(rows)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in entries.queries()["op8_near_dedup"](spark, path).collect()}
+    assert found == want
