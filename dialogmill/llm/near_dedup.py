@@ -7,14 +7,21 @@ on the full shingle sets.
 
 * Documents with equal sets form one class; only a class's smallest id goes on, so copies are never paired.
 * Round by round, each representative is compared with one band leader of another component, the one with which
-  it shares most bands; confirmed links are merged into components. What is still apart in some band after that
-  is compared pair by pair across components, behind the sketch.
+  it shares most bands; confirmed links are merged into components.
+* What is still apart in some band after that is compared across components, behind the sketch. Where few members of
+  a band are outside its largest component, these meet all members, in blocks. A band with more of them (texts of a
+  common template, too unlike for a link) would make pairs by the square; its documents are compared by rare shingles
+  instead: two sets of a similarity of 0.8 share one of the rarest 20 % of each, so shingles that only one of these
+  documents has, as the own parts of templated texts are, make no pair. That is exact for any number of documents.
 * A pair at exactly 0.8 is in no common band with a chance of (1 - 0.8**4)**32, about 5e-8, and fails the screen,
-  4.2 standard errors below, with one of about 1e-5; above 0.8 both fall off steeply.
-
-Rows: a null or empty text, or one of spaces only, has no shingles and is linked with nothing. Rows that repeat an
-id must repeat its text and stay as they are. A row with null id takes the component of an equal set, else null; as a link's end it is left out. An empty
-table gives an empty result. Further columns of the input are not read.
+  4.2 standard errors below, with one of about 1e-5; above 0.8 both fall off steeply. exact=True compares all
+  representatives by rare shingles without the screen, and misses no link.
+
+Rows: a null or empty text, or one of spaces only, has no shingles and is linked with nothing. Where ids are null or
+shared, each row goes by its own text: rows are numbered by id, nulls last, and a component has the id of its first
+row. A row with null id takes the component of the rows that it is linked with, else null. keep_one keeps one row of
+each group, also of repeated rows. near_duplicates itself wants unique ids that are not null. An empty table gives an
+empty result. Further columns of the input are not read, or kept by keep_one.
 """
 
 from __future__ import annotations
@@ -28,6 +35,12 @@ from dialogmill.llm.bytescan import mix, pieces, word_hashes
 from dialogmill.llm.common import row_keyed, written
 
 SAMPLES, BANDS, BAND_ROWS, SKETCH_BITS = 512, 32, 4, 1024
+#: Members of a band outside its largest component up to which they are compared with all of its members.
+OUTSIDE = 64
+#: Members of a band or documents of a shingle that meet in one task.
+BLOCK_ROWS = 1000
+#: Keys over which the members of one class are dealt out.
+SALT = 8
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -153,18 +166,33 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80, star_rounds: int = 3, slack: float = 0.085) -> DataFrame:
+def shared_rare(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, id) for the shingles among the rarest of a set that another set has too; sets: (id, hashes).
+
+    Sets of a similarity of at least percent share one of these, whatever order ties have: of n shingles the rarest
+    n - ceil(n * percent / 100) + 1 count. Only shingles that two sets have are shuffled a second time.
+    """
+    rows = sets.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle"))
+    held = rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(held, ["shingle", "salt"])
+    by_id = met.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("common"))
+    room = F.expr(f"n - cast(ceil(n * {percent} / 100) AS int) + 1 - (n - size(common))")
+    return by_id.select("id", F.explode(F.slice("common", F.lit(1), F.greatest(room, F.lit(0)))).alias("x")).select("id", "x.shingle")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80, star_rounds: int = 3, slack: float = 0.085, exact: bool = False) -> DataFrame:
     """id, n_shingles, component_id for each row; linked when 100 * |A and B| >= percent * |A or B|."""
     feats = written(features(docs, id_col, text_col, size), "near-features")
-    some = feats.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = written(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep")), "near-classes")
+    some = feats.where("n_shingles > 0")
+    classes = written(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("members")).where("rep IS NOT NULL"), "near-classes")
     reps = written(some.join(classes.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "keys", "sketch"), "near-reps")
     banded = reps.select("id", F.explode("keys").alias("key"))
     # keys of one representative can never link anything
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     banded = written(banded.join(shared, "key", "left_semi"), "near-bands")
     narrow = reps.select("id", "n_shingles", "sketch")
-    close = likeness("sketch_a", "sketch_b") >= percent / 100 - slack
+    close = F.lit(True) if exact else likeness("sketch_a", "sketch_b") >= percent / 100 - slack
     sizes = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
     def named(side: str) -> DataFrame:
@@ -182,11 +210,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return joined.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
     links, labels = None, None
-    for turn in range(star_rounds):
+
+    def labelled(rows: DataFrame) -> DataFrame:
         if labels is None:
-            placed = banded.withColumn("component", F.col("id"))
-        else:
-            placed = banded.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            return rows.withColumn("component", F.col("id"))
+        return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def across(rows: DataFrame, key: str) -> DataFrame:
+        """Pairs of rows (key, id, component, blocks) of different components with a key in common, behind sizes and sketch.
+
+        main rows are compared with those of all other components, which are few; the others with each other.
+        """
+        block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        cells = F.sequence(F.lit(0), F.col("blocks") - 1)
+
+        def side(s: str) -> DataFrame:
+            mine, other = ("i", "j") if s == "a" else ("j", "i")
+            kept = rows if s == "a" else rows.where("NOT main")
+            spread = kept.select(F.col(key).alias("key"), "id", "component", "main", block.alias(mine), F.explode(cells).alias(other)).join(narrow, "id")
+            return spread.select("key", "i", "j", F.col("id").alias(s), F.col("component").alias(f"c_{s}"), F.col("main").alias(f"main_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+
+        apart = F.expr("c_a <> c_b AND (main_a OR c_a < c_b)")
+        return side("a").join(side("b"), ["key", "i", "j"]).where(apart & sizes & close).select("a", "b", "n_a", "n_b")
+
+    for turn in range(0 if exact else star_rounds):
+        placed = labelled(banded)
         # a band key's leaders: one member of its first and one of its last component, others each round
         who = F.struct("component", F.xxhash64("id", F.lit(turn)).alias("draw"), "id")
         ends = placed.groupBy("key").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low.component <> high.component")
@@ -199,48 +247,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-    if labels is None:
-        placed = banded.withColumn("component", F.col("id"))
+    blocks = lambda n: (1 + F.floor(F.col(n) / BLOCK_ROWS)).cast("int").alias("blocks")
+    if exact:
+        rest, many = None, reps.select("id")
     else:
-        placed = banded.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    apart = placed.join(mixed, "key", "left_semi").join(reps, "id")
-
-    def side(s: str) -> DataFrame:
-        return apart.select(F.col("key").alias(f"key_{s}"), F.col("id").alias(s), F.col("component").alias(f"c_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"), F.expr(f"transform(keys, x -> cast(x & 2147483647 AS int))").alias(f"keys_{s}"))
-
-    # a pair comes from the first band that it shares, and only behind the sketch
-    first_shared = F.expr("(key_a & 2147483647) = element_at(keys_a, cast(array_position(zip_with(keys_a, keys_b, (x, y) -> x = y), true) AS int))")
-    rest = side("a").join(side("b"), (F.col("key_a") == F.col("key_b")) & F.expr("c_a < c_b") & sizes & close & first_shared)
-    rest = written(rest.select("a", "b", "n_a", "n_b"), "near-rest")
-    found = written(confirmed(rest), "near-links")
-    if not found.isEmpty():
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    member = feats.join(classes, ["set_a", "set_b", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    if labels is None:
-        return member.select("id", "n_shingles", F.col("rep").alias("component_id"))
-    return member.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        # of each band in which components meet: the members, and its largest component (main)
+        parts = labelled(banded).groupBy("key", "component").agg(F.count("*").alias("n"))
+        mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        apart = written(labelled(banded).join(mixed, "key").select("key", "id", "component", (F.col("component") == F.col("top")).alias("main"), blocks("n"), (F.col("n") - F.col("largest") > OUTSIDE).alias("many")), "near-apart")
+        rest, many = across(apart.where("NOT many"), "key"), apart.where("many").select("id").distinct()
+    many = written(many, "near-many")
+    if not many.isEmpty():
+        sets = full_sets(docs.select(id_col, text_col).join(many.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, size).dropDuplicates(["id"])
+        rare = written(shared_rare(sets, percent), "near-rare")
+        met = rare.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle", blocks("n"))
+        pairs = across(labelled(rare.join(met, "shingle")).withColumn("main", F.lit(False)), "shingle")
+        rest = pairs if rest is None else rest.unionByName(pairs)
+    if rest is not None:
+        found = written(confirmed(written(rest.distinct(), "near-rest")), "near-links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+    # each row takes the component of its class; a class of many copies is dealt out by further keys
+    named_classes = labelled(classes.withColumnRenamed("rep", "id")).where("members > 1 OR component <> id")
+    named_classes = named_classes.select("set_a", "set_b", "n_shingles", "component", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    member = feats.select("id", "n_shingles", "set_a", "set_b", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt"))
+    return member.join(named_classes, ["set_a", "set_b", "n_shingles", "salt"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without all but the first row of each group of near-duplicates, by id with nulls last, with the same columns.
 
-    Each row goes or stays by its own text, also where the id is null or shared. Rows of one id and text stay together.
+    Each row goes or stays by its own text, also where the id is null or shared; of repeated rows one stays.
     """
     keyed, key = row_keyed(docs, id_col, text_col)
     found = near_duplicates(keyed, key, text_col, **options)
-    drop = found.where(F.col("component_id") < F.col("id")).select(F.col("id").alias(key)).distinct()
-    if key != id_col:
-        drop = written(drop, "near-drop")
-        names = keyed.select(key, F.col(id_col).alias("id__"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest__"))
-        first = names.where("id__ IS NOT NULL").join(drop, key, "left_anti").select("id__", "digest__")
-        drop = names.join(drop, key, "left_semi").join(first, ["id__", "digest__"], "left_anti").select(key)
+    drop = found.where(F.col("component_id") < F.col("id")).select(F.col("id").alias(key))
     return keyed.join(drop, key, "left_anti").select(*docs.columns)
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, n_shingles, component_id (the id of the group's first row) and kept for each row."""
+    keyed, key = row_keyed(docs.select(id_col, text_col), id_col, text_col)
+    found = near_duplicates(keyed, key, text_col, **options)
+    if key == id_col:
+        return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    names = keyed.select(F.col(key).alias("id"), F.col(id_col).alias("own__"))
+    first = names.select(F.col("id").alias("component_id"), F.col("own__").alias("first__"))
+    placed = found.join(names, "id").join(first, "component_id")
+    kept = F.coalesce(F.col("own__") == F.col("first__"), F.col("id") == F.col("component_id"))
+    return placed.select(F.col("own__").alias(id_col), "n_shingles", F.col("first__").alias("component_id"), kept.alias("kept"))
+
+
 def op8_near_dedup(spark, sf_dir):
     from dialogmill.llm.common import table
 
-    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
