@@ -7,17 +7,20 @@ that is read back is computed again and must equal its address.
 Of records with equal payloads of at least min_bytes, the one with the smallest id is a response and the others
 are revisits that refer to it. Smaller payloads are always responses.
 
+A record's id holds the row's id and the start of a digest of its target and payload, so a revisit's WARC-Refers-To
+names the row that it refers to; refers_to is read from there. A revisit's payload is read and verified as well.
+
 Rows: a null html is an empty payload. A row with null id is written as a response of its own and never referred
 to. Rows that repeat an id and a payload are equal records; each of them becomes a response if its id is the
-smallest. A null url is written as an empty target. An empty table gives an empty archive. Further columns are not
-stored.
+smallest. A null url is written as an empty target; line ends in a target are written as %0D and %0A. An empty table
+gives an empty archive. Further columns are not stored.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogmill.llm.common import shared_dir, table
@@ -28,33 +31,35 @@ def _payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", b
     return pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
 
 
+def _record_id(row_id: Column, url: Column, digest: Column) -> Column:
+    """<urn:record:ID:MARK>; ID is empty for null."""
+    mark = F.substring(F.sha2(F.concat(url, F.lit(" "), digest), 256), 1, 16)
+    return F.concat(F.lit("<urn:record:"), F.coalesce(F.url_encode(row_id.cast("string")), F.lit("")), F.lit(":"), mark, F.lit(">"))
+
+
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """id, header, digest, first (the response's id for revisits): all of a record but its payload."""
+    """id, header, digest: all of a record but its payload."""
     base = _payloads(pages, id_col, url_col, body_col).select("id", "url", "digest", F.octet_length("payload").cast("bigint").alias("n_bytes"))
     # aggregated before the shuffle: a payload of many records costs one row for each task
-    first = base.where(F.col("n_bytes") >= min_bytes).where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    joined = base.join(first, "digest", "left").withColumn("first", F.when(F.col("first") < F.col("id"), F.col("first")))
+    first = base.where(F.col("n_bytes") >= min_bytes).where("id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    joined = base.join(first, "digest", "left").withColumn("first", F.when(F.col("first.id") < F.col("id"), F.col("first")))
     revisit = F.col("first").isNotNull()
-
-    def record_id(c):
-        d = F.md5(F.concat(F.lit("record:"), F.coalesce(c.cast("string"), F.lit("none"))))
-        return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(d, i, n) for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
-
     eol = "\r\n"
+    target = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     header = F.concat(
         F.lit(f"WARC/1.1{eol}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit(f"{eol}WARC-Record-ID: "), record_id(F.col("id")),
-        F.lit(f"{eol}WARC-Date: {date}{eol}WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", ""),
+        F.lit(f"{eol}WARC-Record-ID: "), _record_id(F.col("id"), F.col("url"), F.col("digest")),
+        F.lit(f"{eol}WARC-Date: {date}{eol}WARC-Target-URI: "), target,
         F.lit(f"{eol}WARC-Payload-Digest: sha256:"), F.col("digest"),
-        F.when(revisit, F.concat(F.lit(f"{eol}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{eol}WARC-Refers-To: "), record_id(F.col("first")))).otherwise(""),
+        F.when(revisit, F.concat(F.lit(f"{eol}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{eol}WARC-Refers-To: "), _record_id(F.col("first.id"), F.col("first.url"), F.col("digest")))).otherwise(""),
         F.lit(f"{eol}Content-Type: text/html; charset=utf-8{eol}Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("n_bytes").cast("string")),
         F.lit(eol + eol),
     )
-    return joined.select("id", header.alias("header"), "digest", "first")
+    return joined.select("id", header.alias("header"), "digest")
 
 
 def write_archive(pages: DataFrame, path: str, **options) -> None:
-    """Two Parquet tables: payloads(digest, payload), each digest once, and headers(id, header, digest, first)."""
+    """Two Parquet tables: payloads(digest, payload), each digest once, and headers(id, header, digest)."""
     records(pages, **options).write.parquet(f"{path}/headers")
     _payloads(pages, **options).groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
@@ -62,14 +67,14 @@ def write_archive(pages: DataFrame, path: str, **options) -> None:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """id, record (the exact bytes), record_type, payload (null for revisits), payload_digest, payload_bytes, refers_to.
 
-    The digest of each stored payload is verified; a wrong or missing payload raises an error. Revisits take the
-    length of their payload from the stored one without fetching it.
+    The digest of each stored payload is verified, that of revisits too; a wrong or missing payload raises an error.
+    Revisits take only the length of their payload through the join.
     """
     headers = spark.read.parquet(f"{path}/headers")
     stored = spark.read.parquet(f"{path}/payloads")
     header = F.col("header")
     named = headers.select(
-        "id", "header", "first",
+        "id", "header", F.regexp_extract(header, r"\r\nWARC-Refers-To: <urn:record:([^:>]*):[0-9a-f]{16}>\r\n", 1).alias("refers"),
         F.regexp_extract(header, r"\r\nWARC-Type: (\w+)\r\n", 1).alias("record_type"),
         F.regexp_extract(header, r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1).alias("payload_digest"),
         F.regexp_extract(header, r"\r\nContent-Length: (\d+)\r\n", 1).cast("bigint").alias("said"),
@@ -77,7 +82,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     good = F.sha2("payload", 256) == F.col("digest")
     wrong = F.raise_error(F.concat(F.lit("payload doesn't match its digest "), "digest"))
     checked = stored.select(F.col("digest").alias("payload_digest"), F.when(good, F.col("payload")).otherwise(wrong.cast("binary")).alias("payload"))
-    sizes = stored.select(F.col("digest").alias("payload_digest"), F.octet_length("payload").cast("bigint").alias("payload_bytes"))
+    sizes = checked.select("payload_digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"))
     head, ends = F.encode("header", "UTF-8"), F.encode(F.lit("\r\n\r\n"), "UTF-8")
     whole = named.where("record_type = 'response'").join(checked, "payload_digest", "left").withColumn("record", F.concat(head, "payload", ends))
     whole = whole.withColumn("payload_bytes", (F.octet_length("record") - F.octet_length("header") - 4).cast("bigint"))
@@ -88,7 +93,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return both.select(
         "id", "record", "record_type", "payload", "payload_digest",
         F.when(F.col("payload_bytes").isNotNull(), F.col("payload_bytes")).otherwise(missing.cast("bigint")).alias("payload_bytes"),
-        F.col("first").alias("refers_to"),
+        F.when(F.col("refers") != "", F.url_decode("refers")).cast(headers.schema["id"].dataType).alias("refers_to"),
     )
 
 
