@@ -8,7 +8,7 @@ mean log probability over all its windows, weighted by their bytes.
 For speed filters are applied to pairs of bytes: a width of 2k is a sum of k rows of tables over pairs, which are
 summed from the filters once.
 
-Training takes about per_language texts of each language, those whose ids have the smallest hashes, and at most six
+Training takes the texts of at most per_language ids of each language, those with the smallest hashes, and at most six
 windows of each, spread over the whole text. Everything else covers all rows and whole texts.
 
 Rows: a null text, or one without a letter, is `und` with score 0. A row with null id is predicted and never learned
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dialogmill.llm.bytescan import pieces, text_bytes
@@ -169,14 +170,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.select(id_col, text_col, lang_col).where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
     if held_out is not None:
         known = known.where(~held_out)
-    counts = known.groupBy(lang_col).count().collect()  # one row for each language
-    if not counts:
-        return Network([])
-    # the share of each language's ids, by hash, that makes about per_language texts
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r[lang_col], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share * 1_000_000)
+    # the ids of each language with the smallest hashes, then one text for each of them
+    order = W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
+    drawn = known.select(id_col, lang_col).withColumn("n__", F.row_number().over(order)).where(F.col("n__") <= per_language).select(id_col, lang_col).distinct()
+    chosen = known.join(drawn, [id_col, lang_col], "left_semi").groupBy(id_col, lang_col).agg(F.min(text_col).alias(text_col))
 
     def cut(batches):
         for batch in batches:

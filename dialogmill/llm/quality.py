@@ -10,7 +10,7 @@ most max_pairs draws with a fixed seed. Everything else covers all rows.
 
 Rows: a null text counts as empty and is scored like one. A row with null id is scored and is never a training row.
 Labels that are null or have no text are left out; without both labels every score is 0.5. Repeated rows are scored
-each. Very long texts are scanned in pieces. An empty table gives an empty result. Further columns are kept by
+each; of rows that share a labelled id the one with the smallest features is learned from. Very long texts are scanned in pieces. An empty table gives an empty result. Further columns are kept by
 keep_good.
 """
 
@@ -144,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         known = known.where(~held_out)
     known = known.groupBy(id_col).agg(F.min(label_col).alias("label__")).orderBy(F.xxhash64(id_col), id_col).limit(max_labels)
     texts = docs.select(id_col, text_col).join(F.broadcast(known), id_col)
-    rows = text_features(texts, text_col, id_col, "label__").orderBy(id_col).collect()
+    # one row for each labelled id, so what comes to the driver is bounded also where rows repeat an id
+    rows = text_features(texts, text_col, id_col, "label__").groupBy(id_col, "label__").agg(F.min("x").alias("x")).orderBy(id_col).collect()
     x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["label__"] for r in rows], dtype=int))
 
