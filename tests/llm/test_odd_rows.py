@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from dialogmill.llm import entries, fingerprints, license_scan, near_dedup, quality_rules
+from dialogmill.llm import entries, fingerprints, langid, license_scan, near_dedup, packing, quality, quality_rules, warc
 from tests.llm import brute
 
 FIELDS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -218,3 +218,115 @@ def test_near_duplicates_of_more_documents(spark):
     want = brute.components(rows)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in entries.queries()["op8_near_dedup"](spark, path).collect()}
     assert found == want
+
+
+def test_archive_of_odd_pages(spark, tmp_path, empty_dir):
+    body, long = "<p>" + "é" * 80, "x" * 300
+    rows = [(5, "http://x/5", body), (3, "u\r\nv w", body), (9, None, body), *2 * [(4, "a", long)], (4, "b", long), (None, "n", body), (None, None, None), (6, "", ""), (6, "", "short"), (7, "z", "short"), (-2, "ü:>", long)]
+    path = stored(spark, tmp_path, rows, "page_id bigint, url string, html string", "pages")
+    found = entries.queries()["op9_warc"](spark, path).collect()
+    got = sorted(str((r.page_id, r.payload_bytes, r.record_type, r.refers_to)) for r in found)
+    size = len(body.encode())
+    want = [(5, size, "revisit", 3), (3, size, "response", None), (9, size, "revisit", 3), *3 * [(4, 300, "revisit", -2)], (None, size, "response", None), (None, 0, "response", None), (6, 0, "response", None), (6, 5, "response", None), (7, 5, "response", None), (-2, 300, "response", None)]
+    assert got == sorted(map(str, want))
+    assert entries.queries()["op9_warc"](spark, empty_dir).count() == 0
+    target = str(tmp_path / "w")
+    warc.write_archive(spark.read.parquet(f"{path}/pages.parquet"), target)
+    heads = {bytes(r.record).split(b"\r\n\r\n")[0].decode() for r in warc.read_archive(spark, target).collect()}
+    assert any("WARC-Target-URI: u%0D%0Av w\r\n" in h for h in heads)
+    ids = [h.split("WARC-Record-ID: ")[1].split("\r\n")[0] for h in heads]
+    assert len(set(ids)) == len(heads) == 11  # but for the two equal records
+    wrong = spark.read.parquet(f"{target}/payloads").withColumn("payload", F.when(F.octet_length("payload") == 300, F.encode(F.lit("y"), "UTF-8")).otherwise(F.col("payload")))
+    wrong.write.parquet(f"{tmp_path}/bad/payloads")
+    spark.read.parquet(f"{target}/headers").write.parquet(f"{tmp_path}/bad/headers")
+    with pytest.raises(Exception, match="doesn't match its digest"):
+        warc.read_archive(spark, f"{tmp_path}/bad").where("record_type = 'revisit'").select("payload_bytes").collect()
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(i % 3, words(i, 80), "en" if i % 2 else "fr", None, None) for i in range(60)] + [(None, words(1), "de", None, None), (8, None, "es", None, None), (9, "123", None, None, None)]
+    docs = spark.createDataFrame(rows, FIELDS)
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, None), (None, 1)], "doc_id bigint, quality int")
+    model = quality.train(docs, labels)
+    scores = quality.scored(docs, model).collect()
+    assert len(scores) == len(rows) and all(0 <= r.score <= 1 for r in scores)
+    network = langid.train(docs, per_language=2)
+    assert network.languages == ["en", "fr"]
+    found = langid.identified(docs, network).collect()
+    assert len(found) == len(rows) and {r.lang_pred for r in found if r.doc_id in (8, 9)} == {"und"}
+
+
+def plain_features(text):
+    """What quality.features takes from a text, one by one."""
+    raw, low = text.encode(), text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    ws = brute.WORD.findall(low)
+    chars = max(len(text), 1)
+    n = lambda s: sum(text.count(c) for c in s)
+    listed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \t\x0b\x0c\r\n#*$%&|<>~^=+@_{}[]\\/!?.,;:"
+    triples = list(zip(ws, ws[1:], ws[2:]))
+    top = max(map(ws.count, set(ws)), default=0)
+    return [
+        np.log1p(len(ws)), (chars - n(" \t\x0b\x0c\r\n")) / max(len(ws), 1), n("#*$%&|<>~^=+@_{}[]\\/") / chars, n("!?") / chars, n(".,;:") / chars, n("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars, n("0123456789") / chars,
+        sum(c not in listed and ord(c) < 128 for c in text) / chars, text.count("\n") / chars, len(set(ws)) / max(len(ws), 1), (len(set(triples)) / len(triples) if triples else float(bool(ws))), top / max(len(ws), 1), sum(b >= 0xC0 for b in raw) / chars,
+    ]
+
+
+def test_quality_against_a_plain_version(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    texts = [(r.doc_id, r.text) for r in rows] + [(10**6, ""), (10**6 + 1, "One"), (10**6 + 2, "a  b\n\né (x)")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    for r in quality.text_features(docs, "text", "doc_id").collect():
+        assert r.x == pytest.approx(plain_features(dict(texts)[r.doc_id]))
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    for r in quality.scored(docs, model).collect():
+        levels = [(np.array(b) < v).sum() for b, v in zip(model.bounds, plain_features(dict(texts)[r.doc_id]))]
+        first = np.cumsum([0, *(len(b) + 1 for b in model.bounds[:-1])])
+        z = (model.weights[first + levels].sum() - model.threshold) / model.scale
+        assert r.score == pytest.approx(0.3 / (0.3 + 0.7 * np.exp(-z)), abs=1e-4)
+
+
+def test_language_against_plain_convolutions(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    network = langid.train(rows, per_language=30)
+    texts = [(r.doc_id, r.text) for r in rows.limit(25).collect()]
+    found = {r.doc_id: r for r in langid.identified(rows, network).collect()}
+    for doc, text in texts:
+        raw, logs = text.encode(), np.zeros(len(network.languages))
+        for at in range(0, len(raw), 256):
+            part = raw[at : at + 256].ljust(256)
+            kinds = [b | 32 if chr(b).isascii() and chr(b).isalpha() else b for b in part]
+            kinds = [k - 97 if 97 <= k < 123 else 26 if 48 <= k < 58 else 27 if k in b" \t\n\x0b\x0c\r" else 28 if k < 128 else k - 99 for k in kinds]
+            pooled = [max(sum(f[j, kinds[i + j], c] for j in range(w)) for i in range(257 - w)) for w, f in network.filters.items() for c in range(f.shape[2])]
+            z = np.maximum(np.array(pooled) + network.bias, 0) @ network.last + network.shift
+            logs += (z - z.max() - np.log(np.exp(z - z.max()).sum())) * len(raw[at : at + 256])
+        mean = logs / len(raw)
+        p = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        assert found[doc].lang_pred == network.languages[int(p.argmax())] and found[doc].score == pytest.approx(p.max(), abs=1e-3)
+        if doc == texts[4][0]:
+            break
+
+
+def test_packing_of_odd_rows_and_its_padding(spark, odd_dir):
+    import public_tokenizers
+
+    found = entries.queries()["op7_packing"](spark, odd_dir).collect()
+    enc = brute.rank_encoding()
+    want = sorted(str((i, len(enc.encode_ordinary(t or "")) + 1)) for i, t, *_ in odd_documents())
+    firsts = sorted(str((r.doc_id, r.doc_tokens)) for r in found if r.start == 0)
+    assert firsts == want and sum(r.length for r in found) == sum(len(enc.encode_ordinary(t or "")) + 1 for _, t, *_ in odd_documents())
+    pieces = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    fill = {}
+    for r in pieces:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert max(fill.values()) <= 2048 and sum(fill.values()) >= 0.98 * 2048 * len(fill)
+
+
+def test_differencing_is_near_equal():
+    rng = np.random.default_rng(2)
+    for windows, n in ((1, 5), (2, 2), (4, 3), (8, 200), (64, 700)):
+        sizes = rng.integers(1, 513, n).tolist()
+        sums = np.bincount(packing.differencing(sizes, windows), weights=sizes, minlength=windows)
+        assert sums.sum() == sum(sizes) and len(sums) == windows
+        if n >= 10 * windows:
+            assert sums.max() - sums.min() <= max(sizes) / 16
+    assert sorted(np.bincount(packing.differencing([8, 7, 6, 5, 4], 2), weights=[8, 7, 6, 5, 4])) == [14, 16]  # the textbook example
