@@ -7,13 +7,16 @@ first:
 * The cover sample is chosen by content: of each 100-byte window the 32-byte block with the least hash. Equal
   windows choose the same block at the same offset, which is what a difference cover gives for positions (a common
   offset at which both suffixes are sampled), with 3 % of the positions where a cover of period 73 needs 12 %.
-* Neighbouring windows with the same sampled block are one segment; the hash of its bytes is the rank name of the
-  sample. Windows in equal segments tie over their whole depth, and are settled by name alone.
-* A suffix bucket is a sampled block. Buckets are dealt out by hash, sorted within a task and read as a stream.
-  Copies within a map task are settled there, so a very frequent bucket sends one row from each task for each
-  segment; blocks with many different segments in a task are dealt out by segment instead.
-* In buckets that hold several segments, the segments' bytes are sent once, and their suffixes are named one by one
-  (128 bits), sorted and settled bucket by bucket. Those of hot blocks are dealt out by name.
+* Neighbouring windows with the same sampled block are one segment; the hash of its bytes is the name of the
+  sample. Windows in equal segments tie over their whole depth, and are settled by name alone (128 bits).
+* A suffix bucket is a sampled block. Buckets are dealt out by hash and sorted, one at a time, in a stream: only the
+  first segments of a bucket are held, at most HOT_BUCKET of them. Copies within a map task are settled there, so a
+  very frequent bucket sends one row from each task for each segment.
+* In buckets that hold several segments, the segments' bytes are sent once and sorted: by what follows the start of
+  the sampled block and by what precedes it. The two ranks of a sample and the lengths that neighbours in these
+  orders have in common settle each of its windows, byte by byte, without comparing the windows themselves.
+* Buckets of more than HOT_BUCKET segments over all tasks are dealt out by window, under names of 128 bits; blocks with
+  more than HOT_BLOCK segments in one map task are sent by segment in the first place.
 
 Text is worked on in pieces of 1 MiB that overlap by 99 bytes, so memory doesn't grow with a document's length.
 
@@ -37,8 +40,10 @@ from dialogmill.llm.bytescan import PIECE, PrefixHash, mix, pieces, text_bytes
 from dialogmill.llm.common import row_keyed, table, written
 
 DEPTH, BLOCK = 100, 32
-#: Different segments of one block in a map task from which on the block counts as hot.
-HOT_BLOCK = 64
+#: Different segments of one block in a map task, and of one bucket over all tasks, from which on it counts as hot.
+HOT_BLOCK, HOT_BUCKET = 64, 2048
+#: Segments of whole buckets that are sorted together.
+RUN = 20_000
 #: Rows that a map task holds before it settles and sends them.
 FLUSH = 400_000
 SAMPLE, SPAN, SALTED, MARK, OPEN, OPEN_HOT = range(6)
@@ -177,36 +182,63 @@ def cover_samples(depth: int, block: int):
 
 
 def sort_buckets(depth: int):
-    """Reduce side, over rows sorted by (a, b, doc, low): later copies give spans, firsts of shared buckets stay open."""
+    """Reduce side, over rows sorted by (a, b, doc, low): later copies give spans, firsts of shared buckets stay open.
 
-    def finished(a, b, kind, doc, low, n):
-        order, new, later = later_copies([a, b], doc, low)
-        a, b, kind, doc, low, n = (x[order] for x in (a, b, kind, doc, low, n))
-        yield spans_out(doc[later], low[later], n[later] + depth - 1)
-        a, kind, doc, low, n = (x[new] for x in (a, kind, doc, low, n))
-        if len(a):
-            start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            size = np.diff(np.append(start, len(a)))
-            still = (np.repeat(size, size) > 1) | (kind == SALTED)
-            hot = np.repeat(np.maximum.reduceat((kind == SALTED) | (kind == MARK), start), size)[still]
-            yield rows(np.where(hot, OPEN_HOT, OPEN).astype(np.int8), a[still], a[still], doc[still], low[still], n[still])
+    Held between batches: the last row's name with its first row, and the firsts of the last bucket, unless it is hot.
+    """
+
+    def opened(a, kind, doc, low, n, hot):
+        return rows(np.where(hot, OPEN_HOT, OPEN).astype(np.int8), a, a, doc, low, n)
 
     def run(batches):
-        carry = None
+        lead = None  # (a, b, doc, low) of the first row of the last name
+        held = None  # a, kind, doc, low, n of the last bucket's firsts
+        hot_bucket = None  # the last bucket, if it is hot already
         for batch in batches:
             kind, a, b, doc, low, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             done = kind == SPAN
             if done.any():
                 yield spans_out(doc[done], low[done], n[done])
-            now = [x[~done] for x in (a, b, kind, doc, low, n)]
-            if carry is not None:
-                now = [np.concatenate(x) for x in zip(carry, now)]
-            if len(now[0]):
-                last = int(np.searchsorted(now[0], now[0][-1]))
-                yield from finished(*(x[:last] for x in now))
-                carry = [x[last:] for x in now]
-        if carry is not None:
-            yield from finished(*carry)
+            a, b, kind, doc, low, n = (x[~done] for x in (a, b, kind, doc, low, n))
+            if not len(a):
+                continue
+            new = np.ones(len(a), dtype=bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            goes_on = lead is not None and lead[:2] == (a[0], b[0])
+            first, run_of = np.flatnonzero(new), np.cumsum(new) - 1
+            lead_doc, lead_low = doc[first], low[first]
+            if goes_on:
+                lead_doc[0], lead_low[0] = lead[2:]
+                new[0] = False
+            later = (doc != lead_doc[run_of]) | (low != lead_low[run_of])
+            yield spans_out(doc[later], low[later].astype(np.int64), n[later].astype(np.int64) + depth - 1)
+            lead = (a[-1], b[-1], lead_doc[-1], lead_low[-1])
+            firsts = [x[new] for x in (a, kind, doc, low, n)]
+            if hot_bucket is not None and len(firsts[0]) and firsts[0][0] == hot_bucket:
+                stop = int(np.argmax(firsts[0] != hot_bucket)) if (firsts[0] != hot_bucket).any() else len(firsts[0])
+                yield opened(*(x[:stop] for x in firsts), np.ones(stop, dtype=bool))
+                firsts = [x[stop:] for x in firsts]
+            if held is not None:
+                firsts = [np.concatenate(x) for x in zip(held, firsts)]
+            held = None
+            if not len(firsts[0]):
+                continue
+            hot_bucket = None
+            start = np.flatnonzero(np.append(True, firsts[0][1:] != firsts[0][:-1]))
+            size = np.diff(np.append(start, len(firsts[0])))
+            salted = firsts[1] == SALTED
+            marked = np.maximum.reduceat((salted | (firsts[1] == MARK)) & True, start) | (size > HOT_BUCKET)
+            hot = np.repeat(marked, size)
+            still = (np.repeat(size, size) > 1) | salted
+            if not marked[-1]:  # the last bucket may go on
+                still[start[-1] :] = False
+                held = [x[start[-1] :] for x in firsts]
+            else:
+                hot_bucket = firsts[0][-1]
+                still[start[-1] :] = True
+            yield opened(*(x[still] for x in firsts), hot[still])
+        if held is not None and len(held[0]) > 1:
+            yield opened(*held, np.zeros(len(held[0]), dtype=bool))
 
     return run
 
@@ -280,19 +312,66 @@ def open_suffixes(depth: int):
     return run
 
 
-def sort_open(depth: int):
-    """Over rows sorted by (a, b, doc, low): the windows of a bucket's segments are named, sorted and settled together."""
-    singles = sort_windows(depth)
+def contexts(data: np.ndarray, first: np.ndarray, step: int, room: np.ndarray, depth: int) -> np.ndarray:
+    """For each row the bytes data[first], data[first + step], ..., at most room and depth of them, then zeros."""
+    reach = np.arange(-(-depth // 8) * 8)
+    place = np.clip(first[:, None] + step * reach, 0, len(data) - 1)
+    return np.where(reach < np.minimum(room, depth)[:, None], data[place], 0).astype(np.uint8)
+
+
+def ranked(bucket: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows by bucket and context, and the length that each has in common with the one before; -1 at a bucket's first."""
+    words = context.view(">u8").astype(np.uint64)
+    order = np.lexsort((*words.T[::-1], bucket))
+    common = np.full(len(order), -1)
+    if len(order) > 1:
+        same = context[order[1:]] == context[order[:-1]]
+        equal = np.where(same.all(axis=1), context.shape[1], same.argmin(axis=1))
+        common[1:] = np.where(bucket[order[1:]] == bucket[order[:-1]], equal, -1)
+    return order, common
 
-    def bucket(a, doc, low, n, column):
-        data, at = text_bytes(column)
-        start = places(at[:-1], n)
-        row = np.repeat(np.arange(len(n)), n)
-        name, other = names_of(data, start, depth)
-        who, where = doc[row], low[row] + start - at[:-1][row]
-        order, _, later = later_copies([name, other], who, where)
-        who, where = who[order][later], where[order][later]
-        return spans_out(who, where, np.full(len(who), depth))
+
+def repeated_windows(bucket, doc, low, n, data, at, depth: int = DEPTH, block: int = BLOCK):
+    """doc and start of the windows that start earlier elsewhere in their bucket; rows sorted by (bucket, doc, low).
+
+    A row is a segment: n windows from low on, its bytes, and the hash of the block (bucket) that all of them share.
+    """
+    rows_of = np.repeat(np.arange(len(n)), np.diff(at))
+    here = np.arange(len(data) - block + 1)
+    row = rows_of[: len(here)]
+    grams = mix(PrefixHash(data).of(here, here + block))
+    place = np.flatnonzero((grams == bucket[row]) & (here >= at[row] + n[row] - 1) & (here <= at[row] + depth - block))
+    found, which = np.unique(row[place], return_index=True)
+    if len(found) != len(n):
+        raise ValueError("a segment without its block")
+    anchor = place[which]
+    before, after = anchor - at[:-1], at[1:] - anchor
+    right = ranked(bucket, contexts(data, anchor, 1, after, depth))
+    left = ranked(bucket, contexts(data, anchor - 1, -1, before, depth - block))
+    rank_r, rank_l = np.empty(len(n), dtype=np.int64), np.empty(len(n), dtype=np.int64)
+    who, where = [], []
+    for back in range(depth - block + 1):
+        mine = np.flatnonzero((back <= before) & (before - back < n))
+        if len(mine) < 2:
+            continue
+        # equal as far as the window reaches on either side
+        rank_r[right[0]] = np.cumsum(right[1] < depth - back)
+        rank_l[left[0]] = np.cumsum(left[1] < back)
+        key = (rank_r[mine] << 32) | rank_l[mine]
+        order = np.argsort(key, kind="stable")
+        key, mine = key[order], mine[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        lead = np.repeat(mine[first], np.diff(np.append(first, len(key))))
+        start = low + before - back
+        later = (doc[mine] != doc[lead]) | (start[mine] != start[lead])
+        who.append(doc[mine[later]])
+        where.append(start[mine[later]])
+    return (np.concatenate(who), np.concatenate(where)) if who else (doc[:0], low[:0])
+
+
+def sort_open(depth: int, block: int = BLOCK):
+    """Over rows sorted by (a, b, doc, low): the segments of whole buckets are sorted and their windows settled."""
+    singles = sort_windows(depth)
 
     def run(batches):
         carry = None
@@ -305,16 +384,20 @@ def sort_open(depth: int):
                 if plain.num_rows:
                     if carry is not None:
                         plain = pa.Table.from_batches([carry, plain]).combine_chunks().to_batches()[0]
-                    a = plain.column(1).to_numpy(zero_copy_only=False)
-                    last = int(np.searchsorted(a, a[-1]))
-                    yield from whole(plain.slice(0, last))
-                    carry = plain.slice(last)
+                    carry = plain
+                    if plain.num_rows >= RUN:
+                        a = plain.column(1).to_numpy(zero_copy_only=False)
+                        last = int(np.searchsorted(a, a[-1]))
+                        yield from whole(plain.slice(0, last))
+                        carry = plain.slice(last)
                 yield batch.filter(pa.compute.not_equal(batch.column(0), OPEN)).select(range(6))
 
         def whole(part):
             if part.num_rows:
                 a, doc, low, n = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 3, 4, 5))
-                yield bucket(a, doc, low.astype(np.int64), n.astype(np.int64), part.column(6))
+                data, at = text_bytes(part.column(6))
+                who, where = repeated_windows(a.view(np.uint64), doc, low.astype(np.int64), n.astype(np.int64), data, at, depth, block)
+                yield spans_out(who, where, np.full(len(who), depth))
 
         yield from singles(named())
         if carry is not None:
@@ -363,7 +446,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = written(named.mapInArrow(sort_buckets(depth), SCHEMA).select("kind", F.when(F.col("kind") == OPEN, F.col("a")).alias("a"), "doc", "low", "n"), "suffix-buckets")
     still = settled.where(f"kind <> {SPAN}").groupBy("doc").agg(F.collect_list(F.struct("kind", F.coalesce("a", F.lit(0)).alias("a"), "low", "n")).alias("open"))
     rest = texts.join(still, "doc").select("doc", "text", "open").mapInArrow(open_suffixes(depth), OPEN_SCHEMA)
-    rest = rest.repartition(parts, "a").sortWithinPartitions("a", "b", "doc", "low").mapInArrow(sort_open(depth), SCHEMA)
+    rest = rest.repartition(parts, "a").sortWithinPartitions("a", "b", "doc", "low").mapInArrow(sort_open(depth, block), SCHEMA)
     spans = settled.where(f"kind = {SPAN}").select("doc", "low", "n").unionByName(rest.select("doc", "low", "n"))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("low", "n")).alias("spans"))
 

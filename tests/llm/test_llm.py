@@ -75,8 +75,11 @@ def test_suffix_dedup(spark, docs):
         assert tuple(found[i][k] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want
 
 
-def test_suffix_dedup_of_hot_blocks(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_BLOCK", 1)
+@pytest.mark.parametrize("hot", [(1, 2048, 50), (64, 3, 7), (64, 2048, 3), (64, 2048, 20_000), (2, 5, 50)])
+def test_suffix_dedup_of_hot_blocks(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCK", hot[0])
+    monkeypatch.setattr(suffix_dedup, "HOT_BUCKET", hot[1])
+    monkeypatch.setattr(suffix_dedup, "RUN", hot[2])
     monkeypatch.setattr(suffix_dedup, "FLUSH", 500)
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     rng = np.random.default_rng(3)
