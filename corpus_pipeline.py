@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from dialogmill.llm.suffix_dedup import remove_repeats
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without common lines; rows with a null id are judged too, rows that share an id each by its text."""
+    """Documents that the quality rules keep, without common lines; exact copies count as one text there, as near dedup removes them later."""
     return keep_passing(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -25,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more; one of repeated rows, with or without an id."""
     return keep_one(docs, size=5)
 
 
@@ -36,6 +35,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
