@@ -12,15 +12,21 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċč
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 
 
+def trimmed(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def source_of(c: str = "source") -> Column:
     """A missing source is the relational one."""
     return F.coalesce(F.col(c), F.lit("opencode"))
 
 
-def repo_of(directory: Column, home: str = "/root") -> Column:
-    """Last part of a directory; null for none, the root and the home directory."""
+def repo_of(directory: Column, home: str | None = None) -> Column:
+    """Last part of a directory; null for none, the root and the home directory of the source's machine, if that is given."""
     path = F.regexp_replace(directory, "/+$", "")
-    return F.when((path != "") & (path != home), F.element_at(F.split(path, "/"), -1))
+    inner = path != "" if home is None else (path != "") & (path != home)
+    return F.when(inner, F.element_at(F.split(path, "/"), -1))
 
 
 def variant_text(v: Column, path: str) -> Column:
@@ -73,7 +79,7 @@ def raw_content_of(v: Column) -> Column:
 
 def unsafe_id(c: Column) -> Column:
     """Ids that are no plain names: separators, control characters, dot-dot, blanks at the ends, or empty."""
-    return c.isNull() | (c == "") | c.rlike(r"[/\\:\x00-\x1f\x7f]") | c.contains("..") | (F.trim(c) != c)
+    return c.isNull() | (c == "") | c.rlike(r"[/\\:\x00-\x1f\x7f]") | c.contains("..") | (trimmed(c) != c)
 
 
 def fidelity(source: Column) -> Column:

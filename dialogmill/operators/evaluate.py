@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# How a question shows itself, what is no question, and what makes a text concrete.
+from dialogmill.functions.columns import trimmed, variant_string
+
+# How a question shows itself, what is no question, and what makes a text concrete. Their word edges are
+# those of ASCII, as "où" ends in a letter that is none of \w there; Java's \b knows letters beyond ASCII.
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 TRIVIAL = r"(?i)^\s*(/(compact|clear|help|init)" + _EDGE + r"|(continue|continuer|ok|okay|oui|non|vas-?y|go|merci|parfait|top)\s*[.!]?$)"
 ASKING = r"(?i)\?|" + _EDGE + r"(comment|pourquoi|où|ou est|quel(le|s)?|quand|combien|est-ce que|c'?est quoi|peux-tu|peux tu|tu peux|je voudrais|j'?aimerais|explique|rappelle|retrouve|cherche|vérifie|dis-moi|fais|peut-on|on peut|il y a)" + _EDGE
@@ -20,7 +26,7 @@ def turns(docs: DataFrame) -> DataFrame:
     # any role but the assistant's ends a turn
     numbered = docs.where("role <> 'title'").withColumn("turn", F.sum(F.when(F.col("role") != "assistant", 1).otherwise(0)).over(order))
     head = lambda c: F.max(F.when(F.col("role") == "user", F.col(c)))
-    answer = F.when((F.col("role") == "assistant") & (F.coalesce("text", F.lit("")) != ""), F.struct("ts", "id", F.trim("text").alias("text")))
+    answer = F.when((F.col("role") == "assistant") & (F.coalesce("text", F.lit("")) != ""), F.struct("ts", "id", trimmed(F.col("text")).alias("text")))
     grouped = numbered.where("turn > 0").groupBy("session_id", "turn").agg(head("id").alias("id"), head("ts").alias("ts"), head("text").alias("question"), head("agent").alias("agent"), head("repo").alias("repo"), F.transform(F.array_sort(F.collect_list(answer)), lambda x: x["text"]).alias("answers"))
     return grouped.where(F.col("id").isNotNull() & ~F.coalesce(F.col("agent").isin(HELPERS), F.lit(False))).drop("agent")
 
@@ -28,7 +34,7 @@ def turns(docs: DataFrame) -> DataFrame:
 def turn_candidates(docs: DataFrame, sessions: DataFrame, asking: str = ASKING, trivial: str = TRIVIAL, concrete: str = CONCRETE) -> DataFrame:
     """Questions worth asking, with their answers and a score from 0 to 9; the first of equal beginnings stays."""
     top = sessions.where("parent_session IS NULL").select(F.col("id").alias("session_id"))
-    found = turns(docs.join(top, "session_id", "left_semi")).withColumns({"q": F.trim("question"), "a": F.trim(F.array_join("answers", "\n\n"))})
+    found = turns(docs.join(top, "session_id", "left_semi")).withColumns({"q": trimmed(F.col("question")), "a": trimmed(F.array_join("answers", "\n\n"))})
     q, a = F.col("q"), F.col("a")
     kept = found.where(F.length(q).between(25, 1200) & ~q.rlike(trivial) & q.rlike(asking) & (F.length(a) >= 200))
     first = F.row_number().over(W.partitionBy(F.substring(q, 1, 120)).orderBy("session_id", "ts", "id"))
@@ -37,42 +43,72 @@ def turn_candidates(docs: DataFrame, sessions: DataFrame, asking: str = ASKING,
     return kept.withColumn("n__", first).where("n__ = 1").select("session_id", "id", "ts", "repo", F.length(q).alias("q_len"), F.length(a).alias("a_len"), score.alias("score"), q.alias("question"), a.alias("answer"))
 
 
+def draw(seed: int, key: str) -> Column:
+    """The place of a row in a seeded order."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key)))
+
+
 def turn_sample(candidates: DataFrame, seed: int, least: int = 5, cap: int = 30, n: int = 90) -> DataFrame:
     """n candidates of a score of at least `least` in a seeded order, at most cap from each repo; qid by place."""
-    drawn = candidates.where(F.col("score") >= least).withColumn("draw", F.xxhash64(F.lit(seed), "id"))
+    drawn = candidates.where(F.col("score") >= least).withColumn("draw", draw(seed, "id"))
     held = drawn.withColumn("n__", F.row_number().over(W.partitionBy(F.coalesce("repo", F.lit("(global)"))).orderBy("draw", "id"))).where(F.col("n__") <= cap)
     best = held.orderBy("draw", "id").limit(n)  # n rows are numbered
     return best.withColumn("qid", F.format_string("q%03d", F.row_number().over(W.orderBy("draw", "id")))).drop("n__", "draw")
 
 
 def blind_export(sample: DataFrame, seed: int) -> DataFrame:
-    return sample.orderBy(F.xxhash64(F.lit(seed), "qid"), "qid").select("qid", "question")
-
-
-def cleaned(text):
-    """A question without what clients add to it."""
-    out = F.regexp_replace(text, r"(?s)<system-reminder>.*?</system-reminder>", " ")
-    out = F.regexp_replace(out, r"(?m)^\s*Use the above message and context to generate a prompt and call the task tool.*$", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
-
-
-def evened(text):
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\s+([?!;:,.])", "$1"))
-
-
-def validate_questions(curated: DataFrame, sample: DataFrame, docs: DataFrame, sessions: DataFrame, types=("fait", "etat", "decision", "conseil", "veille")) -> DataFrame:
-    """(qid, problems): curated (qid, q, expect, type, self_contained) against the sample and the archive; empty if it may be written."""
-    known = sample.select("qid", "session_id", "id", "question")
-    message = docs.select(F.col("id"), F.col("session_id").alias("in__"), F.col("role").alias("role__"), F.col("text").alias("text__"))
-    joined = curated.join(known, "qid", "left").join(message, "id", "left").join(sessions.select(F.col("id").alias("session_id"), F.lit(True).alias("session__")), "session_id", "left")
-    asked = cleaned(F.col("question"))
-    checks = [
-        (F.col("id").isNull(), "not in the sample"), (F.col("session__").isNull(), "no such session"), (F.col("in__").isNull() | (F.col("in__") != F.col("session_id")), "message not in the session"),
-        (F.col("role__") != "user", "not a user's message"), (F.length(asked) < 10, "question too short"), (evened(asked) != evened(cleaned(F.col("text__"))), "question differs from the archive"),
-        (F.col("q").isNotNull() & (F.substring(evened(F.col("q")), 1, 40) != F.substring(evened(asked), 1, 40)), "rewritten beginning"), (F.coalesce(F.size("expect"), F.lit(0)) < 2, "fewer than two facts"),
-        (~F.coalesce(F.col("type").isin(*types), F.lit(False)), "unknown type"), (F.col("self_contained").isNull(), "self_contained is not boolean"),
-    ]
-    return joined.select("qid", F.array_compact(F.array(*(F.when(c, F.lit(p)) for c, p in checks))).alias("problems"))
+    """Questions and their ids only, in a seeded order (place, from 1); a sample has few rows."""
+    order = W.orderBy(draw(seed, "qid"), "qid")
+    return sample.select("qid", "question").withColumn("place", F.row_number().over(order))
+
+
+# What clients add to a question, and the closed sets of its tags.
+ARTEFACTS = [r"(?s)<system-reminder>.*?</system-reminder>", r"(?m)^\s*Use the above message and context to generate a prompt and call the task tool.*$"]
+TYPES, SPECIFICITIES = ("fait", "etat", "decision", "conseil", "veille"), ("high", "medium", "low")
+SHORTEST, BEGINNING, FACTS = 10, 40, 2
+
+
+def comparable(text: Column) -> Column:
+    """What a person wrote: without artefacts of clients, white space as one space, none before punctuation."""
+    for pattern in ARTEFACTS:
+        text = F.regexp_replace(text, pattern, " ")
+    return trimmed(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r" (?=[?!;:,.])", ""))
+
+
+#: Where a question comes from: the first of these that holds is its only problem.
+PROVENANCE = {
+    "not in the sample": "message_id IS NULL",
+    "no such session": "known_session IS NULL",
+    "no user message of that id in the session": "message_role IS NULL OR message_role <> 'user' OR message_session <> session_id",
+    "the archive has another text": f"length(archived) < {SHORTEST} OR archived <> drawn",
+    "too short": f"length(asked) < {SHORTEST}",
+}
+#: What is said about it: all that hold are listed.
+DETAILS = {
+    "rewritten from another beginning": f"rewritten <> '' AND NOT contains(drawn, substring(rewritten, 1, {BEGINNING}))",
+    "fewer than two facts, or a blank one": f"expect IS NULL OR size(expect) < {FACTS} OR exists(expect, x -> x IS NULL OR NOT x RLIKE '\\\\S')",
+    "unknown type": f"type IS NULL OR type NOT IN {TYPES}",
+    "unknown specificity": f"specificity IS NULL OR specificity NOT IN {SPECIFICITIES}",
+    "self_contained is missing": "self_contained IS NULL",
+}
+
+
+def validate_questions(curated: DataFrame, sample: DataFrame, docs: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(qid, problems) of curated (qid, q, expect, type, specificity, self_contained): checked against the sample and the archive."""
+    drawn = sample.select("qid", "session_id", F.col("id").alias("message_id"), comparable(F.col("question")).alias("drawn"))
+    messages = docs.where("role <> 'title'").select(F.col("id").alias("message_id"), F.col("session_id").alias("message_session"), F.col("role").alias("message_role"), comparable(F.coalesce("text", F.lit(""))).alias("archived"))
+    known = sessions.select(F.col("id").alias("session_id"), F.lit(True).alias("known_session"))
+    rows = curated.join(drawn, "qid", "left").join(messages, "message_id", "left").join(known, "session_id", "left")
+    rows = rows.withColumn("rewritten", comparable(F.coalesce("q", F.lit("")))).withColumn("asked", F.coalesce(F.nullif("rewritten", F.lit("")), "drawn"))
+    first = F.coalesce(*(F.when(F.expr(rule), F.array(F.lit(name))) for name, rule in PROVENANCE.items()))
+    rest = F.array_compact(F.array(*(F.when(F.expr(rule), F.lit(name)) for name, rule in DETAILS.items())))
+    return rows.select("qid", F.coalesce(first, rest).alias("problems"))
+
+
+def question_items(curated: DataFrame, problems: DataFrame) -> DataFrame:
+    """The curated rows if none of them has a problem, else no row at all."""
+    wrong = problems.where(F.size("problems") > 0).agg(F.count("*").alias("wrong__"))
+    return curated.join(F.broadcast(wrong)).where("wrong__ = 0").drop("wrong__")  # one row
 
 
 def question_rollup(questions: DataFrame, *dimensions: str) -> DataFrame:
@@ -81,37 +117,130 @@ def question_rollup(questions: DataFrame, *dimensions: str) -> DataFrame:
     return spread.groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct("session_id").alias("sessions"))
 
 
-#: Patterns of commands: id, expression, whether a match makes a run invalid.
-PATTERNS = [("database-file", r"(?i)[\w.-]+\.(db|sqlite3?)\b", False), ("database-shell", r"(?i)(?<!['\"])\bsqlite3?\b", False), ("event-log", r"(?i)(events|sessions)\.jsonl", False), ("test-set", r"(?i)questions\.(jsonl|md)|curated\.json", True)]
-_FIELDS = ["command", "cmd", "script", "code", "filePath", "file", "path", "pattern", "query", "url", "content"]
+#: Patterns of commands that reach for an archive by other ways than its own tool: id, expression, whether a match makes
+#: a run invalid. These are general; a run's own files and folders come as a list of its own.
+PATTERNS = [
+    ("source-database", r"(?i)\b(?:source|sessions?|history)\.(?:db|sqlite3?)\b", False),  # the source's database, past its extracts
+    ("index-database", r"(?i)\bindex\.(?:db|sqlite3?)\b", False),  # the index, past its searches
+    ("database-shell", r"(?i)(?<!['\"])\bsqlite3?\b", False),  # any database, whatever its name; quoted words are no calls
+    ("event-log", r"(?i)\bevents\.jsonl", False),  # the archive's messages
+    ("session-log", r"(?i)\bsessions\.jsonl", False),  # the archive's sessions
+    ("archive-folder", r"(?i)\barchive/(?:corpus|index|raw)\b", False),  # the archive's files by their folder
+    ("test-set", r"(?i)\bquestions\.(?:jsonl|md)\b|\bcurated\.json\b|\beval/", True),  # the answers themselves
+]
+# Fields of a call's input that hold its command, and those looked for in cut-off JSON, in order.
+FIELDS = ["command", "cmd", "script", "code", "filePath", "file", "path", "pattern", "query", "url", "content"]
+SALVAGED = ["command", "cmd", "script", "code", "filePath", "file", "path", "pattern", "query"]
+# Fixed values of shells: commands that call another, words that go before or instead of one, and commands of unknown effect.
+CALLERS, BEFORE = ["sudo", "env", "time", "command", "exec", "nohup", "nice", "stdbuf"], ["do", "then", "else"]
+CONTROL, DYNAMIC = ["for", "done", "elif", "fi", "if", "while", "until", "case", "esac", "in", "!"], ["eval", "xargs", "source", "."]
+
+
+@dataclass(frozen=True)
+class Tool:
+    """The archive's own command: its name, subcommands that change the archive, and options that take a value."""
+
+    name: str
+    changing: tuple[str, ...] = ()
+    valued: tuple[str, ...] = ()
 
 
 def call_commands(responses: DataFrame) -> DataFrame:
-    """(id, call_index, command, origin) of responses with toolCalls (tool, input as JSON text, which may be cut off)."""
-    calls = responses.select("id", F.posexplode("toolCalls").alias("call_index", "c")).select("id", "call_index", F.col("c.input").alias("input")).withColumn("v", F.try_parse_json("input"))
-    v = F.col("v")
-    fields = [F.nullif(variant, F.lit("")) for root in ("$.input", "$.args") for k in _FIELDS for variant in [F.try_variant_get(v, f"{root}.{k}", "string")]]
-    salvage = F.nullif(F.regexp_extract("input", r'"(?:command|cmd)"\s*:\s*"((?:[^"\\]|\\.)*)', 1), F.lit(""))
-    salvage = F.replace(F.replace(salvage, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
-    looks = F.col("input").rlike(r"^\s*[{\[]")
-    command = F.when(F.coalesce("input", F.lit("")) == "", "").when(v.isNotNull() & (F.schema_of_variant(v) == "STRING"), F.try_variant_get(v, "$", "string")).when(looks, F.coalesce(*fields, salvage, F.lit(""))).otherwise(F.col("input"))
-    origin = F.when(F.coalesce("input", F.lit("")) == "", "empty").when(looks & F.coalesce(*fields).isNotNull(), "field").when(looks & salvage.isNotNull(), "salvage").when(looks, "unreadable").otherwise("raw")
-    return calls.select("id", "call_index", command.alias("command"), origin.alias("origin"))
-
-
-def pattern_audit(df: DataFrame, text_col: str, patterns=PATTERNS, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """keep, segment, pattern, invalidating, excerpt: matches in the segments of shell commands, outside quoted phrases."""
-    parts = df.select(*keep, F.posexplode(F.split(text_col, r"\|\||&&|[|;\n]|\$\(")).alias("segment", "part")).withColumn("part", F.regexp_replace("part", r"\"[^\"]* [^\"]*\"|'[^']* [^']*'", "\"\""))
-    tests = F.array(*(F.when(F.col("part").rlike(rx), F.struct(F.lit(name).alias("pattern"), F.lit(bad).alias("invalidating"), F.regexp_extract("part", f"(.{{0,60}}(?:{rx}).{{0,60}})", 1).alias("excerpt"))) for name, rx, bad in patterns))
-    return parts.select(*keep, "segment", F.explode(F.array_compact(tests)).alias("x")).select(*keep, "segment", "x.pattern", "x.invalidating", "x.excerpt")
-
-
-def review_rows(df: DataFrame, text_col: str, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Commands that cannot be decided: substitutions, and eval or xargs."""
-    reason = F.when(F.col(text_col).rlike(r"\$\(|`"), "substitution").when(F.col(text_col).rlike(r"(^|[|;&]\s*)(eval|xargs)\b"), "dynamic command")
-    return df.select(*keep, reason.alias("reason")).where("reason IS NOT NULL")
-
-
-def audit_summary(found: DataFrame, patterns=PATTERNS) -> DataFrame:
-    mark = "\n".join(f"{n}:{rx}" for n, rx, _ in patterns)
-    return found.groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("id").alias("questions"), F.max("invalidating").alias("invalidating")).withColumn("patterns", F.substring(F.sha2(F.lit(mark), 256), 1, 16))
+    """(id, call_index, tool, command, origin) of responses with toolCalls (tool, input as JSON text, which may be cut off).
+
+    origin: field, salvage (out of JSON that is cut off or has no known field), text, or unreadable (command null).
+    """
+    calls = responses.select("id", F.posexplode("toolCalls").alias("call_index", "c")).select("id", "call_index", F.col("c.tool").alias("tool"), F.coalesce("c.input", F.lit("")).alias("input")).withColumn("v", F.try_parse_json("input"))
+    v, none = F.col("v"), F.lit("")
+    field = F.coalesce(*(F.nullif(variant_string(v, f"{root}.{k}"), none) for root in ("$.input", "$.args") for k in FIELDS))
+    cut = F.regexp_extract("input", rf'"(?:{"|".join(SALVAGED)})"\s*:\s*"((?:[^"\\]|\\.)*)', 1)
+    for escape, sign in (("n", "\n"), ("t", "\t"), ("r", "\r")):
+        cut = F.regexp_replace(cut, rf"(?<!\\)((?:\\\\)*)\\{escape}", f"$1{sign}")
+    salvage = F.nullif(trimmed(F.regexp_replace(cut, r"\\(.)", "$1")), none)
+    plain = F.when(F.schema_of_variant(v) == "STRING", F.nullif(F.try_variant_get(v, "$", "string"), none)).when(~F.col("input").rlike(r"^\s*[{\[]"), F.nullif(F.col("input"), none))
+    origin = F.when(field.isNotNull(), "field").when(plain.isNotNull(), "text").when(salvage.isNotNull(), "salvage").otherwise("unreadable")
+    return calls.select("id", "call_index", "tool", F.coalesce(field, plain, salvage).alias("command"), origin.alias("origin"))
+
+
+def masked(text: Column) -> Column:
+    """text without quoted phrases: quotes around several words that aren't code."""
+    for q in ('"', "'"):
+        code = rf"(?![^{q}]*\b(?:import|require|from|def|open|connect)\b)"
+        text = F.regexp_replace(text, rf"{q}(?=[^{q}]*\s){code}[^{q}=(){{}};|<>$`]*(?:{q}|$)", f"{q}{q}")
+    return text
+
+
+def command_segments(commands: DataFrame, tool: Tool | None = None) -> DataFrame:
+    """commands with a row for each segment of a pipeline or list: segment, part, kind, name, subcommand, opened, named, values.
+
+    kind: command, control (a shell's own words) or dynamic (what runs can't be known). For the archive's own tool
+    also its subcommand, files it is fed from or writes to (opened), paths among its arguments (named), and values of
+    its options.
+    """
+    parts = commands.select("*", F.posexplode(F.split("command", r"\|\||&&|[|;\n]|\$\(")).alias("segment", "part"))
+    parts = parts.withColumn("part", trimmed(F.regexp_replace("part", r"\)\s*$", ""))).where("part <> ''")
+    lead = rf"^(?:[\s(){{}}]+|[A-Za-z_]\w*=\S*(?:\s+|$)|(?:\S*/)?(?:{'|'.join(CALLERS)})\s+|(?:{'|'.join(BEFORE)})\s+)*"
+    parts = parts.withColumn("rest", F.regexp_replace("part", lead, "")).withColumn("head", F.regexp_extract("rest", r"^[^\s(){}]+", 0))
+    kind = F.when((F.col("head") == "") | F.col("head").rlike("^['\"]") | F.col("head").isin(CONTROL), "control").when(F.col("head").isin(DYNAMIC) | F.col("head").rlike("^[$`]"), "dynamic").otherwise("command")
+    parts = parts.withColumns({"kind": kind, "name": F.regexp_extract("head", r"[^/]*$", 0)})
+    nothing = F.array().cast("array<string>")
+    if tool is None:
+        return parts.withColumns({"own": F.lit(False), "subcommand": F.lit(None).cast("string"), "opened": nothing, "named": nothing, "values": nothing}).drop("rest", "head")
+    own = (F.col("kind") == "command") & (F.col("name") == tool.name)
+    valued = "|".join(map(re.escape, tool.valued)) or "(?!)"
+    word = r"(\"[^\"]*\"|'[^']*'|\S+)"
+    bare = lambda c: F.regexp_replace(c, r"^[\"']|[\"']$", "")
+    arguments = F.regexp_replace("rest", r"^\S+\s*", "")
+    fed = F.regexp_extract_all("part", F.lit(r"(?:>>|<<|>|<)\s*(\"[^\"]*\"|'[^']*'|[^\s|;&()<>]+)"), F.lit(1))
+    left = F.regexp_replace(F.regexp_replace(arguments, rf"(?:^|(?<=\s))(?:{valued})(?:=|\s+){word}", ""), r"(?:^|(?<=\s))-\S*", "")
+    words = F.transform(F.regexp_extract_all(F.regexp_replace(left, r"\d*(?:>>|<<|>|<)\s*\S+", ""), F.lit(word), F.lit(1)), bare)
+    parts = parts.withColumns({"own": own, "words": words})
+    return parts.withColumns({
+        "subcommand": F.when(own, F.try_element_at("words", F.lit(1))),
+        "opened": F.when(own, F.filter(F.transform(fed, bare), lambda x: ~x.rlike(r"^(?:&.*|\d*)$"))).otherwise(nothing),
+        "named": F.when(own, F.filter(F.slice("words", 2, 1_000_000), lambda x: x.rlike(r"[/\\]|(?i)\.(?:jsonl|json|db)\b"))).otherwise(nothing),
+        "values": F.when(own, F.transform(F.regexp_extract_all(arguments, F.lit(rf"(?:^|\s)(?:{valued})(?:=|\s+){word}"), F.lit(1)), bare)).otherwise(nothing),
+    }).drop("rest", "head", "words")
+
+
+def audit_calls(commands: DataFrame, patterns=PATTERNS, tool: Tool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Deviations, rows for review and unanalysable calls of a table (id, call_index, command).
+
+    Deviations (id, call_index, pattern, invalidating, excerpt): patterns outside quoted phrases, and changes by the
+    archive's own tool. Of a proper call of that tool only the files count that it opens or names; one that is just
+    named invalidates nothing. Review (id, call_index, reason): what can't be decided. An automaton isn't needed: the
+    list of patterns is short and part of the plan.
+    """
+    has = F.coalesce(trimmed(F.col("command")), F.lit("")) != ""
+    parts = command_segments(commands.where(has), tool)
+    variable = F.coalesce(F.col("subcommand").rlike("[$`]"), F.lit(False))
+    changing = F.coalesce(F.col("subcommand").isin(list(tool.changing)) if tool else F.lit(False), F.lit(False))
+    proper = F.col("own") & ~variable & ~changing
+    target = lambda c, opened: F.transform(c, lambda x: F.struct(masked(x).alias("text"), F.lit(opened).alias("opened")))
+    targets = F.when(proper, F.concat(target(F.col("opened"), True), target(F.col("named"), False))).otherwise(target(F.array("part"), True))
+    judged = parts.withColumns({"variable": variable, "changing": changing, "targets": targets})
+    met = lambda rx, bad: F.try_element_at(F.filter("targets", lambda t: t["text"].rlike(rx) & (t["opened"] | F.lit(not bad))), F.lit(1))["text"]
+    row = lambda name, bad, excerpt: F.when(excerpt.isNotNull(), F.struct(F.lit(name).alias("pattern"), F.lit(bad).alias("invalidating"), excerpt.alias("excerpt")))
+    found = [row(name, bad, F.regexp_extract(met(rx, bad), f"(.{{0,60}}(?:{rx}).{{0,60}})", 1)) for name, rx, bad in patterns]
+    found.append(row("change", False, F.when(F.col("changing"), F.substring(masked(F.col("part")), 1, 80))))
+    deviations = judged.select("id", "call_index", F.explode(F.array_compact(F.array(*found))).alias("x")).select("id", "call_index", "x.*").distinct()
+    reasons = F.array_compact(F.array(
+        F.when(F.col("kind") == "dynamic", F.lit("dynamic command")), F.when(F.col("own") & F.col("variable"), F.lit("variable subcommand")),
+        F.when(proper & F.exists("values", lambda x: x.rlike(r"[/\\]")), F.lit("option with a path")),
+    ))
+    review = judged.select("id", "call_index", F.explode(reasons).alias("reason")).unionByName(commands.where(F.col("command").rlike(r"\$\(|`")).select("id", "call_index", F.lit("substitution").alias("reason"))).distinct()
+    return deviations, review, commands.where(~has).select("id", "call_index")
+
+
+def audit_summary(deviations: DataFrame, patterns=PATTERNS) -> DataFrame:
+    """(pattern, calls, questions, invalidating, patterns): patterns is the mark of the list, by which audits can be compared."""
+    mark = "\n".join(f"{n}:{rx}:{bad}" for n, rx, bad in patterns)
+    return deviations.groupBy("pattern").agg(F.countDistinct("id", "call_index").alias("calls"), F.countDistinct("id").alias("questions"), F.max("invalidating").alias("invalidating")).withColumn("patterns", F.substring(F.sha2(F.lit(mark), 256), 1, 16))
+
+
+def audit_status(responses: DataFrame, deviations: DataFrame, unanalysable: DataFrame) -> DataFrame:
+    """One row: scanned, calls, unreadable, unanalysable, deviating and invalid calls, and complete or incomplete."""
+    counts = responses.agg(F.count_if(F.col("id").isNotNull()).alias("scanned"), F.sum(F.when(F.col("id").isNotNull(), F.coalesce(F.size("toolCalls"), F.lit(0))).otherwise(0)).alias("calls"), F.count_if(F.col("id").isNull()).alias("unreadable"))
+    bad = deviations.agg(F.countDistinct("id", "call_index").alias("deviating"), F.countDistinct(F.when(F.col("invalidating"), F.struct("id", "call_index"))).alias("invalid"))
+    joined = counts.join(F.broadcast(bad)).join(F.broadcast(unanalysable.agg(F.count("*").alias("unanalysable"))))  # single rows
+    return joined.withColumn("status", F.when((F.col("unreadable") > 0) | (F.col("unanalysable") > 0), "incomplete").otherwise("complete"))

@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dialogmill.operators.normalise import title_rows
+from dialogmill.operators.search import rawrefs
+
 
 def digest(df: DataFrame, *leave: str):
-    return F.md5(F.to_json(F.struct(*(c for c in df.columns if c not in leave))))
+    """One md5 for a row, whatever its columns' order; a null differs from an empty text. Structs count by their JSON."""
+    names = sorted(c for c in df.columns if c not in leave)
+    nested = {f.name for f in df.schema if f.dataType.simpleString().startswith(("struct", "array", "map"))}
+    return F.md5(F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.to_json(c) if c in nested else F.col(c).cast("string")), F.lit("-")) for c in names)))
 
 
-def latest(df: DataFrame, key: str = "id", order: str = "pass") -> DataFrame:
-    """The last version of each key."""
-    return df.withColumn("n__", F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))).where("n__ = 1").drop("n__")
+def latest(df: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """The last version of each key by order (ties, and rows without an order: by their digest)."""
+    by = [F.col(order).desc()] if order else []
+    return df.withColumn("d__", digest(df)).withColumn("n__", F.row_number().over(W.partitionBy(key).orderBy(*by, F.col("d__").desc()))).where("n__ = 1").drop("n__", "d__")
 
 
 def upsert_status(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -27,16 +34,36 @@ def upsert_status(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """old with the rows of new in place of those of equal key; nothing is ever removed."""
-    return new.select(*old.columns).unionByName(old.join(new.select(key), key, "left_anti").select(*old.columns))
+    once = latest(new.select(*old.columns), key)
+    return once.unionByName(old.join(new.select(key), key, "left_anti").select(*old.columns))
+
+
+def refresh_titles(docs: DataFrame, touched: DataFrame) -> DataFrame:
+    """Search rows after an upsert of sessions: titles of touched sessions are written anew, or go if the title is empty."""
+    titles = title_rows(touched)
+    kept = docs.join(touched.select(F.col("id")).withColumn("role", F.lit("title")), ["id", "role"], "left_anti")
+    return kept.select(*docs.columns).unionByName(titles.select(*docs.columns))
+
+
+def refresh_rawrefs(refs: DataFrame, touched: DataFrame) -> DataFrame:
+    """References after an upsert of events: those of replaced events go before the new ones come; the new one of a reference wins."""
+    fresh = rawrefs(touched)
+    kept = refs.join(touched.select(F.col("id").alias("event_id")), "event_id", "left_anti").join(fresh.select("raw_ref"), "raw_ref", "left_anti")
+    return kept.select(*refs.columns).unionByName(fresh.select(*refs.columns))
 
 
-def ingest_summary(status: DataFrame) -> DataFrame:
-    return status.groupBy("status").agg(F.count("*").alias("n"))
+def ingest_summary(*kinds: tuple[str, DataFrame]) -> DataFrame:
+    """(kind, status, n) of tables with a status, each under its kind: events, sessions, raw outputs, orphans, ignored lines."""
+    parts = [status.groupBy("status").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "status", "n") for kind, status in kinds]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
 
 
-def advance_state(state: DataFrame, seen: DataFrame) -> DataFrame:
-    """(source, watermark): the largest time of each source; sources that were not seen keep theirs."""
-    return state.select("source", "watermark").unionByName(seen.select(F.coalesce("source", F.lit("opencode")).alias("source"), F.col("ts").alias("watermark"))).groupBy("source").agg(F.max("watermark").alias("watermark"))
+def advance_state(state: DataFrame, seen: DataFrame, reset: tuple[str, ...] = ()) -> DataFrame:
+    """(source, watermark): the largest time of each source; sources that were not seen keep theirs, those in reset start again."""
+    return state.where(~F.col("source").isin(*reset)).select("source", "watermark").unionByName(seen.select(F.coalesce("source", F.lit("opencode")).alias("source"), F.col("ts").alias("watermark"))).groupBy("source").agg(F.max("watermark").alias("watermark"))
 
 
 def table_lag(archive: DataFrame, index: DataFrame) -> DataFrame:
@@ -64,5 +91,6 @@ def fingerprint(df: DataFrame, key: str = "id") -> DataFrame:
 def file_fingerprint(spark, path: str) -> DataFrame:
     """The same over the files below a folder, by their path and content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.col("path").rlike(r"/[._][^/]*$|\.tmp$"))
-    name = F.expr(f"substring(path, instr(path, '{path.rstrip('/').split('/')[-1]}'))")
+    root = path.rstrip("/") + "/"
+    name = F.col("path").substr(F.instr("path", root) + len(root), F.length("path"))
     return fingerprint(files.select(name.alias("id"), F.md5("content").alias("md5")))

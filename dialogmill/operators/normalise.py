@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogmill.functions.columns import cmd_of, exit_code_of, model_of, raw_content_of, repo_of, tokens_of, variant_string, variant_text
+from dialogmill.functions.columns import cmd_of, exit_code_of, model_name, model_of, raw_content_of, repo_of, search_cmd, source_of, tokens_of, variant_string, variant_text
 
 _COUNTS = ["in", "out", "reasoning", "cacheRead", "cacheWrite"]
 
 
-def canonical_sessions(session: DataFrame) -> DataFrame:
+def canonical_sessions(session: DataFrame, home: str | None = None) -> DataFrame:
     n = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint"))
     tokens = F.struct(n("tokens_input").alias("in"), n("tokens_output").alias("out"), n("tokens_reasoning").alias("reasoning"), n("tokens_cache_read").alias("cacheRead"), n("tokens_cache_write").alias("cacheWrite"))
     return session.select(
-        F.lit(1).alias("schemaVersion"), F.lit("opencode").alias("source"), "id", "title", "directory", repo_of(F.col("directory")).alias("repo"),
+        F.lit(1).alias("schemaVersion"), F.lit("opencode").alias("source"), "id", "title", "directory", repo_of(F.col("directory"), home).alias("repo"),
         F.col("time_created").alias("tsCreated"), F.col("time_updated").alias("tsUpdated"), F.coalesce("cost", F.lit(0.0)).alias("cost"), tokens.alias("tokens"), F.col("parent_id").alias("parentSession"),
     )
 
@@ -29,7 +29,7 @@ def raw_outputs(part: DataFrame) -> DataFrame:
     return tools.select(F.col("id").alias("part_id"), raw_content_of(F.col("v")).alias("content"), F.lit("opencode").alias("source")).where("content IS NOT NULL")
 
 
-def canonical_events(message: DataFrame, part: DataFrame, session: DataFrame) -> DataFrame:
+def canonical_events(message: DataFrame, part: DataFrame, session: DataFrame, home: str | None = None) -> DataFrame:
     """One event for each user or assistant message, with its text, calls and usage from its parts in order of their ids.
 
     Where tokens or cost are missing in the message, the sums of its finished steps are added to what is there.
@@ -51,7 +51,7 @@ def canonical_events(message: DataFrame, part: DataFrame, session: DataFrame) ->
         *(F.sum(F.col("u")[n]).alias(f"step_{n}") for n in _COUNTS),
     )
     parsed = message.withColumn("v", F.try_parse_json("data")).where("v IS NOT NULL").where(variant_text(v, "$.role").isin("user", "assistant"))
-    repos = session.select(F.col("id").alias("session_id"), repo_of(F.col("directory")).alias("repo"))
+    repos = session.select(F.col("id").alias("session_id"), repo_of(F.col("directory"), home).alias("repo"))
     joined = parsed.join(grouped, parsed["id"] == grouped["message_id"], "left").join(repos, "session_id", "left")
     has_tokens = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.tokens", "variant")).startswith("OBJECT"), F.lit(False))
     cost = F.try_variant_get(v, "$.cost", "double")
@@ -68,8 +68,10 @@ def canonical_events(message: DataFrame, part: DataFrame, session: DataFrame) ->
 
 def search_docs(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """Events and titles as rows to search."""
-    from dialogmill.functions.columns import model_name, search_cmd, source_of
-
     messages = events.select("id", F.col("sessionId").alias("session_id"), "ts", "role", "agent", "repo", model_name(F.col("model")).alias("model"), F.coalesce(search_cmd(F.col("toolCalls")), F.lit("")).alias("cmd"), F.coalesce("text", F.lit("")).alias("text"), source_of().alias("source"))
-    titles = sessions.where("title <> ''").select("id", F.col("id").alias("session_id"), F.coalesce("tsCreated", "tsUpdated", F.lit(0)).alias("ts"), F.lit("title").alias("role"), F.lit(None).cast("string").alias("agent"), "repo", F.lit(None).cast("string").alias("model"), F.lit("").alias("cmd"), F.col("title").alias("text"), source_of().alias("source"))
-    return messages.unionByName(titles)
+    return messages.unionByName(title_rows(sessions))
+
+
+def title_rows(sessions: DataFrame) -> DataFrame:
+    """Titles that aren't empty, as rows to search; a session's time is its first, else its last, else 0."""
+    return sessions.where("title <> ''").select("id", F.col("id").alias("session_id"), F.coalesce("tsCreated", "tsUpdated", F.lit(0)).alias("ts"), F.lit("title").alias("role"), F.lit(None).cast("string").alias("agent"), "repo", F.lit(None).cast("string").alias("model"), F.lit("").alias("cmd"), F.col("title").alias("text"), source_of().alias("source"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dialogmill.functions.columns import anchor_millis
+from dialogmill.functions.columns import anchor_millis, format_ts, trimmed
 
 
 def message_index(docs: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def resolve_anchors(requests: DataFrame, docs: DataFrame) -> DataFrame:
     sessions = docs.select("session_id").distinct().withColumn("known__", F.lit(True))
     joined = joined.join(sessions, "session_id", "left")
     status = (
-        F.when(F.trim(F.coalesce("at", F.lit(""))) == "", "empty").when(F.col("known__").isNull(), "not_found")
+        F.when(trimmed(F.coalesce("at", F.lit(""))) == "", "empty").when(F.col("known__").isNull(), "not_found")
         .when(F.col("in__") == F.col("session_id"), "ok").when(F.col("in__").isNotNull(), "other_session").when(F.col("time__").isNotNull(), "ok").otherwise("invalid")
     )
     anchor = F.when(F.col("in__") == F.col("session_id"), F.col("ts__")).otherwise(F.col("time__"))
@@ -114,5 +114,4 @@ def calls_summary(events: DataFrame) -> DataFrame:
 
 
 def messages_export(docs: DataFrame) -> DataFrame:
-    date = F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd HH:mm")
-    return message_index(docs).select("session_id", F.col("idx").alias("index"), date.alias("date"), "id", "role", "agent", "model", "text", "cmd")
+    return message_index(docs).select("session_id", F.col("idx").alias("index"), format_ts(F.col("ts")).alias("date"), "id", "role", "agent", "model", "text", "cmd")

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dialogmill.functions.columns import trimmed
 from dialogmill.operators.textindex import bm25, phrase_frequencies, phrases, tokenize, top_k
 
 EXCERPT = 20_000
-NEEDLE_BLOCKS = 4
+#: Needles that one pass over the outputs looks for; they are collected to the driver and sent to the tasks.
+NEEDLES = 50_000
 
 
 def ranked(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = None, **index) -> DataFrame:
@@ -21,11 +23,12 @@ def ranked(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = N
 
 
 def by_time(queries: DataFrame, docs: DataFrame, k: int, newest: bool = True, where: Column | None = None, **index) -> DataFrame:
-    """The first k of all matches in order of (ts, id), both descending for newest."""
+    """The first k of all matches in order of (ts, id), both descending for newest; texts join the chosen ones only."""
     kept = docs if where is None else docs.where(where)
-    hits = bm25(queries, docs, **index).join(kept, "id")
+    hits = bm25(queries, docs, **index).join(kept.select("id", "ts"), "id")
     order = [F.col("ts").desc(), F.col("id").desc()] if newest else ["ts", "id"]
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
+    best = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
+    return best.drop("ts").join(kept, "id")
 
 
 def browse(docs: DataFrame, n: int, newest: bool = True, where: Column | None = None) -> DataFrame:
@@ -44,7 +47,8 @@ def neighbors(hits: DataFrame, docs: DataFrame, ctx: int) -> DataFrame:
     """(qid, session_id, id, ts, for_ref): ctx messages before and after each hit (qid, rank, id, session_id, ts, role).
 
     Titles are no messages: a title hit stands before the first message at or after it. A message near several hits of
-    a query is there once, for the first of them. Only sessions with hits are numbered.
+    a query is there once, for the first of them. Only sessions with hits are numbered. hits are read several times:
+    a search's result should be written first.
     """
     events = docs.where("role <> 'title'").join(hits.select("session_id").distinct(), "session_id", "left_semi")
     numbered = events.select("session_id", "id", "ts", F.row_number().over(W.partitionBy("session_id").orderBy("ts", "id")).alias("rn"))
@@ -58,10 +62,17 @@ def neighbors(hits: DataFrame, docs: DataFrame, ctx: int) -> DataFrame:
     return near.withColumn("n", first).where("n = 1").select("qid", "session_id", "id", "ts", "for_ref")
 
 
-def session_groups(hits: DataFrame) -> DataFrame:
-    """(qid, session_id, best_rank, hit_refs): groups by their best hit, hits by time within."""
-    refs = F.transform(F.array_sort(F.collect_list(F.struct("ts", "id"))), lambda x: x["id"])
-    return hits.groupBy("qid", "session_id").agg(F.min("rank").alias("best_rank"), refs.alias("hit_refs"), F.count("*").alias("n_hits"))
+def session_groups(hits: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(qid, session_id, best_rank, hit_refs, n_hits): groups by their best hit, hits by time within.
+
+    With near (of neighbors) also neighbor_refs: the messages around the hits that are no hits, by time.
+    """
+    refs = lambda: F.transform(F.array_sort(F.collect_list(F.struct("ts", "id"))), lambda x: x["id"])
+    groups = hits.groupBy("qid", "session_id").agg(F.min("rank").alias("best_rank"), refs().alias("hit_refs"), F.count("*").alias("n_hits"))
+    if near is None:
+        return groups
+    around = near.join(hits.select("qid", "id"), ["qid", "id"], "left_anti").groupBy("qid", "session_id").agg(refs().alias("neighbor_refs"))
+    return groups.join(around, ["qid", "session_id"], "left").withColumn("neighbor_refs", F.coalesce("neighbor_refs", F.array().cast("array<string>")))
 
 
 def missing_models(hits: DataFrame) -> DataFrame:
@@ -81,18 +92,23 @@ def excerpts(hits: DataFrame, limit: int = EXCERPT) -> DataFrame:
     return hits.withColumns({"excerpt": cut, "excerpt_len": F.length(cut), "full_len": F.length(body), "full": F.length(cut) == F.length(body)})
 
 
-def snippets(hits: DataFrame, queries: DataFrame, width: int = 14) -> DataFrame:
-    """hits with snippet: the window of `width` tokens with most different query terms, the earliest of these."""
+def snippets(hits: DataFrame, queries: DataFrame, width: int = 14, column: str = "text", marks: tuple[str, str] = ("[", "]")) -> DataFrame:
+    """hits with <column>_snippet and <column>_marked: the window of `width` words with most different query terms.
+
+    The earliest of these; marked has the words with a query term between marks. Also for commands (column="cmd").
+    """
     asked = phrases(queries).groupBy("qid").agg(F.collect_set("term").alias("asked"))
-    words = F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")
+    words = F.split(trimmed(F.coalesce(column, F.lit(""))), r"\s+")
     joined = hits.join(asked, "qid", "left").withColumn("words__", words)
     found = joined.withColumn("hit__", F.transform("words__", lambda w: F.array_intersect(tokenize(w), F.coalesce("asked", F.array().cast("array<string>")))))
     starts = F.sequence(F.lit(1), F.greatest(F.size("words__") - width + 1, F.lit(1)))
     best = F.array_max(F.transform(starts, lambda i: F.struct(F.size(F.array_distinct(F.flatten(F.slice("hit__", i, F.lit(width))))).alias("n"), (-i).alias("i"))))
-    at = -best["i"]
-    text = F.array_join(F.slice("words__", at, F.lit(width)), " ")
+    at = F.col("at__")
     dots = lambda c: F.when(c, F.lit("...")).otherwise(F.lit(""))
-    return found.withColumn("snippet", F.concat(dots(at > 1), text, dots(at + width <= F.size("words__")))).drop("words__", "hit__", "asked")
+    shown = lambda ws: F.concat(dots(at > 1), F.array_join(F.slice(ws, at, F.lit(width)), " "), dots(at + width <= F.size("words__")))
+    marked = F.zip_with("words__", "hit__", lambda w, h: F.when(F.size(h) > 0, F.concat(F.lit(marks[0]), w, F.lit(marks[1]))).otherwise(w))
+    placed = found.withColumn("at__", -best["i"])
+    return placed.withColumns({f"{column}_snippet": shown(F.col("words__")), f"{column}_marked": shown(marked)}).drop("words__", "hit__", "asked", "at__")
 
 
 def rawrefs(events: DataFrame) -> DataFrame:
@@ -102,23 +118,90 @@ def rawrefs(events: DataFrame) -> DataFrame:
     return calls.withColumn("n", last).where("n = 1").select(F.col("c.rawRef").alias("raw_ref"), "event_id", "session_id", "ts", "role", F.col("c.tool").alias("tool"), F.col("c.cmd").alias("cmd"))
 
 
-def raw_scan(needles: DataFrame, raw: DataFrame, refs: DataFrame | None = None, limit: int = 10, line_chars: int = 200) -> DataFrame:
-    """(nid, part_id, line_no, line): the first match of each literal needle in each output, without regard to case.
+def ref_source(raw_ref: Column) -> Column:
+    """The source of a raw output, by the family of its id."""
+    return F.when(raw_ref.startswith("pi:"), "pi").otherwise("opencode")
+
+
+def raw_scan(needles: DataFrame, raw: DataFrame, refs: DataFrame | None = None, source: str | None = None, limit: int = 10, line_chars: int = 200) -> DataFrame:
+    """(nid, part_id, line_no, line): the first match of each literal needle (nid, needle) in each output, without regard to case.
+
+    At most `limit` outputs for each needle, in order of their id, or of (ts, id) where refs (raw_ref, ts) are given:
+    then only outputs that are referred to are read. source keeps one family of ids; an unknown one has no outputs.
 
-    The needle table is small by its nature and each needle is looked for in every output: a stated query set
-    against all rows. Needles meet the outputs in blocks, so that an output is lowered once for a block.
+    All needles are looked for in one pass over an output, by an automaton of at most NEEDLES of them; more make
+    further passes. A task keeps the first `limit` outputs of each needle only, so what leaves it doesn't grow with
+    the outputs.
     """
-    sources = raw if refs is None else raw.join(refs.select(F.col("raw_ref").alias("part_id")), "part_id", "left_semi")
-    lowered = needles.select("nid", F.lower("needle").alias("needle__")).where("needle__ <> ''")
-    # the first parts of each needle are chosen by id alone; only these are read again for their lines
-    blocks = lowered.groupBy(F.pmod(F.xxhash64("nid"), F.lit(NEEDLE_BLOCKS)).alias("block")).agg(F.collect_list(F.struct("nid", "needle__")).alias("asked"))
-    within = F.filter("asked", lambda x: F.contains(F.col("low__"), x["needle__"]))
-    met = sources.select("part_id", F.lower("content").alias("low__")).crossJoin(blocks.select("asked"))
-    hits = met.select("part_id", F.explode(within).alias("hit")).select("hit.nid", "hit.needle__", "part_id")
-    first = hits.withColumn("n__", F.row_number().over(W.partitionBy("nid").orderBy("part_id"))).where(F.col("n__") <= limit)
-    found = first.join(sources.select("part_id", "content"), "part_id").withColumn("low__", F.lower("content"))
-    line_no = F.size(F.split(F.expr("substring(low__, 1, instr(low__, needle__))"), "\n"))
-    return found.select("nid", "part_id", line_no.alias("line_no"), F.substring(F.trim(F.element_at(F.split("content", "\n"), line_no)), 1, line_chars).alias("line"))
+    outputs = raw.select("part_id", "content", F.lit(0).cast("bigint").alias("ts")) if refs is None else raw.select("part_id", "content").join(refs.select(F.col("raw_ref").alias("part_id"), "ts"), "part_id")
+    if source not in (None, "all"):
+        outputs = outputs.where(ref_source(F.col("part_id")) == source)
+    outputs = outputs.select("ts", "part_id", "content", F.lower("content").alias("low"))
+    asked = needles.where(trimmed(F.coalesce("needle", F.lit(""))) != "").select("nid", F.lower("needle").alias("needle"))
+    n = asked.count()
+    passes = 1 if n <= NEEDLES else -(-2 * n // NEEDLES)
+    schema = "nid string, ts bigint, part_id string, line_no int, line string"
+    found = None
+    for turn in range(passes if n else 0):
+        block = asked.where(F.pmod(F.xxhash64("nid", "needle"), F.lit(passes)) == turn)
+        words = [(r.nid, r.needle) for r in block.collect()]
+        if not words:
+            continue
+        part = outputs.mapInArrow(_scanner(words, limit), schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = needles.sparkSession.createDataFrame([], schema)
+    first = F.row_number().over(W.partitionBy("nid").orderBy("ts", "part_id"))
+    best = found.withColumn("n__", first).where(F.col("n__") <= limit)
+    return best.select("nid", "part_id", "line_no", F.substring(trimmed(F.col("line")), 1, line_chars).alias("line"))
+
+
+def _scanner(words: list[tuple[str, str]], limit: int):
+    """The task of raw_scan: a heap of the first outputs for each needle."""
+
+    def run(batches):
+        import heapq
+        from collections import defaultdict
+
+        import ahocorasick
+        import pyarrow as pa
+
+        asked = defaultdict(list)
+        for nid, needle in words:
+            asked[needle].append(nid)
+        automaton = ahocorasick.Automaton()
+        for needle in asked:
+            automaton.add_word(needle, needle)
+        automaton.make_automaton()
+        best: dict[str, list] = defaultdict(list)  # the largest (ts, part_id) is first to go
+
+        class Last(tuple):
+            def __lt__(self, other):
+                return tuple.__gt__(self, other)
+
+        for batch in batches:
+            for ts, part, content, low in zip(*(c.to_pylist() for c in batch.columns)):
+                if not low:
+                    continue
+                seen = {}
+                for end, needle in automaton.iter(low):
+                    if needle not in seen:
+                        seen[needle] = end
+                        if len(seen) == len(asked):
+                            break
+                for needle, end in seen.items():
+                    row = Last((ts, part))
+                    held = best[needle]
+                    if len(held) < limit or (ts, part) < tuple(held[0][0]):
+                        at = low.count("\n", 0, end - len(needle) + 1)
+                        entry = (row, at + 1, content.split("\n")[at])
+                        (heapq.heappush if len(held) < limit else heapq.heapreplace)(held, entry)
+        out = [(nid, *row, line_no, line) for needle, held in best.items() for nid in asked[needle] for row, line_no, line in held]
+        columns = list(zip(*out)) or [[]] * 5
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["nid", "ts", "part_id", "line_no", "line"])
+
+    return run
 
 
 def raw_lookup(ids: DataFrame, raw: DataFrame) -> DataFrame:

@@ -1,17 +1,19 @@
 """The inverted index over text and commands, and ranked search for tables of queries.
 
 An index is two tables that can be rebuilt from the archive: postings(term, id, col, positions, bucket) and
-doc_stats(id, dl). Postings are written by the bucket of the term's hash, so that a search reads the buckets of its
-terms only.
+doc_stats(id, dl). It is written once and read by every search after that. Postings lie in ranges of (bucket, term,
+id), so any number of tasks writes them, a term of very many documents goes to several files, and a search reads the
+buckets of its terms only, and of these the files whose range of terms has one of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dialogmill.functions.columns import ACCENTED, PLAIN
+from dialogmill.sources.staging import staged
 
 BUCKETS = 256
 # French and English words that a query does not search for.
@@ -41,10 +43,16 @@ def doc_stats(docs: DataFrame) -> DataFrame:
 
 
 def write_index(docs: DataFrame, path: str) -> None:
-    postings(docs).repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    ordered = ["bucket", "term", "id"]
+    postings(docs).repartitionByRange(*ordered).sortWithinPartitions(*ordered).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     doc_stats(docs).write.mode("overwrite").parquet(f"{path}/doc_stats")
 
 
+def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a written index, as the searches take them."""
+    return {"index": spark.read.parquet(f"{path}/postings"), "stats": spark.read.parquet(f"{path}/doc_stats")}
+
+
 def phrases(queries: DataFrame) -> DataFrame:
     """(qid, phrase, place, term, n_terms) of a table (qid, q); a token with a dot is a phrase of its parts and no stopword."""
     tokens = queries.select("qid", F.posexplode(F.regexp_extract_all("q", F.lit(r"[\p{L}\p{N}][\p{L}\p{N}._-]*"), F.lit(0))).alias("phrase", "token"))
@@ -61,7 +69,8 @@ def no_terms(queries: DataFrame) -> DataFrame:
 def phrase_frequencies(asked: DataFrame, index: DataFrame) -> DataFrame:
     """(qid, phrase, id, tf): adjacent terms within a column, both columns summed.
 
-    The terms asked for meet the index; each occurrence votes for the place where its phrase would begin.
+    The terms asked for meet the index; each occurrence votes for the place where its phrase would begin. Where the
+    query table is too large to be broadcast, Spark splits the partitions of frequent terms at run time.
     """
     terms = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
     met = index.join(terms, ["bucket", "term"])
@@ -72,9 +81,12 @@ def phrase_frequencies(asked: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score): every document with any phrase; lower is better. k1 = 1.2, b = 0.75."""
+    """(qid, id, score): every document with any phrase; lower is better. k1 = 1.2, b = 0.75.
+
+    The frequencies are written once: they are counted for each phrase and read again for the scores.
+    """
     index, stats = postings(docs) if index is None else index, doc_stats(docs) if stats is None else stats
-    tf = phrase_frequencies(phrases(queries), index)
+    tf = staged(phrase_frequencies(phrases(queries), index), "frequencies")
     n = tf.groupBy("qid", "phrase").agg(F.count("*").alias("n"))
     total = stats.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))  # one row
     idf = n.join(F.broadcast(total)).select("qid", "phrase", "avgdl", F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(0.0)).alias("idf"))

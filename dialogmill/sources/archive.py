@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dialogmill.operators.maintain import upsert
 from dialogmill.schemas import EVENTS, SESSIONS
+from dialogmill.sources.staging import staged
 
 
 def prefix(key: str):
@@ -19,28 +20,40 @@ def read_archive(spark: SparkSession, path: str, schema: str = EVENTS, legacy: b
 
 
 def write_partitioned(df: DataFrame, path: str, key: str, *order: str) -> None:
-    """Only the prefixes that df has are replaced, so df must hold all rows of these."""
-    rows = df.withColumn("p", prefix(key)).repartition("p").sortWithinPartitions("p", *order)
+    """Only the prefixes that df has are replaced, so df must hold all rows of these. Any number of tasks writes a prefix."""
+    rows = df.withColumn("p", prefix(key)).repartitionByRange("p", *order).sortWithinPartitions("p", *order)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("p").parquet(path)
 
 
-def write_events(spark: SparkSession, new: DataFrame, path: str, exists: bool = True) -> None:
-    """Upsert by id, rewriting the prefixes of the sessions touched, in order of session, time and id."""
-    from dialogmill.sources.staging import staged
+def _touched(spark: SparkSession, new: DataFrame, path: str, key: str, id_col: str) -> list[str]:
+    """Prefixes of the new rows and of the rows that they replace: 256 at most. Only ids are read of the archive."""
+    moved = spark.read.parquet(path).select("p", id_col).join(new.select(id_col), id_col, "left_semi").select("p")
+    return sorted(r.p for r in new.select(prefix(key).alias("p")).unionByName(moved).distinct().collect())
+
 
+def write_rows(spark: SparkSession, new: DataFrame, path: str, key: str, id_col: str, *order: str, exists: bool = True) -> None:
+    """Upsert by id_col; the prefixes touched are read by name and written again, also where a row moves between them."""
     rows = new
     if exists:
-        touched = new.select(prefix("sessionId").alias("p")).distinct()
-        old = spark.read.parquet(path).join(touched, "p", "left_semi").drop("p")
-        rows = staged(upsert(old, new))
-    write_partitioned(rows, path, "sessionId", "sessionId", "ts", "id")
+        touched = _touched(spark, new, path, key, id_col)
+        old = spark.read.parquet(path).where(F.col("p").isin(touched)).drop("p")
+        rows = staged(upsert(old, new, id_col))
+        left = [p for p in touched if p not in {r.p for r in rows.select(prefix(key).alias("p")).distinct().collect()}]
+        if left:  # a prefix whose last row has moved away
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+            for p in left:
+                gone = hadoop(f"{path}/p={p}")
+                gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    write_partitioned(rows, path, key, *order)
 
 
-def write_sessions(spark: SparkSession, new: DataFrame, path: str, exists: bool = True) -> None:
-    from dialogmill.sources.staging import staged
+def write_events(spark: SparkSession, new: DataFrame, path: str, exists: bool = True) -> None:
+    """Upsert by id, in order of session, time and id."""
+    write_rows(spark, new, path, "sessionId", "id", "sessionId", "ts", "id", exists=exists)
 
-    rows = staged(upsert(spark.read.parquet(path).drop("p"), new)) if exists else new
-    write_partitioned(rows, path, "id", "id")
+
+def write_sessions(spark: SparkSession, new: DataFrame, path: str, exists: bool = True) -> None:
+    write_rows(spark, new, path, "id", "id", "id", exists=exists)
 
 
 def changed_raw(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -49,14 +62,19 @@ def changed_raw(old: DataFrame, new: DataFrame) -> DataFrame:
     return keyed(new).join(keyed(old).select("part_id", "md5__"), ["part_id", "md5__"], "left_anti").drop("md5__")
 
 
+def write_raw(spark: SparkSession, new: DataFrame, path: str, exists: bool = True) -> None:
+    """Upsert of raw outputs by part_id; only prefixes with a changed content are written."""
+    changed = staged(changed_raw(spark.read.parquet(path), new)) if exists else new
+    if not exists or not changed.isEmpty():
+        write_rows(spark, changed, path, "part_id", "part_id", "part_id", exists=exists)
+
+
 def migrate(spark: SparkSession, legacy_events: str, legacy_sessions: str, path: str) -> DataFrame:
     """The single-file layout in the partitioned one; returns counts. Running it again gives the same tables.
 
     (events_before, events_after, bad_lines, empty_sessions, coherent)
     """
     raw = spark.read.schema(EVENTS + ", _corrupt_record string").json(legacy_events, mode="PERMISSIVE")
-    from dialogmill.sources.staging import staged
-
     raw = staged(raw)
     good = raw.where("_corrupt_record IS NULL AND id IS NOT NULL").drop("_corrupt_record")
     sessions = spark.read.schema(SESSIONS).json(legacy_sessions, mode="DROPMALFORMED")

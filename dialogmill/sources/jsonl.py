@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dialogmill.functions.columns import cmd_of, repo_of, tokens_of, unsafe_id, variant_text
+from dialogmill.functions.columns import cmd_of, repo_of, tokens_of, trimmed, unsafe_id, variant_text
 
 V = "v"
 _COUNTS = ["in", "out", "reasoning", "cacheRead", "cacheWrite"]
@@ -26,11 +26,26 @@ def changed_files(listing: DataFrame, state: DataFrame) -> DataFrame:
     return listing.join(state.where("uuid IS NOT NULL").select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
 
 
+def advance_files(listing: DataFrame, state: DataFrame, read: DataFrame) -> DataFrame:
+    """(path, size, mtime, uuid) after a pass: all present files, with the uuid just read (path, uuid), else the known one.
+
+    Files that have vanished leave the state; their events stay in the archive.
+    """
+    known = state.select("path", F.col("uuid").alias("known__"))
+    found = listing.select("path", "size", "mtime").join(read.select("path", "uuid"), "path", "left").join(known, "path", "left")
+    return found.select("path", "size", "mtime", F.coalesce("uuid", "known__").alias("uuid"))
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, line_no, line) of terminated lines, from 1."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value").where(F.col("path").endswith(".jsonl"))
+    """(path, line_no, line) of terminated lines, from 1. A file is one row until its lines are cut, so it must be below 2 GB."""
+    return terminated(spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")).drop("ack")
+
+
+def terminated(files: DataFrame) -> DataFrame:
+    """(path, line_no, line, ack) of files (path, value): lines up to the last line end; ack is the byte after it."""
     done = F.when(F.instr("value", "\n") > 0, F.regexp_replace("value", r"\n[^\n]*$", ""))
-    return files.where(done.isNotNull()).select("path", F.posexplode(F.split(done, "\n")).alias("n", "line")).select("path", (F.col("n") + 1).alias("line_no"), "line")
+    rows = files.where(F.col("path").endswith(".jsonl")).withColumn("done", done).where("done IS NOT NULL").withColumn("ack", F.octet_length("done") + 1)
+    return rows.select("path", F.posexplode(F.split("done", "\n")).alias("n", "line"), "ack").select("path", (F.col("n") + 1).alias("line_no"), "line", "ack")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -41,7 +56,7 @@ def problems(lines: DataFrame) -> DataFrame:
     """(path, line_no, problem): what must stop a pass before anything is written."""
     v = parsed(lines)
     kind = variant_text(V, "$.type")
-    bad = v.where((F.trim("line") == "") | F.isnull(V)).select("path", "line_no", F.lit("no JSON").alias("problem"))
+    bad = v.where((trimmed(F.col("line")) == "") | F.isnull(V)).select("path", "line_no", F.lit("no JSON").alias("problem"))
     head = v.where("line_no = 1 AND v IS NOT NULL")
     good = ((kind == "session") & ~unsafe_id(variant_text(V, "$.id")) & variant_text(V, "$.timestamp").try_cast("timestamp").isNotNull()) | (kind == "session_info")
     headers = head.where(~F.coalesce(good, F.lit(False))).select("path", "line_no", F.lit("no session header").alias("problem"))
@@ -52,9 +67,9 @@ def problems(lines: DataFrame) -> DataFrame:
     return bad.unionByName(headers).unionByName(names).unionByName(twice).unionByName(times)
 
 
-def shared_uuids(headers: DataFrame) -> DataFrame:
-    """Session ids (path, uuid) that two files have."""
-    return headers.groupBy("uuid").agg(F.countDistinct("path").alias("files")).where("files > 1")
+def shared_uuids(files: DataFrame) -> DataFrame:
+    """Session ids that two files have, of files (path, uuid) just read and those in the state."""
+    return files.where("uuid IS NOT NULL").groupBy("uuid").agg(F.countDistinct("path").alias("files")).where("files > 1")
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -136,8 +151,9 @@ def orphans(msgs: DataFrame) -> DataFrame:
 
 
 def calls_without_proof(msgs: DataFrame) -> DataFrame:
+    """(path, n): shell calls of a file that have neither a result nor a run at its end."""
     called, found, runs = calls(msgs), results(msgs), bash_runs(msgs)
-    bash = called.where("tool = 'bash'")
+    bash = called.where("tool = 'bash' AND call_id IS NOT NULL")
     done = attach_results(called, found).select("path", "call_id").unionByName(attach_bash(called, runs, found).select("path", "call_id"))
     return bash.join(done, ["path", "call_id"], "left_anti").groupBy("path").agg(F.count("*").alias("n"))
 
@@ -167,8 +183,8 @@ def events(lines: DataFrame) -> DataFrame:
 def sessions(lines: DataFrame) -> DataFrame:
     """One row for each file with a session header: title, bounds, usage."""
     v = parsed(lines)
-    named = v.where((variant_text(V, "$.type") == "session_info") & (F.trim(variant_text(V, "$.name")) != "")).groupBy("path").agg(F.max_by(F.trim(variant_text(V, "$.name")), "line_no").alias("named"))
-    said = messages(lines).where("role = 'user'").select("path", "line_no", F.trim(_texts(F.col("content"))).alias("text")).where("text <> ''").groupBy("path").agg(F.min_by("text", "line_no").alias("said"))
+    named = v.where((variant_text(V, "$.type") == "session_info") & (trimmed(variant_text(V, "$.name")) != "")).groupBy("path").agg(F.max_by(trimmed(variant_text(V, "$.name")), "line_no").alias("named"))
+    said = messages(lines).where("role = 'user'").select("path", "line_no", trimmed(_texts(F.col("content"))).alias("text")).where("text <> ''").groupBy("path").agg(F.min_by("text", "line_no").alias("said"))
     last = v.groupBy("path").agg(F.max_by(F.unix_millis(variant_text(V, "$.timestamp").try_cast("timestamp")), "line_no").alias("last"))
     usage = events(lines).groupBy("sessionId").agg(F.sum("cost").alias("cost"), F.struct(*(F.sum(F.col("tokens")[c]).alias(c) for c in _COUNTS)).alias("tokens"))
     base = headers(lines).join(named, "path", "left").join(said, "path", "left").join(last, "path", "left").withColumn("id", F.concat(F.lit("pi:"), F.col("uuid")))
@@ -182,4 +198,11 @@ def sessions(lines: DataFrame) -> DataFrame:
 def ignored_counts(lines: DataFrame) -> DataFrame:
     kind, role = variant_text(V, "$.type"), variant_text(V, "$.message.role")
     what = F.when(kind == "message", F.when(~role.isin("user", "assistant", "toolResult", "bashExecution"), F.concat(F.lit("role:"), role))).when(~kind.isin("session", "session_info"), F.concat(F.lit("type:"), kind))
-    return parsed(lines).select(what.alias("kind")).where("kind IS NOT NULL").groupBy("kind").count()
+    return parsed(lines).select(what.alias("kind")).where("kind IS NOT NULL").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def raw_outputs(msgs: DataFrame) -> DataFrame:
+    """(part_id, content, source, orphan) of results and runs with an output, those that belong to no call included."""
+    found = results(msgs).select("path", "line_no", "id", "output").unionByName(bash_runs(msgs).select("path", "line_no", "id", "output")).where("output <> ''")
+    lone = orphans(msgs).select("path", "line_no", F.lit(True).alias("orphan"))
+    return found.join(lone, ["path", "line_no"], "left").select(F.col("id").alias("part_id"), F.col("output").alias("content"), F.lit("pi").alias("source"), F.coalesce("orphan", F.lit(False)).alias("orphan"))

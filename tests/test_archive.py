@@ -1,8 +1,10 @@
+import decimal
 import json
 
 import pytest
 
 from dialogmill import catalog
+from dialogmill.functions import columns
 from dialogmill.operators import evaluate, maintain, normalise, reading, search, textindex
 from dialogmill.sources import archive, jsonl
 from dialogmill.streaming.upsert import stream_upsert
@@ -20,18 +22,23 @@ def duck():
     return con
 
 
-def rows_of(df, columns):
-    clean = df[columns].astype(object).where(df[columns].notna(), None)
-    plain = lambda v: round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
-    return sorted(str(tuple(map(plain, r))) for r in clean.values.tolist())
+def plain(v):
+    if isinstance(v, (list, tuple)):
+        return tuple(map(plain, v))
+    return round(float(v), 6) if isinstance(v, (int, float, decimal.Decimal)) and not isinstance(v, bool) else v
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_against_sql(spark, duck, name):
-    got, want = catalog.queries()[name](spark, SF).toPandas(), duck.sql(catalog.oracle_sql()[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
+    got, want = catalog.queries()[name](spark, SF), duck.sql(catalog.oracle_sql()[name])
     columns = sorted(got.columns)
-    assert rows_of(got, columns) == rows_of(want, columns)
+    assert columns == sorted(want.columns)
+    rows = want.select(*(f'"{c}"' for c in columns)).fetchall()
+    assert sorted(str(plain(tuple(r))) for r in got.select(*columns).collect()) == sorted(str(plain(r)) for r in rows)
+
+
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def docs_of(spark, rows):
@@ -75,13 +82,14 @@ def test_relational_source(spark):
     tool = {"type": "tool", "tool": "bash", "state": {"input": {"command": "git revert"}, "output": "done", "metadata": {"exitCode": "1"}}}
     part = spark.createDataFrame([("p2", "m1", json.dumps(tool)), ("p1", "m1", json.dumps({"type": "text", "text": "first"})), ("p3", "m1", json.dumps({"type": "step-finish", "cost": 0.25, "tokens": {"input": 7, "cache": {"read": 2}}})), ("p4", "m1", "{broken"), ("p5", "m1", json.dumps({"type": "text", "text": "last"}))], "id string, message_id string, data string")
     sessions = {r.id: r for r in normalise.canonical_sessions(session).collect()}
-    assert (sessions["s1"].repo, sessions["s2"].repo, sessions["s2"].tokens.out) == ("shop", None, 0)
+    assert (sessions["s1"].repo, sessions["s2"].repo, sessions["s2"].tokens.out) == ("shop", "root", 0)
     (event,) = normalise.canonical_events(message, part, session).collect()
     assert (event.text, event.cost, event.tokens["in"], event.tokens.cacheRead, event.repo) == ("first\n\nlast", 0.25, 7, 2, "shop")
     assert [tuple(c) for c in event.toolCalls] == [("bash", "git revert", 1, "p2")]
     assert [tuple(r)[:2] for r in normalise.raw_outputs(part).collect()] == [("p2", "done")]
     docs = normalise.search_docs(normalise.canonical_events(message, part, session), normalise.canonical_sessions(session))
-    assert sorted((r.role, r.model) for r in docs.collect()) == [("assistant", "p/m"), ("title", None), ("title", None)] or docs.count() == 3
+    assert sorted((r.id, r.role, r.model, r.cmd, r.text) for r in docs.collect()) == [("m1", "assistant", "p/m", "git revert", "first\n\nlast"), ("s1", "title", None, "", "Bug"), ("s2", "title", None, "", "Sub")]
+    assert (normalise.canonical_sessions(session, home="/root").where("id = 's2'").first().repo, sessions["s2"].repo) == (None, "root")
 
 
 def line(kind, i=None, **more):
@@ -141,11 +149,108 @@ def test_archive_upsert_stream_and_fingerprint(spark, tmp_path):
     assert schema
 
 
+def test_archive_moves_rows_between_sessions(spark, tmp_path):
+    event = lambda i, s, text: (i, s, 1, "user", text, "pi")
+    schema, store = "id string, sessionId string, ts bigint, role string, text string, source string", str(tmp_path / "store")
+    archive.write_events(spark, spark.createDataFrame([event("a", "s1", "x"), event("b", "s2", "x")], schema), store, exists=False)
+    archive.write_events(spark, spark.createDataFrame([event("a", "s3", "y"), event("a", "s3", "y")], schema), store)
+    assert sorted((r.id, r.sessionId, r.text) for r in archive.read_archive(spark, store).collect()) == [("a", "s3", "y"), ("b", "s2", "x")]
+
+
+def test_file_fingerprint_ignores_order_and_hidden_files(spark, tmp_path):
+    for folder, names in (("one", "ab"), ("two", "ba")):
+        (tmp_path / folder / "root").mkdir(parents=True)
+        for n in names:
+            (tmp_path / folder / "root" / f"{n}.txt").write_text(n)
+    (tmp_path / "two" / "root" / "_x.txt").write_text("left out")
+    marks = [maintain.file_fingerprint(spark, str(tmp_path / f / "root")).first()[0] for f in ("one", "two")]
+    (tmp_path / "two" / "root" / "a.txt").write_text("other")
+    assert marks[0] == marks[1] != maintain.file_fingerprint(spark, str(tmp_path / "two" / "root")).first()[0]
+
+
+def test_late_results_and_vanished_files(spark):
+    call = lambda i: {"type": "toolCall", "id": i, "name": "bash", "arguments": {"command": i}}
+    bash = lambda i, o: line("message", i, message={"role": "bashExecution", "output": o, "exitCode": 0})
+    lines = [line("session", "u", cwd="/x"), said("a", "assistant", [call("c1"), call("c2")]), bash("x1", "first"), bash("x2", "second"), said("r", "toolResult", [{"type": "text", "text": "late"}], toolCallId="c2"), bash("x3", "lone")]
+    df = spark.createDataFrame([("f.jsonl", i + 1, t) for i, t in enumerate(lines)], "path string, line_no int, line string")
+    (event,) = jsonl.events(df).collect()
+    # the late result displaces the run that had been attached to c2
+    assert [(c.cmd, c.rawRef) for c in event.toolCalls] == [("c1", "pi:u:x2"), ("c2", "pi:u:r")]
+    assert sorted(r.id for r in jsonl.orphans(jsonl.messages(df)).collect()) == ["pi:u:x1", "pi:u:x3"]
+    files = spark.createDataFrame([("f.jsonl", "one\ntwo\nhal"), ("g.jsonl", "no end"), ("h.txt", "x\n")], "path string, value string")
+    assert [(r.line_no, r.line, r.ack) for r in jsonl.terminated(files).collect()] == [(1, "one", 8), (2, "two", 8)]
+
+
+def test_scan_of_outputs(spark, monkeypatch):
+    raw = spark.createDataFrame([("b", "one\n\t The NEEDLE is here \nneedle"), ("a", "x İ needle"), ("pi:c", "Needle\nother"), ("d", None)], "part_id string, content string")
+    needles = spark.createDataFrame([("n1", "needle"), ("n2", "NEEDLE is"), ("n3", " "), ("n4", "absent"), ("n5", "needle")], "nid string, needle string")
+    rows = lambda df: sorted((r.nid, r.part_id, r.line_no, r.line) for r in df.collect())
+    every = [("a", 1, "x İ needle"), ("b", 2, "The NEEDLE is here"), ("pi:c", 1, "Needle")]
+    want = sorted([("n1", *e) for e in every] + [("n5", *e) for e in every] + [("n2", "b", 2, "The NEEDLE is here")])
+    assert rows(search.raw_scan(needles, raw)) == want
+    monkeypatch.setattr(search, "NEEDLES", 1)  # several passes find the same
+    assert rows(search.raw_scan(needles, raw)) == want
+    monkeypatch.undo()
+    assert [r[1] for r in rows(search.raw_scan(needles.limit(1), raw, limit=2))] == ["a", "b"]
+    refs = spark.createDataFrame([("pi:c", 9), ("b", 3)], "raw_ref string, ts bigint")
+    assert [r[1] for r in rows(search.raw_scan(needles.limit(1), raw, refs, limit=1))] == ["b"]
+    assert [r[1] for r in rows(search.raw_scan(needles.limit(1), raw, refs, "pi"))] == ["pi:c"] and rows(search.raw_scan(needles, raw, refs, "none")) == []
+
+
+def test_filters_take_signs_of_sessions_literally(spark):
+    docs = docs_of(spark, [("a", "s%_x", 1, "user", "t", ""), ("b", "sxyx", 2, "user", "t", ""), ("S%_", "S%_", 3, "title", "t", "")])
+    ids = lambda **w: sorted(r.id for r in docs.where(columns.filters(**w)).collect())
+    assert ids(session="s%_") == ["S%_", "a"] and ids(before=2) == ["a", "b"] and ids(after=0, before=0) == [] and ids(source="all", role="title") == ["S%_"] and ids(agent="x") == []
+
+
+def test_questions_are_checked(spark):
+    docs = docs_of(spark, [("m1", "s1", 1, "user", "What is  the state\nof the proxy ?", ""), ("m2", "s1", 2, "assistant", "What is the state of the proxy?", "")])
+    sessions = spark.createDataFrame([("s1",)], "id string")
+    sample = spark.createDataFrame([("q1", "s1", "m1", "<system-reminder>a\nb</system-reminder>What is the state of the proxy?"), ("q2", "s1", "m2", "What is the state of the proxy?"), ("q3", "s9", "m1", "x"), ("q4", "s1", "m1", "What is the state of the proxy? Invented.")], "qid string, session_id string, id string, question string")
+    good = (None, ["a", "b"], "fait", "high", True)
+    rows = [("q1", *good), ("q2", *good), ("q3", *good), ("q4", *good), ("q5", *good), ("q1", "the proxy? In short", ["a", "b"], "fait", "low", True), ("q1", "the proxy?", ["a", ""], "fact", None, None)]
+    curated = spark.createDataFrame(rows, "qid string, q string, expect array<string>, type string, specificity string, self_contained boolean")
+    found = sorted((r.qid, tuple(r.problems)) for r in evaluate.validate_questions(curated, sample, docs, sessions).collect())
+    assert found == sorted([
+        ("q1", ()), ("q1", ("rewritten from another beginning",)), ("q1", ("fewer than two facts, or a blank one", "unknown type", "unknown specificity", "self_contained is missing")),
+        ("q2", ("no user message of that id in the session",)), ("q3", ("no such session",)), ("q4", ("the archive has another text",)), ("q5", ("not in the sample",)),
+    ])
+
+
+TOOL = evaluate.Tool("arch", ("ingest", "refresh"), ("--corpus", "--limit"))
+#: A command, the patterns found in it, and the reasons for review.
+AUDITED = [
+    ("cat /root/archive/corpus/events.jsonl | python3 -c 'x=1'", {"event-log", "archive-folder"}, set()), ("grep arch events.jsonl", {"event-log"}, set()), ('arch "events.jsonl" --limit 5', set(), set()), ('arch search "ingest"', set(), set()), ("arch --json read s --tail 20", set(), set()),
+    ("arch refresh-free-zone", set(), set()), ('arch "ingest"', {"change"}, set()), ("arch 'refresh'", {"change"}, set()), ("echo ok && arch ingest > /tmp/x", {"change"}, set()), ("VAR=1 sudo env A=b /usr/bin/arch ingest", {"change"}, set()), ('for q in "a" "b"; do arch "$q" --json; done', set(), {"variable subcommand"}),
+    ("arch read s < events.jsonl", {"event-log"}, set()), ("arch status 2>&1 | head -5", set(), set()), ("arch read s > /tmp/out.txt", set(), set()), ("arch search proxy < eval/questions.jsonl", {"test-set"}, set()), ('arch search "questions.jsonl"', set(), set()), ("arch read s /data/events.jsonl", {"event-log"}, set()),
+    ("arch --corpus /tmp/archive/corpus refresh", {"change", "archive-folder"}, set()), ("arch --corpus=/tmp/archive/corpus read s", set(), {"option with a path"}), ("$(which arch) read s", set(), {"substitution"}), ("xargs arch read", set(), {"dynamic command"}), ("eval $CMD", set(), {"dynamic command"}),
+    ("grep 'sqlite leur' notes.md", set(), set()), ("node -e \"const D=require('sqlite3'); open\"", set(), set()), ("sqlite3 -c 'select 1' index.db", {"database-shell", "index-database"}, set()), ("cat sessions.jsonl source.db", {"session-log", "source-database"}, set()),
+]
+
+
+def test_audit_of_commands(spark):
+    commands = spark.createDataFrame([(str(i), 0, c) for i, (c, _, _) in enumerate(AUDITED)], "id string, call_index int, command string")
+    deviations, review, _ = evaluate.audit_calls(commands, tool=TOOL)
+    found, doubts = {}, {}
+    for r in deviations.collect():
+        found.setdefault(int(r.id), set()).add(r.pattern)
+    for r in review.collect():
+        doubts.setdefault(int(r.id), set()).add(r.reason)
+    for i, (command, patterns, reasons) in enumerate(AUDITED):
+        assert (command, found.get(i, set()), doubts.get(i, set())) == (command, patterns, reasons)
+
+
 def test_audit(spark):
-    rows = [("a", [("bash", json.dumps({"input": {"command": "cat x | sqlite3 my.db"}}))]), ("b", [("bash", '{"input": {"command": "cat questions.jsonl')]), ("c", [("bash", "echo \"see my.db now\"; eval $(x)")])]
+    rows = [
+        ("a", [("bash", json.dumps({"input": {"command": "cat x | sqlite3 my.db"}}))]), ("b", [("bash", '{"input": {"filePath": "eval/questions.md')]), ("c", [("bash", "echo \"see my sqlite db now\"; eval $(x)"), ("bash", "")]),
+        ("d", [("bash", json.dumps("cat events.jsonl")), ("bash", '{"output": "sqlite3"}')]), ("e", [("bash", '{"args": {"cmd": "echo \\"a\\"\\n sqlite3 x", "co')]), (None, None),
+    ]
     responses = spark.createDataFrame(rows, "id string, toolCalls array<struct<tool:string,input:string>>")
     commands = evaluate.call_commands(responses)
-    assert {r.id: r.origin for r in commands.collect()} == {"a": "field", "b": "salvage", "c": "raw"}
-    found = evaluate.pattern_audit(commands, "command")
-    assert sorted((r.id, r.pattern) for r in found.collect()) == [("a", "database-file"), ("a", "database-shell"), ("b", "test-set")]
-    assert [r.id for r in evaluate.review_rows(commands, "command").collect()] == ["c"]
+    got = {(r.id, r.call_index): (r.origin, r.command) for r in commands.collect()}
+    assert got == {("a", 0): ("field", "cat x | sqlite3 my.db"), ("b", 0): ("salvage", "eval/questions.md"), ("c", 0): ("text", 'echo "see my sqlite db now"; eval $(x)'), ("c", 1): ("unreadable", None), ("d", 0): ("text", "cat events.jsonl"), ("d", 1): ("unreadable", None), ("e", 0): ("salvage", 'echo "a"\n sqlite3 x')}
+    deviations, review, lost = evaluate.audit_calls(commands)
+    assert sorted((r.id, r.pattern, r.invalidating) for r in deviations.collect()) == [("a", "database-shell", False), ("b", "test-set", True), ("d", "event-log", False), ("e", "database-shell", False)]
+    assert sorted((r.id, r.reason) for r in review.collect()) == [("c", "dynamic command"), ("c", "substitution")]
+    status = evaluate.audit_status(responses, deviations, lost).first()
+    assert status.asDict() == {"scanned": 5, "calls": 7, "unreadable": 1, "deviating": 4, "invalid": 1, "unanalysable": 2, "status": "incomplete"}
