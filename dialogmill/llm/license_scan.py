@@ -84,21 +84,26 @@ KNOWN_DIGESTS: list[tuple[str, str]] = [
 def with_canonical(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """df with out: copyright lines off, lower case, letters and digits only, single spaces, one spelling.
 
-    Step by step, so that what few texts need is done for these only.
+    Step by step, so that what few texts need is done for these only, behind a plain search for a word.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = r"(?im)^[ \t]*(?:©|\(c\)[ \t]|copyright[ \t]+(?:\(c\)|©|[0-9])|all rights reserved)[^\n]*$"
-    df = df.withColumn(out, F.when(text.rlike(r"(?i)copyright|©|\(c\)|all rights reserved"), F.regexp_replace(text, lines, " ")).otherwise(text))
-    df = df.withColumn(out, F.trim(F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}]+", " ")))
-    one = F.col(out)
+    lines = r"(?m)^[ \t]*(?:©|\(c\)[ \t]|copyright[ \t]+(?:\(c\)|©|[0-9])|all rights reserved)[^\n]*$"
+    c = F.col(out)
+    df = df.withColumn(out, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    df = df.withColumn(out, F.when(c.contains("copyright") | c.contains("©") | c.contains("(c)") | c.contains("all rights reserved"), F.regexp_replace(c, lines, " ")).otherwise(c))
+    plain = F.length(c) == F.octet_length(c)
+    df = df.withColumn(out, F.trim(F.when(plain, F.regexp_replace(c, r"[^a-z0-9]+", " ")).otherwise(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))))
+    one = c
     for other, same in SPELLINGS:
         one = F.regexp_replace(one, f"(?<![^ ]){other}(?![^ ])", same)
-    df = df.withColumn(out, F.when(F.col(out).rlike("(?<![^ ])(?:" + "|".join(o for o, _ in SPELLINGS) + ")(?![^ ])"), one).otherwise(F.col(out)))
-    return df.withColumn(out, F.when(F.col(out).contains("version "), F.regexp_replace(out, r"version (?=[0-9])", "")).otherwise(F.col(out)))
+    df = df.withColumn(out, F.when(c.rlike("(?:^| )(?:" + "|".join(o for o, _ in SPELLINGS) + ")(?: |$)"), one).otherwise(c))
+    return df.withColumn(out, F.when(c.contains("version "), F.regexp_replace(c, r"version (?=[0-9])", "")).otherwise(c))
 
 
-def with_digest(df: DataFrame, text_col: str, out: str = "digest") -> DataFrame:
-    return with_canonical(df, text_col, "canonical__").withColumn(out, F.sha2(F.encode("canonical__", "UTF-8"), 256)).drop("canonical__")
+def with_digest(df: DataFrame, text_col: str, out: str = "digest", empty: bool = True) -> DataFrame:
+    """df with the digest of the canonical text; rows without a word only with empty."""
+    found = with_canonical(df, text_col, "canonical__")
+    found = found if empty else found.where("canonical__ <> ''")
+    return found.withColumn(out, F.sha2(F.encode("canonical__", "UTF-8"), 256)).drop("canonical__")
 
 
 def known_digests(spark: SparkSession, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
@@ -114,8 +119,8 @@ def licensed(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col
     """id, digest, license_id (of the whole text, or null), n_license_lines, line_licenses (ascending, by commas) for each row."""
     rows = docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text__"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row__"))
     whole = with_digest(rows, "text__").drop("text__").join(known, "digest", "left")
-    lines = rows.select("id__", "row__", F.posexplode(F.split("text__", "\n")).alias("at__", "line__")).where(F.col("line__").rlike(r"[\p{L}\p{N}]"))
-    hits = with_digest(lines, "line__").select("id__", "row__", "at__", "digest").join(known, "digest")
+    lines = rows.select("id__", "row__", F.posexplode(F.split("text__", "\n")).alias("at__", "line__"))
+    hits = with_digest(lines, "line__", empty=False).select("id__", "row__", "at__", "digest").join(known, "digest")
     # rows are named by id and text: repeated rows don't add up
     by_row = hits.groupBy("id__", "row__").agg(F.countDistinct("at__").alias("n__"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("l__"))
     joined = whole.join(by_row, whole["id__"].eqNullSafe(by_row["id__"]) & (whole["row__"] == by_row["row__"]), "left").select(whole["id__"], "digest", "license_id", "n__", "l__")
@@ -123,7 +128,8 @@ def licensed(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col
 
 
 def op6_license_scan(spark, sf_dir):
-    return licensed(table(spark, sf_dir, "documents").select("doc_id", "text"), known_digests(spark))
+    # the texts built in are a list of this module, so their digests may be broadcast
+    return licensed(table(spark, sf_dir, "documents").select("doc_id", "text"), F.broadcast(known_digests(spark)))
 
 
 def _sql_canonical(x: str) -> str:
