@@ -18,6 +18,7 @@ gives an empty archive. Further columns are not stored.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,7 @@ def _record_id(row_id: Column, url: Column, digest: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """id, header, digest: all of a record but its payload."""
+    """id, header, digest: all of a record but its payload; large: a response whose payload others may refer to."""
     base = _payloads(pages, id_col, url_col, body_col).select("id", "url", "digest", F.octet_length("payload").cast("bigint").alias("n_bytes"))
     # aggregated before the shuffle: a payload of many records costs one row for each task
     first = base.where(F.col("n_bytes") >= min_bytes).where("id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
@@ -55,13 +56,33 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
         F.lit(f"{eol}Content-Type: text/html; charset=utf-8{eol}Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("n_bytes").cast("string")),
         F.lit(eol + eol),
     )
-    return joined.select("id", header.alias("header"), "digest")
+    return joined.select("id", header.alias("header"), "digest", (~revisit & F.col("id").isNotNull() & (F.col("n_bytes") >= min_bytes)).alias("large"))
+
+
+def _table(path: str, name: str) -> str:
+    return f"warc_{name}_{hashlib.md5(path.encode()).hexdigest()[:16]}"
 
 
 def write_archive(pages: DataFrame, path: str, **options) -> None:
-    """Two Parquet tables: payloads(digest, payload), each digest once, and headers(id, header, digest)."""
-    records(pages, **options).write.parquet(f"{path}/headers")
-    _payloads(pages, **options).groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    """Parquet tables: payloads(digest, payload), each digest once, and headers(id, header, digest) in two parts.
+
+    Payloads and the headers of the responses that stand for them (large) lie in buckets of their digest, so records
+    are put together without moving payloads again. Revisits and small responses, whose digests may be very
+    frequent, are apart (other): their join moves no more than lengths and small payloads.
+    """
+    spark = pages.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = records(pages, **options)
+    found.where("NOT large").drop("large").write.parquet(f"{path}/headers/other")
+    bucketed = lambda df, name: df.write.bucketBy(buckets, "digest").sortBy("digest").option("path", f"{path}/{name}").saveAsTable(_table(path, name.replace("/", "_")), format="parquet")
+    bucketed(found.where("large").drop("large"), "headers/large")
+    bucketed(_payloads(pages, **options).groupBy("digest").agg(F.first("payload").alias("payload")), "payloads")
+
+
+def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A bucketed table of this session's catalogue, or just its files: then records are put together with a shuffle."""
+    table_name = _table(path, name.replace("/", "_"))
+    return spark.table(table_name) if spark.catalog.tableExists(table_name) else spark.read.parquet(f"{path}/{name}")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -70,30 +91,36 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     The digest of each stored payload is verified, that of revisits too; a wrong or missing payload raises an error.
     Revisits take only the length of their payload through the join.
     """
-    headers = spark.read.parquet(f"{path}/headers")
-    stored = spark.read.parquet(f"{path}/payloads")
-    header = F.col("header")
-    named = headers.select(
-        "id", "header", F.regexp_extract(header, r"\r\nWARC-Refers-To: <urn:record:([^:>]*):[0-9a-f]{16}>\r\n", 1).alias("refers"),
-        F.regexp_extract(header, r"\r\nWARC-Type: (\w+)\r\n", 1).alias("record_type"),
-        F.regexp_extract(header, r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1).alias("payload_digest"),
-        F.regexp_extract(header, r"\r\nContent-Length: (\d+)\r\n", 1).cast("bigint").alias("said"),
-    )
+    stored = _stored(spark, path, "payloads")
     good = F.sha2("payload", 256) == F.col("digest")
     wrong = F.raise_error(F.concat(F.lit("payload doesn't match its digest "), "digest"))
-    checked = stored.select(F.col("digest").alias("payload_digest"), F.when(good, F.col("payload")).otherwise(wrong.cast("binary")).alias("payload"))
-    sizes = checked.select("payload_digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"))
+    checked = stored.select("digest", F.when(good, F.col("payload")).otherwise(wrong.cast("binary")).alias("payload"))
+    sizes = checked.select("digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"))
     head, ends = F.encode("header", "UTF-8"), F.encode(F.lit("\r\n\r\n"), "UTF-8")
-    whole = named.where("record_type = 'response'").join(checked, "payload_digest", "left").withColumn("record", F.concat(head, "payload", ends))
-    whole = whole.withColumn("payload_bytes", (F.octet_length("record") - F.octet_length("header") - 4).cast("bigint"))
-    whole = whole.withColumn("payload_bytes", F.when(F.col("payload_bytes") == F.col("said"), F.col("payload_bytes")))
-    again = named.where("record_type = 'revisit'").join(sizes, "payload_digest", "left").withColumns({"record": F.concat(head, ends), "payload": F.lit(None).cast("binary")})
-    both = whole.unionByName(again)
+
+    def parts(headers: DataFrame) -> DataFrame:
+        header = F.col("header")
+        return headers.select(
+            "id", "header", "digest", F.regexp_extract(header, r"\r\nWARC-Refers-To: <urn:record:([^:>]*):[0-9a-f]{16}>\r\n", 1).alias("refers"),
+            F.regexp_extract(header, r"\r\nWARC-Type: (\w+)\r\n", 1).alias("record_type"), F.regexp_extract(header, r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1).alias("payload_digest"),
+            F.regexp_extract(header, r"\r\nContent-Length: (\d+)\r\n", 1).cast("bigint").alias("said"),
+        )
+
+    def rebuilt(responses: DataFrame, payloads: DataFrame) -> DataFrame:
+        whole = responses.join(payloads, "digest", "left").withColumn("record", F.concat(head, "payload", ends))
+        whole = whole.withColumn("payload_bytes", (F.octet_length("record") - F.octet_length("header") - 4).cast("bigint"))
+        return whole.withColumn("payload_bytes", F.when((F.col("payload_bytes") == F.col("said")) & (F.col("digest") == F.col("payload_digest")), F.col("payload_bytes")))
+
+    large, other = parts(_stored(spark, path, "headers/large")), parts(spark.read.parquet(f"{path}/headers/other"))
+    small = other.where("record_type = 'response'")
+    few = checked.join(small.select("digest").distinct(), "digest", "left_semi")
+    again = other.where("record_type = 'revisit'").join(sizes, "digest", "left").withColumns({"record": F.concat(head, ends), "payload": F.lit(None).cast("binary")})
+    both = rebuilt(large, checked).unionByName(rebuilt(small, few)).unionByName(again, allowMissingColumns=True)
     missing = F.raise_error(F.concat(F.lit("no whole payload for "), "payload_digest"))
     return both.select(
         "id", "record", "record_type", "payload", "payload_digest",
         F.when(F.col("payload_bytes").isNotNull(), F.col("payload_bytes")).otherwise(missing.cast("bigint")).alias("payload_bytes"),
-        F.when(F.col("refers") != "", F.url_decode("refers")).cast(headers.schema["id"].dataType).alias("refers_to"),
+        F.when(F.col("refers") != "", F.url_decode("refers")).cast(other.schema["id"].dataType).alias("refers_to"),
     )
 
 

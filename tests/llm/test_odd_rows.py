@@ -238,7 +238,8 @@ def test_archive_of_odd_pages(spark, tmp_path, empty_dir):
     assert len(set(ids)) == len(heads) == 11  # but for the two equal records
     wrong = spark.read.parquet(f"{target}/payloads").withColumn("payload", F.when(F.octet_length("payload") == 300, F.encode(F.lit("y"), "UTF-8")).otherwise(F.col("payload")))
     wrong.write.parquet(f"{tmp_path}/bad/payloads")
-    spark.read.parquet(f"{target}/headers").write.parquet(f"{tmp_path}/bad/headers")
+    for part in ("large", "other"):
+        spark.read.parquet(f"{target}/headers/{part}").write.parquet(f"{tmp_path}/bad/headers/{part}")
     with pytest.raises(Exception, match="doesn't match its digest"):
         warc.read_archive(spark, f"{tmp_path}/bad").where("record_type = 'revisit'").select("payload_bytes").collect()
 
