@@ -201,7 +201,21 @@ def test_pipeline(spark):
     sizes = brute.spans_removed([(r.doc_id, r.text) for r in single.collect()])
     for r in cut.collect():
         assert r.n_chars == len(r.text) and len(r.text.encode()) <= sizes[r.doc_id][0] - sizes[r.doc_id][1]
-    assert p.run(spark, SF).count() > 0
+    # the whole run holds the ids of what the stages leave, each in one piece
+    left = docs
+    for _, stage in p.STAGES[:-1]:
+        left = stage(spark, left, SF)
+    enc, pieces = brute.rank_encoding(), {}
+    for r in p.run(spark, SF).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    texts = {r.doc_id: r.text for r in left.collect()}
+    assert set(pieces) == set(texts) and set(texts) < set(kept)
+    for i, text in texts.items():
+        ids, at = np.array([*enc.encode_ordinary(text), 1], dtype="<u4"), 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
 
 
 def test_common_lines_leave_the_texts(spark):
