@@ -167,7 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_rare(sets: DataFrame, percent: int) -> DataFrame:
-    """(shingle, id) for the shingles among the rarest of a set that another set has too; sets: (id, hashes).
+    """(id, rare): 31 bits of each of the rarest shingles of a set that another set has too, rarest first; sets: (id, hashes).
 
     Sets of a similarity of at least percent share one of these, whatever order ties have: of n shingles the rarest
     n - ceil(n * percent / 100) + 1 count. Only shingles that two sets have are shuffled a second time.
@@ -178,7 +178,7 @@ def shared_rare(sets: DataFrame, percent: int) -> DataFrame:
     met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(held, ["shingle", "salt"])
     by_id = met.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("common"))
     room = F.expr(f"n - cast(ceil(n * {percent} / 100) AS int) + 1 - (n - size(common))")
-    return by_id.select("id", F.explode(F.slice("common", F.lit(1), F.greatest(room, F.lit(0)))).alias("x")).select("id", "x.shingle")
+    return by_id.select("id", F.slice("common", F.lit(1), F.greatest(room, F.lit(0))).alias("x")).select("id", F.expr("array_distinct(transform(x, y -> cast(y.shingle & 2147483647 AS int)))").alias("rare")).where("size(rare) > 0")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80, star_rounds: int = 3, slack: float = 0.085, exact: bool = False) -> DataFrame:
@@ -187,6 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = feats.where("n_shingles > 0")
     classes = written(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("members")).where("rep IS NOT NULL"), "near-classes")
     reps = written(some.join(classes.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "keys", "sketch"), "near-reps")
+    short = F.expr("array_distinct(transform(keys, x -> cast(x & 2147483647 AS int)))")
     banded = reps.select("id", F.explode("keys").alias("key"))
     # keys of one representative can never link anything
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -216,10 +217,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return rows.withColumn("component", F.col("id"))
         return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    def across(rows: DataFrame, key: str) -> DataFrame:
-        """Pairs of rows (key, id, component, blocks) of different components with a key in common, behind sizes and sketch.
+    def across(rows: DataFrame, key: str, listed: str) -> DataFrame:
+        """Pairs of rows (key, id, component, blocks, listed) of different components with a key in common, behind sizes and sketch.
 
-        main rows are compared with those of all other components, which are few; the others with each other.
+        main rows are compared with those of all other components, which are few; the others with each other. A pair
+        comes from the first key only that its lists have in common.
         """
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         cells = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -227,11 +229,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def side(s: str) -> DataFrame:
             mine, other = ("i", "j") if s == "a" else ("j", "i")
             kept = rows if s == "a" else rows.where("NOT main")
-            spread = kept.select(F.col(key).alias("key"), "id", "component", "main", block.alias(mine), F.explode(cells).alias(other)).join(narrow, "id")
-            return spread.select("key", "i", "j", F.col("id").alias(s), F.col("component").alias(f"c_{s}"), F.col("main").alias(f"main_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+            spread = kept.select(F.col(key).alias("key"), F.col(listed).alias("list"), "id", "component", "main", block.alias(mine), F.explode(cells).alias(other)).join(narrow, "id")
+            return spread.select("key", "i", "j", F.col("list").alias(f"list_{s}"), F.col("id").alias(s), F.col("component").alias(f"c_{s}"), F.col("main").alias(f"main_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
 
         apart = F.expr("c_a <> c_b AND (main_a OR c_a < c_b)")
-        return side("a").join(side("b"), ["key", "i", "j"]).where(apart & sizes & close).select("a", "b", "n_a", "n_b")
+        a, b = side("a"), side("b")
+        first = F.element_at(F.array_intersect("list_a", "list_b"), 1) == a["key"]
+        met = (a["key"] == b["key"]) & (a["i"] == b["i"]) & (a["j"] == b["j"])
+        return a.join(b, met & apart & sizes & close & first).select("a", "b", "n_a", "n_b")
 
     for turn in range(0 if exact else star_rounds):
         placed = labelled(banded)
@@ -255,13 +260,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         parts = labelled(banded).groupBy("key", "component").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
         apart = written(labelled(banded).join(mixed, "key").select("key", "id", "component", (F.col("component") == F.col("top")).alias("main"), blocks("n"), (F.col("n") - F.col("largest") > OUTSIDE).alias("many")), "near-apart")
-        rest, many = across(apart.where("NOT many"), "key"), apart.where("many").select("id").distinct()
+        few = apart.where("NOT many").join(reps.select("id", short.alias("list")), "id").withColumn("key", F.expr("cast(key & 2147483647 AS int)"))
+        rest, many = across(few, "key", "list"), apart.where("many").select("id").distinct()
     many = written(many, "near-many")
     if not many.isEmpty():
         sets = full_sets(docs.select(id_col, text_col).join(many.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, size).dropDuplicates(["id"])
         rare = written(shared_rare(sets, percent), "near-rare")
-        met = rare.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle", blocks("n"))
-        pairs = across(labelled(rare.join(met, "shingle")).withColumn("main", F.lit(False)), "shingle")
+        each = rare.select("id", "rare", F.explode("rare").alias("shingle"))
+        met = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle", blocks("n"))
+        pairs = across(labelled(each.join(met, "shingle")).withColumn("main", F.lit(False)), "shingle", "rare")
         rest = pairs if rest is None else rest.unionByName(pairs)
     if rest is not None:
         found = written(confirmed(written(rest.distinct(), "near-rest")), "near-links")
