@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from dialogmill.functions.columns import ACCENTED, PLAIN
 from dialogmill.sources.staging import staged
 
-BUCKETS = 256
+#: Folders of an index; few enough that Spark lists them without a job, and pruned by the terms asked for.
+BUCKETS = 32
 # French and English words that a query does not search for.
 STOPWORDS = (
     "le la les l un une des de d au aux et ou mais donc car ni or ne pas plus tres tres comme quand alors si ca ce cet cette ces ceux "
