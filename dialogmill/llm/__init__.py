@@ -1,4 +1,4 @@
-"""Operators for preparing training text: ten operators, their queries and their SQL.
+"""Operators for preparing training text: the operators, their queries and their SQL.
 
 Nothing else in the library imports this subpackage.
 """
