@@ -10,7 +10,8 @@ the document at its end, and pieces are cut to at most `piece` tokens first, so
 No row leaves its task and nothing is shuffled; each partition ends with one block that may be less full.
 sequence_id is the partition's number times 2**36, plus the window's number in it.
 
-Rows: a null or empty text is its end id alone. Null ids are packed and stay null. Repeated rows are packed each.
+Rows: a null or empty text is its end id alone. Null ids are packed and stay null. Rows that share an id, repeated rows too, are
+packed each on its own: a piece never holds ids of two rows.
 An empty table gives no pieces. Further columns are not read.
 """
 
@@ -63,48 +64,49 @@ def differencing(sizes: list[int], windows: int) -> np.ndarray:
 
 
 class Packer:
-    """Pieces of documents into sequences; a piece is (doc, start, ids, doc_tokens)."""
+    """Pieces of documents into sequences; a piece is (row, doc, start, ids, doc_tokens), row being the document's number in the task."""
 
     def __init__(self, capacity: int, windows: int, piece: int, slack: int, base: int):
         self.capacity, self.windows, self.piece, self.slack, self.next = capacity, windows, piece, slack, base
         self.held: list[tuple] = []
-        self.total = 0
+        self.total = self.rows = 0
         self.out: list[tuple] = []
 
     def emit(self, group: list[tuple]) -> None:
         offset = 0
-        for doc, start, ids, total in group:
+        for _, doc, start, ids, total in group:
             self.out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.next, offset))
             offset += len(ids)
         self.next += 1
 
     def add(self, doc, ids: np.ndarray) -> None:
-        total = len(ids)
+        total, row = len(ids), self.rows
+        self.rows += 1
         whole = total - total % self.capacity
         for start in range(0, whole, self.capacity):
-            self.emit([(doc, start, ids[start : start + self.capacity], total)])
+            self.emit([(row, doc, start, ids[start : start + self.capacity], total)])
         if whole < total:
-            self.hold(doc, whole, ids[whole:], total)
+            self.hold(row, doc, whole, ids[whole:], total)
 
-    def hold(self, doc, start: int, ids: np.ndarray, total: int) -> None:
+    def hold(self, row: int, doc, start: int, ids: np.ndarray, total: int) -> None:
         target = self.windows * (self.capacity - self.slack)
         room = target - self.total
         if len(ids) >= room:
             if room:
-                self.held.append((doc, start, ids[:room], total))
+                self.held.append((row, doc, start, ids[:room], total))
                 self.total += room
             self.close()
             start, ids = start + room, ids[room:]
         if len(ids):
-            self.held.append((doc, start, ids, total))
+            self.held.append((row, doc, start, ids, total))
             self.total += len(ids)
 
     def close(self) -> None:
         """Difference the held pieces into windows."""
         if not self.held:
             return
-        cut = [(doc, start + i, ids[i : i + self.piece], total) for doc, start, ids, total in self.held for i in range(0, len(ids), self.piece)]
-        sizes = [len(x[2]) for x in cut]
+        cut = [(row, doc, start + i, ids[i : i + self.piece], total) for row, doc, start, ids, total in self.held for i in range(0, len(ids), self.piece)]
+        sizes = [len(x[3]) for x in cut]
         windows = max(1, -(-self.total // self.capacity))
         while True:
             window = differencing(sizes, windows)
@@ -120,13 +122,14 @@ class Packer:
 
     @staticmethod
     def joined(group: list[tuple]) -> list[tuple]:
-        """Pieces of one document that follow one another are one piece again."""
+        """Pieces of one row that follow one another are one piece again."""
         out: list[tuple] = []
-        for doc, start, ids, total in group:
-            if out and out[-1][0] == doc and doc is not None and out[-1][3] == total and out[-1][1] + len(out[-1][2]) == start:
-                out[-1] = (doc, out[-1][1], np.concatenate([out[-1][2], ids]), total)
+        for piece in group:
+            row, doc, start, ids, total = piece
+            if out and out[-1][0] == row and out[-1][2] + len(out[-1][3]) == start:
+                out[-1] = (row, doc, out[-1][2], np.concatenate([out[-1][3], ids]), total)
             else:
-                out.append((doc, start, ids, total))
+                out.append(piece)
         return out
 
     def batch(self) -> pa.RecordBatch:
