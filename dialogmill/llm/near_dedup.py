@@ -3,7 +3,8 @@
 Each document's distinct 4-word shingles give 512 MinHash samples. The samples are folded into a parity bitmap of
 1,024 bits (odd sketch); the population count of the XOR of two bitmaps estimates high similarities precisely, with
 a standard error of 0.02 at 0.8, and screens the candidates of 32 bands of four samples at 0.8 - slack. Every link is then confirmed
-on the full shingle sets.
+on the full shingle sets. A shingle is named by 64 mixed bits of its words' BLAKE2 hashes, so no two of different words
+are taken for one but by a chance of 2**-64.
 
 * Documents with equal sets form one class; only a class's smallest id goes on, so copies are never paired.
 * Round by round, each representative is compared with one band leader of another component, the one with which
@@ -26,12 +27,14 @@ empty result. Further columns of the input are not read, or kept by keep_one.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogmill.llm.bytescan import mix, pieces, word_hashes
+from dialogmill.llm.bytescan import mix, pieces
 from dialogmill.llm.common import row_keyed, written
 
 SAMPLES, BANDS, BAND_ROWS, SKETCH_BITS = 512, 32, 4, 1024
@@ -49,9 +52,36 @@ _SALT = _RNG.integers(1, 2**62, SAMPLES, dtype=np.uint64)
 _NO_WORD = np.uint64(0x6A09E667F3BCC909)
 
 
+class Names(dict):
+    """64 bits of BLAKE2 of a word's bytes; words that a task has met are remembered, as long as they are few and short."""
+
+    room = 1 << 25
+
+    def __missing__(self, word: bytes) -> int:
+        name = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self.room -= len(word) + 64
+        if self.room < 0:
+            self.clear()
+            self.room = Names.room
+        self[word] = name
+        return name
+
+
+_NAMES = Names()
+
+
+def word_names(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the words of the rows with A-Z in lower case, and for each row the index of its first word (and the end)."""
+    raw = data.tobytes().lower()
+    # bytes are split at ASCII white space, and only A-Z changes its case
+    texts = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return np.fromiter((_NAMES[w] for t in texts for w in t), dtype=np.uint64, count=int(first[-1])), first
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row; fewer words than size make one shingle."""
-    words, first = word_hashes(data, at)
+    words, first = word_names(data, at)
     padded = np.concatenate([words, np.full(size, _NO_WORD)])
     rolled = np.zeros(len(words), dtype=np.uint64)
     for i in range(size):
@@ -136,8 +166,10 @@ def likeness(a: str, b: str):
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of all ids in edges (a, b): the smallest id reachable, by alternating star contraction.
 
-    Minima are aggregated before the shuffle and joined back, so no vertex's neighbours meet in one task.
+    Minima are aggregated before the shuffle. They are joined back by vertex and a salt of the neighbour, so the
+    neighbours of a hub are dealt out over SALT keys.
     """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -146,7 +178,8 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        pairs = both.join(low, "u")
+        dealt = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int"))
+        pairs = dealt.join(low.withColumn("salt", salts), ["u", "salt"])
         if large:
             moved = pairs.where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b"))
         else:
