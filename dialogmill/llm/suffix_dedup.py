@@ -8,14 +8,15 @@ first:
   windows choose the same block at the same offset, which is what a difference cover gives for positions (a common
   offset at which both suffixes are sampled), with 3 % of the positions where a cover of period 73 needs 12 %.
 * Neighbouring windows with the same sampled block are one segment; the hash of its bytes is the name of the
-  sample. Windows in equal segments tie over their whole depth, and are settled by name alone (128 bits).
+  sample. Windows in equal segments tie over their whole depth, and are settled by name alone: 64 bits of hash, within
+  one block of equal hash. A segment has at most 168 bytes, too few for words built to have one hash modulo 2**64.
 * A suffix bucket is a sampled block. Buckets are dealt out by hash and sorted, one at a time, in a stream: only the
   first segments of a bucket are held, at most HOT_BUCKET of them. Copies within a map task are settled there, so a
   very frequent bucket sends one row from each task for each segment.
 * In buckets that hold several segments, the segments' bytes are sent once and sorted: by what follows the start of
   the sampled block and by what precedes it. The two ranks of a sample and the lengths that neighbours in these
   orders have in common settle each of its windows, byte by byte, without comparing the windows themselves.
-* Buckets of more than HOT_BUCKET segments over all tasks are dealt out by window, under names of 128 bits; blocks with
+* Buckets of more than HOT_BUCKET segments over all tasks are dealt out by window, by names alone; blocks with
   more than HOT_BLOCK segments in one map task are sent by segment in the first place.
 
 Text is worked on in pieces of 1 MiB that overlap by 99 bytes, so memory doesn't grow with a document's length.
