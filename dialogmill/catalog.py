@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from dialogmill.functions.columns import date_bound, fidelity, filters, model_name, truncated
+from dialogmill.functions.columns import date_bound, fidelity, filters, format_ts, model_name, truncated
 from dialogmill.operators import evaluate, maintain, normalise, profile, reading, search, textindex
 from dialogmill.plans import bridge, records
 from dialogmill.sources import archive, jsonl, relational
@@ -25,7 +25,7 @@ class Tables:
         self.docs, self.events, self.sessions = see(bridge.DOCS), see(bridge.EVENTS), see(bridge.SESSIONS)
         self.raw, self.calls, self.queries = see(bridge.RAW), see(bridge.CALLS_SPARK), see(bridge.QUERIES)
         self.labels = see("SELECT * FROM labels")
-        self.requests = self.sessions.select(F.concat(F.lit("r"), "id").alias("req_id"), F.col("id").alias("session_id"), F.date_format(F.timestamp_millis(F.col("ts_created") + 120000), "yyyy-MM-dd HH:mm").alias("at"))
+        self.requests = self.sessions.select(F.concat(F.lit("r"), "id").alias("req_id"), F.col("id").alias("session_id"), format_ts(F.col("ts_created") + 120000).alias("at"))
         #: The archive before and after a pass: later messages are new, some texts are changed.
         self.old = self.docs.where("pmod(ts div 60000, 7) <> 3").withColumn("text", F.when(F.expr("pmod(ts div 60000, 7) = 4"), F.concat("text", F.lit(" (old)"))).otherwise(F.col("text")))
         self.new = self.docs.where("pmod(ts div 60000, 2) = 1")
@@ -209,7 +209,7 @@ def _read_requests(t):
     """Requests of all modes for each session."""
     numbered = reading.message_index(t.events)
     ends = numbered.groupBy("session_id").agg(F.max_by("id", "idx").alias("last"), F.min_by("id", F.abs(F.col("idx") - 1)).alias("second"), F.min("ts").alias("first_ts"))
-    minute = F.date_format(F.timestamp_millis("first_ts"), "yyyy-MM-dd HH:mm")
+    minute = format_ts(F.col("first_ts"))
     none = F.lit(None).cast("string")
     modes = [("whole", none, None, none), ("around", F.col("second"), None, none), ("unknown", F.lit("nobody"), None, none), ("tail", none, 2, none), ("tail-at", none, 1, minute), ("masked", F.col("last"), None, minute), ("bad", none, None, F.lit("2026-02-30"))]
     parts = [ends.select(F.concat(F.lit(f"{name}-"), "session_id").alias("req_id"), "session_id", around.alias("around"), F.lit(1).alias("ctx"), F.lit(tail).cast("int").alias("tail"), at.alias("at")) for name, around, tail, at in modes]

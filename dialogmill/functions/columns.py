@@ -11,6 +11,8 @@ INPUT_FIELDS = ["query", "pattern", "url", "file", "path", "filePath", "descript
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 
+DAY_MS = 86_400_000
+
 
 def trimmed(text: Column) -> Column:
     """text without white space of any kind at its ends."""
@@ -88,7 +90,17 @@ def fidelity(source: Column) -> Column:
 
 
 def format_ts(ts: Column) -> Column:
-    return F.coalesce(F.date_format(F.timestamp_millis(ts), "yyyy-MM-dd HH:mm"), F.lit("?"))
+    """yyyy-MM-dd HH:mm in UTC, whatever the session's zone; ? for null."""
+    day, minute = F.floor(ts / DAY_MS).cast("int"), F.floor(F.pmod(ts, F.lit(DAY_MS)) / 60_000).cast("int")
+    return F.coalesce(F.concat(F.date_from_unix_date(day).cast("string"), F.format_string(" %02d:%02d", F.floor(minute / 60), minute % 60)), F.lit("?"))
+
+
+def iso_millis(text: Column) -> Column:
+    """Epoch milliseconds of an ISO time; one without a zone, and a date, is in UTC, whatever the session's zone. Null if it is none."""
+    whole = F.regexp_replace(text, r"([ T]\d{1,2}:\d{2})(?=$|[A-Za-z+-])", "$1:00")
+    whole = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).when(whole.rlike(r"[ T]\d{1,2}:\d{2}:\d{2}(\.\d+)?$"), F.concat(whole, F.lit("Z"))).otherwise(whole)
+    # a zone is named: letters, or hours and minutes
+    return F.when(whole.rlike(r"([A-Za-z]|[+-]\d{1,2}(:?\d{2})?)$"), F.unix_millis(whole.try_cast("timestamp")))
 
 
 def truncated(text: Column, chars: int | None = None, full: bool = False, default_chars: int = 400, lines: int = 4) -> Column:
@@ -120,18 +132,15 @@ def date_bound(text: Column, end: bool) -> Column:
     base = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1)
     start = F.date_add(base, day - 1)
     after = F.when(text.rlike(r"^\d{4}$"), F.add_months(start, 12)).when(text.rlike(r"^\d{4}-\d{2}$"), F.add_months(start, 1)).otherwise(F.date_add(start, 1))
-    millis = lambda d: F.unix_millis(d.cast("timestamp"))
+    millis = lambda d: F.unix_date(d).cast("bigint") * DAY_MS
     period = millis(after) - 1 if end else millis(start)
-    return F.when(text.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$"), period).otherwise(F.unix_millis(text.try_cast("timestamp")))
+    return F.when(text.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$"), period).otherwise(iso_millis(text))
 
 
 def anchor_millis(text: Column) -> Column:
     """Epoch milliseconds of 13 digits, or of a real calendar time YYYY-MM-DD[ T]HH:MM[:SS]; a date is its last millisecond. Null if invalid."""
-    iso = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2})$", "$1 $2:00")
-    iso = F.regexp_replace(iso, "T", " ")
-    at = F.unix_millis(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd HH:mm:ss")))
-    day = F.unix_millis(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
-    return F.when(text.rlike(r"^\d{13}$"), text.try_cast("bigint")).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), day + 86_399_999).when(iso.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), at)
+    minute = text.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2})?$")
+    return F.when(text.rlike(r"^\d{13}$"), text.try_cast("bigint")).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), iso_millis(text) + DAY_MS - 1).when(minute, iso_millis(text))
 
 
 def filters(repo=None, session=None, after=None, before=None, model=None, role=None, agent=None, source=None) -> Column:

@@ -20,7 +20,7 @@ RAW = """SELECT concat('d', lpad(cast(doc_id AS STRING), 6, '0')) AS part_id, te
 #: {k} and {ms}: the expressions that differ between the engines.
 CALLS = """SELECT concat('u', lpad(cast(user_id AS STRING), 6, '0')) AS session_id, concat('e', lpad(cast(event_id AS STRING), 8, '0')) AS id, event_type AS tool,
  concat('k: ', {k}) AS cmd, {ms} AS ts, value AS cost, CASE WHEN user_id % 2 = 0 THEN 'opencode' ELSE 'pi' END AS source FROM events"""
-CALLS_SPARK = CALLS.format(k="get_json_object(props, '$.k')", ms="unix_millis(cast(ts AS timestamp))")
+CALLS_SPARK = CALLS.format(k="get_json_object(props, '$.k')", ms="timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
 CALLS_DUCKDB = CALLS.format(k="json_extract_string(props, '$.k')", ms="epoch_us(ts) // 1000")
 QUERIES = "SELECT concat('q', lpad(cast(item_id AS STRING), 4, '0')) AS qid, text AS q FROM benchmark"
 

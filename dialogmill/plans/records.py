@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialogmill.functions.columns import format_ts
+
 #: The same text for Spark and DuckDB. form: that of a tool's input; kind: what follows a call in a session file.
 TURNS = """SELECT conv_id, turn, role, text, concat('m', lpad(cast(conv_id AS STRING), 6, '0'), '-', lpad(cast(turn AS STRING), 4, '0')) AS id,
  concat('s', lpad(cast(conv_id AS STRING), 6, '0')) AS session_id, 1767225600000 + conv_id * 86400000 + turn * 60000 AS ts,
@@ -49,7 +51,7 @@ def relational(see) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def lines(see) -> DataFrame:
     """(path, line_no, line) of session files."""
-    turns = see(TURNS).withColumns({"path": F.concat(F.lit("c"), F.col("conv_id").cast("string")), "iso": F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")})
+    turns = see(TURNS).withColumns({"path": F.concat(F.lit("c"), F.col("conv_id").cast("string")), "iso": F.concat(F.replace(format_ts(F.col("ts")), F.lit(" "), F.lit("T")), F.lit(":00Z"))})
     heads = turns.groupBy("path", "conv_id", "directory").agg(F.min("iso").alias("iso"))
     head = heads.selectExpr("path", "1 AS line_no", "to_json(named_struct('type', 'session', 'version', 3, 'id', concat('u', conv_id), 'timestamp', iso, 'cwd', directory)) AS line")
     names = heads.where("conv_id % 3 = 1").selectExpr("path", "explode(array(named_struct('n', 1000000, 'name', concat(' Named ', conv_id, ' ')), named_struct('n', 1000001, 'name', '  '))) AS x", "iso").selectExpr("path", "x.n AS line_no", "to_json(named_struct('type', 'session_info', 'timestamp', iso, 'name', x.name)) AS line")

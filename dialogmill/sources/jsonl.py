@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dialogmill.functions.columns import cmd_of, repo_of, tokens_of, trimmed, unsafe_id, variant_text
+from dialogmill.functions.columns import cmd_of, iso_millis, repo_of, tokens_of, trimmed, unsafe_id, variant_text
 
 V = "v"
 _COUNTS = ["in", "out", "reasoning", "cacheRead", "cacheWrite"]
@@ -58,7 +58,7 @@ def problems(lines: DataFrame) -> DataFrame:
     kind = variant_text(V, "$.type")
     bad = v.where((trimmed(F.col("line")) == "") | F.isnull(V)).select("path", "line_no", F.lit("no JSON").alias("problem"))
     head = v.where("line_no = 1 AND v IS NOT NULL")
-    good = ((kind == "session") & ~unsafe_id(variant_text(V, "$.id")) & variant_text(V, "$.timestamp").try_cast("timestamp").isNotNull()) | (kind == "session_info")
+    good = ((kind == "session") & ~unsafe_id(variant_text(V, "$.id")) & iso_millis(variant_text(V, "$.timestamp")).isNotNull()) | (kind == "session_info")
     headers = head.where(~F.coalesce(good, F.lit(False))).select("path", "line_no", F.lit("no session header").alias("problem"))
     ids = v.where((kind == "message") & variant_text(V, "$.id").isNotNull()).select("path", "line_no", variant_text(V, "$.id").alias("local"))
     names = ids.where(unsafe_id(F.col("local"))).select("path", "line_no", F.lit("unsafe id").alias("problem"))
@@ -74,11 +74,11 @@ def shared_uuids(files: DataFrame) -> DataFrame:
 
 def headers(lines: DataFrame) -> DataFrame:
     first = parsed(lines.where("line_no = 1")).where(variant_text(V, "$.type") == "session")
-    return first.select("path", variant_text(V, "$.id").alias("uuid"), variant_text(V, "$.cwd").alias("cwd"), F.unix_millis(variant_text(V, "$.timestamp").try_cast("timestamp")).alias("ts_created"))
+    return first.select("path", variant_text(V, "$.id").alias("uuid"), variant_text(V, "$.cwd").alias("cwd"), iso_millis(variant_text(V, "$.timestamp")).alias("ts_created"))
 
 
 def _ts():
-    return F.coalesce(F.try_variant_get(V, "$.message.timestamp", "bigint"), F.unix_millis(variant_text(V, "$.timestamp").try_cast("timestamp")))
+    return F.coalesce(F.try_variant_get(V, "$.message.timestamp", "bigint"), iso_millis(variant_text(V, "$.timestamp")))
 
 
 def messages(lines: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def sessions(lines: DataFrame) -> DataFrame:
     v = parsed(lines)
     named = v.where((variant_text(V, "$.type") == "session_info") & (trimmed(variant_text(V, "$.name")) != "")).groupBy("path").agg(F.max_by(trimmed(variant_text(V, "$.name")), "line_no").alias("named"))
     said = messages(lines).where("role = 'user'").select("path", "line_no", trimmed(_texts(F.col("content"))).alias("text")).where("text <> ''").groupBy("path").agg(F.min_by("text", "line_no").alias("said"))
-    last = v.groupBy("path").agg(F.max_by(F.unix_millis(variant_text(V, "$.timestamp").try_cast("timestamp")), "line_no").alias("last"))
+    last = v.groupBy("path").agg(F.max_by(iso_millis(variant_text(V, "$.timestamp")), "line_no").alias("last"))
     usage = events(lines).groupBy("sessionId").agg(F.sum("cost").alias("cost"), F.struct(*(F.sum(F.col("tokens")[c]).alias(c) for c in _COUNTS)).alias("tokens"))
     base = headers(lines).join(named, "path", "left").join(said, "path", "left").join(last, "path", "left").withColumn("id", F.concat(F.lit("pi:"), F.col("uuid")))
     title = F.coalesce("named", F.nullif(F.substring(F.substring_index("said", "\n", 1), 1, 60), F.lit("")))

@@ -37,6 +37,30 @@ def test_query_against_sql(spark, duck, name):
     assert sorted(str(plain(tuple(r))) for r in got.select(*columns).collect()) == sorted(str(plain(r)) for r in rows)
 
 
+@pytest.mark.parametrize("name", ["date_bounds", "anchors", "messages_export", "read_as_of", "line_events", "line_sessions", "source_profile"])
+def test_query_in_another_zone(spark, duck, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        test_query_against_sql(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_times_are_in_utc(spark):
+    asked = ["1970", "1970-01-01T00:00", "2026-03-08T02:30:00", "2026-03-08 02:30", "1970-01-01T00:00:00+02:00", "2026-03-08T02:30:00.250Z", "2026-02-30", "2026-02-30T10:00:00Z", "soon", None]
+    df = spark.createDataFrame([(a,) for a in asked], "a string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = df.select("a", columns.date_bound(df.a, False).alias("low"), columns.anchor_millis(df.a).alias("at"), columns.iso_millis(df.a).alias("iso"), columns.format_ts(columns.iso_millis(df.a)).alias("text")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    gap = 1772937000000
+    assert [(r.low, r.at, r.iso) for r in rows] == [
+        (0, None, None), (0, 0, 0), (gap, gap, gap), (gap, gap, gap), (-7200000, None, -7200000), (gap + 250, None, gap + 250), (1772409600000, None, None), (None, None, None), (None, None, None), (None, None, None),
+    ]
+    assert [r.text for r in rows] == ["?", "1970-01-01 00:00", "2026-03-08 02:30", "2026-03-08 02:30", "1969-12-31 22:00", "2026-03-08 02:30", "?", "?", "?", "?"]
+
+
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
 
