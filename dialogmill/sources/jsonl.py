@@ -1,6 +1,7 @@
 """Directories of append-only JSONL session files, to canonical sessions, events and raw outputs.
 
-A file is one session. Lines are read whole, and only up to the last line end; what follows is left to a later pass.
+A file is one session. Lines are read by byte ranges (sources.ranges), and only up to the last line end; what follows is
+left to a later pass.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dialogmill.functions.columns import cmd_of, iso_millis, repo_of, tokens_of, trimmed, unsafe_id, variant_text
+from dialogmill.sources.ranges import new_lines
 
 V = "v"
 _COUNTS = ["in", "out", "reasoning", "cacheRead", "cacheWrite"]
@@ -36,16 +38,9 @@ def advance_files(listing: DataFrame, state: DataFrame, read: DataFrame) -> Data
     return found.select("path", "size", "mtime", F.coalesce("uuid", "known__").alias("uuid"))
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, line_no, line) of terminated lines, from 1. A file is one row until its lines are cut, so it must be below 2 GB."""
-    return terminated(spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")).drop("ack")
-
-
-def terminated(files: DataFrame) -> DataFrame:
-    """(path, line_no, line, ack) of files (path, value): lines up to the last line end; ack is the byte after it."""
-    done = F.when(F.instr("value", "\n") > 0, F.regexp_replace("value", r"\n[^\n]*$", ""))
-    rows = files.where(F.col("path").endswith(".jsonl")).withColumn("done", done).where("done IS NOT NULL").withColumn("ack", F.octet_length("done") + 1)
-    return rows.select("path", F.posexplode(F.split("done", "\n")).alias("n", "line"), "ack").select("path", (F.col("n") + 1).alias("line_no"), "line", "ack")
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line) of the terminated lines of the session files below path, from 1; large files in many tasks."""
+    return new_lines(discover(spark, path))[0].drop("begin")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -117,28 +112,50 @@ def attach_results(called: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def attach_bash(called: DataFrame, runs: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, call_line, k, call_id, bash_line): each run goes to the open bash call that began last.
+    """(path, call_id, bash_line): each run goes to the open bash call that began last.
 
-    The lines of a file are folded in order over a stack of open calls: a call is pushed, a result takes its call
-    out, a run takes the last one. A run's pair is dropped where a result of that call comes later.
+    A call opens, a result closes the calls of its id, a run closes the one that opened last and is its own. The calls,
+    results and runs of a file, a few bytes each, are sorted by line and streamed past a stack of the open calls, in
+    time in proportion to their number. A run's pair is dropped where a result of that call comes later: an equi-join.
     """
-    none = F.lit(None)
-    row = lambda line, kind, call, k: F.struct(line.alias("line"), k.alias("k"), kind.alias("kind"), call.alias("call"))
-    pushes = called.where("tool = 'bash' AND call_id IS NOT NULL").select("path", row(F.col("line_no"), F.lit("call"), F.col("call_id"), F.col("k")).alias("e"))
-    takes = found.where("call_id IS NOT NULL").select("path", row(F.col("line_no"), F.lit("result"), F.col("call_id"), F.lit(0)).alias("e"))
-    bash = runs.select("path", row(F.col("line_no"), F.lit("bash"), none.cast("string"), F.lit(0)).alias("e"))
-    files = pushes.unionByName(takes).unionByName(bash).groupBy("path").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<struct<call:string,line:int>>").alias("pairs"))
-
-    def step(s, e):
-        top = F.try_element_at(s["open"], F.lit(-1))
-        pushed = F.struct(F.concat(s["open"], F.array(e["call"])).alias("open"), s["pairs"].alias("pairs"))
-        taken = F.struct(F.filter(s["open"], lambda x: x != e["call"]).alias("open"), F.filter(s["pairs"], lambda p: p["call"] != e["call"]).alias("pairs"))
-        paired = F.struct(F.slice(s["open"], 1, F.size(s["open"]) - 1).alias("open"), F.concat(s["pairs"], F.array(F.struct(top.alias("call"), e["line"].cast("int").alias("line")))).alias("pairs"))
-        return F.when(e["kind"] == "call", pushed).when(e["kind"] == "result", taken).when(F.size(s["open"]) > 0, paired).otherwise(s)
-
-    pairs = files.select("path", F.explode(F.aggregate("es", start, step)["pairs"]).alias("p")).select("path", F.col("p.call").alias("call_id"), F.col("p.line").alias("bash_line"))
-    return pairs
+    row = lambda kind, call, k: [F.lit(kind).alias("kind"), call.cast("string").alias("call_id"), k.cast("int").alias("k")]
+    opens = called.where("tool = 'bash' AND call_id IS NOT NULL").select("path", "line_no", *row(0, F.col("call_id"), F.col("k")))
+    closes = found.where("call_id IS NOT NULL").select("path", "line_no", *row(1, F.col("call_id"), F.lit(0)))
+    takes = runs.select("path", "line_no", *row(2, F.lit(None), F.lit(0)))
+    steps = opens.unionByName(closes).unionByName(takes).select("path", F.col("line_no").cast("bigint").alias("line_no"), "k", "kind", "call_id")
+    ordered = steps.repartition("path").sortWithinPartitions("path", "line_no", "k", "kind", "call_id")
+    pairs = ordered.mapInArrow(_match, "path string, call_id string, bash_line bigint")
+    later = closes.select("path", "call_id", F.col("line_no").alias("result_line"))
+    displaced = pairs.join(later, ["path", "call_id"]).where("result_line > bash_line").select("path", "call_id", "bash_line").distinct()
+    return pairs.join(displaced, ["path", "call_id", "bash_line"], "left_anti")
+
+
+def _match(batches):
+    """The task of attach_bash, over rows (path, line_no, k, kind, call_id) sorted by path and line."""
+    import pyarrow as pa
+
+    path, stack, by_id = None, [], {}
+    for batch in batches:
+        out = []
+        for here, line, _, kind, call in zip(*(c.to_pylist() for c in batch.columns)):
+            if here != path:
+                path, stack, by_id = here, [], {}
+            if kind == 0:
+                entry = [call, True]
+                stack.append(entry)
+                by_id.setdefault(call, []).append(entry)
+            elif kind == 1:
+                for entry in by_id.pop(call, ()):
+                    entry[1] = False
+            else:
+                while stack and not stack[-1][1]:
+                    stack.pop()
+                if stack:
+                    entry = stack.pop()
+                    by_id[entry[0]].pop()  # the last one of its id
+                    out.append((path, entry[0], line))
+        columns = list(zip(*out)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["path", "call_id", "bash_line"])
 
 
 def orphans(msgs: DataFrame) -> DataFrame:
