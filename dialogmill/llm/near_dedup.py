@@ -42,6 +42,8 @@ SAMPLES, BANDS, BAND_ROWS, SKETCH_BITS = 512, 32, 4, 1024
 OUTSIDE = 64
 #: Members of a band or documents of a shingle that meet in one task.
 BLOCK_ROWS = 1000
+#: Sets of a shingle up to which it counts as rare at first; only speed depends on it.
+FEW = 32
 #: Keys over which the members of one class are dealt out.
 SALT = 8
 _RNG = np.random.default_rng(7)
@@ -203,15 +205,24 @@ def shared_rare(sets: DataFrame, percent: int) -> DataFrame:
     """(id, rare): 31 bits of each of the rarest shingles of a set that another set has too, rarest first; sets: (id, hashes).
 
     Sets of a similarity of at least percent share one of these, whatever order ties have: of n shingles the rarest
-    n - ceil(n * percent / 100) + 1 count. Only shingles that two sets have are shuffled a second time.
+    n - ceil(n * percent / 100) + 1 count. A set's own shingles are only counted, shingles of up to FEW sets meet their
+    sets; those of more sets, as the words of a template are, meet only sets that have too few of the others.
     """
-    rows = sets.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle"))
-    held = rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(held, ["shingle", "salt"])
-    by_id = met.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("common"))
-    room = F.expr(f"n - cast(ceil(n * {percent} / 100) AS int) + 1 - (n - size(common))")
-    return by_id.select("id", F.slice("common", F.lit(1), F.greatest(room, F.lit(0))).alias("x")).select("id", F.expr("array_distinct(transform(x, y -> cast(y.shingle & 2147483647 AS int)))").alias("rare")).where("size(rare) > 0")
+    rows = sets.select("id", F.explode("hashes").alias("shingle"))
+    held = written(rows.groupBy("shingle").agg(F.count("*").alias("held"), F.min("id").alias("only")), "near-held")
+    own = held.where("held = 1").groupBy(F.col("only").alias("id")).agg(F.count("*").alias("own"))
+    listed = lambda met: met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("found"))
+    few = listed(rows.join(held.where(F.col("held").between(2, FEW)).select("shingle", "held"), "shingle"))
+    room = F.expr(f"n - cast(ceil(n * {percent} / 100) AS int) + 1 - coalesce(own, 0)")
+    none = F.array().cast("array<struct<held:bigint,shingle:bigint>>")
+    placed = sets.select("id", F.size("hashes").alias("n")).join(own, "id", "left").join(few, "id", "left").select("id", room.cast("int").alias("room"), F.coalesce("found", none).alias("found"))
+    placed = written(placed.where("room > 0"), "near-room")
+    short = placed.where("size(found) < room").select("id")
+    many = held.where(F.col("held") > FEW).select("shingle", "held", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    wide = sets.join(short, "id", "left_semi").select("id", F.explode("hashes").alias("shingle")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    wide = listed(wide.join(many, ["shingle", "salt"])).withColumnRenamed("found", "common")
+    rare = placed.join(wide, "id", "left").select("id", F.slice(F.concat("found", F.coalesce("common", none)), F.lit(1), F.col("room")).alias("x"))
+    return rare.select("id", F.expr("array_distinct(transform(x, y -> cast(y.shingle & 2147483647 AS int)))").alias("rare")).where("size(rare) > 0")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80, star_rounds: int = 3, slack: float = 0.085, exact: bool = False) -> DataFrame:
