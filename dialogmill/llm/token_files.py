@@ -2,8 +2,8 @@
 
 A part holds the ids of a range of documents, one after the other, cut into sequences of `length` ids. It is an Arrow
 file (the stream format with a footer) of record batches of `batch` sequences each, with two columns of fixed-size
-lists: ids (uint32), and mask (uint8: 1 for an id, 0 for the padding of the part's last sequence). Lists of fixed size lie in one
-buffer without offsets, so sequence k is a slice of batch k // batch of the mapped file, and is read without a copy
+lists: ids (of 16 bits where the vocabulary fits in, else 32), and mask (a bit for each place: set for an id, not for the
+padding of the part's last sequence). Lists of fixed size lie in one buffer without offsets, so sequence k is a slice of batch k // batch of the mapped file, and is read without a copy
 or a search (Part.sequence). A second Arrow file beside it has a row for each document: its id and place in the part.
 
 * Documents are put in order by ranges of their ids, so parts follow one another; texts are shuffled once, and ids
@@ -12,7 +12,8 @@ or a search (Part.sequence). A second Arrow file beside it has a row for each do
   the number of ids before each. Parts of failed or repeated tasks are never named, and readers see all or nothing.
 * Files go through Arrow's file systems, by the scheme of the path (file, hdfs, s3, gs).
 * Each distinct word between white space is encoded once in a task by the tokenizers library, which drops white space in
-  this vocabulary and never looks across it; words are known by their bytes.
+  this vocabulary and never looks across it; words are known by their bytes. Words of Latin letters go straight to the
+  library's model, as its other steps cost four times as much.
 
 Rows: a null or empty text is its end id alone. Null ids come last; rows that share an id are ordered by their text, and
 equal rows are written each. Special token strings are ordinary text. An empty table gives a manifest without parts.
@@ -21,6 +22,7 @@ Further columns are not written.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -30,11 +32,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from dialogmill.llm.bpe import byte_to_char
 from dialogmill.llm.bytescan import pieces
 from dialogmill.llm.common import shared_dir, table
 from dialogmill.llm.memo import Memo
@@ -45,6 +49,8 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa
 PARTS = pa.schema([("part", pa.string()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())])
 #: Documents of a record batch of a part's second file, and bytes of ids that a reader gives out at once.
 DOC_ROWS, READ_BYTES = 10_000, 1 << 22
+#: The first character after the Latin letters.
+LATIN = "\u0250"
 
 
 def folder(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -53,8 +59,9 @@ def folder(path: str) -> tuple[pa.fs.FileSystem, str]:
     return (pa.fs.LocalFileSystem(use_mmap=True) if isinstance(files, pa.fs.LocalFileSystem) else files), inner
 
 
-def _sequences(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.field("id", pa.uint32(), nullable=False), length)), ("mask", pa.list_(pa.field("on", pa.uint8(), nullable=False), length))])
+def _sequences(length: int, bits: int) -> pa.Schema:
+    ids = pa.uint16() if bits == 16 else pa.uint32()
+    return pa.schema([("ids", pa.list_(pa.field("id", ids, nullable=False), length)), ("mask", pa.list_(pa.field("on", pa.bool_(), nullable=False), length))])
 
 
 def read_manifest(path: str) -> pa.Table:
@@ -73,20 +80,24 @@ class Part:
         self.length = self.file.schema.field("ids").type.list_size
         self.batch = int(self.file.schema.metadata[b"batch"])
 
-    def values(self, k: int, column: str = "ids") -> np.ndarray:
-        """All ids (or mask values) of record batch k in a row, without a copy."""
-        return self.file.get_batch(k).column(column).flatten().to_numpy(zero_copy_only=True)
+    def values(self, k: int) -> np.ndarray:
+        """All ids of record batch k in a row, without a copy."""
+        return self.file.get_batch(k).column("ids").flatten().to_numpy(zero_copy_only=True)
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence k, as views of the file."""
-        low = k % self.batch * self.length
-        return tuple(self.values(k // self.batch, c)[low : low + self.length] for c in ("ids", "mask"))
+        low, rows = k % self.batch * self.length, self.file.get_batch(k // self.batch)
+        return rows.column("ids").flatten().to_numpy(zero_copy_only=True)[low : low + self.length], rows.column("mask").flatten().slice(low, self.length)
+
+    def masked(self) -> int:
+        """How many places hold an id."""
+        return sum(self.file.get_batch(k).column("mask").flatten().true_count for k in range(self.file.num_record_batches))
 
     def ids(self, first: int, n: int) -> np.ndarray:
         """Ids from any place on; a copy only where they lie in several batches."""
         size = self.batch * self.length
         found = [self.values(k)[max(first - k * size, 0) : first + n - k * size] for k in range(first // size, -(-(first + n) // size))]
-        return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, np.uint32), *found])
+        return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, np.uint16), *found])
 
 
 @dataclass
@@ -100,14 +111,14 @@ class Written(WriterCommitMessage):
 class TokenWriter(DataSourceArrowWriter):
     """Writes rows (id, ids) in the order in which they come."""
 
-    def __init__(self, path: str, length: int, batch: int):
-        self.path, self.length, self.batch = path, length, batch
+    def __init__(self, path: str, length: int, batch: int, bits: int):
+        self.path, self.length, self.batch, self.bits = path, length, batch, bits
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, inner = folder(self.path)
         order = TaskContext.get().partitionId()
         name, size = f"part-{order:06d}-{uuid.uuid4().hex}", self.length * self.batch
-        schema = _sequences(self.length)
+        schema, kind = _sequences(self.length, self.bits), np.uint16 if self.bits == 16 else np.uint32
         total = docs = held = 0
         pending: list[np.ndarray] = []
         writer = index = None
@@ -115,10 +126,9 @@ class TokenWriter(DataSourceArrowWriter):
 
         def emit(ids: np.ndarray) -> None:
             rows = -(-len(ids) // self.length)
-            padded = np.zeros(rows * self.length, dtype=np.uint32)
+            padded = np.zeros(rows * self.length, dtype=kind)
             padded[: len(ids)] = ids
-            mask = np.zeros(len(padded), dtype=np.uint8)
-            mask[: len(ids)] = 1
+            mask = np.arange(len(padded)) < len(ids)
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(v), type=f.type) for v, f in zip((padded, mask), schema)]
             writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=schema))
 
@@ -129,7 +139,10 @@ class TokenWriter(DataSourceArrowWriter):
                 schema = schema.with_metadata({"batch": str(self.batch)})
                 writer, index = pa.ipc.new_file(outs[0], schema), pa.ipc.new_file(outs[1], DOCS)
             at = rows.column(1).offsets.to_numpy()
-            ids = rows.column(1).values.to_numpy()[at[0] : at[-1]].astype(np.uint32) if rows.num_rows else np.zeros(0, np.uint32)
+            ids = rows.column(1).values.to_numpy()[at[0] : at[-1]] if rows.num_rows else np.zeros(0, np.int32)
+            if len(ids) and not 0 <= ids.min() <= ids.max() < 1 << self.bits:
+                raise ValueError(f"ids beyond {self.bits} bits")
+            ids = ids.astype(kind)
             for low in range(0, rows.num_rows, DOC_ROWS):
                 part, places = rows.column(0).slice(low, DOC_ROWS), at[low : low + DOC_ROWS + 1].astype(np.int64)
                 index.write_batch(pa.RecordBatch.from_arrays([part, pa.array(total + places[:-1] - at[0]), pa.array(np.diff(places))], schema=DOCS))
@@ -196,9 +209,8 @@ class TokenReader(DataSourceReader):
             yield from self._documents(part, partition) if self.view == "documents" else self._rows(part, partition)
 
     def _documents(self, part: Part, of: PartRows) -> Iterator[pa.RecordBatch]:
-        on = sum(int(part.values(k, "mask").sum(dtype=np.int64)) for k in range(part.file.num_record_batches))
-        if on != of.n_tokens:
-            raise ValueError(f"{of.part} has {on} ids, not {of.n_tokens}")
+        if part.masked() != of.n_tokens:
+            raise ValueError(f"{of.part} has {part.masked()} ids, not {of.n_tokens}")
         for b in range(part.documents.num_record_batches):
             rows = part.documents.get_batch(b)
             first, n = (rows.column(c).to_numpy() for c in (1, 2))
@@ -206,11 +218,11 @@ class TokenReader(DataSourceReader):
             while low < len(n):
                 # documents that follow one another are one piece of ids
                 high = max(int(np.searchsorted(first + n, first[low] + READ_BYTES // 4, side="right")), low + 1)
-                ids = part.ids(int(first[low]), int(n[low:high].sum()))
+                ids = part.ids(int(first[low]), int(n[low:high].sum())).astype("<u4")
                 places = np.concatenate([first[low:high], [first[high - 1] + n[high - 1]]]) - first[low]
                 kind = pa.large_binary() if places[-1] * 4 >= 2**31 else pa.binary()
                 at = pa.py_buffer((places * 4).astype(np.int64 if kind == pa.large_binary() else np.int32))
-                packed = pa.Array.from_buffers(kind, high - low, [None, at, pa.py_buffer(np.ascontiguousarray(ids))])
+                packed = pa.Array.from_buffers(kind, high - low, [None, at, pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([rows.column(0).slice(low, high - low), pa.array(of.start + first[low:high]), pa.array(n[low:high]), packed], names=["doc_id", "start", "n_tokens", "ids"])
                 low = high
 
@@ -225,7 +237,7 @@ class TokenReader(DataSourceReader):
 
 
 class TokenSequences(DataSource):
-    """Options: path; for writing length and batch; for reading view (documents or sequences)."""
+    """Options: path; for writing length, batch and bits (of an id: 16 or 32); for reading view (documents or sequences)."""
 
     @classmethod
     def name(cls) -> str:
@@ -237,21 +249,43 @@ class TokenSequences(DataSource):
         return "sequence bigint, ids array<int>, mask array<int>"
 
     def writer(self, schema, overwrite: bool) -> TokenWriter:
-        return TokenWriter(self.options["path"], int(self.options.get("length", LENGTH)), int(self.options.get("batch", BATCH)))
+        return TokenWriter(self.options["path"], int(self.options.get("length", LENGTH)), int(self.options.get("batch", BATCH)), int(self.options.get("bits", 32)))
 
     def reader(self, schema) -> TokenReader:
         return TokenReader(self.options["path"], self.options.get("view", "documents"))
 
 
-@lru_cache(2)
-def word_memo(path: str) -> Memo:
-    """Ids of words between white space, by a tokenizer file that drops white space."""
+def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return Memo(lambda words: [e.ids for e in tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)])
+    return tokenizer
+
+
+@lru_cache(2)
+def word_memo(path: str) -> Memo:
+    """Ids of words between white space, by a tokenizer file that drops white space."""
+    tokenizer, table = _tokenizer(path), dict(enumerate(byte_to_char()))
+    with open(path, encoding="utf-8") as f:
+        pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    cut, model = regex.compile(pattern), tokenizer.model
+
+    def encode(words: list[bytes]) -> list[list[int]]:
+        out = []
+        for word in words:
+            text = word.decode("utf-8")
+            if text.isascii() and text.isprintable():
+                low = text.lower()
+                out.append([t.id for piece in ((low,) if low.isalpha() else cut.findall(low)) for t in model.tokenize(piece)])
+            elif text.isprintable() and max(text) < LATIN:  # these need no normal form, and every version of Unicode has them in one class
+                out.append([t.id for piece in cut.findall(text.lower()) for t in model.tokenize(piece.encode().decode("latin-1").translate(table))])
+            else:
+                out.append(tokenizer.encode(text, add_special_tokens=False).ids)
+        return out
+
+    return Memo(encode)
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -280,7 +314,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     order = [F.col("doc_id").asc_nulls_last(), F.col("hash__"), F.col("tie__")]
     placed = named.withColumns({"hash__": F.xxhash64("text"), "tie__": F.monotonically_increasing_id()})
     placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    encoded(placed, tokenizer, end_id).write.format(FORMAT).mode("append").option("length", length).option("batch", batch).save(path)
+    bits = 16 if max(_tokenizer(tokenizer).get_vocab_size() - 1, end_id) < 1 << 16 else 32
+    encoded(placed, tokenizer, end_id).write.format(FORMAT).mode("append").option("bits", bits).option("length", length).option("batch", batch).save(path)
 
 
 def read_tokens(spark: SparkSession, path: str, view: str = "documents") -> DataFrame:
