@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from dialogmill.operators.maintain import upsert
 from dialogmill.schemas import EVENTS, SESSIONS
@@ -25,26 +26,33 @@ def write_partitioned(df: DataFrame, path: str, key: str, *order: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("p").parquet(path)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """An archive's rows with p as text; where all prefixes are digits, Spark would take them for numbers."""
+    found = spark.read.parquet(path)
+    return spark.read.schema(StructType([StructField("p", StringType()) if f.name == "p" else f for f in found.schema])).parquet(path)
+
+
 def _touched(spark: SparkSession, new: DataFrame, path: str, key: str, id_col: str) -> list[str]:
     """Prefixes of the new rows and of the rows that they replace: 256 at most. Only ids are read of the archive."""
-    moved = spark.read.parquet(path).select("p", id_col).join(new.select(id_col), id_col, "left_semi").select("p")
+    moved = _stored(spark, path).select("p", id_col).join(new.select(id_col), id_col, "left_semi").select("p")
     return sorted(r.p for r in new.select(prefix(key).alias("p")).unionByName(moved).distinct().collect())
 
 
 def write_rows(spark: SparkSession, new: DataFrame, path: str, key: str, id_col: str, *order: str, exists: bool = True) -> None:
     """Upsert by id_col; the prefixes touched are read by name and written again, also where a row moves between them."""
-    rows = new
-    if exists:
-        touched = _touched(spark, new, path, key, id_col)
-        old = spark.read.parquet(path).where(F.col("p").isin(touched)).drop("p")
-        rows = staged(upsert(old, new, id_col))
-        left = [p for p in touched if p not in {r.p for r in rows.select(prefix(key).alias("p")).distinct().collect()}]
-        if left:  # a prefix whose last row has moved away
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-            for p in left:
-                gone = hadoop(f"{path}/p={p}")
-                gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    if not exists:
+        return write_partitioned(new, path, key, *order)
+    touched = _touched(spark, new, path, key, id_col)
+    old = _stored(spark, path).where(F.col("p").isin(touched)).drop("p")
+    rows = staged(upsert(old, new, id_col))
     write_partitioned(rows, path, key, *order)
+    # prefixes whose last row has moved away go last: a failure before that leaves a row twice, never none
+    left = {r.p for r in rows.select(prefix(key).alias("p")).distinct().collect()}
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in touched:
+        if p not in left:
+            gone = hadoop(f"{path}/p={p}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def write_events(spark: SparkSession, new: DataFrame, path: str, exists: bool = True) -> None:

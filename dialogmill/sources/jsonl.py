@@ -185,10 +185,15 @@ def proofs(msgs: DataFrame) -> DataFrame:
 
 def events(lines: DataFrame) -> DataFrame:
     msgs = messages(lines)
-    shown = calls(msgs).join(proofs(msgs), ["path", "line_no", "k"], "left")
+    return assembled(msgs, proofs(msgs), headers(lines))
+
+
+def assembled(msgs: DataFrame, proved: DataFrame, heads: DataFrame) -> DataFrame:
+    """Canonical events of messages, the proofs of their calls (path, line_no, k, ref, exit_code, output) and the headers of their files."""
+    shown = calls(msgs).join(proved, ["path", "line_no", "k"], "left")
     ref = F.when(F.coalesce("output", F.lit("")) != "", F.col("ref"))
     listed = shown.groupBy("path", "line_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "tool", "cmd", F.col("exit_code").alias("exitCode"), ref.alias("rawRef")))), lambda x: F.struct(x["tool"].alias("tool"), x["cmd"].alias("cmd"), x["exitCode"].alias("exitCode"), x["rawRef"].alias("rawRef"))).alias("toolCalls"))
-    repo = headers(lines).select("path", repo_of(F.col("cwd")).alias("repo"))
+    repo = heads.select("path", repo_of(F.col("cwd")).alias("repo"))
     kept = msgs.where("role IN ('user', 'assistant')").join(listed, ["path", "line_no"], "left").join(repo, "path", "left")
     model = F.struct(variant_text(V, "$.message.provider").alias("providerID"), variant_text(V, "$.message.model").alias("modelID"))
     return kept.select(

@@ -61,32 +61,37 @@ def _owned(file, low: int, high: int, first: bool):
             parts.append(rest)
 
 
+def owned_lines(path: str, low: int, high: int, first: bool):
+    """The lines of a file that begin in [low, high), as in _owned."""
+    import pyarrow.fs as fs
+
+    files, inner = fs.FileSystem.from_uri(path)
+    with files.open_input_file(inner) as file:
+        yield from _owned(file, low, high, first)
+
+
 def read_ranges(ranges: DataFrame) -> DataFrame:
     """(path, low, n, begin, bytes, line) of byte_ranges: n is the line's place in its range, bytes its length with the line end."""
 
     def run(batches):
-        import pyarrow.fs as fs
-
         names = ["path", "low", "n", "begin", "bytes", "line"]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         for batch in batches:
             for row in batch.to_pylist():
-                files, inner = fs.FileSystem.from_uri(row["path"])
+                path, low = row["path"], row["low"]
                 out, held, n = [], 0, 0
 
-                def rows(out=out, row=row):
-                    columns = [[row["path"]] * len(out), [row["low"]] * len(out), *zip(*out)]
-                    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=names)
-
-                with files.open_input_file(inner) as file:
-                    for begin, line in _owned(file, row["low"], row["high"], row["low"] == row["ack"]):
-                        out.append((n, begin, len(line) + 1, line.decode("utf-8", "replace")))
-                        n, held = n + 1, held + len(line)
-                        if held >= OUT:
-                            yield rows()
-                            out.clear()
-                            held = 0
+                def rows(out):
+                    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([path] * len(out), [low] * len(out), *zip(*out)), kinds)], names=names)
+
+                for begin, line in owned_lines(path, low, row["high"], low == row["ack"]):
+                    out.append((n, begin, len(line) + 1, line.decode("utf-8", "replace")))
+                    n, held = n + 1, held + len(line)
+                    if held >= OUT:
+                        yield rows(out)
+                        out, held = [], 0
                 if out:
-                    yield rows()
+                    yield rows(out)
 
     # a task for each range; their rows are so small that Spark would put them together if it weren't told a number
     n = min(max(ranges.count(), 1), TASKS)

@@ -181,6 +181,18 @@ def test_archive_moves_rows_between_sessions(spark, tmp_path):
     assert sorted((r.id, r.sessionId, r.text) for r in archive.read_archive(spark, store).collect()) == [("a", "s3", "y"), ("b", "s2", "x")]
 
 
+def test_prefixes_of_digits_stay_text(spark, tmp_path):
+    import hashlib
+
+    keys = [k for k in map(str, range(2000)) if hashlib.md5(k.encode()).hexdigest()[:2] in ("05", "12")][:6]
+    letters = next(k for k in map(str, range(2000)) if hashlib.md5(k.encode()).hexdigest()[:2] == "a4")
+    schema, store = "id string, sessionId string, ts bigint, role string, text string, source string", str(tmp_path / "store")
+    rows = lambda ks, t: spark.createDataFrame([(k, k, 1, "user", t, "pi") for k in ks], schema)
+    archive.write_events(spark, rows(keys, "x"), store, exists=False)
+    archive.write_events(spark, rows([*keys[:3], letters], "y"), store)
+    assert sorted((r.id, r.text) for r in archive.read_archive(spark, store).collect()) == sorted([(k, "y") for k in [*keys[:3], letters]] + [(k, "x") for k in keys[3:]])
+
+
 def test_file_fingerprint_ignores_order_and_hidden_files(spark, tmp_path):
     for folder, names in (("one", "ab"), ("two", "ba")):
         (tmp_path / folder / "root").mkdir(parents=True)
