@@ -32,11 +32,15 @@ class Tables:
 
     @property
     def index(self):
+        """The index of this folder's documents; one that isn't that of the documents as they are now is written anew."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _indexes:
-            path = shared_path(self.spark, "index")
-            textindex.write_index(self.docs, path)
-            _indexes[key] = path
+        if key in _indexes:
+            try:
+                return textindex.current_index(self.docs, _indexes[key])
+            except ValueError:
+                pass
+        _indexes[key] = shared_path(self.spark, "index")
+        textindex.write_index(self.docs, _indexes[key])
         return textindex.read_index(self.spark, _indexes[key])
 
     @functools.cached_property
@@ -112,6 +116,14 @@ def chrono_search(t):
     return search.by_time(t.queries, t.docs, RANKED_K, **t.index).select("qid", "rank", "id", "ts")
 
 
+def chrono_search_oldest(t):
+    return search.by_time(t.queries, t.docs, RANKED_K, newest=False, **t.index).select("qid", "rank", "id", "ts")
+
+
+def chrono_browse_oldest(t):
+    return search.browse(t.docs, 50, newest=False).select("id", "session_id", "ts", "role")
+
+
 def chrono_browse(t):
     return search.browse(t.docs, 50).select("id", "session_id", "ts", "role")
 
@@ -143,7 +155,40 @@ def hit_totals(t):
 
 
 def index_postings(t):
-    return t.index["index"].groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("occurrences"))
+    columns = (F.size("text") > 0).cast("bigint") + (F.size("cmd") > 0).cast("bigint")
+    return t.index["index"].groupBy("term").agg(F.sum(columns).alias("docs"), F.sum("tf").alias("occurrences"))
+
+
+def _upserted_index(t):
+    """An index of the older documents, with a segment of changes, one of a document that is gone, and one with it again."""
+    path = shared_path(t.spark, "index")
+    textindex.write_index(t.old, path)
+    textindex.add_segment(t.new, path)
+    lost = t.old.where("role = 'title'")
+    textindex.add_segment(t.old.limit(0), path, gone=lost)
+    textindex.add_segment(lost.join(t.new.select("id"), "id", "left_anti").unionByName(t.new.where("role = 'title'")), path)
+    return path
+
+
+def index_after_upsert(t):
+    """Searches over an index that upserts have brought up to date, before its segments are merged and after."""
+    path, docs = _upserted_index(t), staged(maintain.upsert(t.old, t.new), "docs")
+    parts = []
+    for name in ("segments", "merged"):
+        hits = staged(search.ranked(t.queries, docs, RANKED_K, **textindex.current_index(docs, path)), "hits")
+        parts.append(r6(hits, "score").select(F.lit(name).alias("part"), "qid", "rank", "id", "score"))
+        textindex.merge_segments(t.spark, path)
+    return parts[0].unionByName(parts[1])
+
+
+def index_lag(t):
+    """The index of the older documents against the archive after a pass: it is behind; with a further segment it is equal."""
+    path, docs = shared_path(t.spark, "index"), staged(maintain.upsert(t.old, t.new), "docs")
+    textindex.write_index(t.old, path)
+    before = staged(textindex.index_state(docs, textindex.read_index(t.spark, path)["stats"]), "lag")
+    textindex.add_segment(t.new, path)
+    after = textindex.index_state(docs, textindex.read_index(t.spark, path)["stats"])
+    return before.withColumn("part", F.lit("before")).unionByName(after.withColumn("part", F.lit("after")))
 
 
 def index_build(t):
@@ -637,8 +682,8 @@ def pattern_audit(t):
 AUDIT = [("mit", r"MIT License", False), ("apache", r"Apache License", False), ("gpl", r"GNU General Public", True)]
 
 _ALL = [
-    bm25_search, filtered_search, repo_search, unknown_source_search, command_hits, no_terms, chrono_search, chrono_browse, neighbor_messages, hit_groups, hit_neighbor_groups, hit_excerpts, hit_snippets, hit_totals,
-    index_postings, index_build, raw_scan, raw_scan_refs, rawrefs, raw_lookup, eval_topk,
+    bm25_search, filtered_search, repo_search, unknown_source_search, command_hits, no_terms, chrono_search, chrono_browse, chrono_search_oldest, chrono_browse_oldest, neighbor_messages, hit_groups, hit_neighbor_groups, hit_excerpts, hit_snippets, hit_totals,
+    index_postings, index_build, index_after_upsert, index_lag, raw_scan, raw_scan_refs, rawrefs, raw_lookup, eval_topk,
     message_index, read_as_of, read_counters, read_sessions, read_modes, read_headers, anchors, date_bounds, fidelity_flags, session_tail, keyset_page, shown_windows, gap_markers, text_chunks, messages_export,
     call_chunks, calls_summary, shown_texts, relational_events, relational_sessions, relational_outputs, source_delta, line_events, line_sessions, line_orphans, line_unproved, line_ignored, line_outputs, line_problems,
     changed_files, file_state, shared_uuids, search_docs, archive_passes, rebuild_equals_passes, session_passes, raw_passes, migrated, title_upkeep, rawref_upkeep,

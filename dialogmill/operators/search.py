@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dialogmill.functions.columns import trimmed
-from dialogmill.operators.textindex import bm25, phrase_frequencies, phrases, tokenize, top_k
+from dialogmill.operators.textindex import phrases, scores, tokenize, top_k
+from dialogmill.sources.staging import staged
 
 EXCERPT = 20_000
 #: Needles that one pass over the outputs looks for; they are collected to the driver and sent to the tasks.
@@ -16,16 +17,24 @@ NEEDLES = 50_000
 
 def ranked(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = None, **index) -> DataFrame:
     """(qid, rank, id, score and the document's columns): filters come before the limit, statistics cover all documents."""
-    hits = bm25(queries, docs, **index)
     kept = docs if where is None else docs.where(where)
-    best = top_k(hits.join(kept.select("id"), "id", "left_semi"), k)
-    return best.join(kept, "id")
+    best, _ = scores(queries, docs, **index).best(k, None if where is None else kept)
+    return top_k(best, k).join(kept, "id")
+
+
+def search_effort(queries: DataFrame, docs: DataFrame, k: int, **index) -> DataFrame:
+    """(qid, matching, summed): pairs of a phrase and a document that has it, and how many of them a search for the best k sums."""
+    found = scores(queries, docs, **index)
+    _, pairs = found.best(k)
+    summed = pairs.groupBy("qid").agg(F.sum("pairs").alias("summed"))
+    every = found.summed(found.terms).groupBy("qid").agg(F.sum("pairs").alias("matching"))
+    return every.join(summed, "qid", "left").select("qid", "matching", F.coalesce("summed", F.lit(0)).alias("summed"))
 
 
 def by_time(queries: DataFrame, docs: DataFrame, k: int, newest: bool = True, where: Column | None = None, **index) -> DataFrame:
     """The first k of all matches in order of (ts, id), both descending for newest; texts join the chosen ones only."""
     kept = docs if where is None else docs.where(where)
-    hits = bm25(queries, docs, **index).join(kept.select("id", "ts"), "id")
+    hits = scores(queries, docs, **index).matches().join(kept.select("id", "ts"), "id")
     order = [F.col("ts").desc(), F.col("id").desc()] if newest else ["ts", "id"]
     best = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
     return best.drop("ts").join(kept, "id")
@@ -47,17 +56,21 @@ def neighbors(hits: DataFrame, docs: DataFrame, ctx: int) -> DataFrame:
     """(qid, session_id, id, ts, for_ref): ctx messages before and after each hit (qid, rank, id, session_id, ts, role).
 
     Titles are no messages: a title hit stands before the first message at or after it. A message near several hits of
-    a query is there once, for the first of them. Only sessions with hits are numbered. hits are read several times:
-    a search's result should be written first.
+    a query is there once, for the first of them. Only sessions with hits are numbered, once; the places around a hit meet
+    the messages by an equi-join. hits are read several times: a search's result should be written first.
     """
-    events = docs.where("role <> 'title'").join(hits.select("session_id").distinct(), "session_id", "left_semi")
-    numbered = events.select("session_id", "id", "ts", F.row_number().over(W.partitionBy("session_id").orderBy("ts", "id")).alias("rn"))
-    messages = hits.where("role <> 'title'").join(numbered.select("session_id", "id", "rn"), ["session_id", "id"]).select("qid", "rank", "id", "session_id", (F.col("rn") - ctx).alias("low"), (F.col("rn") + ctx).alias("high"), F.col("rn").alias("own"))
-    titles = hits.where("role = 'title'").select("qid", "rank", F.col("id").alias("hit"), "session_id", F.col("ts").alias("at"))
-    before = titles.join(numbered, "session_id", "left").groupBy("qid", "rank", "hit", "session_id").agg(F.count_if((F.col("ts") < F.col("at")) | ((F.col("ts") == F.col("at")) & (F.col("id") < F.col("hit")))).alias("before"))
-    placed = before.select("qid", "rank", F.col("hit").alias("id"), "session_id", (F.col("before") + 1 - ctx).alias("low"), (F.col("before") + ctx).alias("high"), F.lit(None).cast("int").alias("own"))
-    spans = messages.unionByName(placed).withColumnRenamed("id", "for_ref")
-    near = spans.join(numbered, "session_id").where("rn BETWEEN low AND high AND (own IS NULL OR rn <> own)")
+    asked = hits.select("session_id").distinct()
+    events = docs.where("role <> 'title'").join(asked, "session_id", "left_semi").select("session_id", "id", "ts", F.lit(1).alias("message"))
+    titles = hits.where("role = 'title'").select("session_id", "id", "ts").distinct().withColumn("message", F.lit(0))
+    # one order of messages and title hits: a message's number, and the number of messages before a title, are running counts
+    order = W.partitionBy("session_id").orderBy("ts", "id", "message").rowsBetween(W.unboundedPreceding, 0)
+    placed = staged(events.unionByName(titles).withColumn("rn", F.sum("message").over(order)), "places")
+    numbered = placed.where("message = 1").select("session_id", "id", "ts", "rn")
+    mine = hits.select("qid", "rank", "id", "session_id", (F.col("role") != "title").cast("int").alias("message")).join(placed.select("session_id", "id", "message", "rn"), ["session_id", "id", "message"])
+    # positions around a hit; a title stands between two messages
+    around = F.when(F.col("message") == 1, F.filter(F.sequence(F.col("rn") - ctx, F.col("rn") + ctx), lambda x: x != F.col("rn"))).otherwise(F.sequence(F.col("rn") + 1 - ctx, F.col("rn") + ctx))
+    spans = mine.select("qid", "rank", F.col("id").alias("for_ref"), "session_id", F.explode(around).alias("rn"))
+    near = spans.join(numbered, ["session_id", "rn"])
     first = F.row_number().over(W.partitionBy("qid", "session_id", "id").orderBy("rank"))
     return near.withColumn("n", first).where("n = 1").select("qid", "session_id", "id", "ts", "for_ref")
 
@@ -210,7 +223,7 @@ def raw_lookup(ids: DataFrame, raw: DataFrame) -> DataFrame:
 
 def eval_topk(questions: DataFrame, docs: DataFrame, **index) -> DataFrame:
     """(qid, top1, top3, top5) of a table (qid, q, expect, known_miss): is an expected session among the first k hits?"""
-    best = top_k(bm25(questions.select("qid", "q"), docs, **index), 5).join(docs.select("id", "session_id"), "id")
+    best = top_k(scores(questions.select("qid", "q"), docs, **index).best(5)[0], 5).join(docs.select("id", "session_id"), "id")
     got = best.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "session_id"))), lambda x: x["session_id"]).alias("got"))
     joined = questions.join(got, "qid", "left").withColumn("got", F.coalesce("got", F.array().cast("array<string>")))
     marks = {f"top{k}": F.arrays_overlap("expect", F.slice("got", 1, k)) for k in (1, 3, 5)}

@@ -1,9 +1,12 @@
 """The inverted index over text and commands, and ranked search for tables of queries.
 
-An index is two tables that can be rebuilt from the archive: postings(term, id, col, positions, bucket) and
-doc_stats(id, dl). It is written once and read by every search after that. Postings lie in ranges of (bucket, term,
-id), so any number of tasks writes them, a term of very many documents goes to several files, and a search reads the
-buckets of its terms only, and of these the files whose range of terms has one of them.
+An index is a folder of segments. A segment has postings (bucket, term, id, tf, dl, text, cmd: places of the term in
+both columns) and docs (id, dl, source, ts, mark: a digest of what was indexed). Upserts add a segment; a document counts in
+the last segment that has it, so older postings of it are dead, and a document that is gone has a row without a
+length. merge_segments writes the living ones as one segment. index_state compares an index with its archive.
+
+A term's postings are dealt out over its bucket and a salt of their documents, so any number of tasks writes a frequent term.
+A search for the best k reads term, id, tf and dl only, and sums no document that can't be among them (best).
 """
 
 from __future__ import annotations
@@ -32,26 +35,110 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    parts = [docs.select("id", F.lit(c).alias("col"), F.posexplode(tokenize(F.col(c))).alias("pos", "term")) for c in ("text", "cmd")]
-    both = parts[0].unionByName(parts[1])
-    grouped = both.groupBy("term", "id", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+def tokens(docs: DataFrame) -> DataFrame:
+    """(id, source, ts, mark, text, cmd): terms of both columns in order."""
+    given = set(docs.columns)
+    field = lambda c, kind: (F.col(c) if c in given else F.lit(None)).cast(kind).alias(c)
+    return docs.select("id", field("source", "string"), field("ts", "bigint"), mark().alias("mark"), tokenize(F.col("text")).alias("text"), tokenize(F.col("cmd")).alias("cmd"))
+
+
+def mark() -> Column:
+    """A digest of what the index holds of a document."""
+    return F.md5(F.concat_ws("\x1f", F.coalesce("text", F.lit("")), F.coalesce("cmd", F.lit(""))))
+
+
+def bucket(term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def postings(docs: DataFrame, salts: int = 1) -> DataFrame:
+    """One shuffle of the tokens, by bucket and salt of the document; a document's tokens of a term are then in one task."""
+    found = tokens(docs)
+    parts = [found.select("id", (F.size("text") + F.size("cmd")).alias("dl"), F.lit(c).alias("col"), F.posexplode(c).alias("pos", "term")) for c in ("text", "cmd")]
+    each = parts[0].unionByName(parts[1]).withColumns({"bucket": bucket(), "salt": F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")})
+    places = lambda c: F.array_sort(F.collect_list(F.when(F.col("col") == c, F.col("pos")))).alias(c)
+    grouped = each.repartition("bucket", "salt").groupBy("bucket", "salt", "term", "id").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), places("text"), places("cmd"))
+    return grouped.drop("salt")
+
+
+def doc_rows(docs: DataFrame) -> DataFrame:
+    return tokens(docs).select("id", (F.size("text") + F.size("cmd")).alias("dl"), "source", "ts", "mark")
 
 
-def doc_stats(docs: DataFrame) -> DataFrame:
-    return docs.select("id", (F.size(tokenize(F.col("text"))) + F.size(tokenize(F.col("cmd")))).alias("dl"))
+def _segments(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the segments whose docs, which are written last, are complete."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/docs")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [s.getPath() for s in files.listStatus(folder)]
+    return sorted(int(p.getName().removeprefix("seg=")) for p in found if p.getName().startswith("seg=") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _write_segment(docs: DataFrame, path: str, seg: int, gone: DataFrame | None = None) -> None:
+    salts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    postings(docs, salts).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/seg={seg}")
+    rows = doc_rows(docs)
+    if gone is not None:
+        rows = rows.unionByName(gone.select("id"), allowMissingColumns=True)
+    rows.write.mode("overwrite").parquet(f"{path}/docs/seg={seg}")
 
 
 def write_index(docs: DataFrame, path: str) -> None:
-    ordered = ["bucket", "term", "id"]
-    postings(docs).repartitionByRange(*ordered).sortWithinPartitions(*ordered).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    doc_stats(docs).write.mode("overwrite").parquet(f"{path}/doc_stats")
+    """A new index of one segment."""
+    _write_segment(docs, path, 0)
+
+
+def add_segment(docs: DataFrame, path: str, gone: DataFrame | None = None) -> None:
+    """New versions of documents, and documents (id) that are gone; what the index has of them counts no longer."""
+    _write_segment(docs, path, max(_segments(docs.sparkSession, path), default=-1) + 1, gone)
+
+
+def merge_segments(spark: SparkSession, path: str) -> None:
+    """The living documents as one segment; the others are removed when it is complete."""
+    old = _segments(spark, path)
+    live, seg = read_index(spark, path), old[-1] + 1
+    gone = spark.read.parquet(f"{path}/docs").select("id").distinct().join(live["stats"].select("id"), "id", "left_anti")
+    live["index"].sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/seg={seg}")
+    live["stats"].unionByName(gone, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}/docs/seg={seg}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for n in old:  # docs last: without postings no document of a segment would count
+        for name in ("postings", "docs"):
+            folder = hadoop(f"{path}/{name}/seg={n}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a written index, as the searches take them."""
-    return {"index": spark.read.parquet(f"{path}/postings"), "stats": spark.read.parquet(f"{path}/doc_stats")}
+    """The living rows of an index, as the searches take them: index (postings) and stats (docs)."""
+    segments = _segments(spark, path)
+    rows = lambda name: spark.read.option("basePath", f"{path}/{name}").parquet(*(f"{path}/{name}/seg={n}" for n in segments))
+    found, docs = rows("postings"), rows("docs")
+    if len(segments) == 1:
+        return {"index": found.drop("seg"), "stats": docs.where("dl IS NOT NULL").drop("seg")}
+    newest = docs.groupBy("id").agg(F.max("seg").alias("newest"))
+    placed = docs.join(newest, "id")
+    dead = placed.where("seg < newest").select("id", "seg")
+    return {"index": found.join(dead, ["id", "seg"], "left_anti").drop("seg"), "stats": placed.where("seg = newest AND dl IS NOT NULL").drop("seg", "newest")}
+
+
+def index_state(docs: DataFrame, stats: DataFrame) -> DataFrame:
+    """(source, archive_rows, index_rows, state): is the index equal to, behind or ahead of its archive, or else different?"""
+    def summed(df: DataFrame, p: str) -> DataFrame:
+        return df.groupBy(F.coalesce("source", F.lit("opencode")).alias("source")).agg(F.count("*").alias(f"n_{p}"), F.sum(F.xxhash64("id", "mark").cast("decimal(38,0)")).alias(f"x_{p}"))
+
+    both = summed(docs.select("id", "source", mark().alias("mark")), "a").join(summed(stats, "b"), "source", "full_outer")
+    n_a, n_b = F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))
+    state = F.when((n_a == n_b) & (F.col("x_a") == F.col("x_b")), "equal").when(n_b < n_a, "behind").when(n_b > n_a, "ahead").otherwise("differs")
+    return both.select("source", n_a.alias("archive_rows"), n_b.alias("index_rows"), state.alias("state"))
+
+
+def current_index(docs: DataFrame, path: str) -> dict[str, DataFrame]:
+    """The index at path, if it is that of docs; an old one is refused."""
+    found = read_index(docs.sparkSession, path)
+    wrong = index_state(docs, found["stats"]).where("state <> 'equal'").orderBy("source").limit(5).collect()
+    if wrong:
+        raise ValueError("the index isn't that of the archive: " + ", ".join(f"{r.source} {r.state} ({r.index_rows} of {r.archive_rows})" for r in wrong))
+    return found
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -67,36 +154,115 @@ def no_terms(queries: DataFrame) -> DataFrame:
     return queries.join(phrases(queries).select("qid").distinct(), "qid", "left_anti").select("qid", F.lit("no_terms").alias("problem"))
 
 
-def phrase_frequencies(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, phrase, id, tf): adjacent terms within a column, both columns summed.
+def long_phrases(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, phrase, id, tf, dl) of phrases of several terms: adjacent within a column, both columns summed.
 
-    The terms asked for meet the index; each occurrence votes for the place where its phrase would begin. Where the
-    query table is too large to be broadcast, Spark splits the partitions of frequent terms at run time.
+    Each occurrence of a term votes for the place where its phrase would begin.
     """
-    terms = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    terms = asked.where("n_terms > 1").withColumn("bucket", bucket())
     met = index.join(terms, ["bucket", "term"])
-    single = met.where("n_terms = 1").groupBy("qid", "phrase", "id").agg(F.sum(F.size("positions")).alias("tf"))
-    starts = met.where("n_terms > 1").select("qid", "phrase", "n_terms", "id", "col", F.explode("positions").alias("pos"), "place").withColumn("start", F.col("pos") - F.col("place"))
-    whole = starts.groupBy("qid", "phrase", "n_terms", "id", "col", "start").agg(F.count("*").alias("n")).where("n = n_terms")
-    return single.unionByName(whole.groupBy("qid", "phrase", "id").agg(F.count("*").alias("tf")))
+    spots = F.flatten(F.array(*(F.transform(c, lambda x, c=c: F.struct(F.lit(c).alias("col"), (x - F.col("place")).alias("start"))) for c in ("text", "cmd"))))
+    starts = met.select("qid", "phrase", "n_terms", "id", "dl", F.explode(spots).alias("x"))
+    whole = starts.groupBy("qid", "phrase", "n_terms", "id", "x").agg(F.count("*").alias("n"), F.first("dl").alias("dl")).where("n = n_terms")
+    return whole.groupBy("qid", "phrase", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score): every document with any phrase; lower is better. k1 = 1.2, b = 0.75.
+class Scores:
+    """BM25 with k1 = 1.2 and b = 0.75, in whole parts of 2**-44, so that sums don't depend on their order."""
 
-    The frequencies are written once: they are counted for each phrase and read again for the scores.
-    """
-    index, stats = postings(docs) if index is None else index, doc_stats(docs) if stats is None else stats
-    tf = staged(phrase_frequencies(phrases(queries), index), "frequencies")
-    n = tf.groupBy("qid", "phrase").agg(F.count("*").alias("n"))
-    total = stats.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))  # one row
-    idf = n.join(F.broadcast(total)).select("qid", "phrase", "avgdl", F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(0.0)).alias("idf"))
-    idf = idf.withColumn("idf", F.when(F.col("idf") <= 0, 1e-6).otherwise(F.col("idf")))
-    part = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    parts = tf.join(idf, ["qid", "phrase"]).join(stats, "id").select("qid", "id", "phrase", part.alias("part"))
-    # the sum goes in the order of the phrases, so that equal documents have equal scores
-    ordered = F.array_sort(F.collect_list(F.struct("phrase", "part")))
-    return parts.groupBy("qid", "id").agg(F.aggregate(ordered, F.lit(0.0), lambda s, x: s - x["part"]).alias("score"))
+    ONE = 1 << 44
+    #: Documents of the rarest phrases of a query from which its first threshold comes, for each of the k wanted.
+    LEAD = 20
+
+    def __init__(self, queries: DataFrame, index: DataFrame, stats: DataFrame):
+        self.index = index
+        self.n_docs, self.mean = stats.agg(F.count("*"), F.avg("dl")).first()
+        self.mean = self.mean or 1.0
+        asked = phrases(queries)
+        several = not asked.where("n_terms > 1").isEmpty()
+        self.long = staged(long_phrases(asked, index), "long-phrases") if several else None
+        one = asked.where("n_terms = 1").select("qid", "phrase", "term", bucket())
+        spread = index.select("bucket", "term", "tf", "dl").join(one.select("bucket", "term").distinct(), ["bucket", "term"])
+        terms = spread.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("dl").alias("least"))
+        weighed = one.join(terms, ["bucket", "term"]).withColumn("idf", self.idf(F.col("df")))
+        # no document has more of a phrase than this
+        bound = self.points(F.col("idf"), F.col("most"), F.col("least")) + 1
+        self.terms = staged(weighed.select("qid", "phrase", "bucket", "term", "df", "idf", bound.alias("bound")), "query-terms")
+
+    def idf(self, df: Column) -> Column:
+        raw = F.log((self.n_docs - df + 0.5) / (df + 0.5))
+        return F.when(raw <= 0, 1e-6).otherwise(raw)
+
+    def points(self, idf: Column, tf: Column, dl: Column) -> Column:
+        part = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / self.mean))
+        return F.round(part * self.ONE).cast("bigint")
+
+    def parts(self, terms: DataFrame) -> DataFrame:
+        """(qid, id, points) of the documents of terms, for each phrase."""
+        met = self.index.select("bucket", "term", "id", "tf", "dl").join(terms.select("qid", "bucket", "term", "idf"), ["bucket", "term"])
+        return met.select("qid", "id", self.points(F.col("idf"), F.col("tf"), F.col("dl")).alias("points"))
+
+    def long_parts(self) -> DataFrame:
+        df = self.long.groupBy("qid", "phrase").agg(F.count("*").alias("df"))
+        return self.long.join(df, ["qid", "phrase"]).select("qid", "id", self.points(self.idf(F.col("df")), F.col("tf"), F.col("dl")).alias("points"))
+
+    def summed(self, terms: DataFrame) -> DataFrame:
+        """Sums over terms, and over the phrases of several terms."""
+        parts = self.parts(terms)
+        if self.long is not None:
+            parts = parts.unionByName(self.long_parts())
+        return parts.groupBy("qid", "id").agg(F.sum("points").alias("points"), F.count("*").alias("pairs"))
+
+    def all(self) -> DataFrame:
+        """(qid, id, score) of every document with any phrase; lower is better."""
+        return self.summed(self.terms).select("qid", "id", (-F.col("points") / self.ONE).alias("score"))
+
+    def threshold(self, sums: DataFrame, k: int) -> DataFrame:
+        """(qid, least): the k-th best sum, which the k-th best score can't be below; 0 where there are fewer."""
+        place = F.row_number().over(W.partitionBy("qid").orderBy(F.col("points").desc()))
+        return sums.withColumn("n", place).where(F.col("n") <= k).groupBy("qid").agg(F.when(F.count("*") == k, F.min("points")).otherwise(0).alias("least"))
+
+    def best(self, k: int, kept: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(qid, id, score) of all documents that can be among the k best of a query, and (qid, id, pairs): what was summed for them.
+
+        kept (id): only these count. By bounds of phrases (MaxScore): the sums over a query's rarest phrases give a
+        threshold. Phrases of the least bounds, whose sum is below it, can't bring a document in by themselves, so
+        only documents of the others are summed, and of these only those that could still reach the k-th best sum meet
+        the phrases left.
+        """
+        among = lambda df: df if kept is None else df.join(kept.select("id"), "id", "left_semi")
+        down, up = W.partitionBy("qid").orderBy(F.col("bound").desc(), "phrase"), W.partitionBy("qid").orderBy("bound", F.col("phrase").desc())
+        before = F.coalesce(F.sum("df").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        terms = self.terms.withColumns({"lead": before < self.LEAD * k, "below": F.sum("bound").over(up)})
+        first = self.threshold(among(self.summed(terms.where("lead"))), k)
+        # sums are compared at nine decimals
+        slack = self.ONE // 10**8
+        terms = staged(terms.join(first, "qid", "left").withColumn("main", F.col("below") + slack >= F.coalesce("least", F.lit(0))).drop("least"), "query-bounds")
+        sums = staged(among(self.summed(terms.where("main"))), "sums")
+        rest = terms.where("NOT main").groupBy("qid").agg(F.sum("bound").alias("rest"))
+        able = sums.join(self.threshold(sums, k), "qid").join(rest, "qid", "left").where(F.col("points") + F.coalesce("rest", F.lit(0)) + slack >= F.col("least"))
+        able = staged(able.select("qid", "id", "points", "pairs"), "able")
+        asked = able.select("qid", "id").join(terms.where("NOT main").select("qid", "bucket", "term", "idf"), "qid")
+        met = self.index.select("bucket", "term", "id", "tf", "dl").join(asked, ["bucket", "term", "id"])
+        more = met.select("qid", "id", self.points(F.col("idf"), F.col("tf"), F.col("dl")).alias("more")).groupBy("qid", "id").agg(F.sum("more").alias("more"), F.count("*").alias("extra"))
+        whole = able.join(more, ["qid", "id"], "left")
+        score = -(F.col("points") + F.coalesce("more", F.lit(0))) / self.ONE
+        pairs = sums.select("qid", "id", "pairs").unionByName(more.select("qid", "id", F.col("extra").alias("pairs")))
+        return whole.select("qid", "id", score.alias("score")), pairs
+
+    def matches(self) -> DataFrame:
+        """(qid, id) of every document with any phrase."""
+        found = self.index.select("bucket", "term", "id").join(self.terms.select("qid", "bucket", "term"), ["bucket", "term"]).select("qid", "id")
+        return (found if self.long is None else found.unionByName(self.long.select("qid", "id"))).distinct()
+
+
+def scores(queries: DataFrame, docs: DataFrame, index: DataFrame | None = None, stats: DataFrame | None = None) -> Scores:
+    return Scores(queries, postings(docs) if index is None else index, doc_rows(docs) if stats is None else stats)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, **index) -> DataFrame:
+    """(qid, id, score): every document with any phrase; lower is better."""
+    return scores(queries, docs, **index).all()
 
 
 def top_k(hits: DataFrame, k: int) -> DataFrame:

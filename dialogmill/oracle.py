@@ -47,6 +47,7 @@ def _sql(body: str, *more: str) -> str:
 _S = _search()
 _AS_OF = "read_ AS (SELECT concat('r', s.id) AS req_id, n.session_id, n.idx, n.id, n.ts, n.ts <= (s.ts_created + 120000) // 60000 * 60000 AS visible FROM numbered n JOIN sessions s ON n.session_id = s.id)"
 _OLD = "old AS (SELECT * REPLACE (CASE WHEN (ts // 60000) % 7 = 4 THEN concat(text, ' (old)') ELSE text END AS text) FROM docs WHERE (ts // 60000) % 7 <> 3), new AS (SELECT * FROM docs WHERE (ts // 60000) % 2 = 1)"
+_UPSERTED = "ups AS (SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new))"
 _TURNS = r"""tn AS (SELECT *, sum(CASE WHEN role <> 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, id) AS turn FROM docs WHERE role <> 'title'),
 turns AS (SELECT session_id, turn::BIGINT AS turn, max(CASE WHEN role = 'user' THEN id END) AS id, max(CASE WHEN role = 'user' THEN ts END) AS ts, max(CASE WHEN role = 'user' THEN text END) AS question, max(repo) AS repo,
  count(CASE WHEN role = 'assistant' AND text <> '' THEN 1 END) AS answers, coalesce(string_agg(CASE WHEN role = 'assistant' AND text <> '' THEN {trim} END, chr(10) || chr(10) ORDER BY ts, id), '') AS answer
@@ -207,6 +208,12 @@ SQL = {
     "calls_summary": _sql("SELECT id, count(*) AS n_calls, sum(length(cmd))::BIGINT AS cmd_chars, max(strlen(tool)) AS max_tool_bytes, max(strlen(ref)) AS max_ref_bytes FROM bundles GROUP BY id", _BUNDLES),
     "shown_texts": _sql("SELECT id, md5(shown) AS md5, length(shown) AS shown_len, length(text) AS total, length(shown) < length(text) AS cut FROM (SELECT id, coalesce(text, '') AS text, array_to_string(string_split(substring(coalesce(text, ''), 1, 400), chr(10))[1:4], chr(10)) AS shown FROM docs)"),
     "chrono_search": _sql("SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY ts DESC, id DESC) AS rank, id, ts FROM hits JOIN docs USING (id)) WHERE rank <= 10", _S),
+    "chrono_search_oldest": _sql("SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY ts, id) AS rank, id, ts FROM hits JOIN docs USING (id)) WHERE rank <= 10", _S),
+    "chrono_browse_oldest": _sql("SELECT id, session_id, ts, role FROM docs WHERE role <> 'title' ORDER BY ts, id LIMIT 50"),
+    "index_after_upsert": _sql("SELECT part, qid, rank, id, round(score, 6) AS score FROM top, (VALUES ('segments'), ('merged')) p(part)", _OLD, _UPSERTED, _search(docs="ups")),
+    "index_lag": _sql("""SELECT coalesce(d.source, o.source) AS source, count(d.id) AS archive_rows, count(o.id) AS index_rows, 'before' AS part,
+ CASE WHEN count(d.id) = count(o.id) AND count(CASE WHEN d.text = o.text THEN 1 END) = count(d.id) THEN 'equal' WHEN count(o.id) < count(d.id) THEN 'behind' WHEN count(o.id) > count(d.id) THEN 'ahead' ELSE 'differs' END AS state
+ FROM ups d FULL JOIN old o ON d.id = o.id GROUP BY 1 UNION ALL SELECT source, count(*), count(*), 'after', 'equal' FROM ups GROUP BY source""", _OLD, _UPSERTED),
     "chrono_browse": _sql("SELECT id, session_id, ts, role FROM docs WHERE role <> 'title' ORDER BY ts DESC, id DESC LIMIT 50"),
     "hit_groups": _sql("SELECT qid, session_id, min(rank) AS best_rank, string_agg(id, ',' ORDER BY ts, id) AS hit_refs, count(*) AS n_hits FROM top GROUP BY qid, session_id", _S),
     "hit_excerpts": _sql("SELECT qid, id, substring(text, 1, 200) AS excerpt, length(substring(text, 1, 200)) AS excerpt_len, length(text) AS full_len, length(text) <= 200 AS \"full\" FROM top", _S),

@@ -288,3 +288,44 @@ def test_audit(spark):
     assert sorted((r.id, r.reason) for r in review.collect()) == [("c", "dynamic command"), ("c", "substitution")]
     status = evaluate.audit_status(responses, deviations, lost).first()
     assert status.asDict() == {"scanned": 5, "calls": 7, "unreadable": 1, "deviating": 4, "invalid": 1, "unanalysable": 2, "status": "incomplete"}
+
+
+def test_best_hits_equal_all_scores(spark):
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(200)]
+    weights = [1 / (i + 1) for i in range(200)]
+    rows = [(f"d{i:04}", "s", i, "user", " ".join(rng.choices(words, weights, k=rng.randrange(1, 60))), rng.choice(["", "w1 w2", "x.y"])) for i in range(600)]
+    docs = docs_of(spark, rows)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(rng.choices(words, k=rng.randrange(1, 25))) + rng.choice(["", " w1.w2", " x.y"])) for i in range(40)], "qid string, q string")
+    for k in (1, 5, 700):
+        want = textindex.top_k(textindex.bm25(queries, docs), k)
+        got = search.ranked(queries, docs, k)
+        rows_of = lambda df: sorted((r.qid, r.rank, r.id, r.score) for r in df.collect())
+        assert rows_of(got) == rows_of(want)
+    some = docs.where("ts % 7 = 3")
+    want = textindex.top_k(textindex.bm25(queries, docs).join(some.select("id"), "id", "left_semi"), 5)
+    assert rows_of(search.ranked(queries, docs, 5, columns.F.col("ts") % 7 == 3)) == rows_of(want)
+    effort = search.search_effort(queries, docs, 5).agg({"matching": "sum", "summed": "sum"}).first()
+    assert effort[0] != effort[1] and min(effort) < max(effort)
+
+
+def test_an_old_index_is_refused(spark, tmp_path):
+    docs = docs_of(spark, [("a", "s", 1, "user", "one two", ""), ("b", "s", 2, "user", "two three", "")])
+    path = str(tmp_path / "index")
+    textindex.write_index(docs, path)
+    assert textindex.current_index(docs, path)["stats"].count() == 2
+    changed = docs.where("id = 'a'").withColumn("text", columns.F.lit("other two"))
+    after = maintain.upsert(docs, changed)
+    with pytest.raises(ValueError, match="isn't that of the archive: opencode differs"):
+        textindex.current_index(after, path)
+    textindex.add_segment(changed, path)
+    queries = spark.createDataFrame([("q1", "one"), ("q2", "other"), ("q3", "two")], "qid string, q string")
+    hits = lambda d: {(r.qid, r.id) for r in search.ranked(queries, d, 5, **textindex.current_index(d, path)).collect()}
+    assert hits(after) == {("q2", "a"), ("q3", "a"), ("q3", "b")}
+    textindex.add_segment(docs.limit(0), path, gone=docs.where("id = 'b'"))
+    left = after.where("id = 'a'")
+    assert hits(left) == {("q2", "a"), ("q3", "a")}
+    textindex.merge_segments(spark, path)
+    assert hits(left) == {("q2", "a"), ("q3", "a")} and textindex._segments(spark, path) == [3]
