@@ -649,7 +649,7 @@ TOOL = evaluate.Tool("archivist", ("ingest", "refresh"), ("--corpus", "--limit")
 
 def _audited(t):
     responses = staged(records.responses(t.see), "responses")
-    return responses, *evaluate.audit_calls(staged(evaluate.call_commands(responses), "commands"), tool=TOOL)
+    return responses, *evaluate.audit_calls(staged(evaluate.call_commands(responses), "commands"), records.AUDIT_PATTERNS, TOOL)
 
 
 def call_commands(t):
@@ -665,7 +665,7 @@ def audit_review(t):
 
 
 def audit_summary(t):
-    return evaluate.audit_summary(_audited(t)[1]).select("pattern", "calls", "questions", "invalidating", "patterns")
+    return evaluate.audit_summary(_audited(t)[1], records.AUDIT_PATTERNS).select("pattern", "calls", "questions", "invalidating", "patterns")
 
 
 def audit_status(t):

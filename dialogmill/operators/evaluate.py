@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -117,23 +116,19 @@ def question_rollup(questions: DataFrame, *dimensions: str) -> DataFrame:
     return spread.groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct("session_id").alias("sessions"))
 
 
-#: Patterns of commands that reach for an archive by other ways than its own tool: id, expression, whether a match makes
-#: a run invalid. These are general; a run's own files and folders come as a list of its own.
-PATTERNS = [
-    ("source-database", r"(?i)\b(?:source|sessions?|history)\.(?:db|sqlite3?)\b", False),  # the source's database, past its extracts
-    ("index-database", r"(?i)\bindex\.(?:db|sqlite3?)\b", False),  # the index, past its searches
-    ("database-shell", r"(?i)(?<!['\"])\bsqlite3?\b", False),  # any database, whatever its name; quoted words are no calls
-    ("event-log", r"(?i)\bevents\.jsonl", False),  # the archive's messages
-    ("session-log", r"(?i)\bsessions\.jsonl", False),  # the archive's sessions
-    ("archive-folder", r"(?i)\barchive/(?:corpus|index|raw)\b", False),  # the archive's files by their folder
-    ("test-set", r"(?i)\bquestions\.(?:jsonl|md)\b|\bcurated\.json\b|\beval/", True),  # the answers themselves
-]
 # Fields of a call's input that hold its command, and those looked for in cut-off JSON, in order.
 FIELDS = ["command", "cmd", "script", "code", "filePath", "file", "path", "pattern", "query", "url", "content"]
 SALVAGED = ["command", "cmd", "script", "code", "filePath", "file", "path", "pattern", "query"]
-# Fixed values of shells: commands that call another, words that go before or instead of one, and commands of unknown effect.
-CALLERS, BEFORE = ["sudo", "env", "time", "command", "exec", "nohup", "nice", "stdbuf"], ["do", "then", "else"]
-CONTROL, DYNAMIC = ["for", "done", "elif", "fi", "if", "while", "until", "case", "esac", "in", "!"], ["eval", "xargs", "source", "."]
+# The reserved words of the shell command language (POSIX.1-2017, XCU 2.4), in its order; a command follows
+# those of the second list. Utilities that invoke another, of the same standard and two common ones; and those whose
+# operand can't be read off.
+RESERVED = ["!", "{", "}", "case", "do", "done", "elif", "else", "esac", "fi", "for", "if", "in", "then", "until", "while"]
+LEADING = ["!", "{", "do", "elif", "else", "if", "then", "until", "while"]
+INVOKING, DYNAMIC = ["command", "env", "exec", "nice", "nohup", "time", "stdbuf", "sudo"], [".", "eval", "source", "xargs"]
+#: A shell's tokens: redirections, operators between commands, and words with their quoted parts; a quote may be left open.
+REDIRECTION = r"\d*(?:<<-?|>>|<>|>\||[<>]&|[<>])"
+OPERATOR = r"\$\(|\|\||&&|;;|[|;&()\n]"
+WORD = r"(?:\\[\s\S]|'[^']*(?:'|$)|\"(?:\\[\s\S]|[^\"\\])*(?:\"|$)|\$(?!\()|[^\s'\"\\|&;()<>$])+"
 
 
 @dataclass(frozen=True)
@@ -162,50 +157,63 @@ def call_commands(responses: DataFrame) -> DataFrame:
     return calls.select("id", "call_index", "tool", F.coalesce(field, plain, salvage).alias("command"), origin.alias("origin"))
 
 
-def masked(text: Column) -> Column:
-    """text without quoted phrases: quotes around several words that aren't code."""
-    for q in ('"', "'"):
-        code = rf"(?![^{q}]*\b(?:import|require|from|def|open|connect)\b)"
-        text = F.regexp_replace(text, rf"{q}(?=[^{q}]*\s){code}[^{q}=(){{}};|<>$`]*(?:{q}|$)", f"{q}{q}")
-    return text
+def unquoted(word: Column) -> Column:
+    """A word without its quotes and escapes."""
+    return F.regexp_replace(F.regexp_replace(word, r"\\(.)", "$1"), "[\"']", "")
+
+
+def masked(word: Column) -> Column:
+    """A word that is one quoted phrase of several words, without signs or words of code, as empty quotes."""
+    phrase = word.rlike(r"^(?:'[^']*\s[^']*'?|\"[^\"]*\s[^\"]*\"?)$") & ~word.rlike(r"[=(){};|<>$`]|\b(?:import|require|from|def|open|connect)\b")
+    return F.when(phrase, F.concat(F.substring(word, 1, 1), F.substring(word, 1, 1))).otherwise(word)
 
 
 def command_segments(commands: DataFrame, tool: Tool | None = None) -> DataFrame:
-    """commands with a row for each segment of a pipeline or list: segment, part, kind, name, subcommand, opened, named, values.
+    """commands with a row for each simple command: segment, part (its tokens), kind, name, subcommand, opened, named, values.
 
-    kind: command, control (a shell's own words) or dynamic (what runs can't be known). For the archive's own tool
-    also its subcommand, files it is fed from or writes to (opened), paths among its arguments (named), and values of
-    its options.
+    A command is read as a shell does: tokens, cut at operators; then redirections with their targets, assignments and words
+    that a command follows are set aside, and what comes next is its name. kind: command, control (a reserved word) or
+    dynamic (what runs can't be known). For the archive's own tool also its subcommand, files that redirections open, paths among
+    its arguments (named), and values of its options.
     """
-    parts = commands.select("*", F.posexplode(F.split("command", r"\|\||&&|[|;\n]|\$\(")).alias("segment", "part"))
-    parts = parts.withColumn("part", trimmed(F.regexp_replace("part", r"\)\s*$", ""))).where("part <> ''")
-    lead = rf"^(?:[\s(){{}}]+|[A-Za-z_]\w*=\S*(?:\s+|$)|(?:\S*/)?(?:{'|'.join(CALLERS)})\s+|(?:{'|'.join(BEFORE)})\s+)*"
-    parts = parts.withColumn("rest", F.regexp_replace("part", lead, "")).withColumn("head", F.regexp_extract("rest", r"^[^\s(){}]+", 0))
-    kind = F.when((F.col("head") == "") | F.col("head").rlike("^['\"]") | F.col("head").isin(CONTROL), "control").when(F.col("head").isin(DYNAMIC) | F.col("head").rlike("^[$`]"), "dynamic").otherwise("command")
-    parts = parts.withColumns({"kind": kind, "name": F.regexp_extract("head", r"[^/]*$", 0)})
+    tokens = F.regexp_extract_all("command", F.lit(f"{REDIRECTION}|{OPERATOR}|{WORD}"), F.lit(0))
+    listed = commands.select("*", tokens.alias("tokens"))
+    cuts = F.filter(F.sequence(F.lit(1), F.size("tokens") + 1), lambda i: (i > F.size("tokens")) | F.get("tokens", i - 1).rlike(f"^(?:{OPERATOR})$"))
+    starts = F.concat(F.array(F.lit(0)), cuts)
+    spans = F.zip_with(F.slice(starts, 1, F.size(cuts)), cuts, lambda low, cut: F.slice("tokens", low + 1, cut - low - 1))
+    parts = listed.select("*", F.posexplode(spans).alias("segment", "part")).where("size(part) > 0").drop("tokens")
+    redirects = lambda x: x.rlike(f"^{REDIRECTION}$")
+    target = lambda i: redirects(F.get("part", i - 1)) & (i > 0)
+    words = F.filter("part", lambda x, i: ~(redirects(x) | F.coalesce(target(i), F.lit(False))))
+    files = F.filter("part", lambda x, i: F.coalesce(target(i) & ~F.get("part", i - 1).endswith("&"), F.lit(False)))
+    base = lambda x: F.regexp_extract(unquoted(x), r"[^/]*$", 0)
+    led = lambda x: x.isin(LEADING) | x.rlike(r"^[A-Za-z_]\w*=") | x.startswith("-") | base(x).isin(INVOKING)
+    parts = parts.withColumns({"words": words, "files": files}).withColumn("at", F.array_position(F.transform("words", lambda x: led(x).cast("int")), 0).cast("int"))
+    parts = parts.withColumn("head", F.when(F.col("at") > 0, F.get("words", F.col("at") - 1)))
+    kind = F.when(F.col("head").isNull() | F.col("head").isin(RESERVED), "control").when(base(F.col("head")).isin(DYNAMIC) | F.col("head").rlike("^[$`]"), "dynamic").otherwise("command")
+    parts = parts.withColumns({"kind": kind, "name": F.coalesce(base(F.col("head")), F.lit(""))})
     nothing = F.array().cast("array<string>")
     if tool is None:
-        return parts.withColumns({"own": F.lit(False), "subcommand": F.lit(None).cast("string"), "opened": nothing, "named": nothing, "values": nothing}).drop("rest", "head")
+        return parts.withColumns({"own": F.lit(False), "subcommand": F.lit(None).cast("string"), "opened": nothing, "named": nothing, "values": nothing}).drop("words", "files", "at", "head")
     own = (F.col("kind") == "command") & (F.col("name") == tool.name)
-    valued = "|".join(map(re.escape, tool.valued)) or "(?!)"
-    word = r"(\"[^\"]*\"|'[^']*'|\S+)"
-    bare = lambda c: F.regexp_replace(c, r"^[\"']|[\"']$", "")
-    arguments = F.regexp_replace("rest", r"^\S+\s*", "")
-    fed = F.regexp_extract_all("part", F.lit(r"(?:>>|<<|>|<)\s*(\"[^\"]*\"|'[^']*'|[^\s|;&()<>]+)"), F.lit(1))
-    left = F.regexp_replace(F.regexp_replace(arguments, rf"(?:^|(?<=\s))(?:{valued})(?:=|\s+){word}", ""), r"(?:^|(?<=\s))-\S*", "")
-    words = F.transform(F.regexp_extract_all(F.regexp_replace(left, r"\d*(?:>>|<<|>|<)\s*\S+", ""), F.lit(word), F.lit(1)), bare)
-    parts = parts.withColumns({"own": own, "words": words})
+    arguments = F.slice("words", F.col("at") + 1, F.greatest(F.size("words"), F.lit(1)))
+    parts = parts.withColumns({"own": own, "arguments": F.when(own, F.transform(arguments, unquoted)).otherwise(nothing)})
+    takes = lambda i: F.coalesce(F.get("arguments", i - 1).isin(list(tool.valued)) & (i > 0), F.lit(False))
+    plain = F.filter("arguments", lambda x, i: ~x.startswith("-") & ~takes(i))
+    joined = F.filter(F.transform("arguments", lambda x: F.when(F.substring_index(x, "=", 1).isin(list(tool.valued)) & x.contains("="), F.regexp_replace(x, "^[^=]*=", ""))), lambda x: x.isNotNull())
+    parts = parts.withColumn("plain", plain)
     return parts.withColumns({
-        "subcommand": F.when(own, F.try_element_at("words", F.lit(1))),
-        "opened": F.when(own, F.filter(F.transform(fed, bare), lambda x: ~x.rlike(r"^(?:&.*|\d*)$"))).otherwise(nothing),
-        "named": F.when(own, F.filter(F.slice("words", 2, 1_000_000), lambda x: x.rlike(r"[/\\]|(?i)\.(?:jsonl|json|db)\b"))).otherwise(nothing),
-        "values": F.when(own, F.transform(F.regexp_extract_all(arguments, F.lit(rf"(?:^|\s)(?:{valued})(?:=|\s+){word}"), F.lit(1)), bare)).otherwise(nothing),
-    }).drop("rest", "head", "words")
+        "subcommand": F.get("plain", F.lit(0)), "opened": F.when(own, F.transform("files", unquoted)).otherwise(nothing),
+        "named": F.filter("plain", lambda x, i: (i > 0) & x.rlike(r"[/\\]|(?i)\.(?:jsonl|json|db)\b")), "values": F.concat(F.filter("arguments", lambda x, i: takes(i)), joined),
+    }).drop("words", "files", "at", "head", "arguments", "plain")
 
 
-def audit_calls(commands: DataFrame, patterns=PATTERNS, tool: Tool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def audit_calls(commands: DataFrame, patterns: list[tuple[str, str, bool]], tool: Tool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Deviations, rows for review and unanalysable calls of a table (id, call_index, command).
 
+    patterns are the caller's, who knows what a run may not reach for: an id, an expression over a command's tokens, and
+    whether a match makes the run invalid.
+
     Deviations (id, call_index, pattern, invalidating, excerpt): patterns outside quoted phrases, and changes by the
     archive's own tool. Of a proper call of that tool only the files count that it opens or names; one that is just
     named invalidates nothing. Review (id, call_index, reason): what can't be decided. An automaton isn't needed: the
@@ -217,12 +225,13 @@ def audit_calls(commands: DataFrame, patterns=PATTERNS, tool: Tool | None = None
     changing = F.coalesce(F.col("subcommand").isin(list(tool.changing)) if tool else F.lit(False), F.lit(False))
     proper = F.col("own") & ~variable & ~changing
     target = lambda c, opened: F.transform(c, lambda x: F.struct(masked(x).alias("text"), F.lit(opened).alias("opened")))
-    targets = F.when(proper, F.concat(target(F.col("opened"), True), target(F.col("named"), False))).otherwise(target(F.array("part"), True))
+    shown = F.array_join(F.transform("part", masked), " ")
+    targets = F.when(proper, F.concat(target(F.col("opened"), True), target(F.col("named"), False))).otherwise(F.array(F.struct(shown.alias("text"), F.lit(True).alias("opened"))))
     judged = parts.withColumns({"variable": variable, "changing": changing, "targets": targets})
     met = lambda rx, bad: F.try_element_at(F.filter("targets", lambda t: t["text"].rlike(rx) & (t["opened"] | F.lit(not bad))), F.lit(1))["text"]
     row = lambda name, bad, excerpt: F.when(excerpt.isNotNull(), F.struct(F.lit(name).alias("pattern"), F.lit(bad).alias("invalidating"), excerpt.alias("excerpt")))
     found = [row(name, bad, F.regexp_extract(met(rx, bad), f"(.{{0,60}}(?:{rx}).{{0,60}})", 1)) for name, rx, bad in patterns]
-    found.append(row("change", False, F.when(F.col("changing"), F.substring(masked(F.col("part")), 1, 80))))
+    found.append(row("change", False, F.when(F.col("changing"), F.substring(shown, 1, 80))))
     deviations = judged.select("id", "call_index", F.explode(F.array_compact(F.array(*found))).alias("x")).select("id", "call_index", "x.*").distinct()
     reasons = F.array_compact(F.array(
         F.when(F.col("kind") == "dynamic", F.lit("dynamic command")), F.when(F.col("own") & F.col("variable"), F.lit("variable subcommand")),
@@ -232,7 +241,7 @@ def audit_calls(commands: DataFrame, patterns=PATTERNS, tool: Tool | None = None
     return deviations, review, commands.where(~has).select("id", "call_index")
 
 
-def audit_summary(deviations: DataFrame, patterns=PATTERNS) -> DataFrame:
+def audit_summary(deviations: DataFrame, patterns: list[tuple[str, str, bool]]) -> DataFrame:
     """(pattern, calls, questions, invalidating, patterns): patterns is the mark of the list, by which audits can be compared."""
     mark = "\n".join(f"{n}:{rx}:{bad}" for n, rx, bad in patterns)
     return deviations.groupBy("pattern").agg(F.countDistinct("id", "call_index").alias("calls"), F.countDistinct("id").alias("questions"), F.max("invalidating").alias("invalidating")).withColumn("patterns", F.substring(F.sha2(F.lit(mark), 256), 1, 16))

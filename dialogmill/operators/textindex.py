@@ -159,8 +159,7 @@ def long_phrases(asked: DataFrame, index: DataFrame) -> DataFrame:
 
     Each occurrence of a term votes for the place where its phrase would begin.
     """
-    terms = asked.where("n_terms > 1").withColumn("bucket", bucket())
-    met = index.join(terms, ["bucket", "term"])
+    met = index.join(asked.where("n_terms > 1"), ["bucket", "term"])
     spots = F.flatten(F.array(*(F.transform(c, lambda x, c=c: F.struct(F.lit(c).alias("col"), (x - F.col("place")).alias("start"))) for c in ("text", "cmd"))))
     starts = met.select("qid", "phrase", "n_terms", "id", "dl", F.explode(spots).alias("x"))
     whole = starts.groupBy("qid", "phrase", "n_terms", "id", "x").agg(F.count("*").alias("n"), F.first("dl").alias("dl")).where("n = n_terms")
@@ -175,43 +174,38 @@ class Scores:
     LEAD = 20
 
     def __init__(self, queries: DataFrame, index: DataFrame, stats: DataFrame):
-        self.index = index
         self.n_docs, self.mean = stats.agg(F.count("*"), F.avg("dl")).first()
         self.mean = self.mean or 1.0
-        asked = phrases(queries)
-        several = not asked.where("n_terms > 1").isEmpty()
-        self.long = staged(long_phrases(asked, index), "long-phrases") if several else None
-        one = asked.where("n_terms = 1").select("qid", "phrase", "term", bucket())
-        spread = index.select("bucket", "term", "tf", "dl").join(one.select("bucket", "term").distinct(), ["bucket", "term"])
-        terms = spread.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("dl").alias("least"))
-        weighed = one.join(terms, ["bucket", "term"]).withColumn("idf", self.idf(F.col("df")))
-        # no document has more of a phrase than this
-        bound = self.points(F.col("idf"), F.col("most"), F.col("least")) + 1
-        self.terms = staged(weighed.select("qid", "phrase", "bucket", "term", "df", "idf", bound.alias("bound")), "query-terms")
+        #: Postings without places; a block is the documents of about one length, whose parts of a score are alike.
+        self.index = index.select("bucket", "term", "id", "tf", "dl", F.floor(F.log2(F.col("dl") + 1)).cast("int").alias("block"))
+        asked = staged(phrases(queries).withColumn("bucket", bucket()), "phrases")
+        self.long = None if asked.where("n_terms > 1").isEmpty() else staged(long_phrases(asked, index), "long-phrases")
+        one = asked.where("n_terms = 1").select("qid", "phrase", "bucket", "term")
+        spread = self.index.join(one.select("bucket", "term").distinct(), ["bucket", "term"])
+        blocks = spread.groupBy("bucket", "term", "block").agg(F.count("*").alias("here"), F.max(self.share(F.col("tf"), F.col("dl"))).alias("share"))
+        blocks = blocks.withColumn("df", F.sum("here").over(W.partitionBy("bucket", "term"))).withColumn("idf", self.idf(F.col("df")))
+        # no document of the block has more of a phrase than this
+        bound = (F.ceil(F.col("idf") * F.col("share") * self.ONE) + 1).alias("bound")
+        self.terms = staged(one.join(blocks, ["bucket", "term"]).select("qid", "phrase", "bucket", "term", "block", "df", "idf", bound), "query-terms")
 
     def idf(self, df: Column) -> Column:
         raw = F.log((self.n_docs - df + 0.5) / (df + 0.5))
         return F.when(raw <= 0, 1e-6).otherwise(raw)
 
-    def points(self, idf: Column, tf: Column, dl: Column) -> Column:
-        part = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / self.mean))
-        return F.round(part * self.ONE).cast("bigint")
+    def share(self, tf: Column, dl: Column) -> Column:
+        return tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / self.mean))
 
-    def parts(self, terms: DataFrame) -> DataFrame:
-        """(qid, id, points) of the documents of terms, for each phrase."""
-        met = self.index.select("bucket", "term", "id", "tf", "dl").join(terms.select("qid", "bucket", "term", "idf"), ["bucket", "term"])
-        return met.select("qid", "id", self.points(F.col("idf"), F.col("tf"), F.col("dl")).alias("points"))
-
-    def long_parts(self) -> DataFrame:
-        df = self.long.groupBy("qid", "phrase").agg(F.count("*").alias("df"))
-        return self.long.join(df, ["qid", "phrase"]).select("qid", "id", self.points(self.idf(F.col("df")), F.col("tf"), F.col("dl")).alias("points"))
+    def points(self) -> Column:
+        return F.round(F.col("idf") * self.share(F.col("tf"), F.col("dl")) * self.ONE).cast("bigint").alias("points")
 
     def summed(self, terms: DataFrame) -> DataFrame:
-        """Sums over terms, and over the phrases of several terms."""
-        parts = self.parts(terms)
+        """(qid, id, block, points, pairs): sums over terms, and over the phrases of several terms."""
+        parts = self.index.join(terms.select("qid", "bucket", "term", "block", "idf"), ["bucket", "term", "block"]).select("qid", "id", "block", self.points())
         if self.long is not None:
-            parts = parts.unionByName(self.long_parts())
-        return parts.groupBy("qid", "id").agg(F.sum("points").alias("points"), F.count("*").alias("pairs"))
+            df = self.long.groupBy("qid", "phrase").agg(F.count("*").alias("df")).withColumn("idf", self.idf(F.col("df")))
+            block = F.floor(F.log2(F.col("dl") + 1)).cast("int").alias("block")
+            parts = parts.unionByName(self.long.join(df, ["qid", "phrase"]).select("qid", "id", block, self.points()))
+        return parts.groupBy("qid", "id", "block").agg(F.sum("points").alias("points"), F.count("*").alias("pairs"))
 
     def all(self) -> DataFrame:
         """(qid, id, score) of every document with any phrase; lower is better."""
@@ -225,34 +219,34 @@ class Scores:
     def best(self, k: int, kept: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(qid, id, score) of all documents that can be among the k best of a query, and (qid, id, pairs): what was summed for them.
 
-        kept (id): only these count. By bounds of phrases (MaxScore): the sums over a query's rarest phrases give a
-        threshold. Phrases of the least bounds, whose sum is below it, can't bring a document in by themselves, so
-        only documents of the others are summed, and of these only those that could still reach the k-th best sum meet
-        the phrases left.
+        kept (id): only these count. By bounds of phrases in blocks of documents (MaxScore): the sums over a query's
+        rarest phrases give a threshold. In a block, the phrases of the least bounds, whose sum is below it, can't
+        bring a document in by themselves. So only documents of the others are summed, and of these only those that
+        could still reach the k-th best sum meet the phrases left.
         """
         among = lambda df: df if kept is None else df.join(kept.select("id"), "id", "left_semi")
-        down, up = W.partitionBy("qid").orderBy(F.col("bound").desc(), "phrase"), W.partitionBy("qid").orderBy("bound", F.col("phrase").desc())
-        before = F.coalesce(F.sum("df").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        terms = self.terms.withColumns({"lead": before < self.LEAD * k, "below": F.sum("bound").over(up)})
-        first = self.threshold(among(self.summed(terms.where("lead"))), k)
+        rarest = self.terms.groupBy("qid", "phrase").agg(F.first("df").alias("df"))
+        before = F.sum("df").over(W.partitionBy("qid").orderBy("df", "phrase").rowsBetween(W.unboundedPreceding, -1))
+        lead = rarest.where(F.col("df") > 0).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < self.LEAD * k).select("qid", "phrase")
+        first = self.threshold(among(self.summed(self.terms.join(lead, ["qid", "phrase"], "left_semi"))), k)
+        below = F.sum("bound").over(W.partitionBy("qid", "block").orderBy("bound", "phrase"))
         # sums are compared at nine decimals
         slack = self.ONE // 10**8
-        terms = staged(terms.join(first, "qid", "left").withColumn("main", F.col("below") + slack >= F.coalesce("least", F.lit(0))).drop("least"), "query-bounds")
+        terms = self.terms.join(first, "qid", "left").withColumn("main", below + slack >= F.coalesce("least", F.lit(0))).drop("least")
+        terms = staged(terms, "query-bounds")
         sums = staged(among(self.summed(terms.where("main"))), "sums")
-        rest = terms.where("NOT main").groupBy("qid").agg(F.sum("bound").alias("rest"))
-        able = sums.join(self.threshold(sums, k), "qid").join(rest, "qid", "left").where(F.col("points") + F.coalesce("rest", F.lit(0)) + slack >= F.col("least"))
-        able = staged(able.select("qid", "id", "points", "pairs"), "able")
-        asked = able.select("qid", "id").join(terms.where("NOT main").select("qid", "bucket", "term", "idf"), "qid")
-        met = self.index.select("bucket", "term", "id", "tf", "dl").join(asked, ["bucket", "term", "id"])
-        more = met.select("qid", "id", self.points(F.col("idf"), F.col("tf"), F.col("dl")).alias("more")).groupBy("qid", "id").agg(F.sum("more").alias("more"), F.count("*").alias("extra"))
-        whole = able.join(more, ["qid", "id"], "left")
+        rest = terms.where("NOT main").groupBy("qid", "block").agg(F.sum("bound").alias("rest"))
+        able = sums.join(self.threshold(sums, k), "qid").join(rest, ["qid", "block"], "left").where(F.col("points") + F.coalesce("rest", F.lit(0)) + slack >= F.col("least"))
+        able = able.select("qid", "id", "block", "points")
+        asked = able.select("qid", "id", "block").join(terms.where("NOT main").select("qid", "bucket", "term", "block", "idf"), ["qid", "block"])
+        more = self.index.join(asked, ["bucket", "term", "block", "id"]).select("qid", "id", self.points()).groupBy("qid", "id").agg(F.sum("points").alias("more"), F.count("*").alias("pairs"))
         score = -(F.col("points") + F.coalesce("more", F.lit(0))) / self.ONE
-        pairs = sums.select("qid", "id", "pairs").unionByName(more.select("qid", "id", F.col("extra").alias("pairs")))
-        return whole.select("qid", "id", score.alias("score")), pairs
+        whole = able.join(more.drop("pairs"), ["qid", "id"], "left").select("qid", "id", score.alias("score"))
+        return whole, sums.select("qid", "id", "pairs").unionByName(more.select("qid", "id", "pairs"))
 
     def matches(self) -> DataFrame:
         """(qid, id) of every document with any phrase."""
-        found = self.index.select("bucket", "term", "id").join(self.terms.select("qid", "bucket", "term"), ["bucket", "term"]).select("qid", "id")
+        found = self.index.join(self.terms.select("qid", "bucket", "term", "block"), ["bucket", "term", "block"]).select("qid", "id")
         return (found if self.long is None else found.unionByName(self.long.select("qid", "id"))).distinct()
 
 

@@ -112,9 +112,9 @@ _FORMS = """CASE form WHEN 0 THEN 'cat notes.md | sqlite3 my.db' WHEN 1 THEN 'ec
  WHEN 6 THEN 'archivist --corpus /tmp/x read s1' WHEN 7 THEN 'for q in a b; do archivist "$q"; done' WHEN 8 THEN 'cat eval/questions.jsonl' WHEN 9 THEN 'archivist search proxy questions.jsonl' WHEN 10 THEN 'grep archivist sessions.jsonl' END"""
 #: What an audit must find in each form of a command.
 _AUDIT = f"""commands AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY turn) - 1 AS call_index, {_FORMS} AS command, form, turn FROM ({records.COMMANDS})),
-expected(form, pattern, invalidating) AS (VALUES (0, 'database-shell', false), (3, 'change', false), (4, 'event-log', false), (5, 'event-log', false), (8, 'test-set', true), (10, 'session-log', false)),
+expected(form, pattern, invalidating) AS (VALUES (0, 'sql-shell', false), (3, 'change', false), (4, 'raw-lines', false), (5, 'raw-lines', false), (8, 'answers', true), (10, 'raw-lines', false)),
 doubts(form, reason) AS (VALUES (2, 'dynamic command'), (6, 'option with a path'), (7, 'variable subcommand')), deviations AS (SELECT id, call_index, pattern, invalidating FROM commands JOIN expected USING (form))"""
-_MARK = hashlib.sha256("\n".join(f"{n}:{rx}:{bad}" for n, rx, bad in evaluate.PATTERNS).encode()).hexdigest()[:16]
+_MARK = hashlib.sha256("\n".join(f"{n}:{rx}:{bad}" for n, rx, bad in records.AUDIT_PATTERNS).encode()).hexdigest()[:16]
 _DAY = "ts_created // 86400000"
 _SNIPPETS = """sw AS (SELECT qid, id, string_split_regex({trim}, '\\s+') AS words FROM top),
 su AS (SELECT qid, id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM sw),

@@ -76,6 +76,8 @@ def lines(see) -> DataFrame:
     return found
 
 
+#: What the made-up runs may not reach for: an example of a caller's own list.
+AUDIT_PATTERNS = [("answers", r"\bquestions\.jsonl\b", True), ("raw-lines", r"\b(?:events|sessions)\.jsonl\b", False), ("sql-shell", r"(?<!['\"])\bsqlite3?\b", False)]
 #: Words and the command forms of a run of questions: what an audit must find in each (none, a pattern, or a row for review).
 COMMANDS = """SELECT concat('r', lpad(cast(conv_id AS STRING), 6, '0')) AS id, turn, conv_id, (conv_id + turn) % 12 AS form FROM conversations WHERE role = 'assistant'"""
 

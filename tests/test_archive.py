@@ -251,20 +251,39 @@ def test_questions_are_checked(spark):
     ])
 
 
+LIST = [("answers", r"\bquestions\.(?:jsonl|md)\b|\beval/", True), ("db", r"\b\w+\.db\b", False), ("folder", r"\barchive/corpus\b", False), ("log", r"\b(?:events|sessions)\.jsonl", False), ("sqlite", r"(?<!['\"])\bsqlite3?\b", False)]
 TOOL = evaluate.Tool("arch", ("ingest", "refresh"), ("--corpus", "--limit"))
 #: A command, the patterns found in it, and the reasons for review.
 AUDITED = [
-    ("cat /root/archive/corpus/events.jsonl | python3 -c 'x=1'", {"event-log", "archive-folder"}, set()), ("grep arch events.jsonl", {"event-log"}, set()), ('arch "events.jsonl" --limit 5', set(), set()), ('arch search "ingest"', set(), set()), ("arch --json read s --tail 20", set(), set()),
+    ("cat /root/archive/corpus/events.jsonl | python3 -c 'x=1'", {"log", "folder"}, set()), ("grep arch events.jsonl", {"log"}, set()), ('arch "events.jsonl" --limit 5', set(), set()), ('arch search "ingest"', set(), set()), ("arch --json read s --tail 20", set(), set()),
     ("arch refresh-free-zone", set(), set()), ('arch "ingest"', {"change"}, set()), ("arch 'refresh'", {"change"}, set()), ("echo ok && arch ingest > /tmp/x", {"change"}, set()), ("VAR=1 sudo env A=b /usr/bin/arch ingest", {"change"}, set()), ('for q in "a" "b"; do arch "$q" --json; done', set(), {"variable subcommand"}),
-    ("arch read s < events.jsonl", {"event-log"}, set()), ("arch status 2>&1 | head -5", set(), set()), ("arch read s > /tmp/out.txt", set(), set()), ("arch search proxy < eval/questions.jsonl", {"test-set"}, set()), ('arch search "questions.jsonl"', set(), set()), ("arch read s /data/events.jsonl", {"event-log"}, set()),
-    ("arch --corpus /tmp/archive/corpus refresh", {"change", "archive-folder"}, set()), ("arch --corpus=/tmp/archive/corpus read s", set(), {"option with a path"}), ("$(which arch) read s", set(), {"substitution"}), ("xargs arch read", set(), {"dynamic command"}), ("eval $CMD", set(), {"dynamic command"}),
-    ("grep 'sqlite leur' notes.md", set(), set()), ("node -e \"const D=require('sqlite3'); open\"", set(), set()), ("sqlite3 -c 'select 1' index.db", {"database-shell", "index-database"}, set()), ("cat sessions.jsonl source.db", {"session-log", "source-database"}, set()),
+    ("arch read s < events.jsonl", {"log"}, set()), ("arch status 2>&1 | head -5", set(), set()), ("arch read s > /tmp/out.txt", set(), set()), ("arch search proxy < eval/questions.jsonl", {"answers"}, set()), ('arch search "questions.jsonl"', set(), set()), ("arch read s /data/events.jsonl", {"log"}, set()),
+    ("arch --corpus /tmp/archive/corpus refresh", {"change", "folder"}, set()), ("arch --corpus=/tmp/archive/corpus read s", set(), {"option with a path"}), ("$(which arch) read s", set(), {"substitution"}), ("xargs arch read", set(), {"dynamic command"}), ("eval $CMD", set(), {"dynamic command"}),
+    ("grep 'sqlite leur' notes.md", set(), set()), ("node -e \"const D=require('sqlite3'); open\"", set(), set()), ("sqlite3 -c 'select 1' index.db", {"sqlite", "db"}, set()), ("cat sessions.jsonl source.db", {"log", "db"}, set()),
 ]
 
 
+SPLIT = [
+    ("a 'b;c' \"d|e\" f\\;g", [["a", "'b;c'", '"d|e"', "f\\;g"]]), ("x=1 y && z || w; v & u", [["x=1", "y"], ["z"], ["w"], ["v"], ["u"]]), ("a 2>&1 >out <in | b", [["a", "2>&", "1", ">", "out", "<", "in"], ["b"]]),
+    ("if a; then b; fi", [["if", "a"], ["then", "b"], ["fi"]]), ("echo 'open quote; x", [["echo", "'open quote; x"]]), ("(a) $(b c)\nd", [["a"], ["b", "c"], ["d"]]), ("a$b ${c} $", [["a$b", "${c}", "$"]]), ("  ;; ", []),
+]
+NAMES = [("sudo -n env A=1 /usr/bin/arch read", "command", "arch"), ("'arch' x", "command", "arch"), ("while nice arch; do", "command", "arch"), ("done", "control", ""), ("for x in a", "control", ""), ("$X a", "dynamic", ""), ("time xargs a", "dynamic", "xargs"), ("A=1", "control", ""), ("a\\ b c", "command", "a b")]
+
+
+def test_commands_are_read_as_a_shell_does(spark):
+    df = spark.createDataFrame([(str(i), c) for i, (c, _) in enumerate(SPLIT)], "id string, command string")
+    found = {}
+    for r in evaluate.command_segments(df).orderBy("id", "segment").collect():
+        found.setdefault(int(r.id), []).append(list(r.part))
+    assert [found.get(i, []) for i in range(len(SPLIT))] == [parts for _, parts in SPLIT]
+    df = spark.createDataFrame([(str(i), c) for i, (c, _, _) in enumerate(NAMES)], "id string, command string")
+    kinds = {int(r.id): (r.kind, r.name) for r in evaluate.command_segments(df).where("segment = 0").collect()}
+    assert [(c, kinds[i][0], kinds[i][1] if k == "command" else n) for i, (c, k, n) in enumerate(NAMES)] == NAMES
+
+
 def test_audit_of_commands(spark):
     commands = spark.createDataFrame([(str(i), 0, c) for i, (c, _, _) in enumerate(AUDITED)], "id string, call_index int, command string")
-    deviations, review, _ = evaluate.audit_calls(commands, tool=TOOL)
+    deviations, review, _ = evaluate.audit_calls(commands, LIST, TOOL)
     found, doubts = {}, {}
     for r in deviations.collect():
         found.setdefault(int(r.id), set()).add(r.pattern)
@@ -283,8 +302,8 @@ def test_audit(spark):
     commands = evaluate.call_commands(responses)
     got = {(r.id, r.call_index): (r.origin, r.command) for r in commands.collect()}
     assert got == {("a", 0): ("field", "cat x | sqlite3 my.db"), ("b", 0): ("salvage", "eval/questions.md"), ("c", 0): ("text", 'echo "see my sqlite db now"; eval $(x)'), ("c", 1): ("unreadable", None), ("d", 0): ("text", "cat events.jsonl"), ("d", 1): ("unreadable", None), ("e", 0): ("salvage", 'echo "a"\n sqlite3 x')}
-    deviations, review, lost = evaluate.audit_calls(commands)
-    assert sorted((r.id, r.pattern, r.invalidating) for r in deviations.collect()) == [("a", "database-shell", False), ("b", "test-set", True), ("d", "event-log", False), ("e", "database-shell", False)]
+    deviations, review, lost = evaluate.audit_calls(commands, LIST)
+    assert sorted((r.id, r.pattern, r.invalidating) for r in deviations.collect()) == [("a", "db", False), ("a", "sqlite", False), ("b", "answers", True), ("d", "log", False), ("e", "sqlite", False)]
     assert sorted((r.id, r.reason) for r in review.collect()) == [("c", "dynamic command"), ("c", "substitution")]
     status = evaluate.audit_status(responses, deviations, lost).first()
     assert status.asDict() == {"scanned": 5, "calls": 7, "unreadable": 1, "deviating": 4, "invalid": 1, "unanalysable": 2, "status": "incomplete"}
