@@ -325,6 +325,13 @@ def _bundles(t):
     return t.calls.groupBy(hour.alias("id")).agg(calls.alias("toolCalls"))
 
 
+def events_export(t):
+    """Messages of both sources with their calls."""
+    rows = reading.events_export(t.merged)
+    calls = _event_rows(t.merged).select("id", "calls")
+    return rows.join(calls, "id").select("session_id", "index", "id", "date", "role", F.md5(F.coalesce("text", F.lit(""))).alias("md5"), F.size("toolCalls").alias("n_calls"), "calls")
+
+
 def call_chunks(t):
     return reading.call_chunks(_bundles(t), 3)
 
@@ -527,6 +534,31 @@ def pass_summary(t):
     return maintain.ingest_summary(("events", maintain.upsert_status(t.old, t.new)), ("orphans", orphans), ("ignored", ignored))
 
 
+def written_summary(t):
+    """What the writes of a pass have seen: events, sessions and raw outputs; with orphans and lines passed over."""
+    path, n = shared_path(t.spark, "archive"), F.expr("cast(substring(part_id, 2) AS bigint)")
+    first = t.merged.where("source = 'opencode' AND pmod(ts div 60000, 5) < 3").withColumn("text", F.concat("text", F.lit(" (old)")))
+    archive.write_events(t.spark, first, f"{path}/events", exists=False)
+    archive.write_sessions(t.spark, t.merged_sessions.where("pmod(tsCreated div 86400000, 3) = 0").withColumn("title", F.lit("older")), f"{path}/sessions", exists=False)
+    archive.write_raw(t.spark, t.raw.where(n % 3 != 0), f"{path}/raw", exists=False)
+    seen = {
+        "events": archive.write_events(t.spark, t.merged, f"{path}/events"), "sessions": archive.write_sessions(t.spark, t.merged_sessions, f"{path}/sessions"),
+        "raw": archive.write_raw(t.spark, t.raw.withColumn("content", F.when(n % 3 == 1, F.concat("content", F.lit("+"))).otherwise(F.col("content"))), f"{path}/raw"),
+    }
+    rows = t.spark.createDataFrame([(kind, status, count) for kind, found in seen.items() for status, count in found.items()], "kind string, status string, n bigint")
+    orphans = jsonl.orphans(t.messages).groupBy(F.col("kind").alias("status")).agg(F.count("*").alias("n")).select(F.lit("orphans").alias("kind"), "status", "n")
+    return rows.unionByName(orphans).unionByName(jsonl.ignored_counts(t.lines).select(F.lit("ignored").alias("kind"), F.col("kind").alias("status"), "n")).where("n > 0")
+
+
+def fingerprint_passes(t):
+    """The fingerprint after a pass, from the sums before it and what the pass has changed."""
+    parts = staged(maintain.fingerprint_parts(t.old), "parts")
+    come = maintain.latest(t.new)
+    after = staged(maintain.advance_parts(parts, t.old.join(t.new.select("id"), "id", "left_semi").select(*t.old.columns), come), "parts")
+    again = maintain.advance_parts(after, come, come)
+    return maintain.fingerprint_of(again)
+
+
 def latest_version(t):
     versions = t.old.withColumn("pass", F.lit(1)).unionByName(t.new.withColumn("pass", F.lit(2)))
     return maintain.latest(versions, order="pass").select("id", "pass", F.md5("text").alias("md5"))
@@ -579,6 +611,11 @@ def model_cost_summary(t):
     return r6(profile.model_cost_summary(events), "cost")
 
 
+def merged_model_costs(t):
+    """Costs and tokens of both sources by model."""
+    return r6(profile.model_cost_summary(t.merged.select(F.col("model.modelID").alias("model"), "cost", F.col("tokens")["in"].alias("tokens_in"), F.col("tokens")["out"].alias("tokens_out"))), "cost")
+
+
 def source_profile(t):
     return profile.source_profile(t.calls)
 
@@ -684,11 +721,11 @@ AUDIT = [("mit", r"MIT License", False), ("apache", r"Apache License", False), (
 _ALL = [
     bm25_search, filtered_search, repo_search, unknown_source_search, command_hits, no_terms, chrono_search, chrono_browse, chrono_search_oldest, chrono_browse_oldest, neighbor_messages, hit_groups, hit_neighbor_groups, hit_excerpts, hit_snippets, hit_totals,
     index_postings, index_build, index_after_upsert, index_lag, raw_scan, raw_scan_refs, rawrefs, raw_lookup, eval_topk,
-    message_index, read_as_of, read_counters, read_sessions, read_modes, read_headers, anchors, date_bounds, fidelity_flags, session_tail, keyset_page, shown_windows, gap_markers, text_chunks, messages_export,
+    message_index, read_as_of, read_counters, read_sessions, read_modes, read_headers, anchors, date_bounds, fidelity_flags, session_tail, keyset_page, shown_windows, gap_markers, text_chunks, messages_export, events_export,
     call_chunks, calls_summary, shown_texts, relational_events, relational_sessions, relational_outputs, source_delta, line_events, line_sessions, line_orphans, line_unproved, line_ignored, line_outputs, line_problems,
     changed_files, file_state, shared_uuids, search_docs, archive_passes, rebuild_equals_passes, session_passes, raw_passes, migrated, title_upkeep, rawref_upkeep,
-    upsert_events, upsert_status, pass_summary, latest_version, table_lag, advance_state, archive_fingerprint,
-    source_status, merged_status, part_profile, role_counts, busy_messages, model_cost_summary, source_profile, turns, turn_candidates, default_turn_candidates, turn_sample, blind_export, question_rollup,
+    upsert_events, upsert_status, pass_summary, written_summary, fingerprint_passes, latest_version, table_lag, advance_state, archive_fingerprint,
+    source_status, merged_status, part_profile, role_counts, busy_messages, model_cost_summary, merged_model_costs, source_profile, turns, turn_candidates, default_turn_candidates, turn_sample, blind_export, question_rollup,
     question_problems, question_items, call_commands, audit_deviations, audit_review, audit_summary, audit_status, pattern_audit,
 ]
 

@@ -38,6 +38,15 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return once.unionByName(old.join(new.select(key), key, "left_anti").select(*old.columns))
 
 
+def merged(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """What upsert gives, with a status (kept, added, updated, unchanged) for each row, by one join."""
+    names = old.columns
+    packed = lambda d, name: d.select(F.col(key).alias("key__"), F.struct(*names).alias(name), digest(d.select(*names)).alias(f"{name}_mark"))
+    both = packed(old, "before").join(packed(latest(new.select(*names), key), "after"), "key__", "full_outer")
+    status = F.when(F.col("after").isNull(), "kept").when(F.col("before").isNull(), "added").when(F.col("before_mark") == F.col("after_mark"), "unchanged").otherwise("updated")
+    return both.select(F.coalesce("after", "before").alias("row"), status.alias("status")).select("row.*", "status")
+
+
 def refresh_titles(docs: DataFrame, touched: DataFrame) -> DataFrame:
     """Search rows after an upsert of sessions: titles of touched sessions are written anew, or go if the title is empty."""
     titles = title_rows(touched)
@@ -88,6 +97,25 @@ def fingerprint(df: DataFrame, key: str = "id") -> DataFrame:
     return prefixes.agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p", "d"))), "\n")).alias("fingerprint"))
 
 
+def fingerprint_parts(df: DataFrame, key: str = "id", sign: int = 1) -> DataFrame:
+    """(p, n, s0 to s3): number of rows and sums of their digests for each prefix; they add up, so a pass moves them on by what it changes."""
+    rows = df.select(F.substring(F.md5(F.col(key)), 1, 2).alias("p"), digest(df).alias("d"))
+    number = lambda i: F.conv(F.substring("d", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
+    return rows.groupBy("p").agg((sign * F.count("*")).alias("n"), *((sign * F.sum(number(i))).alias(f"s{i}") for i in range(4)))
+
+
+def advance_parts(parts: DataFrame, gone: DataFrame, come: DataFrame, key: str = "id") -> DataFrame:
+    """parts after rows have gone (in the versions they had) and come; prefixes without a change aren't read."""
+    moved = parts.unionByName(fingerprint_parts(gone, key, -1)).unionByName(fingerprint_parts(come, key))
+    return moved.groupBy("p").agg(*(F.sum(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3"))).where("n > 0")
+
+
+def fingerprint_of(parts: DataFrame) -> DataFrame:
+    """The fingerprint of the rows that parts stand for."""
+    prefixes = parts.select("p", F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in ("n", "s0", "s1", "s2", "s3")))).alias("d"))
+    return prefixes.agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p", "d"))), "\n")).alias("fingerprint"))
+
+
 def file_fingerprint(spark, path: str) -> DataFrame:
     """The same over the files below a folder, by their path and content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.col("path").rlike(r"/[._][^/]*$|\.tmp$"))

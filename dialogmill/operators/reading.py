@@ -113,5 +113,12 @@ def calls_summary(events: DataFrame) -> DataFrame:
     return events.select("id", F.size(calls).alias("n_calls"), F.aggregate(calls, F.lit(0), lambda s, c: s + F.length(F.coalesce(c["cmd"], F.lit("")))).alias("cmd_chars"), sizes("tool").alias("max_tool_bytes"), sizes("rawRef").alias("max_ref_bytes"))
 
 
+def events_export(events: DataFrame) -> DataFrame:
+    """Messages in order with their calls: what messages_export gives for search rows, from events."""
+    numbered = events.withColumn("index", F.row_number().over(W.partitionBy("sessionId").orderBy("ts", "id")) - 1)
+    calls = F.coalesce("toolCalls", F.array().cast(events.schema["toolCalls"].dataType))
+    return numbered.select(F.col("sessionId").alias("session_id"), "index", "id", "ts", format_ts(F.col("ts")).alias("date"), "role", "agent", "model", "text", calls.alias("toolCalls"))
+
+
 def messages_export(docs: DataFrame) -> DataFrame:
     return message_index(docs).select("session_id", F.col("idx").alias("index"), format_ts(F.col("ts")).alias("date"), "id", "role", "agent", "model", "text", "cmd")

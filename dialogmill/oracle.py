@@ -48,6 +48,8 @@ _S = _search()
 _AS_OF = "read_ AS (SELECT concat('r', s.id) AS req_id, n.session_id, n.idx, n.id, n.ts, n.ts <= (s.ts_created + 120000) // 60000 * 60000 AS visible FROM numbered n JOIN sessions s ON n.session_id = s.id)"
 _OLD = "old AS (SELECT * REPLACE (CASE WHEN (ts // 60000) % 7 = 4 THEN concat(text, ' (old)') ELSE text END AS text) FROM docs WHERE (ts // 60000) % 7 <> 3), new AS (SELECT * FROM docs WHERE (ts // 60000) % 2 = 1)"
 _UPSERTED = "ups AS (SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new))"
+_FINGERPRINT = """SELECT md5(string_agg(concat(p, ':', d), chr(10) ORDER BY concat(p, ':', d))) AS fingerprint FROM (SELECT p, md5(concat_ws(':', count(*), sum(a), sum(b), sum(c), sum(e))) AS d
+ FROM (SELECT p, ('0x' || d[1:8])::BIGINT AS a, ('0x' || d[9:16])::BIGINT AS b, ('0x' || d[17:24])::BIGINT AS c, ('0x' || d[25:32])::BIGINT AS e FROM (SELECT substring(md5(id), 1, 2) AS p, md5(concat_ws(chr(31), {cols})) AS d FROM {rows})) GROUP BY p)""".replace("{cols}", ", ".join(f"coalesce('=' || {c}, '-')" for c in ("agent", "cmd", "id", "model", "repo", "role", "session_id", "source", "text", "ts")))
 _TURNS = r"""tn AS (SELECT *, sum(CASE WHEN role <> 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, id) AS turn FROM docs WHERE role <> 'title'),
 turns AS (SELECT session_id, turn::BIGINT AS turn, max(CASE WHEN role = 'user' THEN id END) AS id, max(CASE WHEN role = 'user' THEN ts END) AS ts, max(CASE WHEN role = 'user' THEN text END) AS question, max(repo) AS repo,
  count(CASE WHEN role = 'assistant' AND text <> '' THEN 1 END) AS answers, coalesce(string_agg(CASE WHEN role = 'assistant' AND text <> '' THEN {trim} END, chr(10) || chr(10) ORDER BY ts, id), '') AS answer
@@ -182,8 +184,14 @@ SQL = {
     "pass_summary": _sql("SELECT 'events' AS kind, status, count(*) AS n FROM (SELECT CASE WHEN n.id IS NULL THEN 'kept' WHEN o.id IS NULL THEN 'added' WHEN o.text = n.text THEN 'unchanged' ELSE 'updated' END AS status FROM old o FULL JOIN new n ON o.id = n.id) GROUP BY status UNION ALL SELECT 'orphans', kind, count(*) FROM orphans GROUP BY kind UNION ALL SELECT 'ignored', kind, n FROM ignored", _OLD, _RECORDS, _SOURCES),
     "latest_version": _sql("SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NULL THEN 1 ELSE 2 END AS pass, md5(coalesce(n.text, o.text)) AS md5 FROM old o FULL JOIN new n ON o.id = n.id", _OLD),
     "advance_state": _sql("SELECT 'opencode' AS source, max(ts) + 1000000000000 AS watermark FROM old WHERE source = 'opencode' UNION ALL SELECT 'pi', max(ts) FROM docs WHERE source = 'pi'", _OLD),
-    "archive_fingerprint": _sql("""SELECT md5(string_agg(concat(p, ':', d), chr(10) ORDER BY concat(p, ':', d))) AS fingerprint FROM (SELECT p, md5(concat_ws(':', count(*), sum(a), sum(b), sum(c), sum(e))) AS d
- FROM (SELECT p, ('0x' || d[1:8])::BIGINT AS a, ('0x' || d[9:16])::BIGINT AS b, ('0x' || d[17:24])::BIGINT AS c, ('0x' || d[25:32])::BIGINT AS e FROM (SELECT substring(md5(id), 1, 2) AS p, md5(concat_ws(chr(31), {cols})) AS d FROM docs)) GROUP BY p)""".replace("{cols}", ", ".join(f"coalesce('=' || {c}, '-')" for c in ("agent", "cmd", "id", "model", "repo", "role", "session_id", "source", "text", "ts")))),
+    "archive_fingerprint": _sql(_FINGERPRINT.replace("{rows}", "docs")),
+    "fingerprint_passes": _sql(_FINGERPRINT.replace("{rows}", "ups"), _OLD, _UPSERTED),
+    "events_export": _sql("SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) - 1 AS \"index\", id, strftime(make_timestamp(ts * 1000), '%Y-%m-%d %H:%M') AS date, role, md5(coalesce(text, '')) AS md5, CASE WHEN calls = '' THEN 0 ELSE len(string_split(calls, ';')) END AS n_calls, calls FROM merged", _RECORDS, _SOURCES),
+    "merged_model_costs": _sql("SELECT coalesce(split_part(model, '/', 2), '?') AS model, count(*) AS messages, round(sum(cost), 6) AS cost, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out FROM merged GROUP BY 1", _RECORDS, _SOURCES),
+    "written_summary": _sql("""SELECT * FROM (SELECT 'events' AS kind, CASE WHEN source = 'opencode' AND (ts // 60000) % 5 < 3 THEN 'updated' ELSE 'added' END AS status, count(*) AS n FROM merged GROUP BY 2
+ UNION ALL SELECT 'sessions', CASE WHEN (ts_created // 86400000) % 3 = 0 THEN 'updated' ELSE 'added' END, count(*) FROM (SELECT ts_created FROM rel_s UNION ALL SELECT ts_created FROM pi_s) GROUP BY 2
+ UNION ALL SELECT 'raw', CASE cast(substring(part_id, 2) AS BIGINT) % 3 WHEN 1 THEN 'updated' ELSE 'added' END, count(*) FROM raw WHERE cast(substring(part_id, 2) AS BIGINT) % 3 < 2 GROUP BY 2
+ UNION ALL SELECT 'orphans', kind, count(*) FROM orphans GROUP BY kind UNION ALL SELECT 'ignored', kind, n FROM ignored) WHERE n > 0""", _RECORDS, _SOURCES),
     "merged_status": _sql("SELECT source, sessions, events, raw_refs, watermark FROM (SELECT source, count(*) AS events, max(ts) AS watermark FROM merged GROUP BY source) JOIN (SELECT 'opencode' AS source, count(*) AS sessions FROM rel_s UNION ALL SELECT 'pi', count(*) FROM pi_s) USING (source) JOIN (SELECT CASE WHEN starts_with(raw_ref, 'pi:') THEN 'pi' ELSE 'opencode' END AS source, count(*) AS raw_refs FROM refs GROUP BY 1) USING (source)", _RECORDS, _SOURCES),
     "part_profile": _sql("""SELECT 'tool' AS type, count(*) AS n, count(*) AS with_state, count(CASE WHEN conv_id % 4 < 2 THEN 1 END) AS with_output, count(*) AS with_exit, string_agg(DISTINCT keys, ';' ORDER BY keys) AS key_sets FROM (SELECT conv_id, array_to_string(list_sort(list_filter(['input', CASE WHEN conv_id % 4 < 2 THEN 'output' WHEN conv_id % 4 = 2 THEN 'raw' END,
  CASE conv_id % 5 WHEN 0 THEN 'metadata' WHEN 1 THEN 'metadata' WHEN 2 THEN 'exitCode' WHEN 3 THEN 'exit' END], lambda x: x IS NOT NULL)), ',') AS keys FROM tr WHERE a) UNION ALL SELECT 'step-finish', count(*), 0, 0, 0, '' FROM tr WHERE a UNION ALL SELECT 'text', 2 * count(*), 0, 0, 0, '' FROM tr""", _RECORDS),

@@ -8,6 +8,8 @@ files by Arrow's file systems, by the scheme of the path.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -61,11 +63,18 @@ def _owned(file, low: int, high: int, first: bool):
             parts.append(rest)
 
 
-def owned_lines(path: str, low: int, high: int, first: bool):
-    """The lines of a file that begin in [low, high), as in _owned."""
+def located(path: str):
+    """The file system of a path, and the path in it; names of local files are taken as they are."""
     import pyarrow.fs as fs
 
-    files, inner = fs.FileSystem.from_uri(path)
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@?=&%+"))
+
+
+def owned_lines(path: str, low: int, high: int, first: bool):
+    """The lines of a file that begin in [low, high), as in _owned."""
+    files, inner = located(path)
     with files.open_input_file(inner) as file:
         yield from _owned(file, low, high, first)
 

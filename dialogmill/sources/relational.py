@@ -6,8 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _table(spark: SparkSession, path: str, name: str, jdbc: dict | None) -> DataFrame:
-    return spark.read.format("jdbc").options(**jdbc, dbtable=name).load() if jdbc else spark.read.parquet(f"{path}/{name}.parquet")
+#: Ranges of time_updated in which a table is read by JDBC, each in a task and a connection of its own.
+PARTS = 16
+
+
+def _table(spark: SparkSession, path: str, name: str, jdbc: dict | None, parts: int = PARTS) -> DataFrame:
+    """An extract, or a table by JDBC in ranges of its update time; conditions on it reach the database."""
+    if not jdbc:
+        return spark.read.parquet(f"{path}/{name}.parquet")
+    time = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(jdbc["url"]).quoteIdentifier("time_updated")
+    low, high = spark.read.format("jdbc").options(**jdbc, query=f"SELECT min({time}) AS low, max({time}) AS high FROM {name}").load().first()
+    reader = spark.read.format("jdbc").options(**jdbc, dbtable=name)
+    if low is None or low == high:
+        return reader.load()
+    return reader.options(partitionColumn="time_updated", lowerBound=low, upperBound=high + 1, numPartitions=min(parts, high - low + 1)).load()
 
 
 def _since(df: DataFrame, watermark: int | None, inclusive: bool) -> DataFrame:

@@ -348,3 +348,35 @@ def test_an_old_index_is_refused(spark, tmp_path):
     assert hits(left) == {("q2", "a"), ("q3", "a")}
     textindex.merge_segments(spark, path)
     assert hits(left) == {("q2", "a"), ("q3", "a")} and textindex._segments(spark, path) == [3]
+
+
+def test_tables_by_jdbc(spark):
+    """Against the embedded database that comes with Spark: ranges of the update time, and conditions in the database."""
+    from dialogmill.sources import relational
+
+    jdbc = {"url": "jdbc:derby:memory:shop;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    part = spark.range(400).selectExpr("concat('p', id) AS id", "concat('m', id div 2) AS message_id", "id * 10 AS time_updated", "if(id % 7 = 0, '{broken', '{}') AS data")
+    message = spark.range(200).selectExpr("concat('m', id) AS id", "'s' AS session_id", "id * 20 AS time_updated", "'{}' AS data")
+    for name, rows in (("part", part), ("message", message), ("session", message.where("time_updated = 40"))):
+        rows.write.format("jdbc").options(**jdbc, dbtable=name).mode("overwrite").save()
+    found = relational.read_messages(spark, "", 1000, jdbc=jdbc)
+    assert found.count() == 149 and relational.read_messages(spark, "", 1000, inclusive=True, jdbc=jdbc).count() == 150
+    assert found.rdd.getNumPartitions() == relational.PARTS
+    plan = found._jdf.queryExecution().executedPlan().toString().upper()
+    assert "PUSHEDFILTERS" in plan and "GREATERTHAN(TIME_UPDATED,1000)" in plan
+    assert relational.read_parts(spark, "", found, jdbc=jdbc).count() == sum(i % 7 != 0 and i // 2 > 50 for i in range(400))
+    assert relational.read_sessions(spark, "", jdbc=jdbc).count() == 1
+
+
+def test_flat_outputs_are_moved_once(spark, tmp_path):
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    files = {"a|b": "é\n", "pi:u:r1": "x", "c d+%": "z"}
+    for name, text in files.items():
+        (flat / f"{name}.txt").write_text(text)
+    (flat / "other.log").write_text("no")
+    counts = [archive.migrate_raw(spark, str(flat), str(tmp_path / "raw"), exists=turn > 0).first() for turn in range(2)]
+    assert [tuple(c) for c in counts] == [(3, 3, 3), (3, 3, 0)]
+    (flat / "pi:u:r1.txt").write_text("changed")
+    assert tuple(archive.migrate_raw(spark, str(flat), str(tmp_path / "raw"), exists=True).first()) == (3, 3, 1)
+    assert {r.part_id: (r.content, r.source) for r in archive.read_archive(spark, str(tmp_path / "raw")).collect()} == {"a|b": ("é\n", "opencode"), "pi:u:r1": ("changed", "pi"), "c d+%": ("z", "opencode")}

@@ -20,7 +20,7 @@ def listing_of(spark, folder):
 @pytest.mark.parametrize("size", [1, 3, 7, 64, 1 << 20])
 def test_ranges_equal_a_plain_reader(spark, tmp_path, size, monkeypatch):
     monkeypatch.setattr(ranges, "READ", 5)
-    files = {"a.jsonl": b"one\r\ntwo\n\n\nthree and more\nopen", "b.jsonl": b"no end", "c.jsonl": b"", "d.jsonl": "é😀\nü\n".encode(), "e.jsonl": b"\n", "f.jsonl": b"x" * 50 + b"\n" + b"y" * 3}
+    files = {"a.jsonl": b"one\r\ntwo\n\n\nthree and more\nopen", "b.jsonl": b"no end", "c.jsonl": b"", "d.jsonl": "é😀\nü\n".encode(), "e 1+%20#é.jsonl": b"\n", "f.jsonl": b"x" * 50 + b"\n" + b"y" * 3}
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
     lines, state = ranges.new_lines(listing_of(spark, tmp_path), size=size)
