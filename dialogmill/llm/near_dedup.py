@@ -43,7 +43,7 @@ OUTSIDE = 64
 #: Members of a band or documents of a shingle that meet in one task.
 BLOCK_ROWS = 1000
 #: Sets of a shingle up to which it counts as rare at first; only speed depends on it.
-FEW = 32
+FEW = 8
 #: Keys over which the members of one class are dealt out.
 SALT = 8
 _RNG = np.random.default_rng(7)
@@ -165,11 +165,37 @@ def likeness(a: str, b: str):
     return F.expr(f"1 + {SKETCH_BITS} / (4.0 * {SAMPLES}) * ln(greatest(1 - 2.0 * ({differing}) / {SKETCH_BITS}, 1e-9))")
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """edges (a, b) with those of each Arrow batch replaced by stars: each id and the smallest one it reaches there."""
+
+    def run(batches):
+        for batch in batches:
+            ids, ends = np.unique(np.concatenate([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]), return_inverse=True)
+            parent = list(range(len(ids)))
+
+            def root(x):
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            half = len(ends) // 2
+            for x, y in zip(ends[:half].tolist(), ends[half:].tolist()):
+                x, y = root(x), root(y)
+                parent[max(x, y)] = min(x, y)
+            roots = np.array([root(x) for x in range(len(ids))], dtype=np.int64)
+            moved = np.flatnonzero(roots != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[roots[moved]])], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, f"a {edges.schema['a'].dataType.simpleString()}, b {edges.schema['a'].dataType.simpleString()}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of all ids in edges (a, b): the smallest id reachable, by alternating star contraction.
 
-    Minima are aggregated before the shuffle. They are joined back by vertex and a salt of the neighbour, so the
-    neighbours of a hub are dealt out over SALT keys.
+    Batches of edges are contracted in their tasks first, so chains are short. Minima are aggregated before the
+    shuffle. They are joined back by vertex and a salt of the neighbour, so the neighbours of a hub are dealt out over
+    SALT keys.
     """
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
 
@@ -188,41 +214,41 @@ def components(edges: DataFrame) -> DataFrame:
             moved = pairs.select(F.col("v").alias("a"), F.col("low").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("low").alias("b")))
         return moved.where("a <> b").distinct()
 
-    def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def finished(e: DataFrame) -> bool:
+        """Each id has one smaller one, which has none itself."""
+        ends = e.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
-    before = None
-    while True:
-        edges = written(stars(stars(edges, True), False), "components")
-        now = mark(edges)
-        if now == before or now[0] == 0:
-            break
-        before = now
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    edges = written(contracted(edges).distinct(), "components")
+    while not finished(edges):
+        edges = written(contracted(stars(stars(edges, True), False)).distinct(), "components")
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
 def shared_rare(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, rare): 31 bits of each of the rarest shingles of a set that another set has too, rarest first; sets: (id, hashes).
+    """(id, rare): 31 bits of each of the first shingles of a set that another set has too, in order; sets: (id, hashes).
 
-    Sets of a similarity of at least percent share one of these, whatever order ties have: of n shingles the rarest
-    n - ceil(n * percent / 100) + 1 count. A set's own shingles are only counted, shingles of up to FEW sets meet their
-    sets; those of more sets, as the words of a template are, meet only sets that have too few of the others.
+    Sets of a similarity of at least percent share one of the first n - ceil(n * percent / 100) + 1 of n shingles in any
+    order that holds for all sets. Here a set's own shingles come first, which are only counted; then those of up to FEW
+    sets, the rarest first; then all others, as the words of a template are, by their hash. Only shingles of few sets
+    meet their sets; a set that has too few of them takes the others from itself, by what it has besides.
     """
     rows = sets.select("id", F.explode("hashes").alias("shingle"))
-    held = written(rows.groupBy("shingle").agg(F.count("*").alias("held"), F.min("id").alias("only")), "near-held")
-    own = held.where("held = 1").groupBy(F.col("only").alias("id")).agg(F.count("*").alias("own"))
-    listed = lambda met: met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("found"))
-    few = listed(rows.join(held.where(F.col("held").between(2, FEW)).select("shingle", "held"), "shingle"))
-    room = F.expr(f"n - cast(ceil(n * {percent} / 100) AS int) + 1 - coalesce(own, 0)")
-    none = F.array().cast("array<struct<held:bigint,shingle:bigint>>")
-    placed = sets.select("id", F.size("hashes").alias("n")).join(own, "id", "left").join(few, "id", "left").select("id", room.cast("int").alias("room"), F.coalesce("found", none).alias("found"))
-    placed = written(placed.where("room > 0"), "near-room")
-    short = placed.where("size(found) < room").select("id")
-    many = held.where(F.col("held") > FEW).select("shingle", "held", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    wide = sets.join(short, "id", "left_semi").select("id", F.explode("hashes").alias("shingle")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
-    wide = listed(wide.join(many, ["shingle", "salt"])).withColumnRenamed("found", "common")
-    rare = placed.join(wide, "id", "left").select("id", F.slice(F.concat("found", F.coalesce("common", none)), F.lit(1), F.col("room")).alias("x"))
-    return rare.select("id", F.expr("array_distinct(transform(x, y -> cast(y.shingle & 2147483647 AS int)))").alias("rare")).where("size(rare) > 0")
+    held = written(rows.groupBy("shingle").agg(F.count("*").alias("held"), F.min("id").alias("only")).where(F.col("held") <= FEW), "near-held")
+    alone = held.where("held = 1").select(F.col("only").alias("id"), "shingle")
+    own = alone.groupBy("id").agg(F.count("*").alias("own"))
+    few = rows.join(held.where("held > 1").select("shingle", "held"), "shingle").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "shingle"))), lambda x: x["shingle"]).alias("few"))
+    room = F.expr(f"n - cast(ceil(n * {percent} / 100) AS int) + 1 - coalesce(own, 0)").cast("int")
+    none = F.array().cast("array<bigint>")
+    placed = sets.select("id", F.size("hashes").alias("n")).join(own, "id", "left").join(few, "id", "left")
+    placed = written(placed.select("id", room.alias("room"), F.coalesce("few", none).alias("few")).where("room > 0"), "near-room")
+    short = placed.where("size(few) < room")
+    mine = alone.join(short.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_list("shingle").alias("mine"))
+    wide = sets.join(short, "id").join(mine, "id", "left")
+    others = F.array_sort(F.array_except("hashes", F.concat("few", F.coalesce("mine", none))))
+    wide = wide.select("id", "room", F.concat("few", others).alias("first"))
+    rare = placed.where("size(few) >= room").select("id", "room", F.col("few").alias("first")).unionByName(wide).select("id", F.slice("first", F.lit(1), F.col("room")).alias("x"))
+    return rare.select("id", F.expr("array_distinct(transform(x, y -> cast(y & 2147483647 AS int)))").alias("rare")).where("size(rare) > 0")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80, star_rounds: int = 3, slack: float = 0.085, exact: bool = False) -> DataFrame:
