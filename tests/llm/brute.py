@@ -9,8 +9,8 @@ from collections import Counter, defaultdict
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def spans_removed(docs, depth=100):
-    """docs: (id, text); for each id (n_bytes, n_removed, n_spans, kept_sha256)."""
+def _marked(docs, depth):
+    """For each id its bytes and a mark for each byte that a string of depth bytes covers which starts earlier too."""
     seen, out = set(), {}
     for doc, text in sorted(docs):
         raw = (text or "").encode()
@@ -20,12 +20,20 @@ def spans_removed(docs, depth=100):
             if s in seen:
                 gone[i : i + depth] = b"\1" * depth
             seen.add(s)
-        kept = bytes(b for b, g in zip(raw, gone) if not g)
-        runs = len(re.findall(rb"\x01+", bytes(gone)))
-        out[doc] = (len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest())
+        out[doc] = raw, gone
     return out
 
 
+def kept_bytes(docs, depth=100):
+    return {doc: bytes(b for b, g in zip(raw, gone) if not g) for doc, (raw, gone) in _marked(docs, depth).items()}
+
+
+def spans_removed(docs, depth=100):
+    """docs: (id, text); for each id (n_bytes, n_removed, n_spans, kept_sha256)."""
+    kept = kept_bytes(docs, depth)
+    return {doc: (len(raw), len(raw) - len(kept[doc]), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept[doc]).hexdigest()) for doc, (raw, gone) in _marked(docs, depth).items()}
+
+
 def components(docs, size=4, percent=80):
     """docs: (id, text); for each id (n_shingles, component)."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

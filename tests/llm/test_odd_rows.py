@@ -331,3 +331,34 @@ def test_differencing_is_near_equal():
         if n >= 10 * windows:
             assert sums.max() - sums.min() <= max(sizes) / 16
     assert sorted(np.bincount(packing.differencing([8, 7, 6, 5, 4], 2), weights=[8, 7, 6, 5, 4])) == [14, 16]  # the textbook example
+
+
+@pytest.mark.parametrize("name, parts", [("op2_quality", 5), ("op10_langid", 3)])
+def test_trained_queries_on_odd_and_empty_tables(spark, tmp_path, name, parts):
+    labels, fields = [(1, 0, 0), (3, 1, 0), (10, 1, None), (12, None, 1), (None, 1, 0), (11, 0, 0), (11, 1, 0)], "doc_id bigint, quality int, toxic int"
+    path = stored(spark, stored(spark, tmp_path / "odd", odd_documents()), labels, fields, "labels")
+    none = stored(spark, stored(spark, tmp_path / "none", []), [], fields, "labels")
+    found = entries.queries()[name](spark, path).collect()
+    assert len(found) == len(odd_documents()) and all(0 <= r.score <= 1 for r in found)
+    left_out = 0 if name == "op2_quality" else 1
+    assert all(r.held_out == (brute.held_out(r.doc_id, parts) == left_out) for r in found if r.doc_id is not None)
+    if name == "op2_quality":
+        assert all(r.predicted == int(r.score >= 0.3) for r in found)
+    else:
+        assert {r.lang_pred for r in found if r.doc_id in (1, 2)} == {"und"}
+    assert entries.queries()[name](spark, none).count() == 0
+
+
+def test_known_digests_are_those_of_entire_texts(spark):
+    import pathlib
+
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0", "CC0-1.0": "CC0-1.0"}
+    here = {f: i for f, i in names.items() if (folder / f).exists()}
+    if not here:
+        pytest.skip("no licence texts on this machine")
+    # spaces, case and copyright lines don't count
+    rows = [(f, "Copyright 2024 Somebody\n" + (folder / f).read_text(encoding="utf-8", errors="replace").upper().replace("\n", "  \n")) for f in here] + [(f, (folder / f).read_text(encoding="utf-8", errors="replace")) for f in here]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    found = {r.doc_id: r.license_id for r in license_scan.licensed(docs, license_scan.known_digests(spark)).collect()}
+    assert [found[i] for i in range(len(rows))] == [here[f] for f, _ in rows]
