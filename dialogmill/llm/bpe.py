@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogmill.llm.bytescan import pieces
+from dialogmill.llm.bytescan import distinct, pieces
 from dialogmill.llm.common import table
 from dialogmill.llm.memo import Memo
 
@@ -126,9 +126,15 @@ class Encoder:
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and for each row the index of its first id (and the end)."""
         begin, row_first = matches(data, at)
-        raw, starts = data.tobytes(), begin.tolist()
-        ids, first = self.memo.gather([raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)])])
-        return ids, first[row_first]
+        if not len(begin):
+            return np.zeros(0, dtype=np.int32), np.zeros(len(at), dtype=np.int64)
+        end = np.append(begin[1:], len(data))
+        where, back = distinct(data, begin, end)
+        raw = data.tobytes()
+        ids, first = self.memo.gather([raw[i:j] for i, j in zip(begin[where].tolist(), end[where].tolist())])
+        count = np.diff(first)[back]
+        total = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        return ids[np.repeat(first[back] - total[:-1], count) + np.arange(total[-1])], total[row_first]
 
 
 @lru_cache(2)

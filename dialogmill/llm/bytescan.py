@@ -58,6 +58,46 @@ class PrefixHash:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Bytes that are compared eight at a time, piece by piece; what is longer is compared byte by byte.
+SHORT = 64
+
+
+def _alike(data: np.ndarray, begin: np.ndarray, length: np.ndarray, like: np.ndarray) -> bool:
+    """Does each piece have the bytes of the piece that like names for it?"""
+    if not (length == length[like]).all():
+        return False
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    for k in range(0, SHORT, 8):
+        some = np.flatnonzero(length > k)
+        if not len(some):
+            return True
+        differ = eight[begin[some] + k] ^ eight[begin[like[some]] + k]
+        if (differ & _MASKS[np.minimum(length[some] - k, 8)]).any():
+            return False
+    some = np.flatnonzero(length > SHORT)
+    n, here, there = length[some], begin[some], begin[like[some]]
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return bool((data[np.repeat(here, n) + inner] == data[np.repeat(there, n) + inner]).all())
+
+
+def distinct(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index of one of each distinct piece data[begin:end], and for each piece the place of its like among these.
+
+    Pieces are grouped by their hashes, and then compared byte by byte with the one that stands for their group; where
+    different pieces have one hash, all are grouped by their bytes instead.
+    """
+    length = end - begin
+    _, where, back = np.unique(mix(PrefixHash(data).of(begin, end) + length.astype(np.uint64)), return_index=True, return_inverse=True)
+    same = _alike(data, begin, length, where[back])
+    if not same:
+        raw, seen = data.tobytes(), {}
+        back = np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip(begin.tolist(), end.tolist())], dtype=np.int64)
+        where = np.unique(back, return_index=True)[1]
+    return where, back
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all rows and the rows' offsets in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from dialogmill.llm import bpe, entries, near_dedup, packing
+from dialogmill.llm import bpe, bytescan, entries, near_dedup, packing
 from tests.llm import brute
 
 
@@ -72,6 +72,15 @@ def test_pieces_of_rows_that_share_an_id():
         assert all(covered[doc] == sum(map(len, r)) for doc, r in rows.items())
 
 
+def test_distinct_pieces_of_one_hash():
+    a, b = (w.encode() for w in opposite_words(1 << 10))
+    for words in ([a, b, a, b"x", b], [b"one", b"two", b"one", b""], [b""], [b"x" * n + b"y" for n in (3, 8, 9, 63, 64, 65, 200)] * 2):
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        end = np.cumsum([len(w) for w in words])
+        where, back = bytescan.distinct(data, end - [len(w) for w in words], end)
+        assert [words[where[k]] for k in back] == words and len(where) == len(set(words))
+
+
 def test_memo_forgets(monkeypatch):
     from dialogmill.llm import memo
 
