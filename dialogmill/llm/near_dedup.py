@@ -43,7 +43,7 @@ OUTSIDE = 64
 #: Members of a band or documents of a shingle that meet in one task.
 BLOCK_ROWS = 1000
 #: Sets of a shingle up to which it counts as rare at first; only speed depends on it.
-FEW = 8
+FEW = 256
 #: Keys over which the members of one class are dealt out.
 SALT = 8
 _RNG = np.random.default_rng(7)
@@ -336,9 +336,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not many.isEmpty():
         sets = full_sets(docs.select(id_col, text_col).join(many.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, size).dropDuplicates(["id"])
         rare = written(shared_rare(sets, percent), "near-rare")
-        each = rare.select("id", "rare", F.explode("rare").alias("shingle"))
-        met = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle", blocks("n"))
-        pairs = across(labelled(each.join(met, "shingle")).withColumn("main", F.lit(False)), "shingle", "rare")
+        each = labelled(rare.select("id", "rare", F.explode("rare").alias("shingle")))
+        # only shingles in which components meet count; their largest component (main) isn't compared with itself
+        sharing = each.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
+        each = each.join(sharing.where("parts > 1").select("shingle", "top", blocks("n")), "shingle").withColumn("main", F.col("component") == F.col("top"))
+        pairs = across(each, "shingle", "rare")
         rest = pairs if rest is None else rest.unionByName(pairs)
     if rest is not None:
         found = written(confirmed(written(rest.distinct(), "near-rest")), "near-links")
