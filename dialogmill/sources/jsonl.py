@@ -123,7 +123,9 @@ def attach_bash(called: DataFrame, runs: DataFrame, found: DataFrame) -> DataFra
     closes = found.where("call_id IS NOT NULL").select("path", "line_no", *row(1, F.col("call_id"), F.lit(0)))
     takes = runs.select("path", "line_no", *row(2, F.lit(None), F.lit(0)))
     steps = opens.unionByName(closes).unionByName(takes).select("path", F.col("line_no").cast("bigint").alias("line_no"), "k", "kind", "call_id")
-    ordered = steps.repartition("path").sortWithinPartitions("path", "line_no", "k", "kind", "call_id")
+    # numbered by a window, which asks for a file's rows in one task: Spark leaves a repartition of the union out, as its parts
+    # are dealt by path already, and then merges partitions of each part by itself
+    ordered = steps.withColumn("step", F.row_number().over(W.partitionBy("path").orderBy("line_no", "k", "kind", "call_id")))
     pairs = ordered.mapInArrow(_match, "path string, call_id string, bash_line bigint")
     later = closes.select("path", "call_id", F.col("line_no").alias("result_line"))
     displaced = pairs.join(later, ["path", "call_id"]).where("result_line > bash_line").select("path", "call_id", "bash_line").distinct()
@@ -131,13 +133,13 @@ def attach_bash(called: DataFrame, runs: DataFrame, found: DataFrame) -> DataFra
 
 
 def _match(batches):
-    """The task of attach_bash, over rows (path, line_no, k, kind, call_id) sorted by path and line."""
+    """The task of attach_bash, over rows (path, line_no, k, kind, call_id, step) sorted by path and step."""
     import pyarrow as pa
 
     path, stack, by_id = None, [], {}
     for batch in batches:
         out = []
-        for here, line, _, kind, call in zip(*(c.to_pylist() for c in batch.columns)):
+        for here, line, _, kind, call, _ in zip(*(c.to_pylist() for c in batch.columns)):
             if here != path:
                 path, stack, by_id = here, [], {}
             if kind == 0:

@@ -46,6 +46,20 @@ def test_query_in_another_zone(spark, duck, name):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@pytest.mark.parametrize("name", ["line_unproved", "line_orphans", "line_events"])
+def test_query_with_joins_by_shuffles(spark, duck, name):
+    """Large tables aren't broadcast; what is dealt by file then has its partitions merged in each part of a union by itself."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    held = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        test_query_against_sql(spark, duck, name)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_times_are_in_utc(spark):
     asked = ["1970", "1970-01-01T00:00", "2026-03-08T02:30:00", "2026-03-08 02:30", "1970-01-01T00:00:00+02:00", "2026-03-08T02:30:00.250Z", "2026-02-30", "2026-02-30T10:00:00Z", "soon", None]
     df = spark.createDataFrame([(a,) for a in asked], "a string")
