@@ -684,9 +684,9 @@ def question_items(t):
 TOOL = evaluate.Tool("archivist", ("ingest", "refresh"), ("--corpus", "--limit"))
 
 
-def _audited(t):
+def _audited(t, patterns=records.AUDIT_PATTERNS):
     responses = staged(records.responses(t.see), "responses")
-    return responses, *evaluate.audit_calls(staged(evaluate.call_commands(responses), "commands"), records.AUDIT_PATTERNS, TOOL)
+    return responses, *evaluate.audit_calls(staged(evaluate.call_commands(responses), "commands"), patterns, TOOL)
 
 
 def call_commands(t):
@@ -702,7 +702,7 @@ def audit_review(t):
 
 
 def audit_summary(t):
-    return evaluate.audit_summary(_audited(t)[1], records.AUDIT_PATTERNS).select("pattern", "calls", "questions", "invalidating", "patterns")
+    return evaluate.audit_summary(_audited(t, records.WHOLE_AUDIT)[1], records.WHOLE_AUDIT).select("pattern", "calls", "questions", "invalidating", "patterns")
 
 
 def audit_status(t):

@@ -116,7 +116,11 @@ _FORMS = """CASE form WHEN 0 THEN 'cat notes.md | sqlite3 my.db' WHEN 1 THEN 'ec
 _AUDIT = f"""commands AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY turn) - 1 AS call_index, {_FORMS} AS command, form, turn FROM ({records.COMMANDS})),
 expected(form, pattern, invalidating) AS (VALUES (0, 'sql-shell', false), (3, 'change', false), (4, 'raw-lines', false), (5, 'raw-lines', false), (8, 'answers', true), (10, 'raw-lines', false)),
 doubts(form, reason) AS (VALUES (2, 'dynamic command'), (6, 'option with a path'), (7, 'variable subcommand')), deviations AS (SELECT id, call_index, pattern, invalidating FROM commands JOIN expected USING (form))"""
-_MARK = hashlib.sha256("\n".join(f"{n}:{rx}:{bad}" for n, rx, bad in records.AUDIT_PATTERNS).encode()).hexdigest()[:16]
+#: The same for the whole list of patterns.
+_WHOLE_AUDIT = f"""{_AUDIT},
+met(form, pattern, invalidating) AS (VALUES (0, 'database-shell', false), (3, 'change', false), (4, 'event-log', false), (5, 'event-log', false), (8, 'test-set', true), (10, 'session-log', false)),
+found AS (SELECT id, call_index, pattern, invalidating FROM commands JOIN met USING (form))"""
+_MARK = hashlib.sha256("\n".join(f"{n}:{rx}:{bad}" for n, rx, bad in records.WHOLE_AUDIT).encode()).hexdigest()[:16]
 _DAY = "ts_created // 86400000"
 _SNIPPETS = """sw AS (SELECT qid, id, string_split_regex({trim}, '\\s+') AS words FROM top),
 su AS (SELECT qid, id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM sw),
@@ -207,7 +211,7 @@ SQL = {
     "call_commands": _sql("SELECT id, call_index, command, CASE WHEN command IS NULL THEN 'unreadable' WHEN turn % 3 = 0 THEN 'field' WHEN turn % 3 = 1 THEN 'salvage' ELSE 'text' END AS origin FROM commands", _AUDIT),
     "audit_deviations": _sql("SELECT * FROM deviations", _AUDIT),
     "audit_review": _sql("SELECT id, call_index, reason FROM commands JOIN doubts USING (form)", _AUDIT),
-    "audit_summary": _sql(f"SELECT pattern, count(*) AS calls, count(DISTINCT id) AS questions, max(invalidating) AS invalidating, '{_MARK}' AS patterns FROM deviations GROUP BY pattern", _AUDIT),
+    "audit_summary": _sql(f"SELECT pattern, count(*) AS calls, count(DISTINCT id) AS questions, max(invalidating) AS invalidating, '{_MARK}' AS patterns FROM found GROUP BY pattern", _WHOLE_AUDIT),
     "audit_status": _sql("SELECT count(DISTINCT id) AS scanned, count(*) AS calls, 0 AS unreadable, count(CASE WHEN form = 11 THEN 1 END) AS unanalysable, count(CASE WHEN form IN (0, 3, 4, 5, 8, 10) THEN 1 END) AS deviating, count(CASE WHEN form = 8 THEN 1 END) AS invalid, CASE WHEN count(CASE WHEN form = 11 THEN 1 END) > 0 THEN 'incomplete' ELSE 'complete' END AS status FROM commands", _AUDIT),
     "pattern_audit": _sql("SELECT pattern, count(DISTINCT part_id) AS n, count(DISTINCT part_id) AS questions, max(invalidating) AS invalidating FROM raw JOIN patterns ON contains(content, word) GROUP BY pattern",
         "patterns AS (SELECT * FROM (VALUES ('mit', 'MIT License', false), ('apache', 'Apache License', false), ('gpl', 'GNU General Public', true)) v(pattern, word, invalidating))"),

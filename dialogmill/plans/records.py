@@ -78,6 +78,11 @@ def lines(see) -> DataFrame:
 
 #: What the made-up runs may not reach for: an example of a caller's own list.
 AUDIT_PATTERNS = [("answers", r"\bquestions\.jsonl\b", True), ("raw-lines", r"\b(?:events|sessions)\.jsonl\b", False), ("sql-shell", r"(?<!['\"])\bsqlite3?\b", False)]
+#: The whole list of a caller who tells the source's database, the index, any database, events, sessions, the archive's folder and the answers apart.
+WHOLE_AUDIT = [
+    ("source-database", r"(?i)\b(?:source|sessions?|history)\.(?:db|sqlite3?)\b", False), ("index-database", r"(?i)\bindex\.(?:db|sqlite3?)\b", False), ("database-shell", r"(?i)(?<!['\"])\bsqlite3?\b", False), ("event-log", r"(?i)\bevents\.jsonl", False),
+    ("session-log", r"(?i)\bsessions\.jsonl", False), ("archive-folder", r"(?i)\barchive/(?:corpus|index|raw)\b", False), ("test-set", r"(?i)\bquestions\.(?:jsonl|md)\b|\bcurated\.json\b|\beval/", True),
+]
 #: Words and the command forms of a run of questions: what an audit must find in each (none, a pattern, or a row for review).
 COMMANDS = """SELECT concat('r', lpad(cast(conv_id AS STRING), 6, '0')) AS id, turn, conv_id, (conv_id + turn) % 12 AS form FROM conversations WHERE role = 'assistant'"""
 

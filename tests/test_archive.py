@@ -401,3 +401,11 @@ def test_phrase_of_terms_that_occur_unequally_often(spark):
     asked = spark.createDataFrame([("q", "also-7")], "qid string, q string")
     found = textindex.long_phrases(textindex.phrases(asked).withColumn("bucket", textindex.bucket()), textindex.postings(docs))
     assert sorted((r.id, r.tf) for r in found.collect()) == [("a", 1), ("b", 1)]
+
+
+def test_summary_of_an_audit_tells_all_patterns_apart(spark):
+    calls = ["cat source.db", "cat index.sqlite", "sqlite3 my.db", "cat events.jsonl", "cat sessions.jsonl", "ls archive/raw", "cat curated.json", "archivist refresh"]
+    commands = spark.createDataFrame([("r", n, c) for n, c in enumerate(calls)], "id string, call_index int, command string")
+    deviations = evaluate.audit_calls(commands, catalog.records.WHOLE_AUDIT, catalog.TOOL)[0]
+    assert {r.pattern for r in evaluate.audit_summary(deviations, catalog.records.WHOLE_AUDIT).collect()} == {"source-database", "index-database", "database-shell", "event-log", "session-log", "archive-folder", "test-set", "change"}
+    assert {r.pattern for r in catalog.queries()["audit_summary"](spark, SF).collect()} == {"database-shell", "change", "event-log", "test-set", "session-log"}
