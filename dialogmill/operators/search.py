@@ -34,10 +34,8 @@ def search_effort(queries: DataFrame, docs: DataFrame, k: int, **index) -> DataF
 def by_time(queries: DataFrame, docs: DataFrame, k: int, newest: bool = True, where: Column | None = None, **index) -> DataFrame:
     """The first k of all matches in order of (ts, id), both descending for newest; texts join the chosen ones only."""
     kept = docs if where is None else docs.where(where)
-    hits = scores(queries, docs, **index).matches().join(kept.select("id", "ts"), "id")
     order = [F.col("ts").desc(), F.col("id").desc()] if newest else ["ts", "id"]
-    best = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
-    return best.drop("ts").join(kept, "id")
+    return scores(queries, docs, **index).first(k, kept.select("id", "ts"), order).join(kept, "id")
 
 
 def browse(docs: DataFrame, n: int, newest: bool = True, where: Column | None = None) -> DataFrame:

@@ -409,3 +409,15 @@ def test_summary_of_an_audit_tells_all_patterns_apart(spark):
     deviations = evaluate.audit_calls(commands, catalog.records.WHOLE_AUDIT, catalog.TOOL)[0]
     assert {r.pattern for r in evaluate.audit_summary(deviations, catalog.records.WHOLE_AUDIT).collect()} == {"source-database", "index-database", "database-shell", "event-log", "session-log", "archive-folder", "test-set", "change"}
     assert {r.pattern for r in catalog.queries()["audit_summary"](spark, SF).collect()} == {"database-shell", "change", "event-log", "test-set", "session-log"}
+
+
+def test_search_of_kept_documents_sums_no_others(spark):
+    docs = spark.createDataFrame([(f"d{n:03d}", "alpha beta" if n % 3 else "alpha", "", n, "user" if n % 50 else "title") for n in range(400)], "id string, text string, cmd string, ts bigint, role string")
+    asked = spark.createDataFrame([("q", "alpha beta")], "qid string, q string")
+    _, pairs = textindex.scores(asked, docs).best(3, docs.where("role = 'title'").select("id"))
+    assert {r.id for r in pairs.select("id").distinct().collect()} <= {f"d{n:03d}" for n in range(0, 400, 50)}
+    assert [r.id for r in search.ranked(asked, docs, 3, docs["role"] == "title").orderBy("rank").collect()] == ["d050", "d100", "d200"]
+    first = search.by_time(asked, docs, 3, newest=False, where=docs["role"] == "title").orderBy("rank")
+    assert [(r.rank, r.id) for r in first.collect()] == [(1, "d000"), (2, "d050"), (3, "d100")]
+    whole = textindex.scores(asked, docs).first(3, docs.select("id", "ts"), ["ts", "id"])
+    assert sorted(r.id for r in whole.collect()) == ["d000", "d001", "d002"]
