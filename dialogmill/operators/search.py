@@ -221,7 +221,7 @@ def raw_lookup(ids: DataFrame, raw: DataFrame) -> DataFrame:
 
 def eval_topk(questions: DataFrame, docs: DataFrame, **index) -> DataFrame:
     """(qid, top1, top3, top5) of a table (qid, q, expect, known_miss): is an expected session among the first k hits?"""
-    best = top_k(scores(questions.select("qid", "q"), docs, **index).best(5)[0], 5).join(docs.select("id", "session_id"), "id")
+    best = top_k(scores(questions.select("qid", "q"), docs, **index).top(5), 5).join(docs.select("id", "session_id"), "id")
     got = best.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "session_id"))), lambda x: x["session_id"]).alias("got"))
     joined = questions.join(got, "qid", "left").withColumn("got", F.coalesce("got", F.array().cast("array<string>")))
     marks = {f"top{k}": F.arrays_overlap("expect", F.slice("got", 1, k)) for k in (1, 3, 5)}
