@@ -18,8 +18,7 @@ NEEDLES = 50_000
 def ranked(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = None, **index) -> DataFrame:
     """(qid, rank, id, score and the document's columns): filters come before the limit, statistics cover all documents."""
     kept = docs if where is None else docs.where(where)
-    best, _ = scores(queries, docs, **index).best(k, None if where is None else kept)
-    return top_k(best, k).join(kept, "id")
+    return top_k(scores(queries, docs, **index).top(k, None if where is None else kept), k).join(kept, "id")
 
 
 def search_effort(queries: DataFrame, docs: DataFrame, k: int, **index) -> DataFrame:
