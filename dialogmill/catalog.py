@@ -53,7 +53,7 @@ class Tables:
 
     @functools.cached_property
     def messages(self):
-        return jsonl.messages(self.lines)
+        return staged(jsonl.messages(self.lines), "messages")
 
     @functools.cached_property
     def merged(self):

@@ -140,33 +140,33 @@ def raw_scan(needles: DataFrame, raw: DataFrame, refs: DataFrame | None = None,
     then only outputs that are referred to are read. source keeps one family of ids; an unknown one has no outputs.
 
     All needles are looked for in one pass over an output, by an automaton of at most NEEDLES of them; more make
-    further passes. A task keeps the first `limit` outputs of each needle only, so what leaves it doesn't grow with
-    the outputs.
+    further passes. A needle is looked for once, however many rows ask for it. A task keeps the first `limit` outputs of
+    each needle only, so what leaves it doesn't grow with the outputs.
     """
     outputs = raw.select("part_id", "content", F.lit(0).cast("bigint").alias("ts")) if refs is None else raw.select("part_id", "content").join(refs.select(F.col("raw_ref").alias("part_id"), "ts"), "part_id")
     if source not in (None, "all"):
         outputs = outputs.where(ref_source(F.col("part_id")) == source)
     outputs = outputs.select("ts", "part_id", "content", F.lower("content").alias("low"))
     asked = needles.where(trimmed(F.coalesce("needle", F.lit(""))) != "").select("nid", F.lower("needle").alias("needle"))
-    n = asked.count()
+    wanted = asked.select("needle").distinct()
+    n = wanted.count()
     passes = 1 if n <= NEEDLES else -(-2 * n // NEEDLES)
-    schema = "nid string, ts bigint, part_id string, line_no int, line string"
+    schema = "needle string, ts bigint, part_id string, line_no int, line string"
     found = None
     for turn in range(passes if n else 0):
-        block = asked.where(F.pmod(F.xxhash64("nid", "needle"), F.lit(passes)) == turn)
-        words = [(r.nid, r.needle) for r in block.collect()]
+        words = [r.needle for r in wanted.where(F.pmod(F.xxhash64("needle"), F.lit(passes)) == turn).collect()]
         if not words:
             continue
         part = outputs.mapInArrow(_scanner(words, limit), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = needles.sparkSession.createDataFrame([], schema)
-    first = F.row_number().over(W.partitionBy("nid").orderBy("ts", "part_id"))
-    best = found.withColumn("n__", first).where(F.col("n__") <= limit)
+    first = F.row_number().over(W.partitionBy("needle").orderBy("ts", "part_id"))
+    best = found.withColumn("n__", first).where(F.col("n__") <= limit).join(asked, "needle")
     return best.select("nid", "part_id", "line_no", F.substring(trimmed(F.col("line")), 1, line_chars).alias("line"))
 
 
-def _scanner(words: list[tuple[str, str]], limit: int):
+def _scanner(words: list[str], limit: int):
     """The task of raw_scan: a heap of the first outputs for each needle."""
 
     def run(batches):
@@ -176,11 +176,8 @@ def _scanner(words: list[tuple[str, str]], limit: int):
         import ahocorasick
         import pyarrow as pa
 
-        asked = defaultdict(list)
-        for nid, needle in words:
-            asked[needle].append(nid)
         automaton = ahocorasick.Automaton()
-        for needle in asked:
+        for needle in words:
             automaton.add_word(needle, needle)
         automaton.make_automaton()
         best: dict[str, list] = defaultdict(list)  # the largest (ts, part_id) is first to go
@@ -197,7 +194,7 @@ def _scanner(words: list[tuple[str, str]], limit: int):
                 for end, needle in automaton.iter(low):
                     if needle not in seen:
                         seen[needle] = end
-                        if len(seen) == len(asked):
+                        if len(seen) == len(words):
                             break
                 for needle, end in seen.items():
                     row = Last((ts, part))
@@ -206,10 +203,10 @@ def _scanner(words: list[tuple[str, str]], limit: int):
                         at = low.count("\n", 0, end - len(needle) + 1)
                         entry = (row, at + 1, content.split("\n")[at])
                         (heapq.heappush if len(held) < limit else heapq.heapreplace)(held, entry)
-        out = [(nid, *row, line_no, line) for needle, held in best.items() for nid in asked[needle] for row, line_no, line in held]
+        out = [(needle, *row, line_no, line) for needle, held in best.items() for row, line_no, line in held]
         columns = list(zip(*out)) or [[]] * 5
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["nid", "ts", "part_id", "line_no", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["needle", "ts", "part_id", "line_no", "line"])
 
     return run
 

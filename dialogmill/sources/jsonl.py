@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dialogmill.functions.columns import cmd_of, iso_millis, repo_of, tokens_of, trimmed, unsafe_id, variant_text
 from dialogmill.sources.ranges import new_lines
+from dialogmill.sources.staging import staged
 
 V = "v"
 _COUNTS = ["in", "out", "reasoning", "cacheRead", "cacheWrite"]
@@ -186,7 +187,8 @@ def proofs(msgs: DataFrame) -> DataFrame:
 
 
 def events(lines: DataFrame) -> DataFrame:
-    msgs = messages(lines)
+    """Canonical events; messages are parsed once and written, as their calls, results and runs are read several times."""
+    msgs = staged(messages(lines), "messages")
     return assembled(msgs, proofs(msgs), headers(lines))
 
 
