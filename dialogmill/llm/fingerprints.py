@@ -149,9 +149,11 @@ def _ranges(docs: DataFrame, key: Column) -> list[dict]:
     return [{"i": k["i"], "h": k["h"]} for k in out]
 
 
-def with_next(docs: DataFrame, id_col: str, col: str, out: str) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, col: str, out: str, also: dict[str, str] | None = None) -> DataFrame:
     """docs with col of the row that follows in descending order of the id (ties: of the hash of col), after the last the first.
 
+    also names further columns of that row, and what they are called here.
+
     Rows are dealt into ranges of their keys (id and hash) that begin at rows of a small sample, so ranges are even
     whatever the ids are; ids that many rows share are split by their texts. A range's first row is sent to the range
     before as well, where it follows the last. Texts are shuffled once. A range is sorted with spilling, so it needn't
@@ -159,8 +161,9 @@ def with_next(docs: DataFrame, id_col: str, col: str, out: str) -> DataFrame:
     """
     key = F.struct(F.col(id_col).alias("i"), F.xxhash64(col).alias("h"))
     starts = _ranges(docs, key)
+    wanted = {col: out} | (also or {})
     if not starts:
-        return docs.withColumn(out, F.col(col))
+        return docs.withColumns({b: F.col(a) for a, b in wanted.items()})
     kind = docs.select(key.alias("k")).schema["k"].dataType.simpleString()
     bounds = f"from_json('{json.dumps(starts)}', 'array<{kind}>')"
     keyed = docs.withColumn("key__", key)
@@ -176,7 +179,7 @@ def with_next(docs: DataFrame, id_col: str, col: str, out: str) -> DataFrame:
     spread = placed.withColumn("to__", F.explode(F.when(first, F.array(own, copied)).otherwise(F.array(own))))
     spread = spread.select(*docs.columns, "key__", F.col("to__.range").alias("range__"), F.col("to__.own").alias("own__"))
     order = W.partitionBy("range__").orderBy(F.col("own__").desc(), F.col("key__").desc(), F.col(col))
-    return spread.withColumn(out, F.lead(col).over(order)).where("own__").select(*docs.columns, out)
+    return spread.withColumns({b: F.lead(a).over(order) for a, b in wanted.items()}).where("own__").select(*docs.columns, *wanted.values())
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -188,12 +191,14 @@ def edited(text: Column, following: Column) -> Column:
 
 def op1_fingerprints(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = with_next(docs, "doc_id", "text", "following").withColumn("edited", edited(F.col("text"), F.col("following")))
+    # a text's digests and cells go with it to the row before, which compares itself with them
+    own = docs.withColumn("p", F.expr(paragraph_digests("text"))).withColumn("cp", F.expr(sketch("p")))
+    both = with_next(own, "doc_id", "text", "following", {"p": "r", "cp": "cr"}).withColumn("edited", edited(F.col("text"), F.col("following")))
     digests = both.select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        *(F.expr(paragraph_digests(c)).alias(n) for c, n in (("text", "p"), ("edited", "q"), ("following", "r"))),
+        "p", "cp", "r", "cr", F.expr(paragraph_digests("edited")).alias("q"),
     )
-    cells = digests.withColumns({f"c{x}": F.expr(sketch(x)) for x in "pqr"})
+    cells = digests.withColumn("cq", F.expr(sketch("q")))
     found = cells.withColumns({f"d{x}": F.expr(differing("p", x, 0, ("cp", f"c{x}"))) for x in "qr"})
     return found.selectExpr(
         "doc_id", "n_chars", "edited_sha256", f"{published('p')} AS fingerprint", f"{published('q')} AS edited_fingerprint",

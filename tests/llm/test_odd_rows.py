@@ -362,3 +362,11 @@ def test_known_digests_are_those_of_entire_texts(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
     found = {r.doc_id: r.license_id for r in license_scan.licensed(docs, license_scan.known_digests(spark)).collect()}
     assert [found[i] for i in range(len(rows))] == [here[f] for f, _ in rows]
+
+
+def test_columns_of_the_next_text_come_along(spark):
+    from dialogmill.llm.fingerprints import with_next
+
+    docs = spark.createDataFrame([(i, f"t{i}", i * i) for i in range(5)], "doc_id long, text string, square long")
+    found = {r.doc_id: (r.following, r.after) for r in with_next(docs, "doc_id", "text", "following", {"square": "after"}).collect()}
+    assert found == {i: (f"t{(i - 1) % 5}", ((i - 1) % 5) ** 2) for i in range(5)}
