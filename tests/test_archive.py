@@ -60,6 +60,12 @@ def test_query_with_joins_by_shuffles(spark, duck, name):
             spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("name", ["line_outputs", "rawrefs", "merged_status", "rawref_upkeep", "pass_summary"])
+def test_more_queries_with_joins_by_shuffles(spark, duck, name):
+    """These go through the step that brings calls and runs of a file together, too."""
+    test_query_with_joins_by_shuffles(spark, duck, name)
+
+
 def test_times_are_in_utc(spark):
     asked = ["1970", "1970-01-01T00:00", "2026-03-08T02:30:00", "2026-03-08 02:30", "1970-01-01T00:00:00+02:00", "2026-03-08T02:30:00.250Z", "2026-02-30", "2026-02-30T10:00:00Z", "soon", None]
     df = spark.createDataFrame([(a,) for a in asked], "a string")
