@@ -44,6 +44,8 @@ OUTSIDE = 64
 BLOCK_ROWS = 1000
 #: Sets of a shingle up to which it counts as rare at first; only speed depends on it.
 FEW = 256
+#: Edges of a task that contracts them first; only speed depends on it.
+EDGES = 1 << 17
 #: Keys over which the members of one class are dealt out.
 SALT = 8
 _RNG = np.random.default_rng(7)
@@ -219,12 +221,31 @@ def components(edges: DataFrame) -> DataFrame:
         ends = e.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
-    edges = written(contracted(edges).distinct(), "components")
+    # few edges lie in few tasks, else no batch has two that meet
+    packed = edges.coalesce(1 + edges.count() // EDGES)
+    edges = written(contracted(packed).distinct(), "components")
     while not finished(edges):
         edges = written(contracted(stars(stars(edges, True), False)).distinct(), "components")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+def gathered(sets: DataFrame) -> DataFrame:
+    """(shingle, ids) of sets (id, hashes): a row for each distinct shingle of an Arrow batch, however many of its sets have it."""
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            hashes = lists.flatten().to_numpy(zero_copy_only=False)
+            order = np.argsort(hashes, kind="stable")
+            of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))[order]
+            shingles, first = np.unique(hashes[order], return_index=True)
+            ends = pa.array(np.append(first, len(hashes)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(shingles, pa.int64()), pa.ListArray.from_arrays(ends, batch.column(0).take(pa.array(of)))], names=["shingle", "ids"])
+
+    return sets.select("id", "hashes").mapInArrow(run, f"shingle bigint, ids array<{kind}>")
+
+
 def shared_rare(sets: DataFrame, percent: int) -> DataFrame:
     """(id, rare): 31 bits of each of the first shingles of a set that another set has too, in order; sets: (id, hashes).
 
@@ -233,15 +254,17 @@ def shared_rare(sets: DataFrame, percent: int) -> DataFrame:
     sets, the rarest first; then all others, as the words of a template are, by their hash. Only shingles of few sets
     meet their sets; a set that has too few of them takes the others from itself, by what it has besides.
     """
-    rows = sets.select("id", F.explode("hashes").alias("shingle"))
-    held = written(rows.groupBy("shingle").agg(F.count("*").alias("held"), F.min("id").alias("only")).where(F.col("held") <= FEW), "near-held")
+    held = gathered(sets).groupBy("shingle").agg(F.sum(F.size("ids")).alias("held"), F.min(F.get("ids", F.lit(0))).alias("only"))
+    held = written(held.where(F.col("held") <= FEW), "near-held")
     alone = held.where("held = 1").select(F.col("only").alias("id"), "shingle")
     own = alone.groupBy("id").agg(F.count("*").alias("own"))
-    few = rows.join(held.where("held > 1").select("shingle", "held"), "shingle").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "shingle"))), lambda x: x["shingle"]).alias("few"))
     room = F.expr(f"n - cast(ceil(n * {percent} / 100) AS int) + 1 - coalesce(own, 0)").cast("int")
+    able = written(sets.select("id", F.size("hashes").alias("n")).join(own, "id", "left").select("id", room.alias("room")).where("room > 0"), "near-able")
+    # sets whose own shingles fill their room share none of the first ones with any other
+    rows = gathered(sets.join(able.select("id"), "id", "left_semi")).join(held.where("held > 1").select("shingle", "held"), "shingle")
+    few = rows.select(F.explode("ids").alias("id"), "shingle", "held").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "shingle"))), lambda x: x["shingle"]).alias("few"))
     none = F.array().cast("array<bigint>")
-    placed = sets.select("id", F.size("hashes").alias("n")).join(own, "id", "left").join(few, "id", "left")
-    placed = written(placed.select("id", room.alias("room"), F.coalesce("few", none).alias("few")).where("room > 0"), "near-room")
+    placed = written(able.join(few, "id", "left").select("id", "room", F.coalesce("few", none).alias("few")), "near-room")
     short = placed.where("size(few) < room")
     mine = alone.join(short.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_list("shingle").alias("mine"))
     wide = sets.join(short, "id").join(mine, "id", "left")
@@ -334,7 +357,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest, many = across(few, "key", "list"), apart.where("many").select("id").distinct()
     many = written(many, "near-many")
     if not many.isEmpty():
-        sets = full_sets(docs.select(id_col, text_col).join(many.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, size).dropDuplicates(["id"])
+        sets = written(full_sets(docs.select(id_col, text_col).join(many.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, size).dropDuplicates(["id"]), "near-many-sets")
         rare = written(shared_rare(sets, percent), "near-rare")
         each = labelled(rare.select("id", "rare", F.explode("rare").alias("shingle")))
         # only shingles in which components meet count; their largest component (main) isn't compared with itself

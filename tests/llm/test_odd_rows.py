@@ -370,3 +370,26 @@ def test_columns_of_the_next_text_come_along(spark):
     docs = spark.createDataFrame([(i, f"t{i}", i * i) for i in range(5)], "doc_id long, text string, square long")
     found = {r.doc_id: (r.following, r.after) for r in with_next(docs, "doc_id", "text", "following", {"square": "after"}).collect()}
     assert found == {i: (f"t{(i - 1) % 5}", ((i - 1) % 5) ** 2) for i in range(5)}
+
+
+def test_near_dedup_gathers_before_the_shuffle(spark):
+    """A shingle leaves a task once for each batch, however many of its sets have it."""
+    sets = [(i, list(range(100)) + [1000 + i]) for i in range(50)]
+    df = spark.createDataFrame(sets, "id bigint, hashes array<bigint>").coalesce(1)
+    found = near_dedup.gathered(df).collect()
+    assert len(found) == 150 and {r.shingle: r.ids for r in found} == {**{x: list(range(50)) for x in range(100)}, **{1000 + i: [i] for i in range(50)}}
+    assert near_dedup.gathered(df.where("id < 0")).count() == 0
+    # room for 21 of 101 in each, one of them its own: 20 that all have in common
+    rare = {r.id: len(r.rare) for r in near_dedup.shared_rare(df, 80).collect()}
+    assert rare == {i: 20 for i in range(50)}
+    # a set with more own shingles than its room can share none of its first ones
+    assert near_dedup.shared_rare(spark.createDataFrame([(0, list(range(10)) + [77]), (1, list(range(10)) + [88, 89, 90])], df.schema), 80).where("id = 1").isEmpty()
+
+
+def test_components_of_few_edges_in_many_partitions(spark, monkeypatch):
+    """A chain dealt over many partitions is contracted at once, without rounds of stars."""
+    plain, names = near_dedup.written, []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: names.append(name) or plain(df, name))
+    chain = plain(spark.createDataFrame([(i + 1, i) for i in range(300)], "a bigint, b bigint").repartition(40), "chain")
+    assert {(r.id, r.component) for r in near_dedup.components(chain).collect()} == {(i, 0) for i in range(301)}
+    assert names == ["components"]
