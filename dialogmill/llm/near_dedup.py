@@ -46,6 +46,8 @@ BLOCK_ROWS = 1000
 FEW = 256
 #: Edges of a task that contracts them first; only speed depends on it.
 EDGES = 1 << 17
+#: Shingles of a task that gathers their sets; only speed depends on it.
+SHINGLES = 1 << 20
 #: Keys over which the members of one class are dealt out.
 SALT = 8
 _RNG = np.random.default_rng(7)
@@ -230,8 +232,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def gathered(sets: DataFrame) -> DataFrame:
-    """(shingle, ids) of sets (id, hashes): a row for each distinct shingle of an Arrow batch, however many of its sets have it."""
+    """(shingle, ids) of sets (id, hashes): a row for each distinct shingle of an Arrow batch, however many of its sets have it.
+
+    Few sets lie in few tasks, else each of many tasks would give on the words of a template once more.
+    """
     kind = sets.schema["id"].dataType.simpleString()
+    packed = sets.coalesce(1 + (sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) // SHINGLES)
 
     def run(batches):
         for batch in batches:
@@ -243,7 +249,7 @@ def gathered(sets: DataFrame) -> DataFrame:
             ends = pa.array(np.append(first, len(hashes)), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(shingles, pa.int64()), pa.ListArray.from_arrays(ends, batch.column(0).take(pa.array(of)))], names=["shingle", "ids"])
 
-    return sets.select("id", "hashes").mapInArrow(run, f"shingle bigint, ids array<{kind}>")
+    return packed.select("id", "hashes").mapInArrow(run, f"shingle bigint, ids array<{kind}>")
 
 
 def shared_rare(sets: DataFrame, percent: int) -> DataFrame:
@@ -254,15 +260,16 @@ def shared_rare(sets: DataFrame, percent: int) -> DataFrame:
     sets, the rarest first; then all others, as the words of a template are, by their hash. Only shingles of few sets
     meet their sets; a set that has too few of them takes the others from itself, by what it has besides.
     """
-    held = gathered(sets).groupBy("shingle").agg(F.sum(F.size("ids")).alias("held"), F.min(F.get("ids", F.lit(0))).alias("only"))
+    lists = written(gathered(sets), "near-lists")
+    held = lists.groupBy("shingle").agg(F.sum(F.size("ids")).alias("held"), F.min(F.get("ids", F.lit(0))).alias("only"))
     held = written(held.where(F.col("held") <= FEW), "near-held")
     alone = held.where("held = 1").select(F.col("only").alias("id"), "shingle")
     own = alone.groupBy("id").agg(F.count("*").alias("own"))
     room = F.expr(f"n - cast(ceil(n * {percent} / 100) AS int) + 1 - coalesce(own, 0)").cast("int")
     able = written(sets.select("id", F.size("hashes").alias("n")).join(own, "id", "left").select("id", room.alias("room")).where("room > 0"), "near-able")
     # sets whose own shingles fill their room share none of the first ones with any other
-    rows = gathered(sets.join(able.select("id"), "id", "left_semi")).join(held.where("held > 1").select("shingle", "held"), "shingle")
-    few = rows.select(F.explode("ids").alias("id"), "shingle", "held").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "shingle"))), lambda x: x["shingle"]).alias("few"))
+    rows = lists.join(held.where("held > 1").select("shingle", "held"), "shingle").select(F.explode("ids").alias("id"), "shingle", "held")
+    few = rows.join(able.select("id"), "id", "left_semi").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "shingle"))), lambda x: x["shingle"]).alias("few"))
     none = F.array().cast("array<bigint>")
     placed = written(able.join(few, "id", "left").select("id", "room", F.coalesce("few", none).alias("few")), "near-room")
     short = placed.where("size(few) < room")

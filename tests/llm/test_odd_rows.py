@@ -386,6 +386,18 @@ def test_near_dedup_gathers_before_the_shuffle(spark):
     assert near_dedup.shared_rare(spark.createDataFrame([(0, list(range(10)) + [77]), (1, list(range(10)) + [88, 89, 90])], df.schema), 80).where("id = 1").isEmpty()
 
 
+def test_near_dedup_gathers_once_in_few_tasks(spark, monkeypatch):
+    """Few sets that lie in many partitions are gathered together, and what they give on is made once and read again."""
+    sets = [(i, list(range(100)) + [1000 + i]) for i in range(50)]
+    df = spark.createDataFrame(sets, "id bigint, hashes array<bigint>").repartition(25)
+    plain, made = near_dedup.gathered, []
+    assert plain(df).count() == 150
+    monkeypatch.setattr(near_dedup, "gathered", lambda x: made.append(1) or plain(x))
+    assert {r.id: len(r.rare) for r in near_dedup.shared_rare(df, 80).collect()} == {i: 20 for i in range(50)} and made == [1]
+    monkeypatch.setattr(near_dedup, "SHINGLES", 1000)
+    assert 150 < plain(df).count() <= 6 * 100 + 50
+
+
 def test_components_of_few_edges_in_many_partitions(spark, monkeypatch):
     """A chain dealt over many partitions is contracted at once, without rounds of stars."""
     plain, names = near_dedup.written, []
