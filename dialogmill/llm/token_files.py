@@ -31,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import regex
 from pyspark import TaskContext
@@ -276,16 +277,30 @@ def word_memo(path: str) -> Memo:
         out = []
         for word in words:
             text = word.decode("utf-8")
-            if text.isascii() and text.isprintable():
+            if word.isalpha():  # ASCII letters
+                out.append([t.id for t in model.tokenize(text.lower())])
+            elif text.isascii() and text.isprintable():
                 low = text.lower()
-                out.append([t.id for piece in ((low,) if low.isalpha() else cut.findall(low)) for t in model.tokenize(piece)])
+                out.append([t.id for piece in cut.findall(low) for t in model.tokenize(piece)])
             elif text.isprintable() and max(text) < LATIN:  # these need no normal form, and every version of Unicode has them in one class
                 out.append([t.id for piece in cut.findall(text.lower()) for t in model.tokenize(piece.encode().decode("latin-1").translate(table))])
             else:
                 out.append(tokenizer.encode(text, add_special_tokens=False).ids)
         return out
 
-    return Memo(encode)
+    return Memo(encode, keep=True)
+
+
+def split_words(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII white space of all rows (empty ones may be among them), and the index of each row's first (and the end).
+
+    A-Z is in lower case, unless there is a combining mark (U+0300 to U+036F): t and a diaeresis have a composed form, T has none.
+    """
+    texts = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    if not ((data == 0xCC) | (data == 0xCD)).any():
+        texts = pc.ascii_lower(texts)
+    lists = pc.ascii_split_whitespace(texts)
+    return lists.values, lists.offsets.to_numpy()
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -295,10 +310,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         memo = word_memo(tokenizer)
         for batch in batches:
             for low, high, data, at in pieces(batch.column(1)):
-                raw = data.tobytes()
-                texts = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                ids, first = memo.gather([w for t in texts for w in t])
-                ends = first[np.cumsum([len(t) for t in texts])]
+                words, places = split_words(data, at)
+                ids, first = memo.gather_array(words)
+                ends = first[places[1:]]
                 ids = np.insert(ids, ends, end_id)
                 at_ids = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(at_ids, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dialogmill.llm import bpe, bytescan, entries, near_dedup, packing
@@ -90,3 +91,36 @@ def test_memo_forgets(monkeypatch):
         ids, first = asked.gather(words)
         assert [ids[x:y].tolist() for x, y in zip(first[:-1], first[1:])] == [[len(w)] * (len(w) % 3) for w in words]
     assert bpe.byte_to_char()[0x20] == "Ġ"
+
+
+def test_memo_keeps_words_that_came_again(monkeypatch):
+    """When there are too many words, those that came again are not encoded anew, and ids stay those of their words."""
+    from dialogmill.llm import memo
+
+    monkeypatch.setattr(memo, "WORDS", 100)
+    asked = []
+    held = memo.Memo(lambda words: asked.extend(words) or [[len(w), *w[:1]][: len(w) % 3] for w in words], keep=True)
+    often = [b"x" * n for n in range(1, 20)]
+    for turn in range(20):
+        words = pa.array([w.decode() for w in often] * 2 + [f"{turn}-{i}" for i in range(40)] + [""], pa.large_string())
+        ids, first = held.gather_array(words)
+        want = [[len(w), ord(w[0])][: len(w) % 3] if w else [] for w in words.to_pylist()]
+        assert ids.tolist() == [x for y in want for x in y] and first.tolist() == np.cumsum([0, *map(len, want)]).tolist()
+    assert all(asked.count(w) == 1 for w in often) and len(held.known) <= 100
+
+
+def test_tokens_of_words_with_marks():
+    """Words are cut and lowered as the library does it, also where only the small letter has a composed form."""
+    import public_tokenizers
+
+    from dialogmill.llm import token_files
+    from dialogmill.llm.bytescan import pieces
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, memo = token_files._tokenizer(path), token_files.word_memo.__wrapped__(path)
+    for texts in (["T̈ ẗ H̱ J̌ Å", "Ärger STRASSE's"], ["  Hello\x0b\x0cWORLD\x1c\x85 It's \t", "", "İI ΣΟΣ ﬁX a1B2,;C", "\n"]):
+        for low, high, data, at in pieces(pa.array(texts)):
+            words, places = token_files.split_words(data, at)
+            ids, first = memo.gather_array(words)
+            ends = first[places]
+            assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts[low:high]]
