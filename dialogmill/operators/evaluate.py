@@ -125,10 +125,11 @@ SALVAGED = ["command", "cmd", "script", "code", "filePath", "file", "path", "pat
 RESERVED = ["!", "{", "}", "case", "do", "done", "elif", "else", "esac", "fi", "for", "if", "in", "then", "until", "while"]
 LEADING = ["!", "{", "do", "elif", "else", "if", "then", "until", "while"]
 INVOKING, DYNAMIC = ["command", "env", "exec", "nice", "nohup", "time", "stdbuf", "sudo"], [".", "eval", "source", "xargs"]
-#: A shell's tokens: redirections, operators between commands, and words with their quoted parts; a quote may be left open.
+#: A shell's tokens: redirections, operators between commands, and words with their quoted parts; a quote may be left open. Loops
+#: give nothing back, as Java's would take a frame of its stack for each turn.
 REDIRECTION = r"\d*(?:<<-?|>>|<>|>\||[<>]&|[<>])"
 OPERATOR = r"\$\(|\|\||&&|;;|[|;&()\n]"
-WORD = r"(?:\\[\s\S]|'[^']*(?:'|$)|\"(?:\\[\s\S]|[^\"\\])*(?:\"|$)|\$(?!\()|[^\s'\"\\|&;()<>$])+"
+WORD = r"(?:\\[\s\S]|'[^']*(?:'|$)|\"[^\"\\]*+(?:\\[\s\S][^\"\\]*+)*+(?:\"|$)|\$(?!\()|[^\s'\"\\|&;()<>$]++)++"
 
 
 @dataclass(frozen=True)
@@ -174,14 +175,17 @@ def command_segments(commands: DataFrame, tool: Tool | None = None) -> DataFrame
     A command is read as a shell does: tokens, cut at operators; then redirections with their targets, assignments and words
     that a command follows are set aside, and what comes next is its name. kind: command, control (a reserved word) or
     dynamic (what runs can't be known). For the archive's own tool also its subcommand, files that redirections open, paths among
-    its arguments (named), and values of its options.
+    its arguments (named), and values of its options. simple tells that a command has no quotes, escapes or redirections: its
+    tokens are what lies between white space and operators, and are cut at once.
     """
-    tokens = F.regexp_extract_all("command", F.lit(f"{REDIRECTION}|{OPERATOR}|{WORD}"), F.lit(0))
-    listed = commands.select("*", tokens.alias("tokens"))
+    simple = ~F.col("command").rlike(r"['\"\\<>]")
+    tokens = F.when(~F.col("simple"), F.regexp_extract_all("command", F.lit(f"{REDIRECTION}|{OPERATOR}|{WORD}"), F.lit(0)))
+    listed = commands.withColumn("simple", simple).select("*", tokens.alias("tokens"))
     cuts = F.filter(F.sequence(F.lit(1), F.size("tokens") + 1), lambda i: (i > F.size("tokens")) | F.get("tokens", i - 1).rlike(f"^(?:{OPERATOR})$"))
     starts = F.concat(F.array(F.lit(0)), cuts)
     spans = F.zip_with(F.slice(starts, 1, F.size(cuts)), cuts, lambda low, cut: F.slice("tokens", low + 1, cut - low - 1))
-    parts = listed.select("*", F.posexplode(spans).alias("segment", "part")).where("size(part) > 0").drop("tokens")
+    between = F.transform(F.split("command", OPERATOR), lambda x: F.array_remove(F.split(x, r"\s+"), ""))
+    parts = listed.select("*", F.posexplode(F.when(F.col("simple"), between).otherwise(spans)).alias("segment", "part")).where("size(part) > 0").drop("tokens")
     redirects = lambda x: x.rlike(f"^{REDIRECTION}$")
     target = lambda i: redirects(F.get("part", i - 1)) & (i > 0)
     words = F.filter("part", lambda x, i: ~(redirects(x) | F.coalesce(target(i), F.lit(False))))
@@ -225,7 +229,7 @@ def audit_calls(commands: DataFrame, patterns: list[tuple[str, str, bool]], tool
     changing = F.coalesce(F.col("subcommand").isin(list(tool.changing)) if tool else F.lit(False), F.lit(False))
     proper = F.col("own") & ~variable & ~changing
     target = lambda c, opened: F.transform(c, lambda x: F.struct(masked(x).alias("text"), F.lit(opened).alias("opened")))
-    shown = F.array_join(F.transform("part", masked), " ")
+    shown = F.array_join(F.when(F.col("simple"), F.col("part")).otherwise(F.transform("part", masked)), " ")
     targets = F.when(proper, F.concat(target(F.col("opened"), True), target(F.col("named"), False))).otherwise(F.array(F.struct(shown.alias("text"), F.lit(True).alias("opened"))))
     judged = parts.withColumns({"variable": variable, "changing": changing, "targets": targets})
     met = lambda rx, bad: F.try_element_at(F.filter("targets", lambda t: t["text"].rlike(rx) & (t["opened"] | F.lit(not bad))), F.lit(1))["text"]

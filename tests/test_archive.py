@@ -1,5 +1,6 @@
 import decimal
 import json
+import random
 
 import pytest
 
@@ -301,6 +302,27 @@ def test_commands_are_read_as_a_shell_does(spark):
     assert [(c, kinds[i][0], kinds[i][1] if k == "command" else n) for i, (c, k, n) in enumerate(NAMES)] == NAMES
 
 
+def test_commands_without_quotes_are_cut_at_once(spark):
+    """Their tokens are those that the grammar of tokens gives, which commands with a quote go through."""
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("ab1.=-$(){}|&;\n\t \x0b\u00a0\u00e9") for _ in range(rng.randrange(1, 40))) for _ in range(400)] + ["$$(a)$", " ", "\n", "a$", "$(", "2 > 1", "a\\ b"]
+    rows = [(f"{i}-{k}", c + end) for i, c in enumerate(plain) for k, end in enumerate(("", "\n''"))]
+    found = {}
+    for r in evaluate.command_segments(spark.createDataFrame(rows, "id string, command string")).orderBy("id", "segment").collect():
+        found.setdefault(r.id, []).append((list(r.part), r.simple))
+    for i, c in enumerate(plain):
+        one, two = found.get(f"{i}-0", []), found[f"{i}-1"]
+        assert [p for p, _ in one] == [p for p, _ in two][:-1] and two[-1][0] == ["''"]
+        assert {s for _, s in one} <= {not set(c) & set("'\"\\<>")} and not any(s for _, s in two)
+
+
+def test_long_quotes(spark):
+    """A quote that is left open, or many in a row, take no stack."""
+    cases = ['say "' + "a b " * 30000, 'say "a' + '\\"b ' * 30000 + '" c', "say " + "'a'" * 30000 + "\\x" * 30000]
+    df = spark.createDataFrame(list(enumerate(cases)), "id bigint, command string")
+    assert {r.id: [len(x) for x in r.part] for r in evaluate.command_segments(df).collect()} == {0: [3, 120001], 1: [3, len(cases[1]) - 6, 1], 2: [3, 150000]}
+
+
 def test_audit_of_commands(spark):
     commands = spark.createDataFrame([(str(i), 0, c) for i, (c, _, _) in enumerate(AUDITED)], "id string, call_index int, command string")
     deviations, review, _ = evaluate.audit_calls(commands, LIST, TOOL)
